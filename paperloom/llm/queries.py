@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses, quality_rules, secrets
 from .binary_tokens import write_and_read
-from .common import documents
+from .common import documents, labels
 from .packing import pack
 from .token_counts import count_tokens
 
@@ -20,12 +21,32 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(documents(spark, sf_dir))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op6_token_counts, op9_token_ids)
+    f.__name__: f
+    for f in (
+        op2_packing,
+        op6_token_counts,
+        op7_license_scan,
+        op8_quality_rules,
+        op9_token_ids,
+        op10_secret_scan,
+    )
 }
 
 #: DuckDB's SQL for the queries that it can express.
