@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from . import licenses, quality_rules, secrets
 from .binary_tokens import write_and_read
 from .common import documents, labels
+from .near_dedup import deduplicate
 from .packing import pack
 from .token_counts import count_tokens
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate(documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
@@ -40,6 +45,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_near_dedup,
         op2_packing,
         op6_token_counts,
         op7_license_scan,
