@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality_classifier, quality_rules, secrets
+from . import licenses, lm_score, quality_classifier, quality_rules, secrets
 from .binary_tokens import write_and_read
 from .common import documents, labels
 from .near_dedup import deduplicate
@@ -22,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_near_dedup,
         op2_packing,
+        op3_lm_score,
         op4_quality_classifier,
         op6_token_counts,
         op7_license_scan,
