@@ -29,7 +29,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """ids(text): little-endian unsigned 32-bit ids of a text, special tokens not added."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,7 +58,11 @@ class Encoder:
             return b""
         if not (self.keeps_space or self.drops_space) or _ODD_SPACE.search(text):
             return self._library(text)
-        units, known = _UNIT.findall(text), self.units
+        if self.drops_space and "<|" not in text and _in_latin_1(text):
+            units = text.lower().split()  # Latin-1 has one way to write and to lower-case a character
+        else:
+            units = _UNIT.findall(text)
+        known = self.units
         try:
             return b"".join([known[u] for u in units])
         except KeyError:
@@ -76,12 +80,14 @@ class Encoder:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _unit(self, unit: str) -> bytes:
+        if self.drops_space and unit[-1] in ".," and unit[-2:-1].isalpha() and (head := self.units.get(unit[:-1])):
+            return head + self._piece(unit[-1])
         plain = _PLAIN.fullmatch(unit) if len(unit) <= 64 else None
         if not plain:
             return self._library(unit)
         space, word, mark = plain.groups()
         if self.drops_space:
-            return self._piece(word.lower()) + (self._piece(mark) if mark else b"")
+            return self._merge(word.lower()) + (self._piece(mark) if mark else b"")
         head = self._piece("\n") + self._piece(word) if space == "\n" else self._piece(space + word)
         return head + (self._piece(mark) if mark else b"")
 
@@ -90,10 +96,21 @@ class Encoder:
         if got is None:
             if len(self.pieces) > self.most:
                 self.pieces.clear()
-            shown = piece.encode().decode("latin-1").translate(self.letters)
-            got = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            got = self.pieces[piece] = self._merge(piece)
         return got
 
+    def _merge(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+
+def _in_latin_1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
