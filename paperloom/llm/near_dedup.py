@@ -282,3 +282,10 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     return signs.join(named, ["set_a", "set_b"], "left").select(
         "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")
     )
+
+
+def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The documents without those that are linked, however indirectly, to one with a smaller doc_id; all columns stay."""
+    gone = written(deduplicate(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
+    few = gone.count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, lm_score, quality_classifier, quality_rules, secrets
+from . import decontaminate, licenses, lm_score, quality_classifier, quality_rules, secrets
 from .binary_tokens import write_and_read
-from .common import documents, labels
+from .common import benchmark, documents, labels
 from .near_dedup import deduplicate
 from .packing import pack
 from .token_counts import count_tokens
@@ -30,6 +30,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_packing,
         op3_lm_score,
         op4_quality_classifier,
+        op5_decontaminate,
         op6_token_counts,
         op7_license_scan,
         op8_quality_rules,
