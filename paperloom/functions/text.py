@@ -177,7 +177,7 @@ def present(text: Column, names: list[str]) -> Column:
 def row_cells(line: Column) -> Column:
     """Cells of a Markdown table row."""
     inner = F.regexp_replace(F.trim(line), r"^\||\|$", "")
-    return F.transform(F.split(inner, r"\|"), F.trim)
+    return F.transform(F.split(inner, r"\|"), lambda x: F.trim(x))
 
 
 def key_values(markdown: Column) -> Column:

@@ -8,6 +8,7 @@ collected but the page that is asked for. `build_postings` makes an index for se
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -204,6 +205,16 @@ def count_of(phrase: Phrase) -> Column:
     return sum((F.size(_starts(F.col(f"terms_{c}"), phrase)) for c in phrase.columns), F.lit(0))
 
 
+def _close_to(others: list[Column], distance: int) -> Callable[[Column], Column]:
+    def close(i: Column) -> Column:
+        hit = F.lit(True)
+        for other in others:
+            hit = hit & F.exists(other, lambda j: F.abs(j - i) <= distance)
+        return hit
+
+    return close
+
+
 def predicate(node: Node) -> Column:
     if node.kind == "phrase":
         return count_of(node.phrase) > 0
@@ -213,13 +224,7 @@ def predicate(node: Node) -> Column:
         for c in INDEXED:
             starts = [_starts(F.col(f"terms_{c}"), p) for p in own]
 
-            def close(i: Column, others: list[Column] = starts[1:]) -> Column:
-                hit = F.lit(True)
-                for other in others:
-                    hit = hit & F.exists(other, lambda j: F.abs(j - i) <= node.distance + 1)
-                return hit
-
-            near = near | F.exists(starts[0], close)
+            near = near | F.exists(starts[0], _close_to(starts[1:], node.distance + 1))
         return near
     own = [predicate(p) for p in node.parts]
     if node.kind == "not":

@@ -79,7 +79,7 @@ def with_checksum(files: DataFrame) -> DataFrame:
 
 def decode_text(content: Column) -> Column:
     """UTF-8 with replacement of what isn't."""
-    return F.decode(content, F.lit("UTF-8"))
+    return F.decode(content, "UTF-8")
 
 
 def _office_text(content: bytes, kind: str) -> str:
@@ -156,12 +156,14 @@ def core_properties(xml: Column) -> Column:
 
 def read_json_tolerant(spark: SparkSession, path: str, schema: str, lines: bool = False, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, warnings): what can't be read is a warning with its file."""
-    reader = spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("multiLine", str(not lines).lower()).option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", str(not lines).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    found = reader.json(path).withColumn("_file", F.col("_metadata.file_path"))
-    rows = found.withColumn("doc_dir", F.regexp_replace("_file", "/[^/]*$", ""))
-    return rows.filter("_bad is null").drop("_bad", "_file"), rows.filter("_bad is not null").select(F.concat(F.col("_file"), F.lit(": can't be read")).alias("warning"))
+    found = reader.text(path).select("value", F.col("_metadata.file_path").alias("_file")).filter(F.trim("value") != "")
+    parsed = F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    own = found.withColumn("j", parsed).withColumn("doc_dir", F.regexp_replace("_file", "/[^/]*$", ""))
+    bad = own.filter("j._bad is not null").select(F.concat(F.col("_file"), F.lit(": can't be read")).alias("warning"))
+    return own.filter("j._bad is null").select("j.*", "doc_dir").drop("_bad"), bad
 
 
 def read_packs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

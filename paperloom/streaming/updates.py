@@ -12,7 +12,7 @@ from ..functions import text as T
 def arriving(spark: SparkSession, folder: str) -> DataFrame:
     """path, sha256, markdown of text files as they appear."""
     found = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    return found.select("path", T.checksum(F.col("content")).alias("sha256"), F.decode("content", F.lit("UTF-8")).alias("markdown"))
+    return found.select("path", T.checksum(F.col("content")).alias("sha256"), F.decode("content", "UTF-8").alias("markdown"))
 
 
 def into_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
