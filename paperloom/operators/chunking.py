@@ -6,6 +6,7 @@ long document never meets another one's lines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -203,11 +204,15 @@ def batch_studies(windows: DataFrame) -> DataFrame:
     )
 
 
+def _fits(pattern: str) -> Callable[[Column], Column]:
+    return lambda x: F.lower(x).rlike(pattern)
+
+
 def sheet_phases(docs: DataFrame, phases: dict[str, str]) -> DataFrame:
     """doc_id, phase, text: the lines of a sheet's first table that a phase's pattern fits."""
     rows = F.filter(F.split("markdown", "\n"), lambda x: F.trim(x).startswith("|"))
     own = docs.select("doc_id", rows.alias("_r"))
-    parts = [own.select("doc_id", F.lit(name).alias("phase"), F.filter("_r", lambda x, p=pattern: F.lower(x).rlike(p)).alias("_m")) for name, pattern in phases.items()]
+    parts = [own.select("doc_id", F.lit(name).alias("phase"), F.filter("_r", _fits(pattern)).alias("_m")) for name, pattern in phases.items()]
     return reduce(DataFrame.unionByName, parts).filter("size(_m) > 0").select("doc_id", "phase", F.array_join("_m", "\n").alias("text"))
 
 
