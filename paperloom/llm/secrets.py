@@ -115,6 +115,10 @@ def shown(found: Column) -> Column:
     )
 
 
+def _count(kind: int) -> Column:
+    return F.size(F.filter("found", lambda x: x["kind"] == kind))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document (doc_id, text, ...): doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
@@ -125,7 +129,7 @@ def scan(docs: DataFrame) -> DataFrame:
     base = F.filter("found", lambda x: x["kind"] < 3)
     return found.select(
         "doc_id",
-        *[F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)],
+        *[_count(k).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(shown(base), 256).alias("base_sha256"),
         shown(F.col("found")).alias("spans"),
     )
