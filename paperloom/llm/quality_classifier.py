@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import training_fold
 
 #: Bounds of the sample that the classifier is fitted on.
-MOST_POSITIVE, MOST_UNLABELLED = 8_000, 12_000
+MOST_POSITIVE, MOST_UNLABELLED = 5_000, 7_500
 HELD_OUT = 0
 THRESHOLD = 0.3
 
@@ -85,8 +85,8 @@ class _Rows:
     """Sparse rows: a document's indices and values lie end to end."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]]):
-        self.index = np.concatenate([i for i, _ in rows]) if rows else np.empty(0, np.int64)
-        self.value = np.concatenate([v for _, v in rows]) if rows else np.empty(0)
+        self.index = np.concatenate([i for i, _ in rows]) if rows else np.empty(0, np.uint16)
+        self.value = np.concatenate([v for _, v in rows]) if rows else np.empty(0, np.float32)
         self.ends = np.cumsum([0, *(len(i) for i, _ in rows)])
 
     def __len__(self) -> int:
@@ -138,8 +138,11 @@ def _fit(positive: _Rows, unlabelled: _Rows, prior: float | None, epochs: int, s
 
 
 def _scores(rows: _Rows, w: np.ndarray) -> np.ndarray:
-    own, index, value = rows.of(np.arange(len(rows)))
-    return np.bincount(own, value * w[index], len(rows)) + w[-1]
+    out = []
+    for chosen in np.array_split(np.arange(len(rows)), max(1, len(rows) // 500)):
+        own, index, value = rows.of(chosen)
+        out.append(np.bincount(own, value * w[index], len(chosen)) + w[-1])
+    return np.concatenate(out)
 
 
 def estimate_prior(positive: _Rows, unlabelled: _Rows) -> float:
@@ -176,8 +179,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("positive", "text", "doc_id")
     found = texts.mapInArrow(extract, "positive boolean, index binary, value binary, doc_id long").toArrow()
     order = np.lexsort((found.column("doc_id").to_numpy(), found.column("positive").to_numpy()))
-    rows = [(bool(found["positive"][int(k)].as_py()), np.frombuffer(found["index"][int(k)].as_py(), np.uint16).astype(np.int64), np.frombuffer(found["value"][int(k)].as_py(), np.float32)) for k in order]
-    positive, unlabelled = (_Rows([(i, v) for p, i, v in rows if p is kind]) for kind in (True, False))
+    ids, indices, values = (found.column(k) for k in ("positive", "index", "value"))
+    parts: dict[bool, list] = {True: [], False: []}
+    for k in order.tolist():
+        parts[ids[k].as_py()].append((np.frombuffer(indices[k].as_buffer(), np.uint16), np.frombuffer(values[k].as_buffer(), np.float32)))
+    positive, unlabelled = _Rows(parts[True]), _Rows(parts[False])
     if len(positive) < 2 or len(unlabelled) < 2:
         return None
     return _fit(positive, unlabelled, estimate_prior(positive, unlabelled), 30)
