@@ -217,3 +217,46 @@ def test_exports(spark, tmp_path):
     exports.write_vault(notes, f"file://{tmp_path}/v")
     with pytest.raises(ValueError):
         exports.write_vault(notes, f"file://{tmp_path}/v")
+
+
+def test_knowledge(spark):
+    from paperloom.operators import knowledge
+
+    lines = spark.createDataFrame([(1, 1, "Project: Alpha"), (1, 2, "Author"), (1, 3, "Date"), (1, 4, "Jane Doe")], "doc_id long, line_number int, line string")
+    assert {(r["field"], r["value"]) for r in knowledge.title_metadata(lines).collect()} == {("project", "Alpha"), ("author", "Jane Doe"), ("date", "Jane Doe")}
+    own = docs(spark, "Serial: X7").withColumn("document_kind", F.lit("m"))
+    assert knowledge.extract_fields(own, {"m": {"serial": [r"No: (\S+)", r"Serial: (\S+)"], "none": ["(zzz)"]}}).first()["fields"] == {"serial": "X7"}
+    toc = spark.createDataFrame([(1, 1, "1", "A"), (1, 2, "1.1", "B"), (1, 3, "1", "A")], "doc_id long, position int, section_number string, title string")
+    assert knowledge.outline(toc).first()["outline"] == "- 1 A\n  - 1.1 B"
+    assert knowledge.enrich_text(own, "none").first()["enrich_warning"] == "no enricher named none"
+    pdf = spark.createDataFrame([("a.pdf", bytearray(b"x"))], "path string, content binary")
+    assert knowledge.read_pdf_pages(pdf).first()["error"]
+
+
+def test_workspace(spark, tmp_path):
+    from paperloom.operators import workspace
+
+    path = f"file://{tmp_path}/ws"
+    assert workspace.init_workspace(spark, path) == {"library_versions": 0, "output_versions": 0, "catalog": 0}
+    with pytest.raises(ValueError):
+        workspace.register_library(spark, path, "/l", "/s", "h", 1, 2, dirty=True)
+    first = workspace.register_library(spark, path, "/l", "/s", "h", 1, 2, dirty=False)
+    output, warnings = workspace.register_output(spark, path, "/o", "vault")
+    assert output["library_version_id"] == first["library_version_id"] and not warnings
+    assert workspace.workspace_status(spark, path)["output_versions"]["count"] == 1
+    workspace.add_to_catalog(spark, path, "b", "B", "/b")
+    workspace.add_to_catalog(spark, path, "a", "A", "/a")
+    rows = workspace.add_to_catalog(spark, path, "b", "B2", "/b2").orderBy("library_id").collect()
+    assert [(r["library_id"], r["library_name"]) for r in rows] == [("a", "A"), ("b", "B2")]
+    assert [r["library_id"] for r in changes.select_libraries(workspace.read_catalog(spark, path), ["b", "a"]).collect()] == ["b", "a"]
+    plan = spark.createDataFrame([("p", "new")], "path string, status string")
+    assert workspace.update_library(spark, plan, None, None, path, plan)["status"] == "planned"
+    failing = lambda df: df.withColumn("error", F.lit("x"))
+    assert workspace.update_library(spark, plan, failing, None, path, plan, dry_run=False)["status"] == "conversion_failed"
+    assert workspace.artifact_status(spark, {"x": f"file://{tmp_path}/none"}).first()["status"] == "missing"
+    assert workspace.output_type(["a", "_index.json"]) == "packs"
+    tool = workspace.run_tool(spark.createDataFrame([("a.txt", bytearray(b"x"))], "path string, content binary"), {"cat": ["cat"], "no": ["no-such-program"]})
+    assert {r["command"]: r["status"] for r in tool.collect()} == {"cat": "ok", "no": "missing"}
+    from paperloom import api
+
+    assert set(api.COMMANDS) >= {"search-library", "update-library"}
