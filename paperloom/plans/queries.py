@@ -481,22 +481,23 @@ def concept_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- changes --------------------------------------------------------------------------------------------------------------
 
-_CURRENT = "SELECT CASE WHEN doc_id % 11 = 3 THEN concat('moved/', doc_id) ELSE concat('in/', doc_id) END AS path, length(text) + CASE WHEN doc_id % 7 = 2 THEN 1 ELSE 0 END AS size, sha256(concat(text, doc_id, CASE WHEN doc_id % 7 = 2 THEN '!' ELSE '' END)) AS sha256 FROM documents WHERE doc_id % 13 <> 5"
-_REGISTRY = "SELECT concat('in/', doc_id) AS path, length(text) AS size, sha256(concat(text, doc_id)) AS sha256, doc_id % 17 <> 4 AS manifest_there FROM documents WHERE doc_id % 19 <> 6"
+#: Two states of a folder: documents now; what was registered are the labelled ones, toxic ones at another path, those of low
+#: quality with other content, German ones without a manifest, and the benchmark's items, which are gone.
+_CURRENT = "SELECT concat('in/', doc_id) AS path, length(text) AS size, sha256(concat(text, doc_id)) AS sha256 FROM documents"
+_REGISTRY = "SELECT concat(CASE WHEN toxic = 1 THEN 'old/' ELSE 'in/' END, doc_id) AS path, length(text) AS size, sha256(concat(text, doc_id, CASE WHEN quality = 0 THEN '!' ELSE '' END)) AS sha256, lang <> 'de' AS manifest_there FROM documents JOIN labels USING (doc_id) UNION ALL SELECT concat('bench/', item_id), length(text), sha256(text), true FROM benchmark"
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    name, size = F.col("doc_id").cast("string"), F.length("text").cast("long")
-    mark = F.when(F.col("doc_id") % 7 == 2, F.lit("!")).otherwise(F.lit(""))
-    current = docs.filter("doc_id % 13 <> 5").select(
-        F.concat(F.when(F.col("doc_id") % 11 == 3, F.lit("moved/")).otherwise(F.lit("in/")), name).alias("path"), (size + F.length(mark)).alias("size"),
-        F.lit(None).cast("long").alias("mtime"), F.sha2(F.concat("text", name, mark).cast("binary"), 256).alias("sha256"),
-    )
-    registry = docs.filter("doc_id % 19 <> 6").select(
-        F.concat(F.lit("in/"), name).alias("path"), size.alias("size"), F.lit(None).cast("long").alias("mtime"), F.sha2(F.concat("text", name).cast("binary"), 256).alias("sha256"), (F.col("doc_id") % 17 != 4).alias("manifest_there")
-    )
-    return current, registry
+    name, mtime = F.col("doc_id").cast("string"), F.lit(None).cast("long").alias("mtime")
+    size = F.length("text").cast("long").alias("size")
+    digest = lambda *parts: F.sha2(F.concat(*parts).cast("binary"), 256).alias("sha256")
+    current = docs.select(F.concat(F.lit("in/"), name).alias("path"), size, mtime, digest("text", name))
+    folder = F.when(F.col("toxic") == 1, F.lit("old/")).otherwise(F.lit("in/"))
+    mark = F.when(F.col("quality") == 0, F.lit("!")).otherwise(F.lit(""))
+    labelled = docs.join(table(spark, sf_dir, "labels"), "doc_id").select(F.concat(folder, name).alias("path"), size, mtime, digest("text", name, mark), (F.col("lang") != "de").alias("manifest_there"))
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("bench/"), F.col("item_id").cast("string")).alias("path"), size, mtime, digest("text"), F.lit(True).alias("manifest_there"))
+    return current, labelled.unionByName(items)
 
 
 _PLAN = f"""WITH c AS ({_CURRENT}), r AS ({_REGISTRY}), b AS (SELECT c.path AS cp, r.path AS rp, c.size AS cs, r.size AS rs, c.sha256 AS ch, r.sha256 AS rh, r.manifest_there FROM c FULL JOIN r ON c.path = r.path),
