@@ -8,9 +8,11 @@ the distance about twice in 100,000 times.
 
 Documents with equal sets are one class from the start, so exact copies never meet as pairs. In each bucket of a key every
 member is first compared with the smallest one only; links are confirmed on whole sets, and linked classes become components.
-Then only pairs whose members are still in different components are enumerated, so that a large group of near copies never
-emits its pairs, and no link that joins two components is missed. A bucket too large for one task is cut into blocks, and
-pairs of blocks are dealt out.
+Then only pairs whose members are still in different components are looked at, each in the first bucket that its members
+share, so that a large group of near copies never emits its pairs, and no link that joins two components is missed. Before
+their sets are fetched, pairs are compared by sketches: one shingle from each of BINS ranges of hashes, nearly the whole set of
+a short document, from which the similarity is known to within a few hundredths; pairs five deviations short of a link go. A
+bucket too large for one task is cut into blocks, and pairs of blocks are dealt out.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ SHINGLE = 5
 CHUNKS, WIDTH = 10, 5
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
+BINS = 512
 #: Ids that are broadcast at most, to find the texts of candidates; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Members of a bucket that one task compares at most.
@@ -80,8 +83,25 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _sketch(shingle_set: np.ndarray) -> np.ndarray:
+    """uint8[BINS]: a code of the least hash in each of BINS ranges, 0 where there is none."""
+    starts = np.searchsorted(shingle_set, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 9))
+    ends = np.append(starts[1:], len(shingle_set))
+    least = shingle_set[np.minimum(starts, len(shingle_set) - 1)]
+    return np.where(ends > starts, ((least * _ODD) >> np.uint64(56)) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
+
+
+def _may_link(one: np.ndarray, two: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether pairs of sketches (rows; sizes: of both sets together) leave a similarity of 0.85 possible."""
+    same = ((one == two) & (one > 0)).sum(1)
+    filled = np.maximum(((one > 0) | (two > 0)).sum(1), 1)
+    left_out = np.maximum(0, 1 - filled / np.maximum(sizes / 1.85, 1))  # share of the union that the sketches don't hold
+    return same >= filled * (0.85 - 5 * np.sqrt(0.1275 * left_out / filled)) - 2
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (a fingerprint of the set), signature (binary; null for an empty set)."""
+    """doc_id, n_shingles, set_a and set_b (a fingerprint of the set), signature and sketch in one binary (null for an empty
+    set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +117,7 @@ def signed(docs: DataFrame) -> DataFrame:
                     if k is None or size > 200_000:
                         if group:
                             for j, row in zip(group, _signatures([sets[j] for j in group])):
-                                own[j] = row.tobytes()
+                                own[j] = row.tobytes() + _sketch(sets[j]).tobytes()
                         group, size = [], 0
                     if k is not None:
                         group.append(k)
@@ -112,18 +132,20 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, schema)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures, uint16[rows, SYMBOLS], and sketches, uint8[rows, BINS]."""
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * SYMBOLS + BINS)
+    return np.ascontiguousarray(both[:, : 2 * SYMBOLS]).view(np.uint16), both[:, 2 * SYMBOLS :]
 
 
 def keys_of(classes: DataFrame) -> DataFrame:
-    """key, member: CHUNKS * WIDTH rows for each class (member, signature)."""
+    """key, member, way (the key's number among the CHUNKS * WIDTH of each): rows for each class (member, signature)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            members, signs = batch.column(0).to_numpy(), _matrix(batch.column(1)).astype(np.uint64)
+            members, signs = batch.column(0).to_numpy(), _matrix(batch.column(1))[0].astype(np.uint64)
             out = []
             for chunk in range(CHUNKS):
                 for gap in range(WIDTH):
@@ -133,24 +155,27 @@ def keys_of(classes: DataFrame) -> DataFrame:
                             key = (key << np.uint64(16)) | signs[:, chunk * WIDTH + k]
                     key = (key ^ np.uint64((chunk * WIDTH + gap) * 0x1000003)) * _ODD
                     out.append((key ^ (key >> np.uint64(29))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.tile(members, len(out)))], names=["key", "member"])
+            ways = np.repeat(np.arange(len(out), dtype=np.int8), len(members))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.tile(members, len(out))), pa.array(ways)], names=["key", "member", "way"])
 
-    return classes.select("member", "signature").mapInArrow(keys, "key long, member long")
+    return classes.select("member", "signature").mapInArrow(keys, "key long, member long, way byte")
 
 
 def _within(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and signatures allow a link."""
+    """Pairs (a, b) whose sizes, signatures and sketches allow a link."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keep = (_matrix(batch.column(2)) != _matrix(batch.column(3))).sum(1) <= DISTANCE
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            for at in range(0, batch.num_rows, 5_000):
+                part = batch.slice(at, 5_000)
+                (sign_a, sketch_a), (sign_b, sketch_b) = _matrix(part.column(2)), _matrix(part.column(3))
+                keep = pa.array(((sign_a != sign_b).sum(1) <= DISTANCE) & _may_link(sketch_a, sketch_b, part.column(4).to_numpy()))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
     one = classes.select(F.col("member").alias("a"), F.col("signature").alias("sign_a"), F.col("n_shingles").alias("n_a"))
     two = classes.select(F.col("member").alias("b"), F.col("signature").alias("sign_b"), F.col("n_shingles").alias("n_b"))
     joined = pairs.join(one, "a").join(two, "b").filter("100 * least(n_a, n_b) >= 85 * greatest(n_a, n_b)")
-    return joined.select("a", "b", "sign_a", "sign_b").mapInArrow(near, "a long, b long")
+    return joined.select("a", "b", "sign_a", "sign_b", F.expr("n_a + n_b")).mapInArrow(near, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -164,39 +189,32 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                own = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["doc_id", "shingles"])
+                own = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "shingles"])
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (one, two))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    sets = written(texts.mapInArrow(sets_of, "doc_id long, shingles binary"), "sets")
+    sets = written(texts.mapInArrow(sets_of, "doc_id long, shingles array<long>"), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("shingles_a"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("shingles_b"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "shingles_a", "shingles_b")
-    return written(joined.mapInArrow(alike, "a long, b long"), "confirmed")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("shingles_a") + F.size("shingles_b")).alias("all"))
+    return written(joined.filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"), "confirmed")
 
 
 def _across(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket (key, member, component) that are in different components, within the distance."""
+    """Pairs (a, b) of a bucket (key, member, way, component) that are in different components and may be linked; each once."""
     counts = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = counts.filter("low != high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = (
         buckets.join(mixed, "key")
         .withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # one row unless the bucket is cut
-        .select("key", "member", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .select("key", "member", "way", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         .join(classes.select("member", "signature", "n_shingles"), "member")
     )
     task = F.xxhash64("key", "low", "high")
-    ordered = dealt.select(task.alias("task"), "member", "component", "block", (F.col("low") != F.col("high")).alias("apart"), "n_shingles", "signature")
+    ordered = dealt.select(task.alias("task"), "member", "component", "block", (F.col("low") != F.col("high")).alias("apart"), "n_shingles", "signature", "way")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -214,14 +232,14 @@ def _across(buckets: DataFrame, classes: DataFrame) -> DataFrame:
             yield _pairs_of(rest)
 
     sorted_ = ordered.repartition("task").sortWithinPartitions("task")
-    return sorted_.mapInArrow(pairs, "a long, b long").distinct()
+    return sorted_.mapInArrow(pairs, "a long, b long")
 
 
 def _pairs_of(table: pa.Table) -> pa.RecordBatch:
     table = table.combine_chunks()
     task, member, component, block = (table.column(k).to_numpy() for k in range(4))
-    apart, size = table.column(4).to_numpy(zero_copy_only=False), table.column(5).to_numpy()
-    signs = _matrix(table.column(6))
+    apart, size, way = table.column(4).to_numpy(zero_copy_only=False), table.column(5).to_numpy(), table.column(7).to_numpy()
+    signs, sketches = _matrix(table.column(6))
     found_a, found_b, step = [], [], 1
     at = np.arange(len(task))
     while True:
@@ -233,9 +251,15 @@ def _pairs_of(table: pa.Table) -> pa.RecordBatch:
         ok = (component[at] != component[to]) & (100 * np.minimum(size[at], size[to]) >= 85 * np.maximum(size[at], size[to]))
         ok &= ~apart[at] | (block[at] != block[to])
         x, y = at[ok], to[ok]
-        for k in range(0, len(x), 50_000):
-            i, j = x[k : k + 50_000], y[k : k + 50_000]
-            near = (signs[i] != signs[j]).sum(1) <= DISTANCE
+        for k in range(0, len(x), 20_000):
+            i, j = x[k : k + 20_000], y[k : k + 20_000]
+            differ = (signs[i] != signs[j]).reshape(-1, CHUNKS, WIDTH)
+            errors = differ.sum(2)
+            chunk = (errors <= 1).argmax(1)  # the first chunk that makes a key of both, and there the first such key
+            first = chunk * WIDTH + differ[np.arange(len(i)), chunk].argmax(1)
+            near = (errors.sum(1) <= DISTANCE) & (first == way[i])
+            i, j = i[near], j[near]
+            near = _may_link(sketches[i], sketches[j], size[i] + size[j])
             found_a.append(np.minimum(member[i[near]], member[j[near]]))
             found_b.append(np.maximum(member[i[near]], member[j[near]]))
         step += 1
@@ -264,16 +288,16 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     bucket = Window.partitionBy("key")
     buckets = written(
         keys_of(classes)
-        .select("key", "member", F.min("member").over(bucket).alias("low"), F.max("member").over(bucket).alias("high"))
+        .select("key", "member", "way", F.min("member").over(bucket).alias("low"), F.max("member").over(bucket).alias("high"))
         .filter("low != high")
-        .select("key", "member", "low"),
+        .select("key", "member", "way", "low"),
         "buckets",
     )
     stars = buckets.filter("member != low").select(F.col("low").alias("a"), F.col("member").alias("b")).distinct()
     links = confirmed(_within(stars, classes), docs, percent)
     first = written(components(links), "components")
     known = buckets.join(first.select(F.col("node").alias("member"), "component"), "member", "left")
-    known = known.select("key", "member", F.coalesce("component", "member").alias("component"))
+    known = known.select("key", "member", "way", F.coalesce("component", "member").alias("component"))
     more = confirmed(_across(known, classes), docs, percent)
     found = components(links.unionByName(more))
     named = classes.join(found.select(F.col("node").alias("member"), "component"), "member", "left")
