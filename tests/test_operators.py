@@ -260,3 +260,105 @@ def test_workspace(spark, tmp_path):
     from paperloom import api
 
     assert set(api.COMMANDS) >= {"search-library", "update-library"}
+
+
+def test_conversion_results(spark):
+    from paperloom.operators import knowledge, workspace
+
+    schema = "path string, markdown string, engine string, warnings array<string>, error string"
+    first = spark.createDataFrame([("a", None, "layout", [], "boom"), ("b", "text", "layout", [], None)], schema)
+    second = spark.createDataFrame([("a", "plain", "text", ["w"], None)], schema)
+    rows = {r["path"]: r for r in files.with_fallback(first, second).collect()}
+    assert rows["a"]["fallback_used"] and rows["a"]["warnings"] == ["w", "fallback after boom"] and rows["b"]["engine"] == "layout"
+    sources = spark.createDataFrame([("a", "h1"), ("b", "h2")], "path string, sha256 string")
+    manifests = workspace.failure_manifests(sources, first)
+    assert {r["source_path"]: (r["status"], r["markdown"], r["errors"]) for r in manifests.collect()} == {"a": ("failed", "", ["boom"]), "b": ("success", "text", [])}
+    index = workspace.output_index(manifests, spark.createDataFrame([("b", "Title")], "source_path string, title string"))
+    assert {r["markdown"] for r in index.collect()} == {"| a | failed |", "| Title | success |"}
+    pages = spark.createDataFrame([(1, 1, "intro", "Doc"), (1, 2, "see the alarm list", "Doc"), (1, 3, "x", "Doc")], "doc_id long, page_number int, text string, document_title string")
+    titles = [r["semantic_title"] for r in knowledge.semantic_titles(pages, [("Alarms", "alarm list")]).orderBy("page_number").collect()]
+    assert titles == ["Doc", "Alarms", None]
+    limit = knowledge.page_text_limit
+    assert [value(spark, limit(F.lit(k), F.lit(9), *x)) for k, x in (("m", (True, 2, 3)), ("m", (False, 2, 3)), ("manual_pdf", (False, None, 3)), ("m", (False, None, 3)), ("m", (False, None, None)))] == [9, 2, 9, 3, 9]
+
+
+def test_office_files():
+    import io
+    import zipfile
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", "<w:p><w:t>one</w:t></w:p><w:p><w:t>two</w:t></w:p>")
+        z.writestr("word/media/i.png", "x")
+    assert files.embedded_media(data.getvalue()) == 1 and files.embedded_media(b"broken") == 0
+    assert files.READERS["office"](data.getvalue(), "docx").split() == ["one", "two"]
+    with pytest.raises(NotImplementedError):
+        files.READERS["marker"](b"", "pdf")
+
+
+def test_core_properties(spark):
+    found = value(spark, files.core_properties(F.lit("<dc:title>T</dc:title><dc:creator></dc:creator>")))
+    assert (found["title"], found["creator"], found["subject"]) == ("T", None, None)
+
+
+def test_page_chunks_and_enrichment(spark):
+    pages = spark.createDataFrame(
+        [(1, "d", 1, "Start", "p. 1", None, "own text", "whole"), (1, "d", 2, None, None, "i.png", "", "whole")],
+        "doc_id long, slug string, page_number int, semantic_title string, locator string, image_path string, text string, whole_text string",
+    )
+    rows = chunking.chunk_pages(pages).orderBy("chunk_id").collect()
+    assert rows[0]["text"] == "Start\nLocator: p. 1\nExtracted text: own text" and rows[1]["text"].endswith("Extracted text: whole") and rows[1]["heading_path"] == ["Page 2"]
+    documents = spark.createDataFrame([(1, "f", "/f", "k", "ok", ["t"])], "doc_id long, source_file string, source_path string, document_kind string, quality_status string, tags array<string>")
+    rich = chunking.enrich(chunking.chunk_pages(pages), documents)
+    assert {r["evidence_type"] for r in rich.collect()} == {"text_page"}
+    assert chunking.source_map(rich).first()["source"]["page_number"] in (1, 2)
+    assert chunking.single_chunk(docs(spark, "x" * 3000)).first()["char_count"] == 1600
+
+
+def test_packs_are_assembled(spark):
+    manifests = spark.createDataFrame([("a", "success"), ("b", "failed")], "doc_dir string, status string")
+    knowledge = spark.createDataFrame([("a", "T")], "doc_dir string, title string")
+    assert [r["title"] for r in library.assemble_packs(manifests, knowledge=knowledge).collect()] == ["T"]
+    schema = "doc_id string, chunk_id string, locator string, page_number int"
+    chunks = spark.createDataFrame([("a", "c", "", 0)], schema)
+    sources = spark.createDataFrame([("a", "c", "p. 3", 3)], schema)
+    row = library.with_source(chunks, sources, ["locator", "page_number"]).first()
+    assert (row["locator"], row["page_number"]) == ("p. 3", 3)
+
+
+def test_index_json(spark):
+    documents = spark.createDataFrame([("a", "A"), ("b", "B")], "doc_id string, title string")
+    chunks = spark.createDataFrame([("a",), ("a",)], "doc_id string")
+    mentions = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("a", 3, "x")], "doc_id string, ord int, entity_text string")
+    rows = {r["doc_id"]: (r["chunk_count"], r["entities"]) for r in exports.index_json(documents, chunks, mentions).collect()}
+    assert rows == {"a": (2, ["x", "y"]), "b": (0, [])}
+    assert exports.manifest(1, 2, 3, [], "/in")["exports_count"] == 4 and "</script>" not in exports.graph_html([{"id": "</script>"}], []).split('type="application/json"')[1].split("</script>")[0]
+
+
+def test_batches_and_phases(spark):
+    windows = spark.createDataFrame([(1, "B1", 0, "no result", False, "s1"), (1, "B1", 1, "test passed", True, "s2"), (1, "B1", 2, "failed", False, "s3")], "doc_id long, batch_id string, ord int, window string, has_table boolean, locator string")
+    row = chunking.batch_studies(windows).first()
+    assert (row["status"], row["confidence"], row["locators"]) == ("passed", "high", ["s1", "s2", "s3"])
+    sheet = docs(spark, "| phase | v |\n|---|---|\n| heating | 1 |\n| cooling | 2 |")
+    assert {r["phase"] for r in chunking.sheet_phases(sheet, {"heat": r"\bheating\b", "mix": r"\bmixing\b"}).collect()} == {"heat"}
+    assert value(spark, chunking.group_path(F.lit("Plant\\Unit\\Bilder\\x"), ["Bilder"])) == "Plant/Unit"
+    rows = spark.createDataFrame([(1, 2, "g", "a"), (1, 3, "g", "b")], "doc_id long, row_number int, group_path string, line string")
+    assert chunking.row_groups(rows, 1).first()["text"] == "a"
+
+
+def test_reuse_and_staging(spark):
+    packs = spark.createDataFrame([("p", "n", "success", "h", "h", True, True), ("q", "n", "success", "h", "x", True, True), ("r", "m", None, None, None, None, None)], "path string, name string, manifest_status string, manifest_checksum string, sha256 string, has_chunks boolean, has_document boolean")
+    assert {r["path"]: r["refusal"] for r in changes.reuse_refusal(packs).collect()} == {"p": None, "q": "checksum differs", "r": "manifest missing"}
+    assert {r["path"]: r["staged"] for r in changes.staged_names(packs).collect()} == {"p": "n", "q": "n-2", "r": "m"}
+    scan = "source_id string, source_root string, size_bytes long, modified_time long, sha256 string"
+    known = spark.createDataFrame([("a", "/r", 1, 1, None, "active"), ("b", "/r", 1, 1, None, "active"), ("c", "/other", 1, 1, None, "active")], scan + ", status string")
+    now = spark.createDataFrame([("a", "/r", 2, 1, None), ("d", "/r", 1, 1, None)], scan)
+    assert {r["source_id"]: r["status"] for r in changes.workspace_scan(known, now, ["/r"]).collect()} == {"a": "changed", "b": "missing", "c": "active", "d": "new"}
+    assert {r["source_id"]: r["status"] for r in changes.workspace_scan(known, now, ["/r"], limited=True).collect()}["b"] == "active"
+
+
+def test_greedy_edges_and_neighbourhood(spark):
+    edges = spark.createDataFrame([("d1", "x", 5), ("d2", "y", 4), ("d1", "y", 3)], "source string, target string, count long")
+    assert concepts.admit_edges(edges, 3) == [("d1", "x", 5), ("d1", "y", 3)]
+    chunks = spark.createDataFrame([(1, 2, "b" * 600), (1, 1, "a")], "doc_id long, chunk_ord int, text string")
+    assert concepts.document_preview(chunks).first()["preview"] == "a\n\n" + "b" * 500
