@@ -318,7 +318,7 @@ def match_rows(rows: DataFrame, query: str, filters: Filters | None = None, ment
     except QuerySyntaxError:
         return apply_filters(substring_rows(rows, query), filters, mentions)
     scored = bm25(with_terms(rows), node, predicate(node)).withColumn("score", F.col("bm25") + rank_adjustment())
-    return apply_filters(scored.drop("bm25", *[f"terms_{c}" for c in INDEXED]), filters, mentions).withColumn("_order", F.col("score"))
+    return apply_filters(scored.drop("bm25", *[f"terms_{c}" for c in INDEXED]), filters, mentions).withColumn("_order", F.round("score", 9))
 
 
 def substring_rows(rows: DataFrame, text: str) -> DataFrame:

@@ -151,9 +151,22 @@ def paged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy("adjustment", "doc_id").offset(20).limit(10).select("doc_id", "adjustment", total.alias("total_hits"))
 
 
-@query()
+_POOLS = (
+    _LIB
+    + ", t AS (SELECT *, " + _TERMS.format("concat_ws(' ', title, text, locator)") + " AS w FROM lib), "
+    + f"""s AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS mean FROM t),
+x AS (SELECT doc_id, unnest(w) AS term, len(w)::DOUBLE AS dl FROM t),
+tf AS (SELECT doc_id, term, dl, count(*)::DOUBLE AS tf FROM x WHERE term IN ('password', 'fault', 'license') GROUP BY ALL),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term),
+b AS (SELECT tf.doc_id, tf.term, -(greatest(ln((s.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf.tf * 2.2::DOUBLE / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * tf.dl / s.mean))) AS bm25 FROM tf JOIN df USING (term), s),
+r AS (SELECT b.doc_id, b.term, row_number() OVER (PARTITION BY b.term ORDER BY round(b.bm25 + {_ADJUST}, 9), b.doc_id) AS k FROM b JOIN lib USING (doc_id))
+SELECT doc_id, count(*) AS token_hits, min(k) AS best_rank, string_agg(term, ',' ORDER BY term) AS matched FROM r WHERE k <= 250 GROUP BY doc_id"""
+)
+
+
+@query(_POOLS)
 def token_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pools of each token, merged; tested against a plain version."""
+    """The pools of each token, merged."""
     return search.token_rows(searchable_lib(spark, sf_dir), "password fault license", 250).select("doc_id", "token_hits", "best_rank", F.array_join("matched_tokens", ",").alias("matched"))
 
 
