@@ -391,3 +391,15 @@ def test_pipeline(spark):
     assert expected == list(range(len(texts)))
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in rows} == set(texts)
+
+
+def test_near_duplicates_in_sql(spark):
+    import duckdb
+
+    from paperloom.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    columns = ["doc_id", "n_shingles", "component_id", "kept"]
+    expected = con.sql(ORACLE_SQL["op1_near_dedup"]).df()[columns].sort_values("doc_id").values.tolist()
+    assert QUERIES["op1_near_dedup"](spark, SF).toPandas()[columns].sort_values("doc_id").values.tolist() == expected
