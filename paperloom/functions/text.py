@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēę
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorsstuuuzzz"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once a row however often the body uses it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(value: Column) -> Column:
     """Null for an empty string, as callers take an empty value for a missing one."""
     return F.nullif(value, F.lit(""))
@@ -182,10 +188,14 @@ def row_cells(line: Column) -> Column:
 
 def key_values(markdown: Column) -> Column:
     """map of two-column table rows; the last of a key wins; the header rule and rows without a key are left out."""
-    rows = F.filter(F.transform(F.split(markdown, "\n"), row_cells), lambda r: (F.size(r) == 2) & (F.get(r, F.lit(0)) != "") & ~F.get(r, F.lit(0)).rlike("^:?-+:?$"))
-    keys = F.array_distinct(F.transform(rows, lambda r: F.get(r, F.lit(0))))
-    last = lambda k: F.get(F.try_element_at(F.filter(rows, lambda r: F.get(r, F.lit(0)) == k), F.lit(-1)), F.lit(1))
-    return F.map_from_arrays(keys, F.transform(keys, last))
+    found = F.filter(F.transform(F.split(markdown, "\n"), row_cells), lambda r: (F.size(r) == 2) & (F.get(r, F.lit(0)) != "") & ~F.get(r, F.lit(0)).rlike("^:?-+:?$"))
+
+    def mapped(rows: Column) -> Column:
+        keys = F.array_distinct(F.transform(rows, lambda r: F.get(r, F.lit(0))))
+        last = lambda k: F.get(F.try_element_at(F.filter(rows, lambda r: F.get(r, F.lit(0)) == k), F.lit(-1)), F.lit(1))
+        return F.map_from_arrays(keys, F.transform(keys, last))
+
+    return let(found, mapped)
 
 
 def distinct_list(values: Column) -> Column:

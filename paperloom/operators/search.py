@@ -185,13 +185,16 @@ def _starts(terms: Column, phrase: Phrase) -> Column:
     """Positions (from 0) at which the phrase begins in a term array."""
     last = len(phrase.terms) - 1
 
-    def fits(i: Column) -> Column:
-        own = [F.get(terms, i + k) for k in range(last + 1)]
-        checks = [own[k] == t for k, t in enumerate(phrase.terms[:-1])]
-        checks.append(own[last].startswith(phrase.terms[-1]) if phrase.prefix else own[last] == phrase.terms[-1])
-        return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
+    def places(t: Column) -> Column:
+        def fits(i: Column) -> Column:
+            own = [F.get(t, i + k) for k in range(last + 1)]
+            checks = [own[k] == word for k, word in enumerate(phrase.terms[:-1])]
+            checks.append(own[last].startswith(phrase.terms[-1]) if phrase.prefix else own[last] == phrase.terms[-1])
+            return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
 
-    return F.filter(F.sequence(F.lit(0), F.greatest(F.size(terms) - 1, F.lit(0))), fits)
+        return F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), fits)
+
+    return T.let(terms, places)
 
 
 def count_of(phrase: Phrase) -> Column:
@@ -205,14 +208,14 @@ def count_of(phrase: Phrase) -> Column:
     return sum((F.size(_starts(F.col(f"terms_{c}"), phrase)) for c in phrase.columns), F.lit(0))
 
 
-def _close_to(others: list[Column], distance: int) -> Callable[[Column], Column]:
-    def close(i: Column) -> Column:
-        hit = F.lit(True)
-        for other in others:
-            hit = hit & F.exists(other, lambda j: F.abs(j - i) <= distance)
-        return hit
+def _near_in(count: int, distance: int) -> Callable[[Column], Column]:
+    def near(places: Column) -> Column:
+        def close(i: Column) -> Column:
+            return reduce(lambda a, b: a & b, (F.exists(places[f"p{k}"], lambda j: F.abs(j - i) <= distance) for k in range(1, count)), F.lit(True))
+
+        return F.exists(places["p0"], close)
 
-    return close
+    return near
 
 
 def predicate(node: Node) -> Column:
@@ -224,7 +227,7 @@ def predicate(node: Node) -> Column:
         for c in INDEXED:
             starts = [_starts(F.col(f"terms_{c}"), p) for p in own]
 
-            near = near | F.exists(starts[0], _close_to(starts[1:], node.distance + 1))
+            near = near | T.let(F.struct(*[x.alias(f"p{k}") for k, x in enumerate(starts)]), _near_in(len(starts), node.distance + 1))
         return near
     own = [predicate(p) for p in node.parts]
     if node.kind == "not":
