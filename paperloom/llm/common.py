@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import xxhash
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +65,32 @@ def lower_ascii(text: Column) -> Column:
 def training_fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
+
+
+#: How a Python worker's caches are emptied, by who uses them.
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keep_cache(owner: str, clear: Callable[[], None]) -> None:
+    _CACHES[owner] = clear
+
+
+def use_caches_of(owner: str) -> None:
+    """Called where a task begins: workers are used again, and only one owner's caches stay in memory."""
+    for other, clear in _CACHES.items():
+        if other != owner:
+            clear()
+
+
+class WordHashes(dict):
+    """64-bit hashes of words (never 0), kept for those seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[word] = xxhash.xxh64_intdigest(word) or 1
+        return got
+
+
+WORD_HASHES = WordHashes()
+keep_cache("hashes", WORD_HASHES.clear)

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import WORD_HASHES, use_caches_of
+
 RATIO = 0.2
 GRAM = 3
 REPEATS, TABLES, SAMPLE = 4, 8, 2
@@ -34,20 +35,9 @@ _MORE = np.uint64(0xC2B2AE3D27D4EB4F)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word) or 1
-        return got
-
-
-_HASHES = _Hashes()
-
-
 def hashed_words(text: str | None) -> np.ndarray:
     words = (text or "").encode().translate(_LOWER).split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
 
 
 def _grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -232,6 +222,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO) -> Data
         sent = docs.sparkSession.sparkContext.broadcast(Items(block, ratio))  # BLOCK_BYTES of text at most
 
         def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            use_caches_of("hashes")
             items = sent.value
             for batch in batches:
                 found = [(batch.column(0)[row].as_py(), items.ids[k], distance, len(items.words[k]), start) for row, k, distance, start in _found(batch, 1, items)]
@@ -250,6 +241,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO) -> DataFr
         sent = docs.sparkSession.sparkContext.broadcast(Items(block, ratio))
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            use_caches_of("hashes")
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
                 good[[row for row, *_ in _found(batch, column, sent.value)]] = False

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import WORD_HASHES, use_caches_of, written
 from .components import components
 
 SHINGLE = 5
@@ -46,25 +46,12 @@ _ADDENDS = _random.integers(1, 2**63, SYMBOLS, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """64-bit hashes of words, kept for those seen."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        got = self[word] = xxhash.xxh64_intdigest(word)
-        return got
-
-
-_WORDS = _Words()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """The sorted 64-bit hashes of a text's distinct shingles of 5 words; with fewer words, of the whole sequence."""
     words = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
     if len(words) < SHINGLE:
         return (hashes * _WEIGHTS[: len(words)]).sum(dtype=np.uint64, keepdims=True) + _SALTS[len(words) : len(words) + 1]
     out = hashes[: len(words) - SHINGLE + 1] * _WEIGHTS[0]
@@ -104,6 +91,7 @@ def signed(docs: DataFrame) -> DataFrame:
     set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_caches_of("hashes")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -186,6 +174,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_caches_of("hashes")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import training_fold
+from .common import keep_cache, training_fold, use_caches_of
 
 #: Bounds of the sample that the classifier is fitted on.
 MOST_POSITIVE, MOST_UNLABELLED = 5_000, 7_500
@@ -58,6 +58,7 @@ class _Codes(dict):
 
 
 _CODES = _Codes()
+keep_cache("codes", _CODES.clear)
 
 
 def features(text: str | None) -> tuple[np.ndarray, float, np.ndarray]:
@@ -200,6 +201,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # SIZE + 1 numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_caches_of("codes")
         w = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)

@@ -12,6 +12,8 @@ import os
 import re
 from array import array
 
+from .common import keep_cache, use_caches_of
+
 _UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+\Z")
 #: White space other than the ASCII kinds that units are cut at.
 _ODD_SPACE = re.compile(r"[^\S \t-\r]")
@@ -29,14 +31,14 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """ids(text): little-endian unsigned 32-bit ids of a text, special tokens not added."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000, most_pieces: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.model, self.most = self.whole.model, most
+        self.model, self.most, self.most_pieces = self.whole.model, most, most_pieces
         self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
@@ -94,7 +96,7 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            if len(self.pieces) > self.most:
+            if len(self.pieces) > self.most_pieces:
                 self.pieces.clear()
             got = self.pieces[piece] = self._merge(piece)
         return got
@@ -117,11 +119,15 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One per Python worker and vocabulary; workers are used again for later tasks."""
+    use_caches_of("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
+keep_cache("tokens", _ENCODERS.clear)
+
+
 def vocabulary(name: str) -> str:
     """Path of a public vocabulary file, the same on every machine."""
     import public_tokenizers
