@@ -55,11 +55,28 @@ class Encoder:
             and [n["type"] for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         )
 
+        self.ranked = self._by_ranks(kind) if self.keeps_space else None
+
+    def _by_ranks(self, kind: dict):
+        """The same merges in a faster library, where ids are in the order of the merges; None where they aren't."""
+        import tiktoken
+
+        byte_of = {letter: b for b, letter in self.letters.items()}
+        vocab, special = kind["model"]["vocab"], {t["content"] for t in kind["added_tokens"]}
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in kind["model"]["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:])) or any("<|" not in t for t in special):
+            return None
+        ranks = {bytes(byte_of[c] for c in token): n for token, n in vocab.items() if token not in special}
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not (self.keeps_space or self.drops_space) or _ODD_SPACE.search(text):
             return self._library(text)
+        if self.ranked and "<|" not in text and _in_latin_1(text):  # letters and digits that every library agrees on
+            return array("I", self.ranked.encode_ordinary(text)).tobytes()
         if self.drops_space and "<|" not in text and _in_latin_1(text):
             units = text.lower().split()  # Latin-1 has one way to write and to lower-case a character
         else:
