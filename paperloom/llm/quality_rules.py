@@ -1,9 +1,10 @@
 """Quality rules: fixed counts, and a hashed n-gram log-likelihood ratio.
 
 Words and pairs of neighbouring words are hashed into a fixed number of buckets. One multinomial over the buckets comes from
-trusted documents, one from all documents; a document's score is the mean, over its n-grams, of the log of the ratio of the
-two. It is kept if the score reaches a fixed threshold. All of it is Spark expressions; the counts are summed map-side into
-at most 2 * BUCKETS rows a task, and the table of ratios has that many numbers, whatever the corpus.
+all trusted documents, one from all documents; a document's score is the mean, over its n-grams, of the log of the ratio of the
+two. It is kept if the score reaches a fixed threshold. All of it is Spark expressions; documents meet the trusted ids in a
+shuffle, the counts are summed map-side into at most 2 * BUCKETS rows a task, and the table of ratios has that many numbers,
+whatever the corpus.
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from .common import SPACES, let
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
-#: Trusted documents are labelled ones of quality 1; more than this many are cut to those with the smallest hash of doc_id.
-MOST_TRUSTED = 50_000
 #: Counts by which the trusted multinomial is drawn to that of all documents.
 PRIOR = 20_000.0
 THRESHOLD = -0.12
@@ -55,14 +54,14 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0).cast("long")).otherwise(let(hashes, count))
 
 
-def trusted_ids(labels: DataFrame, most: int = MOST_TRUSTED) -> DataFrame:
-    """doc_id of at most `most` documents that are labelled quality 1 and nothing else."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id, once each, of all documents that are labelled quality 1 and nothing else."""
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
-    return good.select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return good.select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """One row with ratios, array<double>: of the words' buckets, then of the pairs'. trusted: doc_id, bounded in size."""
+    """One row with ratios, array<double>: of the words' buckets, then of the pairs'. trusted: doc_id, once each."""
     text = F.coalesce("text", F.lit(""))
     grams = let(
         words_of(text),
@@ -70,7 +69,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             F.transform(w, lambda x, i: F.array(_bucket(x), F.when(i + 1 < F.size(w), _bucket(x, F.get(w, i + 1)) + BUCKETS)))
         ),
     )
-    marked = F.broadcast(trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_trusted")))  # at most MOST_TRUSTED ids
+    marked = trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_trusted")).hint("shuffle_hash")  # ids grow with the corpus
     counts = (
         docs.select(F.col("doc_id").cast("long").alias("_doc"), text.alias("text"))
         .join(marked, F.col("_doc") == F.col("_id"), "left")

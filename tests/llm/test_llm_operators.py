@@ -222,6 +222,14 @@ def test_quality_rules(spark, texts):
     assert quality_rules.judge(table(spark, []), labels).count() == 0
 
 
+def test_all_trusted_documents_are_counted(spark):
+    n, own = 60_000, spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit(1).alias("quality"))
+    ratios = quality_rules.log_ratios(own, quality_rules.trusted_ids(own.unionByName(own))).first()["ratios"]
+    raw = (n + 0.5) / (n + quality_rules.BUCKETS)
+    assert len(ratios) == 2 * quality_rules.BUCKETS and quality_rules.trusted_ids(own).count() == n
+    assert abs(max(ratios) - math.log((n + quality_rules.PRIOR * raw) / (n + quality_rules.PRIOR) / raw)) < 1e-9
+
+
 # --- near duplicates ------------------------------------------------------------------------------------------------------
 
 
