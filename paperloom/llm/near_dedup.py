@@ -1,10 +1,11 @@
 """Near-duplicate documents by MinHash and a multi-index Hamming join.
 
-A document's set of word shingles gets a signature of CHUNKS * WIDTH symbols of 16 bits. The distance of two signatures is the
-number of places where they differ. If it is below 2 * CHUNKS, some chunk differs in at most one place (pigeonhole), so the
-two share a key made of a chunk without one of its symbols: each chunk gives WIDTH keys, one for each place where the one
-allowed error may be, and a join on keys meets every pair within the distance. At a similarity of 0.85 a pair goes beyond
-the distance about twice in 100,000 times.
+A document's set of word shingles gets a signature of chunks * width symbols of 16 bits. The distance of two signatures is the
+number of places where they differ. If it is below 2 * chunks, some chunk differs in at most one place (pigeonhole), so the
+two share a key made of a chunk without one of its symbols: each chunk gives `width` keys, one for each place where the one
+allowed error may be, and a join on keys meets every pair within the distance. The split into chunks is made for the least
+similarity that links: 10 of 5 symbols for 0.85, 12 of 4 for 0.80. At a similarity of 0.85 a pair goes beyond the first's
+distance about 16 times in a million, at 0.80 beyond the second's 3 times.
 
 Documents with equal sets are one class from the start, so exact copies never meet as pairs. In each bucket of a key every
 member is first compared with the smallest one only; links are confirmed on whole sets, and linked classes become components.
@@ -18,6 +19,7 @@ bucket too large for one task is cut into blocks, and pairs of blocks are dealt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,36 @@ CHUNKS, WIDTH = 10, 5
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 BINS = 512
+
+
+@dataclass(frozen=True)
+class Split:
+    """How a signature is cut into chunks, and the percentage of similarity that it is made for."""
+
+    percent: int
+    chunks: int
+    width: int
+
+    @property
+    def symbols(self) -> int:
+        return self.chunks * self.width
+
+    @property
+    def distance(self) -> int:
+        return 2 * self.chunks - 1
+
+
+SPLIT_85 = Split(85, CHUNKS, WIDTH)
+SPLIT_80 = Split(80, 12, 4)
+
+
+def split_for(percent: int) -> Split:
+    """The split for links from `percent` on; the one for 85 serves any higher percentage."""
+    if percent < SPLIT_80.percent:
+        raise ValueError("the signatures' distances are made for 80 percent and more")
+    return SPLIT_85 if percent >= SPLIT_85.percent else SPLIT_80
+
+
 #: Ids that are broadcast at most, to find the texts of candidates; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Members of a bucket that one task compares at most.
@@ -60,11 +92,11 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """uint16[documents, SYMBOLS] of non-empty sets."""
+def _signatures(sets: list[np.ndarray], split: Split) -> np.ndarray:
+    """uint16[documents, symbols] of non-empty sets."""
     joined, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.empty((len(sets), SYMBOLS), np.uint16)
-    for k in range(SYMBOLS):
+    out = np.empty((len(sets), split.symbols), np.uint16)
+    for k in range(split.symbols):
         least = np.minimum.reduceat(joined * _FACTORS[k] + _ADDENDS[k], starts)
         out[:, k] = (least * _ODD) >> np.uint64(48)
     return out
@@ -78,15 +110,16 @@ def _sketch(shingle_set: np.ndarray) -> np.ndarray:
     return np.where(ends > starts, ((least * _ODD) >> np.uint64(56)) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
 
 
-def _may_link(one: np.ndarray, two: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Whether pairs of sketches (rows; sizes: of both sets together) leave a similarity of 0.85 possible."""
+def _may_link(one: np.ndarray, two: np.ndarray, sizes: np.ndarray, split: Split) -> np.ndarray:
+    """Whether pairs of sketches (rows; sizes: of both sets together) leave the split's similarity possible."""
+    least = split.percent / 100
     same = ((one == two) & (one > 0)).sum(1)
     filled = np.maximum(((one > 0) | (two > 0)).sum(1), 1)
-    left_out = np.maximum(0, 1 - filled / np.maximum(sizes / 1.85, 1))  # share of the union that the sketches don't hold
-    return same >= filled * (0.85 - 5 * np.sqrt(0.1275 * left_out / filled)) - 2
+    left_out = np.maximum(0, 1 - filled / np.maximum(sizes / (1 + least), 1))  # share of the union that the sketches don't hold
+    return same >= filled * (least - 5 * np.sqrt(least * (1 - least) * left_out / filled)) - 2
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, split: Split = SPLIT_85) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (a fingerprint of the set), signature and sketch in one binary (null for an empty
     set)."""
 
@@ -104,7 +137,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 for k in [*full, None]:
                     if k is None or size > 200_000:
                         if group:
-                            for j, row in zip(group, _signatures([sets[j] for j in group])):
+                            for j, row in zip(group, _signatures([sets[j] for j in group], split)):
                                 own[j] = row.tobytes() + _sketch(sets[j]).tobytes()
                         group, size = [], 0
                     if k is not None:
@@ -120,28 +153,28 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, schema)
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures, uint16[rows, SYMBOLS], and sketches, uint8[rows, BINS]."""
-    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * SYMBOLS + BINS)
-    return np.ascontiguousarray(both[:, : 2 * SYMBOLS]).view(np.uint16), both[:, 2 * SYMBOLS :]
+def _matrix(column: pa.Array, split: Split) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures, uint16[rows, symbols], and sketches, uint8[rows, BINS]."""
+    both = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * split.symbols + BINS)
+    return np.ascontiguousarray(both[:, : 2 * split.symbols]).view(np.uint16), both[:, 2 * split.symbols :]
 
 
-def keys_of(classes: DataFrame) -> DataFrame:
-    """key, member, way (the key's number among the CHUNKS * WIDTH of each): rows for each class (member, signature)."""
+def keys_of(classes: DataFrame, split: Split = SPLIT_85) -> DataFrame:
+    """key, member, way (the key's number among the chunks * width of each): rows for each class (member, signature)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            members, signs = batch.column(0).to_numpy(), _matrix(batch.column(1))[0].astype(np.uint64)
+            members, signs = batch.column(0).to_numpy(), _matrix(batch.column(1), split)[0].astype(np.uint64)
             out = []
-            for chunk in range(CHUNKS):
-                for gap in range(WIDTH):
+            for chunk in range(split.chunks):
+                for gap in range(split.width):
                     key = np.zeros(len(signs), np.uint64)
-                    for k in range(WIDTH):
+                    for k in range(split.width):
                         if k != gap:
-                            key = (key << np.uint64(16)) | signs[:, chunk * WIDTH + k]
-                    key = (key ^ np.uint64((chunk * WIDTH + gap) * 0x1000003)) * _ODD
+                            key = (key << np.uint64(16)) | signs[:, chunk * split.width + k]
+                    key = (key ^ np.uint64((chunk * split.width + gap) * 0x1000003)) * _ODD
                     out.append((key ^ (key >> np.uint64(29))).view(np.int64))
             ways = np.repeat(np.arange(len(out), dtype=np.int8), len(members))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.tile(members, len(out))), pa.array(ways)], names=["key", "member", "way"])
@@ -149,20 +182,20 @@ def keys_of(classes: DataFrame) -> DataFrame:
     return classes.select("member", "signature").mapInArrow(keys, "key long, member long, way byte")
 
 
-def _within(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _within(pairs: DataFrame, classes: DataFrame, split: Split) -> DataFrame:
     """Pairs (a, b) whose sizes, signatures and sketches allow a link."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 5_000):
                 part = batch.slice(at, 5_000)
-                (sign_a, sketch_a), (sign_b, sketch_b) = _matrix(part.column(2)), _matrix(part.column(3))
-                keep = pa.array(((sign_a != sign_b).sum(1) <= DISTANCE) & _may_link(sketch_a, sketch_b, part.column(4).to_numpy()))
+                (sign_a, sketch_a), (sign_b, sketch_b) = _matrix(part.column(2), split), _matrix(part.column(3), split)
+                keep = pa.array(((sign_a != sign_b).sum(1) <= split.distance) & _may_link(sketch_a, sketch_b, part.column(4).to_numpy(), split))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
     one = classes.select(F.col("member").alias("a"), F.col("signature").alias("sign_a"), F.col("n_shingles").alias("n_a"))
     two = classes.select(F.col("member").alias("b"), F.col("signature").alias("sign_b"), F.col("n_shingles").alias("n_b"))
-    joined = pairs.join(one, "a").join(two, "b").filter("100 * least(n_a, n_b) >= 85 * greatest(n_a, n_b)")
+    joined = pairs.join(one, "a").join(two, "b").filter(f"100 * least(n_a, n_b) >= {split.percent} * greatest(n_a, n_b)")
     return joined.select("a", "b", "sign_a", "sign_b", F.expr("n_a + n_b")).mapInArrow(near, "a long, b long")
 
 
@@ -191,7 +224,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return written(joined.filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"), "confirmed")
 
 
-def _across(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+def _across(buckets: DataFrame, classes: DataFrame, split: Split) -> DataFrame:
     """Pairs (a, b) of a bucket (key, member, way, component) that are in different components and may be linked; each once."""
     counts = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = counts.filter("low != high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
@@ -216,19 +249,19 @@ def _across(buckets: DataFrame, classes: DataFrame) -> DataFrame:
             last = int(np.searchsorted(tasks, tasks[-1]))  # the last task's rows may go on in the next batch
             rest = table.slice(last)
             if last:
-                yield _pairs_of(table.slice(0, last))
+                yield _pairs_of(table.slice(0, last), split)
         if rest is not None and rest.num_rows:
-            yield _pairs_of(rest)
+            yield _pairs_of(rest, split)
 
     sorted_ = ordered.repartition("task").sortWithinPartitions("task")
     return sorted_.mapInArrow(pairs, "a long, b long")
 
 
-def _pairs_of(table: pa.Table) -> pa.RecordBatch:
+def _pairs_of(table: pa.Table, split: Split) -> pa.RecordBatch:
     table = table.combine_chunks()
     task, member, component, block = (table.column(k).to_numpy() for k in range(4))
     apart, size, way = table.column(4).to_numpy(zero_copy_only=False), table.column(5).to_numpy(), table.column(7).to_numpy()
-    signs, sketches = _matrix(table.column(6))
+    signs, sketches = _matrix(table.column(6), split)
     found_a, found_b, step = [], [], 1
     at = np.arange(len(task))
     while True:
@@ -237,18 +270,18 @@ def _pairs_of(table: pa.Table) -> pa.RecordBatch:
         if not len(at):
             break
         to = at + step
-        ok = (component[at] != component[to]) & (100 * np.minimum(size[at], size[to]) >= 85 * np.maximum(size[at], size[to]))
+        ok = (component[at] != component[to]) & (100 * np.minimum(size[at], size[to]) >= split.percent * np.maximum(size[at], size[to]))
         ok &= ~apart[at] | (block[at] != block[to])
         x, y = at[ok], to[ok]
         for k in range(0, len(x), 20_000):
             i, j = x[k : k + 20_000], y[k : k + 20_000]
-            differ = (signs[i] != signs[j]).reshape(-1, CHUNKS, WIDTH)
+            differ = (signs[i] != signs[j]).reshape(-1, split.chunks, split.width)
             errors = differ.sum(2)
             chunk = (errors <= 1).argmax(1)  # the first chunk that makes a key of both, and there the first such key
-            first = chunk * WIDTH + differ[np.arange(len(i)), chunk].argmax(1)
-            near = (errors.sum(1) <= DISTANCE) & (first == way[i])
+            first = chunk * split.width + differ[np.arange(len(i)), chunk].argmax(1)
+            near = (errors.sum(1) <= split.distance) & (first == way[i])
             i, j = i[near], j[near]
-            near = _may_link(sketches[i], sketches[j], size[i] + size[j])
+            near = _may_link(sketches[i], sketches[j], size[i] + size[j], split)
             found_a.append(np.minimum(member[i[near]], member[j[near]]))
             found_b.append(np.maximum(member[i[near]], member[j[near]]))
         step += 1
@@ -261,13 +294,12 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Texts are lower-cased (A-Z), words are cut at ASCII white space, and a document is its set of distinct shingles of 5
     words; one with fewer words is one shingle, one without words (also null) an empty set that is linked with nothing. Two
-    are linked if 100 * intersection >= percent * union, percent being 85 or more; component_id is the smallest doc_id that
+    are linked if 100 * intersection >= percent * union, percent being 80 or more; component_id is the smallest doc_id that
     can be reached. Rows that share a doc_id stand for one document and get one result each. A null doc_id is linked with
     nothing and kept. Other columns are ignored. An empty table gives no rows.
     """
-    if percent < 85:
-        raise ValueError("the signature's distance is made for 85 percent and more")
-    signs = written(signed(docs), "signatures")
+    split = split_for(percent)
+    signs = written(signed(docs, split), "signatures")
     classes = written(
         signs.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("set_a", "set_b")
@@ -276,18 +308,18 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     bucket = Window.partitionBy("key")
     buckets = written(
-        keys_of(classes)
+        keys_of(classes, split)
         .select("key", "member", "way", F.min("member").over(bucket).alias("low"), F.max("member").over(bucket).alias("high"))
         .filter("low != high")
         .select("key", "member", "way", "low"),
         "buckets",
     )
     stars = buckets.filter("member != low").select(F.col("low").alias("a"), F.col("member").alias("b")).distinct()
-    links = confirmed(_within(stars, classes), docs, percent)
+    links = confirmed(_within(stars, classes, split), docs, percent)
     first = written(components(links), "components")
     known = buckets.join(first.select(F.col("node").alias("member"), "component"), "member", "left")
     known = known.select("key", "member", "way", F.coalesce("component", "member").alias("component"))
-    more = confirmed(_across(known, classes), docs, percent)
+    more = confirmed(_across(known, classes, split), docs, percent)
     found = components(links.unionByName(more))
     named = classes.join(found.select(F.col("node").alias("member"), "component"), "member", "left")
     named = named.select("set_a", "set_b", F.coalesce("component", "member").alias("component_id"))
@@ -297,7 +329,7 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents without those that are linked, however indirectly, to one with a smaller doc_id; all columns stay."""
     gone = written(deduplicate(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "duplicates")
     few = gone.count() <= MOST_BROADCAST

@@ -15,7 +15,7 @@ from .token_counts import count_tokens
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(documents(spark, sf_dir))
+    return deduplicate(documents(spark, sf_dir), 85)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,6 +286,34 @@ def test_near_duplicates_edges(spark):
     assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "9", "None"]
 
 
+def test_near_duplicates_at_80_percent(spark, texts):
+    rng = random.Random(9)
+    own = list(texts)
+    for _ in range(60):  # pairs on both sides of 0.80, each of words of its own
+        w = [f"p{rng.randrange(10**9)}" for _ in range(200)]
+        v = list(w)
+        for _ in range(rng.choice([3, 4, 4, 5, 5, 6])):
+            v[rng.randrange(len(v))] = f"q{rng.randrange(10**9)}"
+        own += [" ".join(w), " ".join(v)]
+    sets = [_sets(t) for t in own]
+    pairs = [(k, k + 1, len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1])) for k in range(len(texts), len(own), 2)]
+    assert sum(0.80 <= x < 0.85 for *_, x in pairs) >= 10 and sum(x < 0.80 for *_, x in pairs) >= 5
+    docs = table(spark, own)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.deduplicate(docs, 80).collect()}
+    kept = {r["doc_id"] for r in near_dedup.keep_one(docs).collect()}
+    for a, b, x in pairs:
+        assert (found[b] == a) == (x >= 0.80) and a in kept and (b in kept) == (x < 0.80), x
+    inverted, linked = collections.defaultdict(list), set()
+    for k, s in enumerate(sets):
+        met = collections.Counter(j for g in s for j in inverted[g])
+        linked |= {(j, k) for j, n in met.items() if 100 * n >= 80 * (len(s) + len(sets[j]) - n)}
+        for g in s:
+            inverted[g].append(k)
+    assert all(found[j] == found[k] for j, k in linked)
+    with pytest.raises(ValueError):
+        near_dedup.deduplicate(docs, 79)
+
+
 def test_keys_meet_all_pairs_within_the_distance(spark):
     rng = np.random.default_rng(4)
     one = rng.integers(0, 2**16, (300, near_dedup.SYMBOLS), dtype=np.uint16)
