@@ -29,7 +29,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces and their places in sequences."""
+    """The documents' token pieces with their ids and their places in sequences."""
     return packing.pack(docs)
 
 

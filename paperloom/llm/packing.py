@@ -4,13 +4,13 @@ Only the number of pieces of each length matters for a packing, so the plan is m
 counts, whatever the size of the corpus. Pieces longer than a third of the capacity are large: at most two of them share a
 sequence, and greedy matching pairs each, from the longest down, with the longest that still fits. The others go, from the
 longest down, each into the tightest gap that takes it. The plan says, for each length, which ranks go to which sequences; a
-piece finds its place by its rank among the pieces of its length.
+piece finds its place by its rank among the pieces of its length. Pieces keep their token ids all the way, so a sequence is
+its pieces' ids in the order of their offsets.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .tokens import encoder, vocabulary
 
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -94,23 +94,22 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *((at, capacity) for at in range(head, n, capacity))]
 
 
-def tokenized_pieces(docs: DataFrame, capacity: int, path: str, end_id: int, with_ids: bool = False) -> DataFrame:
-    """Each document's ids and the end id, in pieces of at most `capacity`; with_ids adds the ids themselves (binary)."""
+def tokenized_pieces(docs: DataFrame, capacity: int, path: str, end_id: int) -> DataFrame:
+    """Each document's ids and the end id (little-endian, 32 bits each), in pieces of at most `capacity`."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = encoder(path), end_id.to_bytes(4, "little")
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(5)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = tokens.ids(text) + end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    own = ids[4 * start : 4 * (start + length)]
-                    for column, x in zip(rows, (doc_id, k, start, length, zlib.crc32(own), own)):
+                    for column, x in zip(rows, (doc_id, k, start, length, ids[4 * start : 4 * (start + length)])):
                         column.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 5 + with_ids]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECE_SCHEMA + ", ids binary" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECE_SCHEMA)
 
 
 def place(pieces: DataFrame, capacity: int, rows_per_group: int = 50_000) -> DataFrame:
@@ -162,9 +161,15 @@ def place(pieces: DataFrame, capacity: int, rows_per_group: int = 50_000) -> Dat
 def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
     """Packs the documents (doc_id, text, ...) into few sequences of at most `capacity` tokens.
 
-    Returns one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null text counts as empty and
+    Returns one row per piece: doc_id, piece, start, length, ids (binary, 32 bits each), ids_crc32, sequence_id, offset. A null text counts as empty and
     still has its end id. Repeated rows are separate documents. Other columns are ignored. An empty table gives no rows.
     """
     pieces = written(tokenized_pieces(docs, capacity, vocabulary(tokenizer), end_id), "pieces")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return place(pieces, capacity).select(columns)
+    return place(pieces, capacity).select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, n_tokens, ids (binary, 32 bits each) of what pack() returns: a sequence's pieces one after the other."""
+    own = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("pieces"))
+    join = F.aggregate("pieces", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
+    return own.select("sequence_id", "n_tokens", join.alias("ids"))

@@ -106,6 +106,25 @@ def test_pack(spark, texts):
     assert packing.pack(table(spark, [])).count() == 0
 
 
+def test_packed_sequences_hold_their_tokens(spark, texts):
+    from corpus_pipeline import packed as last_stage
+    from paperloom.llm.queries import op2_packing
+
+    own = [*texts[:60], *ODD, *[texts[0]] * 5]
+    ids = {k: encoder(vocabulary("byte_bpe_50k.json")).ids(t) + b"\0\0\0\0" for k, t in enumerate(own)}
+    pieces = last_stage(spark, table(spark, own), SF)
+    rows = pieces.collect()
+    expected = collections.defaultdict(bytes)
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        part = ids[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])]
+        assert bytes(r["ids"]) == part and 4 * r["offset"] == len(expected[r["sequence_id"]])
+        expected[r["sequence_id"]] += part
+    assert sum(map(len, expected.values())) == sum(map(len, ids.values()))
+    whole = packing.sequences(pieces.localCheckpoint()).collect()
+    assert {r["sequence_id"]: bytes(r["ids"]) for r in whole} == expected and all(4 * r["n_tokens"] == len(r["ids"]) for r in whole)
+    assert op2_packing(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
 def test_binary_round_trip(spark, texts, tmp_path):
     own = [*texts[:60], *ODD]
     docs = table(spark, own)
