@@ -88,14 +88,16 @@ def query_tokens_of(text: Column) -> Column:
     return F.filter(words, lambda t: (F.length(t) >= LEAST_TOKEN) & ~t.isin(QUERY_STOPWORDS))
 
 
-def preview(text: Column, query: str = "", limit: int = 220, lead: int = 40) -> Column:
-    """The searchable text from a little before the first term of the query on, cut at the limit."""
+def preview(text: Column, query: str = "", limit: int | None = 220, lead: int = 40) -> Column:
+    """The searchable text from a little before the first term of the query on, cut at the limit, if there is one."""
     clean = searchable(text)
     terms = query_tokens(query) or query.split()
     if terms:
         places = F.array(*[F.locate(t.lower(), F.lower(clean)) for t in terms])
         first = F.array_min(F.filter(places, lambda x: x > 0))
         clean = F.when(first > lead + 1, F.concat(F.lit("..."), F.substr(clean, first - lead, F.length(clean)))).otherwise(clean)
+    if limit is None:
+        return clean
     shown = F.rtrim(F.substring(clean, 1, limit))
     return F.concat(shown, F.when(F.length(clean) > limit, F.lit("...")).otherwise(F.lit("")))
 

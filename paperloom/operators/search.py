@@ -456,12 +456,16 @@ def open_chunk(rows: DataFrame, chunk_id: str, context: int = 0) -> tuple[DataFr
     return target, related(rows, target, context) if context else None
 
 
-def locate(documents: DataFrame, chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Documents by title, file or path, with their numbers of chunks."""
+def located(documents: DataFrame, chunks: DataFrame, query: str) -> DataFrame:
+    """All documents found by title, file or path, with their numbers of chunks."""
     hit = _like("title", query) | _like("source_file", query) | _like("source_path", query)
     counts = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
-    found = documents.filter(hit).join(counts, "doc_id", "left").na.fill(0, ["chunk_count"])
-    return found.orderBy("source_file", "doc_id").limit(limit)
+    return documents.filter(hit).join(counts, "doc_id", "left").na.fill(0, ["chunk_count"])
+
+
+def locate(documents: DataFrame, chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """A page of the documents found by title, file or path, with their numbers of chunks."""
+    return located(documents, chunks, query).orderBy("source_file", "doc_id").limit(limit)
 
 
 def diagnostics(results: DataFrame, query: str, filters: Filters | None = None) -> dict:

@@ -204,7 +204,7 @@ def open_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def locate_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = lib(spark, sf_dir)
     chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"))
-    found = search.locate(docs, chunks, "src1", 1_000_000)
+    found = search.located(docs, chunks, "src1")
     return found.groupBy("source_file").agg(F.sum("chunk_count").alias("chunk_count"))
 
 
@@ -242,7 +242,7 @@ def clip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, CASE WHEN i > 41 THEN '...' || c[i - 40:] ELSE c END AS shown FROM (SELECT doc_id, c, strpos(lower(c), 'license') AS i FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents))")
 def search_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), "license", 1_000_000).alias("shown"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), "license", None).alias("shown"))
 
 
 @query("SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: length(t) >= 3 AND t NOT IN ('and','or','the','a','an','of','for','to','in','on','with')), ' ') AS tokens FROM benchmark")

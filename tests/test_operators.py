@@ -362,3 +362,17 @@ def test_greedy_edges_and_neighbourhood(spark):
     assert concepts.admit_edges(edges, 3) == [("d1", "x", 5), ("d1", "y", 3)]
     chunks = spark.createDataFrame([(1, 2, "b" * 600), (1, 1, "a")], "doc_id long, chunk_ord int, text string")
     assert concepts.document_preview(chunks).first()["preview"] == "a\n\n" + "b" * 500
+
+
+def test_located_documents_and_whole_previews_have_no_limit(spark, monkeypatch):
+    from paperloom.plans import queries
+
+    text = "a b " * 300_000 + "end"
+    monkeypatch.setattr(queries, "table", lambda *_: spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert queries.search_preview(spark, "").first()["shown"] == text
+    monkeypatch.undo()
+    plan = queries.locate_document(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
+    own = spark.range(30).select(F.col("id").alias("doc_id"), *[F.concat(F.lit("src1-"), "id").alias(c) for c in ("title", "source_file", "source_path")])
+    chunks = spark.range(30).select(F.col("id").alias("doc_id"))
+    assert search.located(own, chunks, "src1").count() == 30 and search.locate(own, chunks, "src1").count() == 20
