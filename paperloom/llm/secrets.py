@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and sliding-window entropy over candidate strings.
 
-A candidate is a run of at least WINDOW characters of the base64 and URL alphabets that overlaps none of the fixed patterns'
-spans. A window slides over it; its Shannon entropy is log2(WINDOW) - S / WINDOW, S being the sum of c * log2(c) over the
+A candidate is a run of at least WINDOW characters of the base64 and URL alphabets that lies in none of the fixed patterns'
+spans; one that only overlaps a span, or holds it, is judged whole. A window slides over it; its Shannon entropy is log2(WINDOW) - S / WINDOW, S being the sum of c * log2(c) over the
 counts c of its characters, and S is updated from the counts of the character that leaves and the one that enters. A
 candidate is reported if its highest entropy reaches the threshold of its character class and no allow-list pattern takes
 it. Everything is a Spark expression over one row: no shuffle, no Python.
@@ -74,7 +74,7 @@ def entropy_spans(text: Column, base: Column) -> Column:
         for pattern in ALLOWED:
             allowed = allowed | value.rlike(pattern)
         threshold = F.coalesce(*[F.when(value.rlike(p), t) for p, t in THRESHOLDS.items()])
-        free = ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+        free = ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))
         return free & F.when(allowed, False).otherwise(window_entropy(value) >= threshold)
 
     return F.filter(spans(text, F.lit(CANDIDATE)), suspicious)

@@ -191,6 +191,17 @@ def test_redaction(spark):
     assert out[1]["text"] == "clean" and out[2]["text"] is None
 
 
+def test_candidates_around_base_spans(spark):
+    tokens = ["xoxb-1234567890123456-AbCd9fGh2kLmQ7rStUv", "kJ8x9fQz7LmX2pRt5VwY7f3a91c04be2d85670bNc4DqW3eRtZ6"]
+    own = [*(f"see {t} end" for t in tokens), "password=kJ8x9fQz7LmX2pRt5VwY end"]
+    docs = table(spark, own)
+    spans = [r["spans"].split(",") for r in secrets.scan(docs).orderBy("doc_id").collect()]
+    for t, found in zip(tokens, spans):
+        assert f"entropy:4:{4 + len(t)}" in found and any(x.startswith("hex:") for x in found)
+    assert spans[2] == ["assign:0:29"]
+    assert [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()] == ["see [SECRET] end", "see [SECRET] end", "[SECRET] end"]
+
+
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LICENSE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PHRASES = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
