@@ -1,26 +1,16 @@
-"""Language-model scores by logistic mixing of hashed-context bit predictors.
-
-The model spells a token as the bits of its bytes (in a Huffman code of the bytes) and an end mark. Six predictors, each with
-a hashed context inside the token (the last 1, 2, 3, 4 and 6 bytes, and all of it so far), give the log odds of the next bit
-from the counts of their slot, in which every different token counts once. A gate, which is how many of the longer contexts
-have been met and whether a byte begins, chooses the weights that combine them; the weights are learned online, block by
-block, each token being scored as if it were not in the counts. The product over the bits is the probability of spelling the
-token. P0 adds the token's own frequency: its count less a discount, over all, and the discounts' share times the spelling.
-
-Groups of training documents (the GROUPS most frequent values of a column, here the language) have frequencies of their own,
-which fall back on P0 by the same rule. The group of a document that is scored isn't looked at: within a document the model
-adapts. Each group's frequencies and P0 score the document as they are, and the groups' also with what the document itself
-repeats: after t tokens, of which n were this one, a token has (a * P + n) / (a + t), for two strengths a. All these ways are
-mixed with equal prior weights, which is the same as weights that follow how well each has done so far.
-
-Counts are tables: tokens are counted map-side and summed by a shuffle, slots are summed into tables of a fixed size, and the
-statistics of the most frequent tokens (at most MOST_SENT of them) are sent to the tasks; a document's other tokens, all rare,
-find theirs by a join. So what is gathered grows with the corpus, what is sent to each task doesn't.
+"""Language-model scores: tables, training and scoring over a corpus; the model itself is in bit_mixing.
+
+Training counts tokens (map-side, then a shuffle), takes the most frequent ones as the vocabulary, and counts every bit of every
+training document in the channels' slots; the tasks' slot counts are summed block by block. A corpus of more different tokens
+gets more slots, up to MOST_SLOT_BITS. What is sent to each task has a bound: VOCABULARY tokens with their codes, the slots'
+states and the counts of the MOST_SENT most frequent tokens; other tokens' counts, which only the base score needs, come by a join.
+
+Scoring reads each text once, in order. Weights and map are learned within the document, so a score depends on the document and
+the counts alone, not on how the table is cut. A training document's bits are predicted without themselves in the counts.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -31,408 +21,221 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bit_mixing import CHANNELS, Code, Contexts, Counts, Model, Vocabulary, ending, read_tokens, states
 from .common import WORD_HASHES, training_fold, use_caches_of, written
 
 HELD_OUT = 1
-#: Tokens whose statistics are sent to every task.
-MOST_SENT = 1 << 20
-STRENGTHS = (50.0, 300.0)
-GROUPS = 4
-ORDERS = (1, 2, 3, 4, 6, 0)  # bytes of context; 0: all so far
-SLOT_BITS = 18
-SLOTS = 1 << SLOT_BITS
-GATES = 2 * len(ORDERS)
-BLOCK = 1 << 14  # slots that are summed as one row
-END, MARK = b"\n", 32  # no word holds a line feed or a space
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_MORE = np.uint64(0xC2B2AE3D27D4EB4F)
-_WORD_BITS = 60_000  # bytes of tokens that are worked on at once
-
-
-class Code:
-    """A Huffman code of the bytes: nodes[byte, k] and bits[byte, k] of the k-th step of a byte's path."""
-
-    def __init__(self, counts: np.ndarray):
-        heap = [(float(c) + 0.01, k, k) for k, c in enumerate(counts)]
-        heapq.heapify(heap)
-        children, new = {}, 256
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            children[new] = (a[2], b[2])
-            heapq.heappush(heap, (a[0] + b[0], new, new))
-            new += 1
-        paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-        stack = [(heap[0][2], [])]
-        while stack:
-            node, path = stack.pop()
-            if node < 256:
-                paths[node] = path
-            else:
-                stack += [(children[node][bit], [*path, (node - 255, bit)]) for bit in (0, 1)]
-        self.lengths = np.array([len(p) for p in paths], np.int64)
-        self.nodes, self.bits = np.zeros((2, 256, self.lengths.max()), np.int64)
-        for byte, path in enumerate(paths):
-            for k, (node, bit) in enumerate(path):
-                self.nodes[byte, k], self.bits[byte, k] = node, bit
-
-
-def bit_rows(words: list[bytes], code: Code) -> tuple[np.ndarray, ...]:
-    """For every bit of the words (each with its end mark): the word, the bit, whether a byte begins, the predictors' slots."""
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(data)) - starts[word]
-    powers = np.full(int(sizes.max()), _ODD, np.uint64)
-    powers = np.cumprod(powers, dtype=np.uint64)
-    total = np.cumsum((data + np.uint64(1)) * powers[place], dtype=np.uint64)
-    before = np.concatenate([np.zeros(1, np.uint64), total])
-    contexts = []
-    for order in ORDERS:
-        if order:
-            own = np.zeros(len(data), np.uint64)
-            for back in range(1, order + 1):
-                last = np.concatenate([np.zeros(back, np.uint64), data[:-back]]) if back < len(data) else np.zeros(len(data), np.uint64)
-                own = own * np.uint64(257) + np.where(place >= back, last + np.uint64(1), np.uint64(0))
-        else:
-            own = before[:-1] - before[starts[word]] + place.astype(np.uint64)
-        contexts.append((own + np.uint64(order)) * _MORE)
-    steps = code.lengths[data.astype(np.int64)]
-    at = np.repeat(np.arange(len(data)), steps)
-    k = np.arange(len(at)) - np.repeat(np.cumsum(steps) - steps, steps)
-    byte = data[at].astype(np.int64)
-    node = code.nodes[byte, k].astype(np.uint64) * _ODD
-    slots = np.empty((len(ORDERS), len(at)), np.int64)
-    for i, own in enumerate(contexts):
-        mixed = (own[at] ^ node) * _ODD
-        slots[i] = ((mixed ^ (mixed >> np.uint64(31))) * _MORE >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + i * SLOTS
-    return word[at], code.bits[byte, k], k == 0, slots
-
-
-def _blocks(words: list[bytes], counts: np.ndarray) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    at = size = 0
-    for k, w in enumerate(words):
-        size += len(w) + 1
-        if size >= _WORD_BITS:
-            yield words[at : k + 1], counts[at : k + 1]
-            at, size = k + 1, 0
-    if at < len(words):
-        yield words[at:], counts[at:]
-
-
-def _odds(one: np.ndarray, zero: np.ndarray) -> np.ndarray:
-    return np.log((one + 0.4) / (zero + 0.4))
-
-
-def _gate(seen: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    return seen[1:].sum(0) * 2 + begins
-
-
-class Model:
-    def __init__(self, code: Code, one: np.ndarray, zero: np.ndarray, weights: np.ndarray):
-        self.code, self.weights = code, weights
-        self.odds, self.seen = _odds(one, zero).astype(np.float32), one + zero > 0
-        self.discount, self.totals, self.left = 0.1, np.ones(1 + GROUPS), np.ones(1 + GROUPS)
-
-    def frequencies(self, totals: np.ndarray, distinct: np.ndarray, once: int, twice: int) -> None:
-        """Tokens and different ones, of all documents and of each group; those with a count of 1 and of 2."""
-        self.discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.1
-        self.totals, self.left = np.maximum(totals, 1), np.where(totals > 0, self.discount * distinct / np.maximum(totals, 1), 1.0)
-
-    def log10_p(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """[words, 1 + GROUPS]: log10 of P0 and of each group's probability; counts alike."""
-        own = np.maximum(counts - self.discount, 0) / self.totals
-        own[:, 0] += self.left[0] * 10 ** np.maximum(self.log10(words), -250)
-        own[:, 1:] += self.left[1:] * own[:, :1]
-        return np.log10(own)
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each word, spelled with its end mark."""
-        out = []
-        for part, _ in _blocks(words, np.empty(len(words))):
-            word, bit, begins, slots = bit_rows(part, self.code)
-            gate = _gate(self.seen[slots], begins)
-            x = self.odds[slots]
-            w = self.weights[gate]
-            dot = (w[:, :-1].T * x).sum(0) + w[:, -1]
-            out.append(-np.bincount(word, np.logaddexp(0, np.where(bit == 1, -dot, dot)), len(part)) / math.log(10))
-        return np.concatenate(out) if out else np.empty(0)
-
-
-def mix_online(words: list[bytes], counts: np.ndarray, code: Code, one: np.ndarray, zero: np.ndarray, weights: np.ndarray, sums: np.ndarray) -> float:
-    """Learns the weights in place, block by block; returns the weight of what was learned from."""
-    used = 0.0
-    for part, _ in _blocks(words, counts):
-        _, bit, begins, slots = bit_rows(part, code)
-        ones, zeros = one[slots] - bit, zero[slots] - (1 - bit)  # without the token itself
-        gate = _gate(ones + zeros > 0.5, begins)
-        x = np.concatenate([_odds(np.maximum(ones, 0), np.maximum(zeros, 0)), np.ones((1, len(bit)))])
-        error = bit - 1 / (1 + np.exp(-np.clip((weights[gate].T * x).sum(0), -30, 30)))
-        share = np.bincount(gate, minlength=GATES)
-        for i in range(x.shape[0]):
-            g = np.bincount(gate, error * x[i], GATES) / np.maximum(share, 1e-9)
-            sums[:, i] += g * g
-            weights[:, i] += 0.05 * g / np.sqrt(sums[:, i] + 1e-6)
-        used += float(share.sum())
-    return used
+#: Tokens that are symbols of their own at most, and those whose counts are sent to every task at most.
+VOCABULARY, MOST_SENT = 1 << 16, 1 << 20
+LEAST_SLOT_BITS, MOST_SLOT_BITS = 16, 21
+#: Numbers of slots' counts that are summed as one row, and tokens that are scored at once.
+BLOCK, BATCH = 1 << 16, 15_000
+END = b"\n"  # no word holds a line feed
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
 
 
-_COUNTS = ["c", *(f"c{k}" for k in range(GROUPS))]
-
-
 def token_counts(docs: DataFrame) -> DataFrame:
-    """word (binary; END for ends of documents), c: how often it stands in docs (text, grp), c0 ...: in those of each group."""
+    """word (binary; END for ends of documents), c: how often it stands in docs (text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter[bytes]] = {}
+        counts: Counter[bytes] = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for k, own in counts.items():
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(np.full(len(own), k, np.int32)), pa.array(list(own.values()), pa.int64())], names=["word", "grp", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
             counts.clear()
 
         for batch in batches:
-            for text, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = counts.setdefault(k, Counter())
-                own.update(_words(text))
-                own[END] += 1
-                if sum(map(len, counts.values())) > 400_000:
+            for text in batch.column(0).to_pylist():
+                counts.update(_words(text))
+                counts[END] += 1
+                if len(counts) > 400_000:
                     yield from flush()
         yield from flush()
 
-    found = docs.select("text", "grp").mapInArrow(count, "word binary, grp int, n long")
-    of_group = [F.coalesce(F.sum(F.when(F.col("grp") == k, F.col("n"))), F.lit(0)).alias(f"c{k}") for k in range(GROUPS)]
-    return found.groupBy("word").agg(F.sum("n").alias("c"), *of_group)
+    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+
 
+def _level():
+    """Counts by size, 64 classes for each doubling."""
+    return F.floor(64 * F.log2("c")).cast("int")
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    for batch in batches:
-        if batch.num_rows:
-            yield batch.column(0).to_pylist(), batch.column(1).to_numpy()
 
+def _least_level(levels: list[tuple[int, int]], most: int) -> int:
+    """The lowest level from which on there are at most `most` tokens; levels: (level, tokens), falling."""
+    found, total = levels[0][0] + 1 if levels else 0, 0
+    for level, n in levels:
+        total += n
+        if total > most:
+            break
+        found = level
+    return found
 
-def train(counts: DataFrame) -> Model:
-    """Fits the model on all of counts (word, c, ...), a written table."""
-    context, counts = counts.sparkSession.sparkContext, counts.select("word", "c")
+
+def _grouped(texts: list[list[bytes]]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with BATCH tokens or one text."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= BATCH:
+            yield at, k + 1
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def train(docs: DataFrame, counts: DataFrame, levels: list[tuple[int, int]], total: int, distinct: int) -> tuple[Model, Vocabulary, np.ndarray]:
+    """The model, the vocabulary, and the counts of its tokens. docs (text): what is learned from; counts: its written tokens."""
+    context = docs.sparkSession.sparkContext
+    least = max(64, _least_level(levels, VOCABULARY))  # from a count of 2 on
+    chosen = {r["word"]: r["c"] for r in counts.filter(_level() >= least).select("word", "c").toArrow().to_pylist()}  # at most VOCABULARY
+    chosen[END] = max(1, sum(r["c"] for r in counts.filter(F.col("word") == F.lit(END)).collect()))
+    words = sorted(chosen, key=lambda w: (-chosen[w], w))
+    own = np.array([chosen[w] for w in words], np.int64)
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256)
-        for words, c in _vocabulary(batches):
-            sizes = np.array([len(w) + 1 for w in words])
-            total += np.bincount(np.frombuffer(b" ".join(words) + b" ", np.uint8), np.repeat(c, sizes).astype(float), 256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
+        sums = np.zeros(256)
+        for batch in batches:
+            if batch.num_rows:
+                spelled, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+                sums += np.bincount(np.frombuffer(b" ".join(spelled) + b" ", np.uint8), np.repeat(c, [len(w) + 1 for w in spelled]).astype(float), 256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(sums)], names=["byte", "n"])
 
-    found = counts.mapInArrow(bytes_of, "byte long, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect()  # 256 rows
     histogram = np.zeros(256)
-    for r in found:
+    rest = counts.filter((_level() < least) & (F.col("word") != F.lit(END))).select("word", "c")
+    for r in rest.mapInArrow(bytes_of, "byte long, n double").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows
         histogram[r["byte"]] = r["n"]
-    code = Code(histogram)
-    code_sent = context.broadcast(code)
-
-    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, zero = np.zeros((2, len(ORDERS) * SLOTS), np.float32)
-        for words, c in _vocabulary(batches):
-            for part, _ in _blocks(words, c):
-                word, bit, _, slots = bit_rows(part, code_sent.value)
-                for table, chosen in ((one, bit == 1), (zero, bit == 0)):
-                    for i in range(len(ORDERS)):
-                        table[i * SLOTS : (i + 1) * SLOTS] += np.bincount(slots[i][chosen] - i * SLOTS, minlength=SLOTS)
-        for k in range(len(ORDERS) * SLOTS // BLOCK):
-            both = np.stack([one, zero])[:, k * BLOCK : (k + 1) * BLOCK]
-            if both.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([both.tobytes()], pa.binary())], names=["block", "counts"])
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    code = Code(np.append(own, max(0, total - own.sum())), histogram)
+    endings = np.array([*map(ending, words), 0])
+    vocabulary = Vocabulary(words)
+    slot_bits = min(MOST_SLOT_BITS, max(LEAST_SLOT_BITS, 5 + int(math.log2(max(1, distinct)))))
+    sent = context.broadcast((vocabulary, code, endings))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, code, endings = sent.value
+        slots = Counts(code, endings, slot_bits)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                texts = [_words(t) for t in batch.column(0).slice(at, 500).to_pylist()]
+                for a, b in _grouped(texts):
+                    slots.add(read_tokens(texts[a:b], vocabulary, vocabulary[END]))
+        blocks = slots.counts.reshape(-1, BLOCK)
+        for k in np.flatnonzero(blocks.any(1)).tolist():
+            planes = blocks[k].astype("<i4").view(np.uint8).reshape(-1, 4).T  # bytes of like weight together, for the compression
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([planes.tobytes()], pa.binary())], names=["block", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.frombuffer(x.as_buffer(), np.float32).astype(float)
+                planes = np.frombuffer(x.as_buffer(), np.uint8).reshape(4, -1)
+                own = np.ascontiguousarray(planes.T).view("<i4")[:, 0].astype(np.int64)
                 sums[k] = sums[k] + own if k in sums else own
         for k, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([states(x[0::2], x[1::2]).tobytes()], pa.binary())], names=["block", "counts"])
 
     schema = "block long, counts binary"
-    one, zero = np.zeros((2, len(ORDERS) * SLOTS), np.float32)
-    for r in counts.mapInArrow(slots_of, schema).repartition("block").mapInArrow(summed, schema).toLocalIterator():  # a fixed number of slots
-        one[r["block"] * BLOCK : (r["block"] + 1) * BLOCK], zero[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.float32).reshape(2, -1)
-    tables = context.broadcast((one, zero))
-    start = np.full((GATES, len(ORDERS) + 1), 0.3)
-    start[:, -1] = 0
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, sums, used = start.copy(), np.zeros_like(start), 0.0
-        for words, c in _vocabulary(batches):
-            used += mix_online(words, c, code_sent.value, *tables.value, weights, sums)
-        if used:
-            yield pa.RecordBatch.from_arrays([pa.array([used]), pa.array([weights.tobytes()], pa.binary())], names=["used", "weights"])
-
-    learned = counts.mapInArrow(learn, "used double, weights binary").collect()  # a small row for each partition
-    whole = sum(r["used"] for r in learned)
-    weights = sum((np.frombuffer(r["weights"]).reshape(start.shape) * (r["used"] / whole) for r in learned), np.zeros_like(start)) if whole else start
-    return Model(code, one, zero, weights)
-
-
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    """log of the gamma function of positive numbers."""
-    shift = np.log(x)
-    for k in range(1, 8):
-        shift = shift + np.log(x + k)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - shift
-
-
-_WAYS = 1 + GROUPS + GROUPS * len(STRENGTHS)
-_SUMS = ["known", "base", *(f"s{k}" for k in range(_WAYS))]
-_LP = [f"lp{k}" for k in range(1 + GROUPS)]
-
-
-def _terms(n: np.ndarray, c: np.ndarray, lp: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """Of tokens (n times in a document, c in training, lp[tokens, 1 + GROUPS]): what each adds to the sums of _SUMS."""
-    out = np.empty((len(_SUMS), len(n)))
-    out[0] = n * (c > 0)
-    out[1] = n * np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-    natural = lp.T * math.log(10)
-    out[2 : 3 + GROUPS] = n * natural
-    again = np.flatnonzero(n > 1)
-    for k, a in enumerate(STRENGTHS):
-        part = out[3 + GROUPS * (k + 1) : 3 + GROUPS * (k + 2)]
-        part[:] = natural[1:] + math.log(a)  # a token that stands once
-        base = np.maximum(a * np.exp(natural[1:, again]), 1e-290)
-        part[:, again] = _lgamma(base + n[again]) - _lgamma(base)
-    return out
-
-
-_ROWS = "row long, doc_id long, held_out boolean, word binary, n long, n_tokens long, n_bytes long, " + ", ".join(f"{s} double" for s in _SUMS)
-
-
-def score(docs: DataFrame, group: str = "lang") -> DataFrame:
+    slots = np.zeros((CHANNELS * (2 << slot_bits) // BLOCK, BLOCK // 2), np.uint8)
+    for r in docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add_up, schema).toLocalIterator():  # a fixed number of slots
+        slots[r["block"]] = np.frombuffer(r["counts"], np.uint8)
+    return Model(code, endings, slot_bits, slots.reshape(CHANNELS, -1)), vocabulary, own
+
+
+_ROWS = "row long, doc_id long, held_out boolean, word binary, n_tokens long, n_bytes long, known long, base double, score double"
+
+
+def score(docs: DataFrame) -> DataFrame:
     """One row per document (doc_id, text, ...): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte.
 
     A text is its words (A-Z lower-cased, cut at ASCII white space) and one end. The model learns from documents whose
     crc32(doc_id as text) mod 5 is not 1, all of their tokens. base_score is the sum over the tokens of
-    log10((c + 0.5) / (N + 0.5 * (V + 1))); score is the model's log10 probability of the same tokens, bits_per_byte its bits
-    for each byte of the words with a byte after each. A null or empty text is the end alone. A null doc_id is in training.
-    Repeated rows are documents of their own; other columns are ignored.
+    log10((c + 0.5) / (N + 0.5 * (V + 1))); score is the model's log10 probability of the same tokens, unknown ones spelled,
+    bits_per_byte its bits for each byte of the words with a byte after each. A null or empty text is the end alone. A null
+    doc_id is in training. Repeated rows are documents of their own; other columns are ignored. An empty table gives no rows.
     """
     context = docs.sparkSession.sparkContext
-    grp = F.lit(-1)
-    if group in docs.columns:
-        often = docs.filter(F.col(group).isNotNull()).groupBy(F.col(group).cast("string").alias("g")).count().orderBy(F.desc("count"), "g").limit(GROUPS).collect()
-        for k, r in enumerate(often):
-            grp = F.when(F.col(group).cast("string") == r["g"], F.lit(k)).otherwise(grp)
     held_out = F.coalesce(training_fold(F.col("doc_id").cast("long")) == HELD_OUT, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text", grp.alias("grp"))
-    counts = written(token_counts(rows.filter(~F.col("held_out"))), "token-counts")
-    sums = counts.agg(*[F.sum(c) for c in _COUNTS], *[F.count_if(F.col(c) > 0) for c in _COUNTS], F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    totals, different, (once, twice) = (np.array([int(x or 0) for x in part]) for part in (sums[: 1 + GROUPS], sums[1 + GROUPS : -2], sums[-2:]))
-    total, distinct = int(totals[0]), int(different[0])
-    trained = train(counts)
-    trained.frequencies(totals, different, int(once), int(twice))
-    model = context.broadcast(trained)
-
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
+    training = rows.filter(~F.col("held_out"))
+    counts = written(token_counts(training), "token-counts")
+    sums = counts.groupBy(_level().alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("level")).collect()  # 64 a doubling
+    levels, total, distinct = [(r["level"], r["n"]) for r in sums], sum(r["c"] for r in sums), sum(r["n"] for r in sums)
+    model, vocabulary, own = train(training, counts, levels, total, distinct)
+    often = counts.filter(_level() >= _least_level(levels, MOST_SENT)).select("word", "c")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                words = batch.column(0).to_pylist()
-                lp = model.value.log10_p(words, np.stack([batch.column(1 + k).to_numpy() for k in range(1 + GROUPS)], 1)).astype(np.float32)
-                hashes = np.array([xxhash.xxh64_intdigest(w) or 1 for w in words], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes), *map(pa.array, lp.T.copy())], names=["word", "c", "hash", *_LP])
-
-    priced = written(counts.mapInArrow(price, "word binary, c long, hash long, " + ", ".join(f"{x} float" for x in _LP)), "priced")
-    often = [0, 0]  # the least count from which tokens are sent, and how many they are; no more than MOST_SENT
-    for r in priced.groupBy(F.least("c", F.lit(50_000)).alias("c")).count().orderBy(F.desc("c")).collect():  # 50,000 rows at most
-        if often[1] + r["count"] > MOST_SENT:
-            break
-        often = [r["c"], often[1] + r["count"]]
-    sent = priced.filter(F.col("c") >= often[0]) if often[1] else priced.limit(0)
-    sent = sent.select("hash", "c", *_LP).toArrow()
-    order = np.argsort(sent.column("hash").to_numpy().view(np.uint64))
-    all_lp = np.stack([sent.column(x).to_numpy()[order] for x in _LP], 1).astype(np.float32)
-    known = context.broadcast((sent.column("hash").to_numpy()[order], sent.column("c").to_numpy()[order], all_lp))
-    del sent, order, all_lp
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = np.array([xxhash.xxh64_intdigest(w) or 1 for w in batch.column(0).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), batch.column(1)], names=["hash", "c"])
+
+    found = often.mapInArrow(hashed, "hash long, c long").toArrow()
+    hashes = found.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    sent = context.broadcast((model, vocabulary, own, hashes[order], found.column("c").to_numpy()[order]))
+    del found, hashes, order
+
+    def price(c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         use_caches_of("hashes")
         row = TaskContext.get().partitionId() << 33
-        hashes, all_c, all_lp = known.value
-        hashes = hashes.view(np.uint64)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                yield from part(batch.slice(at, 500), row + at, hashes, all_c, all_lp)
+                part = batch.slice(at, 500)
+                held = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                texts = [_words(t) for t in part.column(2).to_pylist()]
+                for fold in (False, True):
+                    chosen = np.flatnonzero(held == fold)
+                    own_texts = [texts[k] for k in chosen.tolist()]
+                    for a, b in _grouped(own_texts):
+                        yield from of_texts(part.column(0).take(pa.array(chosen[a:b])), own_texts[a:b], fold, row + at + chosen[a:b])
             row += batch.num_rows
 
-    def part(batch: pa.RecordBatch, row: int, hashes: np.ndarray, all_c: np.ndarray, all_lp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        size, own_n, own_hash, own_doc, own_words, n_bytes = batch.num_rows, [], [], [], [], []
-        for k, text in enumerate(batch.column(2).to_pylist()):
-            tf = Counter(_words(text))
-            words = [END, *tf]
-            own_words += words
-            own_hash.append(np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words)))
-            own_n.append(np.fromiter((1, *tf.values()), np.int64, len(words)))
-            own_doc.append(np.full(len(words), k))
-            n_bytes.append(sum(len(w) * n for w, n in tf.items()))
-        if not size:
-            return
-        n, own, doc = np.concatenate(own_n), np.concatenate(own_hash), np.concatenate(own_doc)
-        at = np.searchsorted(hashes, own)
-        hit = np.zeros(len(own), bool)
-        if len(hashes):
-            at = np.minimum(at, len(hashes) - 1)
-            hit = hashes[at] == own
-        tokens = np.bincount(doc, n, size)
-        terms = _terms(n[hit], all_c[at[hit]].astype(float), all_lp[at[hit]], total, distinct) if hit.any() else np.zeros((len(_SUMS), 0))
-        sums = [np.bincount(doc[hit], t, size).astype(float) for t in terms]
-        for k, a in enumerate(STRENGTHS):
-            whole_chance = _lgamma(a + tokens) - _lgamma(np.full(size, a))
-            for j in range(3 + GROUPS * (k + 1), 3 + GROUPS * (k + 2)):
-                sums[j] = sums[j] - whole_chance
-        blank = pa.nulls(size, pa.binary())
-        zero = pa.array(np.zeros(size, np.int64))
-        whole = [pa.array(row + np.arange(size)), batch.column(0), batch.column(1), blank, zero, pa.array(tokens.astype(np.int64)), pa.array(np.array(n_bytes) + tokens.astype(np.int64)), *map(pa.array, sums)]
+    def of_texts(ids: pa.Array, texts: list[list[bytes]], fold: bool, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        model, vocabulary, own, hashes, all_c = sent.value
+        tokens = read_tokens(texts, vocabulary, vocabulary[END])
+        bits = model.score(tokens, Contexts(tokens, model.endings), not fold)
+        n = len(texts)
+        spelled = np.fromiter(map(WORD_HASHES.__getitem__, tokens.words), np.uint64, len(tokens.words))
+        c, rare = _counts_of(spelled, hashes, all_c)
+        doc = tokens.doc[tokens.where]
+        prices = np.append(price(own), 0.0)[tokens.ids]
+        prices[tokens.where] = np.where(rare, 0, price(c))
+        known = np.bincount(tokens.doc, minlength=n) - np.bincount(doc[rare], minlength=n)
+        sizes = np.array([sum(map(len, t)) + len(t) + 1 for t in texts], np.int64)
+        base = np.bincount(tokens.doc, prices, n)
+        values = [numbers, ids, np.full(n, fold), pa.nulls(n, pa.binary()), tokens.sizes, sizes, known, base, -bits * math.log10(2)]
         names = [f.split()[0] for f in _ROWS.split(", ")]
-        yield pa.RecordBatch.from_arrays(whole, names=names)
-        rare = np.flatnonzero(~hit)
-        if len(rare):
-            none = lambda kind: pa.nulls(len(rare), kind)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + doc[rare]), none(pa.int64()), none(pa.bool_()), pa.array([own_words[i] for i in rare], pa.binary()), pa.array(n[rare]), none(pa.int64()), none(pa.int64()), *[none(pa.float64())] * len(_SUMS)],
-                names=names,
-            )
-
-    parts = written(rows.mapInArrow(look_up, _ROWS), "parts")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c = np.nan_to_num(np.asarray(batch.column(2).to_numpy(zero_copy_only=False), float))
-            lp = np.stack([batch.column(4 + k).to_numpy(zero_copy_only=False) for k in range(1 + GROUPS)], 1).astype(float)
-            new = np.isnan(lp[:, 0])
-            if new.any():
-                unknown = batch.column(3).filter(pa.array(new)).to_pylist()
-                different = sorted(set(unknown))
-                price_of = dict(zip(different, model.value.log10_p(different, np.zeros((len(different), 1 + GROUPS)))))
-                lp[new] = [price_of[w] for w in unknown]
-            terms = _terms(batch.column(1).to_numpy(), c, lp, total, distinct)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, terms)], names=["row", *_SUMS])
-
-    rare = parts.filter("word is not null").select("row", "word", "n").join(priced.select("word", "c", *_LP), "word", "left")
-    rare = rare.select("row", "n", "c", "word", *_LP).mapInArrow(finish, "row long, " + ", ".join(f"{s} double" for s in _SUMS))
-    rare = rare.groupBy("row").agg(*[F.sum(s).alias(f"r_{s}") for s in _SUMS])
-    both = parts.filter("word is null").join(rare, "row", "left")
-    summed = {s: F.col(s) + F.coalesce(f"r_{s}", F.lit(0.0)) for s in _SUMS}
-    ways = F.array(*[summed[f"s{k}"] for k in range(_WAYS)])
-    mixed = both.select("*", *[x.alias(f"all_{s}") for s, x in summed.items() if s in ("known", "base")], F.array_max(ways).alias("best"), ways.alias("ways"))
-    mean = F.aggregate("ways", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("best"))) / _WAYS
-    result = (F.col("best") + F.log(mean)) / math.log(10)
-    return mixed.select(
-        "doc_id", "held_out", "n_tokens", F.round("all_known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        F.col("all_base").alias("base_score"), result.alias("score"), (-result * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
+        yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values], names=names)
+        at = np.flatnonzero(rare)
+        if len(at):
+            none = lambda kind: pa.nulls(len(at), kind)
+            words = pa.array([tokens.words[k] for k in at.tolist()], pa.binary())
+            empty = [none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[doc[at]]), none(pa.int64()), none(pa.bool_()), words, *empty], names=names)
+
+    parts = written(rows.mapInArrow(scored, _ROWS), "scored")
+    chance = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / (F.lit(float(total)) + 0.5 * (distinct + 1)))
+    rare = (
+        parts.filter("word is not null").groupBy("row", "word").agg(F.count("*").alias("n")).join(counts, "word", "left")
+        .groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * chance).alias("more_base"))
+    )
+    return parts.filter("word is null").join(rare, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        "score", (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
+
+
+def _counts_of(own: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of tokens by their hashes, and which aren't in the table."""
+    if not len(hashes):
+        return np.zeros(len(own)), np.ones(len(own), bool)
+    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    return counts[at].astype(float), hashes[at] != own

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import binary_tokens, decontaminate, licenses, lm_score, near_dedup, packing, quality_classifier, quality_rules, secrets, token_counts
+from paperloom.llm import binary_tokens, bit_mixing, decontaminate, licenses, lm_score, near_dedup, packing, quality_classifier, quality_rules, secrets, token_counts
 from paperloom.llm.tokens import Encoder, encoder, vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -406,15 +406,132 @@ def test_language_model(spark, texts, monkeypatch, sent):
     assert rows[len(texts) + 6]["score"] > rows[len(texts) + 6]["base_score"]  # a text of one word again and again
 
 
+def _plain_bits(own, trained, words, code, model):
+    """The bits that each text takes, one bit after another, with plain numbers."""
+    m32, vocabulary, out = 0xFFFFFFFF, {w: k for k, w in enumerate(words)}, []
+    hashed = lambda x, salt: ((((x ^ salt) * 0x9E3779B1 & m32) ^ (((x ^ salt) * 0x9E3779B1 & m32) >> 16)) * 0x7FEB352D) & m32
+    salts, n_tokens = [int(x) for x in bit_mixing._SALTS], code.escape
+    for text in own:
+        tokens = [*text, b"\n"]
+        ids = [vocabulary.get(w, n_tokens) for w in tokens]
+        weights = {}
+        corrected, seen, taken, total, waiting = {}, collections.Counter(), 0, 0.0, []
+        edges, size = [0], bit_mixing.FIRST_BLOCK
+        while edges[-1] + size < len(tokens):
+            edges.append(edges[-1] + size)
+            size = min(2 * size, bit_mixing.LAST_BLOCK)
+        common, before, run, source = 0, 1, 0, None
+        for at, (word, own_id) in enumerate(zip(tokens, ids)):
+            if at in edges and at:  # learn from the block before
+                for where, sign, odds, bucket, chance, inputs in waiting:
+                    seen[bucket] += 1
+                    taken += 1
+                gradient, steps = collections.defaultdict(float), collections.defaultdict(float)
+                for where, sign, odds, bucket, chance, inputs in waiting:
+                    steps[bucket] += (1 - chance) * sign
+                    for k, x in enumerate(inputs):
+                        gradient[where, k] += sign / (1 + math.exp(odds * sign)) * x
+                for bucket, x in steps.items():
+                    corrected[bucket] = corrected.get(bucket, 0) + bit_mixing.MAP_RATE * x / (seen[bucket] + 100)
+                for key, x in gradient.items():
+                    weights[key] = weights.get(key, bit_mixing.START[key[1]]) + bit_mixing.RATE / (400 + taken / bit_mixing.SHARE) * x
+                waiting = []
+            last = next((k for k in range(at - 1, 2, -1) if at >= 3 and tokens[k - 3 : k] == tokens[at - 3 : at]), None)
+            run = run + 1 if last is not None and source is not None and last == source + 1 else int(last is not None)
+            source = last
+            hope = ids[last] if last is not None else None
+            symbols = [(own_id, False, [hashed(c, s) for c, s in zip((0, common, before), salts)])]
+            if own_id == n_tokens:
+                so_far = power = 0
+                power = 0x01000193
+                for place, x in enumerate(word + b" "):
+                    back = [word[place - k] + 1 if place >= k else 0 for k in (1, 2, 3)]
+                    three = ((back[0] * 257 + back[1]) * 257 + back[2]) & m32
+                    contexts = ((back[0] * 257 + back[1]) & m32, (three * 67 + common + 1) & m32, (so_far * 0x2C1B3C6D + place) & m32)
+                    symbols.append((n_tokens + 1 + x, True, [hashed((c + 0x5BD1E995) & m32, s) for c, s in zip(contexts, salts)]))
+                    so_far, power = (so_far + (x + 1) * power) & m32, power * 0x01000193 & m32
+            for symbol, is_byte, hashes in symbols:
+                path = code.steps[code.starts[symbol] : code.starts[symbol] + code.lens[symbol]].tolist()
+                wanted = None if hope is None or is_byte else [x & 1 for x in code.steps[code.starts[hope] : code.starts[hope] + code.lens[hope]].tolist()]
+                for depth, step in enumerate(path):
+                    bit, sign = step & 1, 2 * (step & 1) - 1
+                    slots = [((h ^ (step >> 1)) * 0x9E3779B1 & m32) >> (32 - model.slot_bits) for h in hashes]
+                    mode = 256 * (1 + bit) if trained else 0
+                    read = [int(model.states[k][x]) + mode for k, x in enumerate(slots)]
+                    hit = wanted is not None and [x & 1 for x in path[:depth]] == wanted[:depth]
+                    match = (2 * wanted[depth] - 1) if hit else 0
+                    kind = (3 if is_byte else 0) + ((2 if run >= 16 else 1) if hit else 0)
+                    where = kind * bit_mixing.KNOWN + int(bit_mixing.KNOWN_OF[read[2]])
+                    inputs = [*(float(bit_mixing.ODDS[x]) for x in read), match]
+                    odds = max(-7.99, min(7.99, sum(weights.get((where, k), bit_mixing.START[k]) * x for k, x in enumerate(inputs))))
+                    bucket = int((odds + 8) * bit_mixing.BUCKETS / 16)
+                    chance = 1 / (1 + math.exp(-sign * (odds + corrected.get(bucket, 0))))
+                    total -= math.log2(chance)
+                    waiting.append((where, sign, odds, bucket, chance, inputs))
+            if own_id < bit_mixing.COMMON:
+                common = own_id + 1
+            before = (own_id if own_id < min(n_tokens, bit_mixing.FREQUENT) else bit_mixing.FREQUENT + bit_mixing.ending(word)) + 2
+        out.append(total)
+    return out
+
+
+def _model(own, least=2):
+    counts = collections.Counter(w for t in own for w in [*t, b"\n"])
+    words = sorted((w for w, n in counts.items() if n >= least or w == b"\n"), key=lambda w: (-counts[w], w))
+    letters = np.bincount(np.frombuffer(b" ".join(w for w in counts if w not in words) + b" ", np.uint8), minlength=256)
+    code = bit_mixing.Code(np.array([*(counts[w] for w in words), sum(counts.values()) - sum(counts[w] for w in words)]), letters)
+    endings = np.array([*map(bit_mixing.ending, words), 0])
+    slots = bit_mixing.Counts(code, endings, 16)
+    vocabulary = bit_mixing.Vocabulary(words)
+    slots.add(bit_mixing.read_tokens(own, vocabulary, vocabulary[b"\n"]))
+    states = np.stack([bit_mixing.states(x[0::2].astype(int), x[1::2].astype(int)) for x in slots.counts])
+    return words, code, vocabulary, bit_mixing.Model(code, endings, 16, states)
+
+
+@pytest.mark.parametrize("trained", [False, True])
+def test_language_model_is_the_plain_one(texts, trained):
+    own = [(t or "").encode().lower().split() for t in [*texts[:25], "one two three four five one two three four five " * 12, "unseen-word " * 3, ""]]
+    words, code, vocabulary, model = _model(own)
+    chosen = own[5:25] + own[-3:] + [own[3] + [b"neverseen"] + own[4]]
+    tokens = bit_mixing.read_tokens(chosen, vocabulary, vocabulary[b"\n"])
+    found = model.score(tokens, bit_mixing.Contexts(tokens, model.endings), trained)
+    assert np.allclose(found, _plain_bits(chosen, trained, words, code, model), rtol=2e-3)
+    alone = []
+    for t in chosen:
+        one = bit_mixing.read_tokens([t], vocabulary, vocabulary[b"\n"])
+        alone.append(model.score(one, bit_mixing.Contexts(one, model.endings), trained)[0])
+    assert found.tolist() == alone  # whatever else is scored beside it
+
+
+def test_language_model_cuts_long_texts(texts, monkeypatch):
+    own = [(t or "").encode().lower().split() for t in texts[:30]]
+    _, _, vocabulary, model = _model(own)
+    whole = [w for t in own for w in t]
+    tokens = bit_mixing.read_tokens([whole, own[0]], vocabulary, vocabulary[b"\n"])
+    once = model.score(tokens, bit_mixing.Contexts(tokens, model.endings), False)
+    monkeypatch.setattr(bit_mixing, "SEGMENT", 1024 * 2 + 992)
+    assert np.allclose(once, model.score(tokens, bit_mixing.Contexts(tokens, model.endings), False), rtol=0.02)
+
+
 def test_language_model_adds_up():
-    code = lm_score.Code(np.ones(256))
-    one, zero = np.zeros((2, len(lm_score.ORDERS) * lm_score.SLOTS))
-    weights = np.random.default_rng(0).normal(size=(lm_score.GATES, len(lm_score.ORDERS) + 1))
-    model = lm_score.Model(code, one + 2, zero + 1, weights)
-    log = model.log10([bytes([k]) for k in range(256) if k != lm_score.MARK])
-    first = sum(10**x for x in log)
-    assert 0 < first <= 1
-    assert np.allclose(lm_score._lgamma(np.array([1e-9, 0.5, 3.0, 1e5])), [math.lgamma(x) for x in (1e-9, 0.5, 3.0, 1e5)])
+    """The bits of a code's tree give every symbol a chance, and the chances of all sum to one."""
+    code = bit_mixing.Code(np.array([50, 20, 5, 5, 1, 3]), np.arange(256))
+    for first, last in ((0, 6), (6, 262)):
+        assert abs(sum(2.0 ** -int(code.lens[k]) for k in range(first, last)) - 1) < 1e-9
+    zeros, ones = np.meshgrid(np.arange(40), np.arange(40))
+    odds = bit_mixing.ODDS[bit_mixing.states(zeros.ravel(), ones.ravel())]
+    assert np.abs(odds - np.log((ones + 0.4) / (zeros + 0.4)).ravel()).max() < 0.3
+    assert (code.shared(np.arange(6), np.arange(6)) == 64).all()
+
+
+def test_language_model_learns(spark):
+    """Scores don't depend on partitions, `lang` or the rows' order; the model beats the base; copies stand out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = lm_score.score(docs).collect()
+    again = {r["doc_id"]: r["score"] for r in lm_score.score(docs.drop("lang").repartition(5)).collect()}
+    assert all(r["score"] == again[r["doc_id"]] for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
 def test_language_model_without_rows(spark):
