@@ -1,20 +1,20 @@
 """Token ids as flat binary files with 64-bit document offsets.
 
 A data set is a folder of parts. ``part-K.ids`` holds the ids of the part's documents end to end as little-endian unsigned
-integers (16 bits where the vocabulary fits, else 32); ``part-K.idx`` holds for each document three little-endian signed
-64-bit integers: its id, its first token within the part, its tokens. Parts follow one another in ascending document id; the
-manifest gives each part's first document and first token in the whole, from prefix sums over the parts' counts. Either file
-can be memory-mapped.
+integers (16 bits where the vocabulary fits, else 32); ``part-K.idx`` holds for each document four little-endian signed
+64-bit integers: its id, its first token within the part, its tokens, and 1 if it has an id (0: null). Parts follow one another
+in ascending document id; the manifest gives each part's first document and first token in the whole, from prefix sums over the
+parts' counts. A reader maps both files into memory where the folder is a mounted one, and reads ranges of them elsewhere.
 
-Parts are written under names that no other attempt of a task uses, and only those that finished tasks report are in the
-manifest, so a task that runs again leaves nothing wrong behind.
+Texts are encoded where they are read; only ids are put in order. Parts are written under names that no other attempt of a task
+uses, and only those that finished tasks report are in the manifest, so a task that runs again leaves nothing wrong behind.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, written
 from .tokens import encoder, vocabulary
 
 PART_SCHEMA = "part int, name string, documents long, tokens long"
@@ -35,16 +35,38 @@ def _store(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2, parts: int | None = None) -> list[dict]:
-    """Writes the data set in ascending doc_id and returns its manifest, in order: one small record per part."""
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
+    """doc_id, ids (binary, width bytes each, the end id last) of every document, as a written table."""
     path = vocabulary(tokenizer)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, end = encoder(path), end_id.to_bytes(4, "little")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                own = [tokens.ids(text) + end for text in part.column(1).to_pylist()]
+                joined, ends = np.frombuffer(b"".join(own), "<u4"), np.cumsum([0, *(len(x) // 4 for x in own)])
+                if width == 2 and joined.max() > 0xFFFF:
+                    raise ValueError("ids of this vocabulary need 32 bits")
+                small = joined.astype(f"<u{width}").tobytes()
+                ids = [small[a * width : b * width] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary"), "encoded")
+
+
+def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2, parts: int | None = None) -> list[dict]:
+    """Writes the data set in ascending doc_id and returns its manifest, in order: one small record per part.
+
+    Rows go into ranges of (doc_id, a number of the row), so a doc_id that very many rows share is spread over parts as well.
+    """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        tokens, end, name = encoder(path), end_id.to_bytes(4, "little"), f"part-{part:06d}-{uuid.uuid4().hex}"
+        name = f"part-{part:06d}-{uuid.uuid4().hex}"
         store, at = _store(folder)
         ids_file = index_file = None
         documents = total = 0
@@ -54,26 +76,36 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width:
             if ids_file is None:
                 store.create_dir(at, recursive=True)
                 ids_file, index_file = store.open_output_stream(f"{at}/{name}.ids"), store.open_output_stream(f"{at}/{name}.idx")
-            own = [tokens.ids(text) + end for text in batch.column(1).to_pylist()]
-            sizes = np.array([len(x) // 4 for x in own], np.int64)
-            joined = np.frombuffer(b"".join(own), "<u4")
-            if width == 2 and joined.max() > 0xFFFF:
-                raise ValueError("ids of this vocabulary need 32 bits")
-            ids_file.write(joined.astype(f"<u{width}").tobytes())
-            ids = np.array([-1 if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            index_file.write(np.stack([ids, total + np.cumsum(sizes) - sizes, sizes], 1).astype("<i8").tobytes())
+            own = batch.column(1).to_pylist()
+            sizes = np.array([len(x) // width for x in own], np.int64)
+            ids_file.write(b"".join(own))
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+            numbers = batch.column(0).fill_null(0).to_numpy()
+            index_file.write(np.stack([numbers, total + np.cumsum(sizes) - sizes, sizes, known], 1).astype("<i8").tobytes())
             documents, total = documents + len(own), total + int(sizes.sum())
         if ids_file is not None:
             ids_file.close()
             index_file.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([documents]), pa.array([total])], names=["part", "name", "documents", "tokens"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    numbered = encoded(docs, tokenizer, end_id, width).withColumn("row", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
     found = sorted(ordered.mapInArrow(write, PART_SCHEMA).collect(), key=lambda r: r["part"])  # a record per part
     firsts = zip(accumulate((r["documents"] for r in found), initial=0), accumulate((r["tokens"] for r in found), initial=0))
     return [r.asDict() | {"first_document": d, "first_token": t, "width": width} for r, (d, t) in zip(found, firsts)]
 
 
+def _opened(store, path: str, kind: str) -> Callable[[int, int], np.ndarray]:
+    """A function that gives the numbers from one place to another of a file, which is mapped into memory if it's a local one."""
+    from pyarrow import fs
+
+    if isinstance(store, fs.LocalFileSystem):
+        mapped = np.memmap(path, kind, mode="r")
+        return lambda first, last: mapped[first:last]
+    source, size = store.open_input_file(path), np.dtype(kind).itemsize
+    return lambda first, last: np.frombuffer(source.read_at((last - first) * size, first * size), kind)
+
+
 def read_ids(spark: SparkSession, folder: str, manifest: list[dict], with_ids: bool = False) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32, and with_ids the ids (binary, 32 bits each)."""
     columns = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids]
@@ -82,16 +114,14 @@ def read_ids(spark: SparkSession, folder: str, manifest: list[dict], with_ids: b
         store, at = _store(folder)
         for batch in batches:
             for part in (manifest[k] for k in batch.column(0).to_pylist()):
-                width = part["width"]
-                index = np.frombuffer(store.open_input_file(f"{at}/{part['name']}.idx").read(), "<i8").reshape(-1, 3)
-                with store.open_input_file(f"{at}/{part['name']}.ids") as ids_file:
-                    for block in range(0, len(index), 1000):
-                        rows = index[block : block + 1000]
-                        first, last = int(rows[0, 1]), int(rows[-1, 1] + rows[-1, 2])
-                        ids = np.frombuffer(ids_file.read_at((last - first) * width, first * width), f"<u{width}").astype("<u4")
-                        own = [ids[s - first : s - first + n].tobytes() for _, s, n in rows.tolist()]
-                        values = [pa.array(rows[:, 0], pa.int64(), mask=rows[:, 0] == -1), pa.array(rows[:, 1] + part["first_token"]), pa.array(rows[:, 2]), pa.array([zlib.crc32(x) for x in own], pa.int64())]
-                        yield pa.RecordBatch.from_arrays(values + [pa.array(own)] * with_ids, names=columns)
+                index_of, ids_of = _opened(store, f"{at}/{part['name']}.idx", "<i8"), _opened(store, f"{at}/{part['name']}.ids", f"<u{part['width']}")
+                for block in range(0, part["documents"], 1000):
+                    rows = index_of(4 * block, 4 * min(block + 1000, part["documents"])).reshape(-1, 4)
+                    first, last = int(rows[0, 1]), int(rows[-1, 1] + rows[-1, 2])
+                    ids = ids_of(first, last).astype("<u4")
+                    own = [ids[s - first : s - first + n].tobytes() for _, s, n, _ in rows.tolist()]
+                    values = [pa.array(rows[:, 0], pa.int64(), mask=rows[:, 3] == 0), pa.array(rows[:, 1] + part["first_token"]), pa.array(rows[:, 2]), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(values + [pa.array(own)] * with_ids, names=columns)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     return spark.range(0, len(manifest), 1, max(1, len(manifest))).mapInArrow(read, schema)

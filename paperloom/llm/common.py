@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import xxhash
 
@@ -48,10 +49,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a parquet table in the shared folder: cuts the lineage, and survives the loss of any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
+    for paths in _WRITTEN:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables written inside each open scratch().
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes at its end the tables written inside, but for those that the given function writes. A frame that still has to
+    be computed from them must be written by it first."""
+    kept: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        kept.append(_WRITTEN[-1][-1])
+        return out
+
+    _WRITTEN.append([])
+    try:
+        yield keep
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in set(_WRITTEN.pop()) - set(kept):
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value evaluated once per row however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -190,11 +190,11 @@ class Items:
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items (item_id, text), at most about BLOCK_BYTES of text at a time; the driver holds one block."""
-    rows = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    rows = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, math.ceil(size / BLOCK_BYTES))
     for k in range(count):
-        yield sorted((r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect() if r["item_id"] is not None)
+        yield sorted((r["item_id"], r["text"]) for r in rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).collect())
 
 
 def _found(batch: pa.RecordBatch, column: int, items: Items) -> Iterator[tuple[int, int, int, int]]:
@@ -225,7 +225,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO) -> Data
             use_caches_of("hashes")
             items = sent.value
             for batch in batches:
-                found = [(batch.column(0)[row].as_py(), items.ids[k], distance, len(items.words[k]), start) for row, k, distance, start in _found(batch, 1, items)]
+                best: dict[tuple[int, int], tuple[int, int, int]] = {}  # an id that has several texts counts once, the nearest
+                for row, k, distance, start in _found(batch, 1, items):
+                    own = (distance, len(items.words[k]), start)
+                    best[row, items.ids[k]] = min(own, best.get((row, items.ids[k]), own))
+                found = [(batch.column(0)[row].as_py(), item, *own) for (row, item), own in sorted(best.items())]
                 columns = zip(*found) if found else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "item_id", "distance", "item_words", "start_word"])
 

@@ -50,10 +50,10 @@ class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        shape = word[:64]
+        shape = word
         for pattern, by in _SHAPE_OF:
             shape = pattern.sub(by, shape)
-        got = self[word] = (xxhash.xxh32_intdigest(shape[:8]) % _SHAPES) << 12 | xxhash.xxh32_intdigest(word) % _WORDS
+        got = self[word] = (xxhash.xxh32_intdigest(shape) % _SHAPES) << 12 | xxhash.xxh32_intdigest(word) % _WORDS
         return got
 
 
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
     good = good.filter(training_fold(F.col("doc_id")) != HELD_OUT)
     one = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_POSITIVE).withColumn("positive", F.lit(True))
-    two = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(MOST_UNLABELLED).distinct().withColumn("positive", F.lit(False))
+    two = ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(MOST_UNLABELLED).withColumn("positive", F.lit(False))
     chosen = F.broadcast(one.unionByName(two))  # as many rows as the two bounds allow
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
                 value.append(np.concatenate([n * weight, ratios]).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index, pa.binary()), pa.array(value, pa.binary()), batch.column(2)], names=["positive", "index", "value", "doc_id"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("positive", "text", "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    texts = texts.groupBy("positive", "doc_id").agg(F.min("text").alias("text")).select("positive", "text", "doc_id")  # one of rows that share an id
     found = texts.mapInArrow(extract, "positive boolean, index binary, value binary, doc_id long").toArrow()
     order = np.lexsort((found.column("doc_id").to_numpy(), found.column("positive").to_numpy()))
     ids, indices, values = (found.column(k) for k in ("positive", "index", "value"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let
+from .common import SPACES, fresh, let
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
@@ -97,10 +97,11 @@ def _ratio(n: Column, t: Column, all_n: Column, all_t: Column) -> Column:
     return F.log(((t + PRIOR * raw) / (all_t + PRIOR)) / raw)
 
 
-def measured(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (doc_id, text, ...) with the struct `rules` added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+def measured(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, name: str = "rules") -> DataFrame:
+    """docs (doc_id, text, ...) with the struct `name` added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     score, base_failed, kept. A null text has no words, so it fails. Every row is judged and stays, repeated ones too."""
-    text, table = F.coalesce("text", F.lit("")), F.col("_ratios")
+    own = fresh(docs, "_ratios")
+    text, table = F.coalesce("text", F.lit("")), F.col(own)
 
     def score(w: Column, r: Column) -> Column:
         own = F.transform(
@@ -129,7 +130,7 @@ def measured(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
         )
 
     ratios = log_ratios(docs, trusted_ids(labels)).scalar()  # its optimised plan holds one reference, no copy in each row
-    return docs.withColumn("_ratios", ratios).withColumn("rules", let(counted, verdict)).drop("_ratios")
+    return docs.withColumn(own, ratios).withColumn(name, let(counted, verdict)).drop(own)
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -138,5 +139,6 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
 
 def passed(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are kept, with their columns."""
-    return measured(docs, labels, threshold).filter("rules.kept").select(docs.columns)
+    """The documents that are kept, with their columns, whatever their names."""
+    name = fresh(docs, "rules")
+    return measured(docs, labels, threshold, name).filter(F.col(name)["kept"]).drop(name)

@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and sliding-window entropy over candidate strings.
 
 A candidate is a run of at least WINDOW characters of the base64 and URL alphabets that lies in none of the fixed patterns'
-spans; one that only overlaps a span, or holds it, is judged whole. A window slides over it; its Shannon entropy is log2(WINDOW) - S / WINDOW, S being the sum of c * log2(c) over the
-counts c of its characters, and S is updated from the counts of the character that leaves and the one that enters. A
+spans; one that only overlaps a span, or holds it, is judged whole. A window slides over it; its Shannon entropy is
+log2(WINDOW) - S / WINDOW, S being the sum of c * log2(c) over the counts c of its characters; counts and S go along with the
+window and are updated for the character that leaves and the one that enters. A
 candidate is reported if its highest entropy reaches the threshold of its character class and no allow-list pattern takes
 it. Everything is a Spark expression over one row: no shuffle, no Python.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 from .native import SPAN, spans
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -38,33 +39,50 @@ ALLOWED = (
 )
 
 
+#: What a candidate is made of, in an order of its own: a character's count stands at its place.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
+
+
 def _bits(n: Column) -> Column:
     return F.when(n > 1, n * F.log2(n)).otherwise(0.0)
 
 
 def window_entropy(text: Column, window: int = WINDOW) -> Column:
-    """The highest entropy of a window over a string of at least `window` characters."""
+    """The highest entropy of a window over a string of at least `window` characters, all of ALPHABET.
 
-    def times(part: Column, char: Column) -> Column:
-        return (F.length(part) - F.length(F.replace(part, char, F.lit("")))).cast("double")
+    The counts of a window's characters go along with it: a step takes one from the character that leaves and gives one to the
+    character that enters, and the sum of c * log2(c) changes by those two counts.
+    """
 
-    first = F.substring(text, 1, window)
-    begin = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(first, F.lit("(?s)."), F.lit(0))), F.lit(0.0), lambda s, c: s + _bits(times(first, c))
-    )
+    def place(at: Column) -> Column:
+        return F.instr(F.lit(ALPHABET), F.substr(text, at, F.lit(1))) - 1
+
+    def counts_of(part: Column) -> Column:
+        return F.transform(F.split(F.lit(ALPHABET), ""), lambda c: (F.length(part) - F.length(F.replace(part, c, F.lit("")))).cast("double"))
 
     def step(acc: Column, at: Column) -> Column:  # at: from 1, where the window stands that loses its first character
-        before, gone, new = F.substr(text, at, F.lit(window)), F.substr(text, at, F.lit(1)), F.substr(text, at + window, F.lit(1))
-        out = times(before, gone)
-        into = times(before, new) - F.when(gone == new, 1.0).otherwise(0.0)
-        now = acc["sum"] - _bits(out) + _bits(out - 1) - _bits(into) + _bits(into + 1)
-        return F.struct(now.alias("sum"), F.least(acc["least"], now).alias("least"))
+        moved = F.struct(acc.alias("acc"), place(at).alias("gone"), place(at + window).alias("new"))
+
+        def now(m: Column) -> Column:
+            counts, gone, new = m["acc"]["counts"], m["gone"], m["new"]
+            out, into = F.get(counts, gone), F.get(counts, new)
+            changed = m["acc"]["sum"] - _bits(out) + _bits(out - 1) - _bits(into) + _bits(into + 1)
+            total = F.when(gone == new, m["acc"]["sum"]).otherwise(changed)
+            updated = F.when(gone == new, counts).otherwise(
+                F.transform(counts, lambda c, k: F.when(k == gone, c - 1).when(k == new, c + 1).otherwise(c))
+            )
+            return F.struct(updated.alias("counts"), total.alias("sum"), F.least(m["acc"]["least"], total).alias("least"))
+
+        return let(moved, now)
 
     slide = F.when(F.length(text) > window, F.sequence(F.lit(1), F.length(text) - window)).otherwise(F.array().cast("array<int>"))
-    least = let(
-        begin, lambda b: F.aggregate(slide, F.struct(b.alias("sum"), b.alias("least")), step, lambda acc: acc["least"])
-    )
-    return F.log2(F.lit(float(window))) - least / window
+
+    def walked(counts: Column) -> Column:
+        begin = F.aggregate(counts, F.lit(0.0), lambda s, c: s + _bits(c))
+        start = let(begin, lambda b: F.struct(counts.alias("counts"), b.alias("sum"), b.alias("least")))
+        return F.aggregate(slide, start, step, lambda acc: acc["least"])
+
+    return F.log2(F.lit(float(window))) - let(counts_of(F.substring(text, 1, window)), walked) / window
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
@@ -80,8 +98,8 @@ def entropy_spans(text: Column, base: Column) -> Column:
     return F.filter(spans(text, F.lit(CANDIDATE)), suspicious)
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """Adds found, array<struct<start, kind, end>> sorted by start and kind (its number in KINDS), to docs (text, ...).
+def find_secrets(docs: DataFrame, name: str = "found") -> DataFrame:
+    """Adds the column `name`, array<struct<start, kind, end>> sorted by start and kind (its number in KINDS), to docs (text, ...).
 
     A null or empty text has none. Every row is kept, repeated rows too, with all its columns.
     """
@@ -105,7 +123,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         entropy = F.when(text.rlike(CANDIDATE), entropy_spans(text, b)).otherwise(none)
         return F.array_sort(F.concat(b, tagged(entropy, 3)))
 
-    return docs.withColumn("found", let(base, all_of))
+    return docs.withColumn(name, let(base, all_of))
 
 
 def shown(found: Column) -> Column:
@@ -147,7 +165,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
         return F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
 
-    out = find_secrets(docs).withColumn("text", F.when(F.size("found") > 0, cleaned(F.col("found"))).otherwise(F.col("text")))
+    name = fresh(docs, "found")
+    out = find_secrets(docs, name).withColumn("text", F.when(F.size(name) > 0, cleaned(F.col(name))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop(name)

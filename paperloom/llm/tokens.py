@@ -58,7 +58,12 @@ class Encoder:
         self.ranked = self._by_ranks(kind) if self.keeps_space else None
 
     def _by_ranks(self, kind: dict):
-        """The same merges in a faster library, where ids are in the order of the merges; None where they aren't."""
+        """The same merges in a faster library; None where they might differ.
+
+        That library merges whatever two neighbours make a token, the lowest id first; the vocabulary merges listed pairs, in
+        their order. They are the same if ids are in the order of the merges and every token, merged by ids from its bytes on,
+        ends as the listed pair: neighbours that make a token have been merged as in the token alone.
+        """
         import tiktoken
 
         byte_of = {letter: b for b, letter in self.letters.items()}
@@ -67,6 +72,10 @@ class Encoder:
         if any(a >= b for a, b in zip(merged, merged[1:])) or any("<|" not in t for t in special):
             return None
         ranks = {bytes(byte_of[c] for c in token): n for token, n in vocab.items() if token not in special}
+        for merge in kind["model"]["merges"]:
+            pair = tuple(bytes(byte_of[c] for c in part) for part in (merge if isinstance(merge, list) else merge.split(" ")))
+            if _last_pair(pair[0] + pair[1], ranks) != pair:
+                return None
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
@@ -123,6 +132,17 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
 
+def _last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, ...]:
+    """The parts that a token's bytes are merged into, the lowest id first, before the token itself is made."""
+    own, parts = ranks[token], [token[k : k + 1] for k in range(len(token))]
+    while len(parts) > 2:
+        best = min((ranks.get(a + b, own), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+        if best[0] >= own:
+            break
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    return tuple(parts)
+
+
 def _in_latin_1(text: str) -> bool:
     try:
         text.encode("latin-1")

@@ -586,3 +586,118 @@ def test_near_duplicates_in_sql(spark):
     columns = ["doc_id", "n_shingles", "component_id", "kept"]
     expected = con.sql(ORACLE_SQL["op1_near_dedup"]).df()[columns].sort_values("doc_id").values.tolist()
     assert QUERIES["op1_near_dedup"](spark, SF).toPandas()[columns].sort_values("doc_id").values.tolist() == expected
+
+
+# --- awkward tables -------------------------------------------------------------------------------------------------------
+
+WIDE = "doc_id long, text string, lang string, rules string, found string, _ratios string, _gone string, kept string, component_id string, n_chars long"
+
+
+def awkward(spark, texts):
+    """A text of 1 MB, repeated rows and ids, null ids and texts, and columns with the operators' own names."""
+    huge = " ".join(t for t in texts if t)
+    huge = (huge * (1 + 1_000_000 // len(huge)))[:1_000_000]
+    rows = [(5, texts[1]), (5, texts[1]), (5, texts[2]), (-1, texts[3]), (None, texts[1]), (None, None), (7, None), (8, ""), (9, huge), (10, "password = 'abcdef123456ghij'")]
+    return spark.createDataFrame([(k, t, "en", "a", "b", "c", "d", "e", "f", len(t or "")) for k, t in rows], WIDE), rows
+
+
+OPERATORS = {
+    "near_dedup": lambda d, b, lab: near_dedup.deduplicate(d),
+    "packing": lambda d, b, lab: packing.pack(d).filter("piece = 0"),
+    "lm_score": lambda d, b, lab: lm_score.score(d),
+    "classifier": lambda d, b, lab: quality_classifier.classify(d, lab),
+    "token_counts": lambda d, b, lab: token_counts.count_tokens(d),
+    "licenses": lambda d, b, lab: licenses.scan(d),
+    "quality_rules": lambda d, b, lab: quality_rules.judge(d, lab),
+    "binary_tokens": lambda d, b, lab: binary_tokens.write_and_read(d),
+    "secrets": lambda d, b, lab: secrets.scan(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_awkward_tables(spark, texts, name):
+    docs, rows = awkward(spark, texts)
+    labels = spark.createDataFrame([(5, 1), (5, 1), (9, 0), (7, None), (None, 1)], "doc_id long, quality int")
+    benchmark = spark.createDataFrame([(1, texts[0])], "item_id long, text string")
+    found = OPERATORS[name](docs, benchmark, labels)
+    order = lambda values: sorted(values, key=lambda x: (x is not None, x))
+    assert order(r["doc_id"] for r in found.collect()) == order(k for k, _ in rows)
+    assert OPERATORS[name](docs.limit(0), benchmark, labels).count() == 0
+
+
+def test_decontamination_of_awkward_tables(spark, texts):
+    docs, rows = awkward(spark, texts)
+    passage = " ".join(texts[1].split()[:40])
+    benchmark = spark.createDataFrame([(1, passage), (1, passage), (1, passage + " more"), (2, None), (None, passage), (3, "")], "item_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, benchmark).fillna(0, ["doc_id"]).collect())
+    assert [x for x in found if x[0] in (0, 5)] == [(0, 1), (5, 1), (5, 1)]  # once for each row and id, whatever repeats
+    assert decontaminate.clean(docs, benchmark).columns == docs.columns
+
+
+def test_pipeline_stages_on_awkward_tables(spark, texts):
+    import corpus_pipeline
+    from paperloom.llm import common
+
+    docs, rows = awkward(spark, texts)
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name != "packing":
+            assert out.columns == docs.columns
+            for r in out.collect():  # other columns stay, whatever their names
+                assert (r["rules"], r["found"], r["_ratios"], r["_gone"], r["kept"], r["component_id"]) == ("a", "b", "c", "d", "e", "f")
+        else:
+            assert {r["doc_id"] for r in out.select("doc_id").collect()} == {k for k, _ in rows}
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [-1, 5, 5, 5, 7, 8, 9, 10]
+    hidden = {r["doc_id"]: r["text"] for r in corpus_pipeline.secret_spans(spark, docs, sf).collect()}
+    assert hidden[10] == "[SECRET]'" and hidden[7] is None and hidden[8] == ""
+    with common.scratch(spark) as keep:
+        common.written(docs, "gone")
+        path = common._WRITTEN[-1][0]
+        left = keep(docs, "left")
+    assert left.count() == len(rows)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_a_doc_id_of_minus_one_stays(spark):
+    docs = spark.createDataFrame([(-1, "a b"), (None, "c")], "doc_id long, text string")
+    assert [r["doc_id"] for r in binary_tokens.write_and_read(docs).orderBy("start").collect()] == [None, -1]
+
+
+def test_planted_secrets_are_found(spark):
+    """Random keys, each in prose of its own, by the entropy alone; the prose and its joined words aren't taken for keys."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(rng.choice(letters + "+/" * (k % 2)) for _ in range(rng.choice((24, 32, 40, 64)))) for k in range(200)]
+    prose = spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null").orderBy("doc_id").limit(200).collect()
+    planted = [f"{r['text'][:300]} {key} {r['text'][300:600]}" for r, key in zip(prose, keys)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(table(spark, planted)).collect()}
+    hit = sum(f"entropy:{t.index(key)}:" in found[k] for k, (t, key) in enumerate(zip(planted, keys)))
+    assert hit >= 0.95 * len(keys)
+    clean = secrets.scan(table(spark, [r["text"] for r in prose])).filter("spans like '%entropy%'").count()
+    assert clean == 0
+
+
+def test_lsh_recall(texts):
+    """The keys alone, at the full edits that are allowed: items against windows of their size with that many edits."""
+    rng = random.Random(3)
+    words = [w for t in texts if t for w in t.lower().split()]
+    met = tried = 0
+    for _ in range(300):
+        n = rng.choice((12, 20, 40, 80))
+        at = rng.randrange(len(words) - n)
+        item = decontaminate.hashed_words(" ".join(words[at : at + n]))
+        n = len(item)
+        other = list(item)
+        for _ in range(decontaminate.allowed(n)):
+            k = rng.randrange(len(other))
+            kind = rng.randrange(3)
+            other[k : k + (kind != 0)] = [] if kind == 1 else [np.uint64(rng.getrandbits(63))]
+        window = (other + list(decontaminate.hashed_words(" ".join(words[at + n : at + 2 * n + 9]))))[:n]
+        both = decontaminate.keys(np.array([item, window], np.uint64), 11)
+        tried += 1
+        met += bool((both[0] == both[1]).any())
+    assert met >= 0.95 * tried
