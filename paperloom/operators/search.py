@@ -48,21 +48,30 @@ class QuerySyntaxError(ValueError):
 
 @dataclass(frozen=True)
 class Phrase:
+    """terms and, for each, whether it stands for all words that begin so; initial: only where a column begins."""
+
     terms: tuple[str, ...]
-    prefix: bool = False
-    columns: tuple[str, ...] = INDEXED
+    prefix: tuple[bool, ...] = ()
+    initial: bool = False
+
+    def is_prefix(self, k: int) -> bool:
+        return k < len(self.prefix) and self.prefix[k]
 
 
 @dataclass(frozen=True)
 class Node:
-    kind: str  # and, or, not, near, phrase
+    """and, or, not: parts; phrases: phrases that stand near each other in one of the columns, or a single one."""
+
+    kind: str
     parts: tuple = ()
-    phrase: Phrase | None = None
+    phrases: tuple[Phrase, ...] = ()
+    columns: tuple[str, ...] = INDEXED
     distance: int = 10
 
 
-_TOKEN = re.compile(r'\s*(?:("(?:[^"]|"")*")|([A-Za-z0-9_\u0080-\U0010ffff]+)|([()*:+,^{}-]))')
+_TOKEN = re.compile(r'\s*(?:("(?:[^"]|"")*")|([A-Za-z0-9_\x1a\u0080-\U0010ffff]+)|([()*:+,^{}-]))')
 _TERM = re.compile(r"[^\W_]+")
+_OPERATORS = ("AND", "OR", "NOT")
 
 
 def _terms(text: str) -> tuple[str, ...]:
@@ -70,164 +79,201 @@ def _terms(text: str) -> tuple[str, ...]:
     return tuple(_TERM.findall(folded))
 
 
-def parse(query: str) -> Node:
-    """A match expression: words (all must match), "phrases", prefix*, column : phrase, AND, OR, NOT, NEAR(...), ( )."""
-    tokens, at = [], 0
-    while at < len(query.rstrip()):
-        m = _TOKEN.match(query, at)
-        if not m:
-            raise QuerySyntaxError(query)
-        tokens.append(("string", m[1][1:-1].replace('""', '"')) if m[1] else ("word", m[2]) if m[2] else ("mark", m[3]))
-        at = m.end()
-    place = 0
-
-    def peek(k: int = 0) -> tuple[str, str]:
-        return tokens[place + k] if place + k < len(tokens) else ("end", "")
-
-    def take() -> tuple[str, str]:
-        nonlocal place
-        place += 1
-        return tokens[place - 1]
-
-    def either() -> Node:
-        parts = [both()]
-        while peek() == ("word", "OR"):
-            take()
-            parts.append(both())
-        return parts[0] if len(parts) == 1 else Node("or", tuple(parts))
-
-    def both() -> Node:
-        left = without()
-        parts = [left]
-        while peek() == ("word", "AND"):
-            take()
-            parts.append(without())
-        return parts[0] if len(parts) == 1 else Node("and", tuple(parts))
-
-    def without() -> Node:
-        left = side_by_side()
-        while peek() == ("word", "NOT"):
-            take()
-            left = Node("not", (left, side_by_side()))
-        return left
+class _Parser:
+    """A match expression, from the loosest operator to the tightest: OR, AND, NOT, side by side (which means AND)."""
 
-    def side_by_side() -> Node:
-        parts = [one()]
-        while peek()[0] in ("word", "string") and peek()[1] not in ("AND", "OR", "NOT") or peek() == ("mark", "("):
-            parts.append(one())
-        return parts[0] if len(parts) == 1 else Node("and", tuple(parts))
-
-    def one() -> Node:
-        kind, value = peek()
-        if (kind, value) == ("mark", "("):
-            take()
-            inner = either()
-            if peek() != ("mark", ")"):
-                raise QuerySyntaxError(query)
-            take()
-            return inner
-        columns = INDEXED
-        if kind == "word" and peek(1) == ("mark", ":"):
-            if value.lower() not in INDEXED:
-                raise QuerySyntaxError(query)
-            columns = (value.lower(),)
-            take(), take()
-            kind, value = peek()
-        if kind == "word" and value == "NEAR" and peek(1) == ("mark", "("):
-            take(), take()
-            parts, distance = [], 10
-            while peek()[0] in ("word", "string"):
-                parts.append(phrase(columns))
-            if peek() == ("mark", ","):
-                take()
-                if not peek()[1].isdigit():
-                    raise QuerySyntaxError(query)
-                distance = int(take()[1])
-            if peek() != ("mark", ")") or not parts:
-                raise QuerySyntaxError(query)
-            take()
-            return Node("near", tuple(parts), distance=distance)
-        return phrase(columns)
-
-    def phrase(columns: tuple[str, ...]) -> Node:
-        kind, value = peek()
-        if kind not in ("word", "string") or kind == "word" and value in ("AND", "OR", "NOT"):
-            raise QuerySyntaxError(query)
-        take()
-        terms = _terms(value)
-        while peek() == ("mark", "+"):
-            take()
-            if peek()[0] not in ("word", "string"):
+    def __init__(self, query: str):
+        self.query, self.tokens, self.place, at = query, [], 0, 0
+        while at < len(query.rstrip()):
+            m = _TOKEN.match(query, at)
+            if not m:
                 raise QuerySyntaxError(query)
-            terms += _terms(take()[1])
-        prefix = peek() == ("mark", "*")
-        if prefix:
-            take()
-        return Node("phrase", phrase=Phrase(terms, prefix, columns))
-
-    if not tokens:
-        raise QuerySyntaxError(query)
-    out = either()
-    if peek()[0] != "end":
-        raise QuerySyntaxError(query)
-    return out
+            self.tokens.append(("string", m[1][1:-1].replace('""', '"')) if m[1] else ("word", m[2]) if m[2] else ("mark", m[3]))
+            at = m.end()
+
+    def peek(self, k: int = 0) -> tuple[str, str]:
+        return self.tokens[self.place + k] if self.place + k < len(self.tokens) else ("end", "")
+
+    def take(self, *wanted: tuple[str, str]) -> tuple[str, str]:
+        found = self.peek()
+        if wanted and found not in wanted or found[0] == "end":
+            raise QuerySyntaxError(self.query)
+        self.place += 1
+        return found
+
+    def is_name(self, k: int = 0) -> bool:
+        kind, value = self.peek(k)
+        return kind == "string" or kind == "word" and value not in _OPERATORS
+
+    def whole(self) -> Node:
+        out = self.chain("OR", lambda: self.chain("AND", self.without))
+        if self.peek()[0] != "end":
+            raise QuerySyntaxError(self.query)
+        return out
+
+    def chain(self, word: str, part: Callable[[], Node]) -> Node:
+        parts = [part()]
+        while self.peek() == ("word", word):
+            self.take()
+            parts.append(part())
+        return parts[0] if len(parts) == 1 else Node(word.lower(), tuple(parts))
+
+    def without(self) -> Node:
+        left = self.unit()
+        while self.peek() == ("word", "NOT"):
+            self.take()
+            left = Node("not", (left, self.unit()))
+        return left
+
+    def unit(self) -> Node:
+        """An expression in brackets, with or without columns, or phrases side by side. Nothing is implied beside brackets."""
+        at = self.place
+        columns = self.columns()
+        if self.peek() == ("mark", "("):
+            self.take()
+            inner = self.chain("OR", lambda: self.chain("AND", self.without))
+            self.take(("mark", ")"))
+            return inner if columns is None else _within(inner, columns)
+        self.place, parts = at, []
+        while self.is_name() or self.peek() in (("mark", "^"), ("mark", "{"), ("mark", "-")):
+            parts.append(self.restricted())
+        if not parts:
+            raise QuerySyntaxError(self.query)
+        filled = [p for p in parts if any(x.terms for x in p.phrases)] or parts[:1]  # what has no words says nothing beside others
+        return filled[0] if len(filled) == 1 else Node("and", tuple(filled))
+
+    def columns(self) -> tuple[str, ...] | None:
+        """`a :`, `{a b} :`, `- a :` or `- {a b} :`, if that is what comes."""
+        at, out, names = self.place, self.peek() == ("mark", "-"), []
+        if out:
+            self.take()
+        if self.peek() == ("mark", "{"):
+            self.take()
+            while self.is_name():
+                names.append(self.take()[1])
+            self.take(("mark", "}"))
+        elif self.is_name():
+            names.append(self.take()[1])
+        if self.peek() != ("mark", ":"):
+            if out or not names or self.tokens[at] == ("mark", "{"):
+                if out or self.tokens[at : at + 1] == [("mark", "{")]:
+                    raise QuerySyntaxError(self.query)
+            self.place = at
+            return None
+        self.take()
+        own = {n.lower() for n in names}
+        if not names or not own <= set(INDEXED):
+            raise QuerySyntaxError(self.query)
+        return tuple(c for c in INDEXED if (c in own) != out)
+
+    def restricted(self) -> Node:
+        columns = self.columns() or INDEXED
+        if self.peek() == ("word", "NEAR") and self.peek(1) == ("mark", "("):
+            self.take(), self.take()
+            own, distance = [], 10
+            while self.is_name():
+                own.append(self.phrase())
+            if self.peek() == ("mark", ","):
+                self.take()
+                if not re.fullmatch(r"[0-9]+", self.peek()[1]) or self.peek()[0] != "word":
+                    raise QuerySyntaxError(self.query)
+                distance = int(self.take()[1])
+            self.take(("mark", ")"))
+            if not own:
+                raise QuerySyntaxError(self.query)
+            return Node("phrases", phrases=tuple(p for p in own if p.terms) or own[:1], columns=columns, distance=distance)
+        initial = self.peek() == ("mark", "^")
+        if initial:
+            self.take()
+        if self.peek()[0] == "word" and self.peek(1) == ("mark", "("):
+            raise QuerySyntaxError(self.query)
+        return Node("phrases", phrases=(self.phrase(initial),), columns=columns)
+
+    def phrase(self, initial: bool = False) -> Phrase:
+        terms, prefix = [], []
+        while True:
+            if not self.is_name():
+                raise QuerySyntaxError(self.query)
+            own = _terms(self.take()[1])
+            terms += own
+            prefix += [False] * len(own)
+            if self.peek() == ("mark", "*"):
+                self.take()
+                if prefix:
+                    prefix[-1] = True
+            if self.peek() != ("mark", "+"):
+                return Phrase(tuple(terms), tuple(prefix), initial)
+            self.take()
+
+
+def _within(node: Node, columns: tuple[str, ...]) -> Node:
+    """The node with its phrases looked for in those of its columns that are among these."""
+    own = tuple(c for c in node.columns if c in columns)
+    return Node(node.kind, tuple(_within(p, columns) for p in node.parts), node.phrases, own, node.distance)
 
 
-def phrases(node: Node) -> list[Phrase]:
-    """The phrases that count for the score, in order; those after NOT don't."""
-    if node.kind == "phrase":
-        return [node.phrase] if node.phrase.terms else []
+def parse(query: str) -> Node:
+    """A match expression: words (all must match), "phrases", prefix*, ^first, column : x, {a b} : x, - a : x, AND, OR, NOT,
+    NEAR(...), ( )."""
+    return _Parser(query).whole()
+
+
+def phrases(node: Node) -> list[tuple[Phrase, tuple[str, ...]]]:
+    """The phrases that count for the score, in order, with their columns; those after NOT don't."""
+    if node.kind == "phrases":
+        return [(p, node.columns) for p in node.phrases if p.terms]
     parts = node.parts[:1] if node.kind == "not" else node.parts
     return [p for part in parts for p in phrases(part)]
 
 
 def _starts(terms: Column, phrase: Phrase) -> Column:
     """Positions (from 0) at which the phrase begins in a term array."""
-    last = len(phrase.terms) - 1
 
     def places(t: Column) -> Column:
         def fits(i: Column) -> Column:
-            own = [F.get(t, i + k) for k in range(last + 1)]
-            checks = [own[k] == word for k, word in enumerate(phrase.terms[:-1])]
-            checks.append(own[last].startswith(phrase.terms[-1]) if phrase.prefix else own[last] == phrase.terms[-1])
+            own = [F.get(t, i + k) for k in range(len(phrase.terms))]
+            checks = [x.startswith(word) if phrase.is_prefix(k) else x == word for k, (x, word) in enumerate(zip(own, phrase.terms))]
             return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
 
-        return F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), fits)
+        every = F.array(F.lit(0)) if phrase.initial else F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0)))
+        return F.filter(every, fits)
 
     return T.let(terms, places)
 
 
-def count_of(phrase: Phrase) -> Column:
-    """How often the phrase stands in a row; needs the columns terms_<name>."""
+def count_of(phrase: Phrase, columns: tuple[str, ...] = INDEXED) -> Column:
+    """How often the phrase stands in a row's columns; needs the columns terms_<name>."""
     if not phrase.terms:
         return F.lit(0)
-    if len(phrase.terms) == 1:
+    if len(phrase.terms) == 1 and not phrase.initial:
         word = phrase.terms[0]
-        test = (lambda x: x.startswith(word)) if phrase.prefix else (lambda x: x == word)
-        return sum((F.size(F.filter(F.col(f"terms_{c}"), test)) for c in phrase.columns), F.lit(0))
-    return sum((F.size(_starts(F.col(f"terms_{c}"), phrase)) for c in phrase.columns), F.lit(0))
+        test = (lambda x: x.startswith(word)) if phrase.is_prefix(0) else (lambda x: x == word)
+        return sum((F.size(F.filter(F.col(f"terms_{c}"), test)) for c in columns), F.lit(0))
+    return sum((F.size(_starts(F.col(f"terms_{c}"), phrase)) for c in columns), F.lit(0))
 
 
-def _near_in(count: int, distance: int) -> Callable[[Column], Column]:
-    def near(places: Column) -> Column:
-        def close(i: Column) -> Column:
-            return reduce(lambda a, b: a & b, (F.exists(places[f"p{k}"], lambda j: F.abs(j - i) <= distance) for k in range(1, count)), F.lit(True))
+def _near(places: Column, lengths: list[int], distance: int) -> Column:
+    """Whether the phrases, whose starts are the fields p0, p1, ..., stand together: from the end of each there are at most
+    `distance` words to the start of the last."""
 
-        return F.exists(places["p0"], close)
+    def ends_at(last: Column) -> Column:
+        def within(n: int) -> Callable[[Column], Column]:
+            return lambda start: (start <= last) & (start + n + distance >= last)
 
-    return near
+        return reduce(lambda a, b: a & b, (F.exists(places[f"p{k}"], within(n)) for k, n in enumerate(lengths)))
+
+    return F.exists(F.concat(*[places[f"p{k}"] for k in range(len(lengths))]), ends_at)
 
 
 def predicate(node: Node) -> Column:
-    if node.kind == "phrase":
-        return count_of(node.phrase) > 0
-    if node.kind == "near":
-        own = [part.phrase for part in node.parts]
+    if node.kind == "phrases":
+        if len(node.phrases) == 1:
+            return count_of(node.phrases[0], node.columns) > 0
+        lengths = [len(p.terms) for p in node.phrases]
         near = F.lit(False)
-        for c in INDEXED:
-            starts = [_starts(F.col(f"terms_{c}"), p) for p in own]
-
-            near = near | T.let(F.struct(*[x.alias(f"p{k}") for k, x in enumerate(starts)]), _near_in(len(starts), node.distance + 1))
+        for c in node.columns:
+            starts = F.struct(*[_starts(F.col(f"terms_{c}"), p).alias(f"p{k}") for k, p in enumerate(node.phrases)])
+            near = near | T.let(starts, lambda x: _near(x, lengths, node.distance))
         return near
     own = [predicate(p) for p in node.parts]
     if node.kind == "not":
@@ -280,7 +326,9 @@ def search_rows(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def with_terms(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({f"terms_{c}": T.search_terms(F.col(c)) for c in INDEXED})
+    """Rows with the terms of each indexed column; rows of a written index have them already."""
+    lacking = {f"terms_{c}": T.search_terms(F.col(c)) for c in INDEXED if f"terms_{c}" not in rows.columns}
+    return rows.withColumns(lacking) if lacking else rows
 
 
 def rank_adjustment() -> Column:
@@ -304,7 +352,7 @@ def saturated(tf: Column, length: Column, mean: Column) -> Column:
 def bm25(rows: DataFrame, node: Node, matched: Column) -> DataFrame:
     """Rows that match, with bm25 (negative; lower is better). Counts and lengths are of all rows."""
     own = phrases(node)
-    counted = rows.select("*", F.size(F.concat(*[F.col(f"terms_{c}") for c in INDEXED])).cast("double").alias("_dl"), *[count_of(p).cast("double").alias(f"_tf{k}") for k, p in enumerate(own)])
+    counted = rows.select("*", F.size(F.concat(*[F.col(f"terms_{c}") for c in INDEXED])).cast("double").alias("_dl"), *[count_of(*p).cast("double").alias(f"_tf{k}") for k, p in enumerate(own)])
     statistics = counted.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("_dl").alias("mean"), *[F.count_if(F.col(f"_tf{k}") > 0).cast("double").alias(f"df{k}") for k in range(len(own))]).alias("s")).scalar()
     found = counted.filter(matched).withColumn("_s", statistics)
     score = F.lit(0.0)
