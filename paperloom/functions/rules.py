@@ -7,35 +7,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as T
+from . import vocabulary as V
+
 Rules = list[tuple[str, tuple[str, ...]]]
 
-#: Defaults of a general kind; callers with their own vocabulary pass their own rules.
-KIND_RULES: Rules = [
-    ("manual_pdf", ("operation manual", "operating manual", "user manual", "instruction manual", "manual")),
-    ("fault_catalog_pdf", ("fault catalog", "alarm list", "error list", "fault list")),
-    ("functional_description_pdf", ("functional description", "functional specification")),
-    ("technical_drawing_pdf", ("drawing", "schematic", "wiring diagram", "layout plan")),
-    ("certificate_pdf", ("certificate", "declaration of conformity")),
-    ("datasheet_pdf", ("datasheet", "data sheet")),
-    ("report_pdf", ("report", "protocol")),
-]
-TAG_RULES: Rules = [
-    ("manual", ("manual", "instruction")),
-    ("alarm", ("alarm", "fault", "error")),
-    ("drawing", ("drawing", "schematic", "diagram")),
-    ("safety", ("safety", "warning", "danger")),
-    ("maintenance", ("maintenance", "service", "spare")),
-    ("process", ("process", "batch", "recipe")),
-    ("certificate", ("certificate", "conformity")),
-    ("license", ("license", "copyright", "rights reserved")),
-]
-#: Ordered patterns of a result's status, and what it is called.
-RESULT_RULES: list[tuple[str, str]] = [
-    ("failed", r"\b(?:fail(?:ed|ure)?|not ok|nok|rejected)\b"),
-    ("passed_with_remarks", r"\b(?:passed with|conditional(?:ly)?|with remarks)\b"),
-    ("passed", r"\b(?:pass(?:ed)?|ok|accepted|successful)\b"),
-    ("pending", r"\b(?:pending|open|planned|tbd)\b"),
-]
 SUPPORTED = ("pdf", "docx", "pptx", "xlsx", "doc", "ppt", "xls", "html", "htm", "txt", "md", "csv", "json")
 LEGACY = ("doc", "ppt", "xls")
 
@@ -61,9 +37,80 @@ def _any(text: Column, needles: Iterable[str]) -> Column:
     return hit
 
 
-def document_kind(name: Column, folder: Column, content: Column, rules: Rules = KIND_RULES, default: str = "generic_pdf") -> Column:
-    """By the file name, else its folder, else the content."""
-    return F.coalesce(*[first_rule(t, rules, None) for t in (name, folder, content)], F.lit(default))
+def _path_parts(path: Column) -> tuple[Column, Column, Column]:
+    """Folders (parted by spaces), name and suffix of a path, ready to be classified."""
+    name = T.classification_text(T.file_name(path))
+    folders = T.classification_text(F.translate(F.regexp_extract(path, r"^(.*)[/\\]", 1), "/\\", "  "))
+    return folders, name, F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
+
+
+def document_kind(path: Column, markdown: Column) -> Column:
+    """A PDF's kind by its name, its folders, its content, its name and stem together, a maker's name in it; other files' by
+    suffix and words."""
+    folders, name, suffix = _path_parts(path)
+    stem = F.regexp_replace(name, r"\.[^.]+$", "")
+    content = T.classification_text(F.coalesce(markdown, F.lit("")))
+    twice = F.concat(name, F.lit(" "), stem)
+    component = F.when(twice.rlike(V.COMPONENT_NAME), F.lit("component_document_pdf"))
+    rules = (first_rule(name, V.NAME_KINDS, None), first_rule(folders, V.FOLDER_KINDS, None), first_rule(content, V.CONTENT_KINDS, None), first_rule(twice, V.NAME_KINDS, None))
+    return F.when(suffix == "pdf", F.coalesce(*rules, component, F.lit("generic_pdf"))).otherwise(office_kind(path, markdown))
+
+
+def office_kind(path: Column, markdown: Column) -> Column:
+    suffix = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
+    text = F.lower(F.concat_ws("\n", T.file_name(path), F.coalesce(markdown, F.lit(""))))
+
+    def kind(t: Column) -> Column:
+        out = F.when((suffix == "xlsx") & (translation_score(t) >= V.TRANSLATION_LEAST), F.lit("hmi_translation_xlsx"))
+        for own, needles, label in V.OFFICE_KINDS:
+            out = out.when((suffix == own) & _any(t, needles), F.lit(label))
+        return out.otherwise(F.lit("document"))
+
+    return T.let(text, kind)
+
+
+def translation_score(text: Column) -> Column:
+    """How much speaks for a translation table; text: lower-cased."""
+    every = F.lit(True)
+    for header in V.TRANSLATION_HEADERS:
+        every = every & F.contains(text, F.lit(header))
+    marks = F.regexp_count(text, F.lit(V.TRANSLATION_MARK)) >= V.TRANSLATION_MARKS
+    weighted = ((_any(text, V.TRANSLATION_NAMES), V.TRANSLATION_NAME_WEIGHT), (every, V.TRANSLATION_HEADERS_WEIGHT), (marks, V.TRANSLATION_MARK_WEIGHT), (_any(text, V.TRANSLATION_PARTS), V.TRANSLATION_PART_WEIGHT))
+    return sum((F.when(hit, F.lit(weight)).otherwise(F.lit(0)) for hit, weight in weighted), F.lit(0))
+
+
+def tags(path: Column, kind: Column, quality: Column) -> Column:
+    """array<string>, each once: by the path's words, the suffix, quality and kind, in this order."""
+    text = T.classification_text(path)
+    by_path = all_rules(text, [(tag, (needle,)) for needle, tag in V.PATH_TAGS])
+    mapped = lambda value, names: F.coalesce(*[F.when(value == k, F.lit(v)) for k, v in names.items()])
+    suffix = T.blank_to_null(F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1)))
+    none = F.array().cast("array<string>")
+    office = F.coalesce(*[F.when(kind == k, F.array(*map(F.lit, v))) for k, v in V.OFFICE_TAGS.items()], none)
+
+    def whole(own: Column) -> Column:
+        mechanical = F.when(F.arrays_overlap(own, F.array(*map(F.lit, V.MECHANICAL_TAGS))), F.lit(V.MECHANICAL_TAG))
+        return F.array_distinct(F.concat(own, F.array_compact(F.array(mechanical, suffix, mapped(quality, V.QUALITY_TAGS), mapped(kind, V.DRAWING_TAG), mapped(kind, V.KIND_TAGS))), office))
+
+    return T.let(by_path, whole)
+
+
+def page_title(text: Column) -> Column:
+    """What a page is, by its words: title page, contents, revisions, then the first rule that fits; null if none does."""
+
+    def named(t: Column) -> Column:
+        words = sum((F.contains(t, F.lit(w)).cast("int") for w in V.TITLE_PAGE_WORDS), F.lit(0))
+        manual = F.contains(t, F.lit(V.TITLE_PAGE_MANUAL)) & _any(t, V.TITLE_PAGE_NUMBERS)
+        lines = F.filter(F.transform(F.split(t, r"\n|\r\n?"), lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) <= 120))
+        entries = F.size(F.filter(lines, lambda x: x.rlike(r"^\d+(?:\.\d+)*\s+\S+") & (x.rlike(r"\s\d{1,4}$") | F.contains(x, F.lit("...")) | F.contains(x, F.lit(". . .")))))
+        return (
+            F.when(manual | (words >= 2), F.lit("Title Page"))
+            .when(F.contains(t, F.lit("table of contents")) | (entries >= 3), F.lit("Table of Contents"))
+            .when(_any(t, V.REVISION_WORDS), F.lit("Revision Overview"))
+            .otherwise(first_rule(t, [(title, (needle,)) for needle, title in V.PAGE_TITLES], None))
+        )
+
+    return T.let(F.lower(F.coalesce(text, F.lit(""))), named)
 
 
 def additive_kind(text: Column, weights: list[tuple[str, int]], least: int, kind: str, otherwise: Column) -> Column:
@@ -72,8 +119,9 @@ def additive_kind(text: Column, weights: list[tuple[str, int]], least: int, kind
     return F.when(score >= least, F.lit(kind)).otherwise(otherwise)
 
 
-def refine_generic(kind: Column, source_file: Column, text: Column, rules: Rules = KIND_RULES) -> Column:
-    again = first_rule(text, rules, "generic_pdf")
+def refine_generic(kind: Column, source_file: Column, text: Column) -> Column:
+    """A generic PDF is classified again by its name and its text's start when a library is built."""
+    again = document_kind(source_file, F.substring(text, 1, 4000))
     return F.when((kind == "generic_pdf") & F.lower(source_file).endswith(".pdf"), again).otherwise(kind)
 
 
@@ -87,36 +135,40 @@ def quality_status(text_chars: Column, headings: Column, noisy: Column, images:
     )
 
 
-#: Evidence types that a chunk keeps.
-EVIDENCE_TYPES = [
-    "hmi_translation_row", "hmi_translation_table", "hmi_translation_group", "drawing_index", "section", "slide", "topic",
-    "batch_study", "sheet_table", "sheet_phase",
-]
-
-
-def evidence_type(own: Column, page: Column, image: Column, text: Column) -> Column:
-    has_text = F.trim(F.coalesce(text, F.lit(""))) != ""
+def evidence_type(own: Column, page: Column, image: Column, page_text: Column, heading_path: Column | None = None) -> Column:
+    """The kind of evidence: kept if it is a known one, else by page, image and the page's text."""
+    has_text = F.trim(F.coalesce(page_text, F.lit(""))) != ""
+    imaged, metadata = F.coalesce(image, F.lit("")) != "", F.lit(False) if heading_path is None else F.coalesce(heading_path == F.array(F.lit("Key Metadata")), F.lit(False))
     return (
-        F.when(own.isin(EVIDENCE_TYPES), own)
-        .when(page.isNotNull() & image.isNotNull() & ~has_text, F.lit("image"))
-        .when(page.isNotNull() & image.isNotNull(), F.lit("page"))
-        .when(page.isNotNull() & has_text, F.lit("text_page"))
-        .when(~has_text, F.lit("metadata"))
+        F.when(own.isin(V.EVIDENCE_TYPES), own)
+        .when(imaged, F.when(has_text, F.lit("page")).otherwise(F.lit("image")))
+        .when(page.isNotNull(), F.when(has_text, F.lit("text_page")).otherwise(F.lit("page")))
+        .when(metadata, F.lit("metadata"))
         .otherwise(F.lit("text"))
     )
 
 
-def result_status(window: Column, rules: list[tuple[str, str]] = RESULT_RULES) -> Column:
-    out = None
-    for label, pattern in rules:
-        hit = F.lower(window).rlike(pattern)
-        out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
-    return out.otherwise(F.lit("unknown"))
+def result_status(window: Column, title: Column | None = None) -> Column:
+    """The first result that the window states, in its usual name; empty without one, and on slides that assess risks."""
+
+    def named(value: Column) -> Column:
+        out = F.when(value == "", F.lit(""))
+        for pattern, name in V.RESULT_NAMES:
+            out = out.when(value.rlike(f"(?i){pattern}"), F.lit(name))
+        return out.otherwise(value)
+
+    def status(text: Column) -> Column:
+        found = F.coalesce(*[T.blank_to_null(F.regexp_extract(text, f"(?iU)({p})", 1)) for p in V.RESULTS], F.lit(""))
+        return T.let(T.collapse(found), named)
 
+    out = T.let(T.collapse(F.coalesce(window, F.lit(""))), status)
+    return out if title is None else F.when(F.coalesce(title, F.lit("")).rlike(f"(?i){V.RISK_TITLE}"), F.lit("")).otherwise(out)
 
-def result_confidence(has_table: Column, status: Column, has_id: Column) -> Column:
-    score = F.when(has_table, 2).otherwise(0) + F.when(status != "unknown", 2).otherwise(0) + F.when(has_id, 1).otherwise(0)
-    return F.when(score >= 4, F.lit("high")).when(score >= 2, F.lit("medium")).otherwise(F.lit("low"))
+
+def result_confidence(window: Column, status: Column, title: Column) -> Column:
+    """high with a result, medium with a batch's figures or route, else low."""
+    risk = F.coalesce(title, F.lit("")).rlike(f"(?i){V.RISK_TITLE}")
+    return F.when((status != "") & ~risk, F.lit("high")).when(window.rlike(f"(?iU){V.BATCH_EVIDENCE}"), F.lit("medium")).otherwise(F.lit("low"))
 
 
 def file_failure(checksum_same: Column, failed: Column, timed_out: Column, json_ok: Column) -> Column:
@@ -126,8 +178,15 @@ def file_failure(checksum_same: Column, failed: Column, timed_out: Column, json_
     )
 
 
-def slide_topic(title: Column, text: Column, rules: Rules, default: str = "General") -> Column:
-    return F.coalesce(first_rule(F.lower(title), rules, None), first_rule(F.lower(text), rules, None), F.lit(default))
+def slide_topic(title: Column, text: Column) -> Column:
+    """A slide's topic by its title, else by title and text."""
+    whole = F.lower(F.concat(title, F.lit("\n"), text))
+    return F.coalesce(first_rule(F.lower(title), V.TITLE_TOPICS, None), T.let(whole, lambda t: first_rule(t, V.TEXT_TOPICS, None)), F.lit(V.NO_TOPIC))
+
+
+def visual_heavy(title: Column, text: Column) -> Column:
+    """Whether a slide says more by pictures than by words."""
+    return T.let(F.lower(F.concat(title, F.lit("\n"), text)), lambda t: _any(t, V.VISUAL_WORDS)) | text.rlike(r"!\[[^\]]*\]\([^)]+\)")
 
 
 def engine(extension: Column, chosen: str = "auto") -> Column:

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import vocabulary as V
+
 #: Words that a query's tokens leave out, and the shortest token.
 QUERY_STOPWORDS = ["and", "or", "the", "a", "an", "of", "for", "to", "in", "on", "with"]
 LEAST_TOKEN = 3
@@ -15,7 +17,7 @@ LEAST_TOKEN = 3
 BASE64_RUN = r"(?U)\b[A-Za-z0-9+/]{60,}={0,2}\b"
 NAN_RUN = r"(?i)(?U)\bNaN\b(?:\s*[|,;]\s*\bNaN\b){2,}"
 NAN = r"(?i)(?U)\bNaN\b"
-LONG_PATH = r"(?:[A-Za-z]:\\|\\\\)[^\s|]{40,}"
+LONG_PATH = r"(?:[A-Za-z]:\\|\\\\|SY\d+_PLC\+HMI)[^\s|]{40,}"
 #: Latin letters with marks, and the plain ones they are searched as.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśšťūůűźżž"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorsstuuuzzz"
@@ -53,9 +55,16 @@ def clean_markdown(text: Column) -> Column:
     return F.concat(F.regexp_replace(spaced, r"^\s+|\s+$", ""), F.lit("\n"))
 
 
+def yaml_value(value: Column) -> Column:
+    """A scalar as YAML: null, a number or a truth value as it is, text in double quotes, escaped."""
+    text = value.cast("string")
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
+    return F.coalesce(F.when(F.typeof(value) != "string", text), quoted, F.lit("null"))
+
+
 def front_matter(fields: dict[str, Column], body: Column) -> Column:
     """A YAML header of the fields, in their order, before the body."""
-    lines = [F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("null"))) for name, value in fields.items()]
+    lines = [F.concat(F.lit(f"{name}: "), yaml_value(value)) for name, value in fields.items()]
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), body)
 
 
@@ -212,10 +221,15 @@ def json_map(value: Column) -> Column:
     return F.coalesce(F.from_json(value, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
-def note_name(value: Column, fallback: str = "Untitled", most: int = 120) -> Column:
+#: What no file name holds, the longest name, the name of what has none.
+NAME_MARKS, NAME_CHARS, NO_NAME = r'[\x00-\x1f<>:"/\\|?*]+', 120, "note"
+
+
+def note_name(value: Column, fallback: str = NO_NAME, most: int = NAME_CHARS) -> Column:
     """A name that any file system takes."""
-    clean = F.substring(collapse(F.regexp_replace(F.coalesce(value, F.lit("")), r'[\\/:*?"<>|#^\[\]]', " ")), 1, most)
-    return F.coalesce(blank_to_null(F.trim(F.regexp_replace(clean, r"^[. ]+|[. ]+$", ""))), F.lit(fallback))
+    bare = lambda x: F.regexp_replace(x, r"^[. ]+|[. ]+$", "")
+    clean = F.coalesce(blank_to_null(bare(collapse(F.regexp_replace(F.coalesce(value, F.lit("")), NAME_MARKS, " ")))), F.lit(fallback))
+    return F.coalesce(blank_to_null(bare(F.substring(clean, 1, most))), F.lit(fallback))
 
 
 def limitation(locator: Column, is_noisy: Column) -> Column:
@@ -232,13 +246,13 @@ def line_window(text: Column, value: str, around: int = 2) -> Column:
     return F.when(at > 0, F.array_join(F.slice(lines, start, at + around - start + 1), "\n")).otherwise("")
 
 
-def range_locator(numbers: Column, word: str = "Slides") -> Column:
-    """One range for numbers without a gap, else a list."""
+def range_locator(numbers: Column, one: str = "Slide", more: str = "Slides") -> Column:
+    """A number, one range for numbers without a gap, else a list."""
     own = F.array_sort(F.array_distinct(numbers))
     low, high = F.array_min(own), F.array_max(own)
     listed = F.array_join(F.transform(own, lambda x: x.cast("string")), ", ")
-    whole = F.when(low == high, low.cast("string")).when(F.size(own) == high - low + 1, F.concat(low.cast("string"), F.lit("-"), high.cast("string")))
-    return F.concat(F.lit(f"{word} "), F.coalesce(whole, listed))
+    whole = F.when(F.size(own) == high - low + 1, F.concat(low.cast("string"), F.lit("-"), high.cast("string")))
+    return F.when(low == high, F.concat(F.lit(f"{one} "), low.cast("string"))).otherwise(F.concat(F.lit(f"{more} "), F.coalesce(whole, listed)))
 
 
 def quality_warnings(markdown: Column, chunks: Column) -> Column:
@@ -253,27 +267,42 @@ def quality_warnings(markdown: Column, chunks: Column) -> Column:
     )
 
 
-#: Thresholds, factors and caps of the noise signals; a score of 2 and more is noise.
-NOISE = {"nan_density": (0.08, 5.0, 3.0), "base64_like": (0.0, 1.5, 4.0), "windows_path_density": (0.03, 5.0, 2.5), "xml_html_tag_density": (0.05, 4.0, 2.0)}
+#: Patterns, thresholds, factors and caps of the noise signals; a score of 2 and more is noise.
+NOISE_PATHS = r"[A-Za-z]:\\|\\\\|PLC\+HMI|\\Bilder\\|\\Textfeld"
+NOISE = {"nan_density": (0.08, 5.0, 3.0), "base64_like": (0.0, 1.5, 4.0), "windows_or_hmi_path_density": (0.03, 5.0, 2.5), "xml_html_tag_density": (0.05, 4.0, 2.0)}
 NOISY = 2.0
 LOW_ALPHA, LOW_ALPHA_CHARS = 0.15, 200
 
 
 def noise(text: Column, locator: Column) -> Column:
-    """struct<is_noisy, noise_score (unrounded), noise_reasons> from six signals."""
+    """struct<is_noisy, noise_score (three digits), noise_reasons> from six signals."""
     own = F.coalesce(text, F.lit(""))
     count = lambda p: F.regexp_count(own, F.lit(p)).cast("double")
     tokens = F.greatest(count(r"\S+"), F.lit(1.0))
     density = {
-        "nan_density": count(r"(?i)(?<![A-Za-z0-9_])NaN(?![A-Za-z0-9_])") / tokens,
-        "base64_like": count(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{60,}"),
-        "windows_path_density": count(r"[A-Za-z]:\\|\\\\") / tokens,
+        "nan_density": count(NAN) / tokens,
+        "base64_like": count(BASE64_RUN),
+        "windows_or_hmi_path_density": count(NOISE_PATHS) / tokens,
         "xml_html_tag_density": count(r"<[^>\n]{2,40}>") / tokens,
     }
     signals = [(name, F.when(density[name] > least, F.least(density[name] * factor, F.lit(cap)))) for name, (least, factor, cap) in NOISE.items()]
     signals.append(("missing_locator", F.when(F.coalesce(locator, F.lit("")) == "", F.lit(1.0))))
-    alpha = count("[A-Za-z]{3,}") / tokens
+    alpha = count(r"(?U)\b[A-Za-z]{3,}\b") / tokens
     signals.append(("low_natural_language_ratio", F.when((alpha < LOW_ALPHA) & (F.length(own) > LOW_ALPHA_CHARS), F.lit(1.0))))
     score = sum((F.coalesce(s, F.lit(0.0)) for _, s in signals), F.lit(0.0))
     reasons = F.array_compact(F.array(*[F.when(s.isNotNull(), F.lit(n)) for n, s in signals]))
-    return F.struct((score >= NOISY).alias("is_noisy"), score.alias("noise_score"), reasons.alias("noise_reasons"))
+    return F.struct((score >= NOISY).alias("is_noisy"), F.round(score, 3).alias("noise_score"), reasons.alias("noise_reasons"))
+
+
+def section_title(value: Column) -> Column:
+    """A section's title as it is written: single spaces, no dots at the ends, known titles in their spelling."""
+    clean = collapse(F.regexp_replace(value, r"^[ .]+|[ .]+$", ""))
+    known = F.coalesce(*[F.when(clean == k, F.lit(v)) for k, v in V.SECTION_TITLES.items()])
+    return F.coalesce(known, F.concat(F.upper(F.substring(clean, 1, 1)), F.substring(clean, 2, 1 << 30)))
+
+
+def repaired(value: Column, spoilt: dict[str, str] = V.SPOILT_TEXT) -> Column:
+    """Text that a wrong encoding has spoilt, as it was."""
+    for wrong, right in spoilt.items():
+        value = F.replace(value, F.lit(wrong), F.lit(right))
+    return F.trim(value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vocabulary as V
 
 #: Entities that are sent to every task for containment joins, at most; more are matched through their first words.
 MOST_SENT = 20_000
@@ -35,7 +37,43 @@ def extract_entities(docs: DataFrame, rules: dict[str, str] = ENTITY_RULES, text
     """doc_id, entity_type, entity_text, position: different matches of each rule, in the order first seen."""
     found = F.array(*[F.struct(F.lit(k).alias("entity_type"), T.distinct_matches(F.col(text), p).alias("texts")) for k, p in rules.items()])
     kinds = docs.select("doc_id", F.posexplode(found).alias("_k", "e")).select("doc_id", "_k", "e.entity_type", F.posexplode("e.texts").alias("_p", "entity_text"))
-    return kinds.select("doc_id", "entity_type", "entity_text", (F.col("_k") * 1_000_000 + F.col("_p")).alias("position"))
+    return kinds.select("doc_id", "entity_type", "entity_text", (F.shiftleft(F.col("_k").cast("long"), 32) + F.col("_p")).alias("position"))
+
+
+def canonical(text: Column) -> Column:
+    """An entity's usual spelling, if it is a known name."""
+    clean = T.collapse(text)
+    spelled = F.when(clean.rlike(r"(?i)^cml\s*125$"), F.lit("CML125"))
+    for name in V.ENTITY_NAMES:
+        spelled = spelled.when(F.lower(clean) == name.lower(), F.lit(name))
+    return spelled.otherwise(clean)
+
+
+def group_entities(docs: DataFrame) -> DataFrame:
+    """doc_id, entity_type, entity_text, position from docs (doc_id, source_path, markdown, document_kind): the entities of
+    each group in path and text, in their usual spelling, each once; fields of a title page; what a document's kind implies."""
+    text = F.concat_ws("\n", "source_path", F.coalesce("markdown", F.lit("")))
+    kind = F.col("document_kind")
+    words = lambda values: F.array(*map(F.lit, values))
+
+    def matches(pattern: str) -> Column:
+        return F.regexp_extract_all(F.col("_text"), F.lit(f"(?iU){pattern}"), F.lit(1 if re.search(r"(?<!\\)\((?!\?)", pattern) else 0))
+
+    groups = {name: F.array_distinct(F.transform(F.concat(*map(matches, patterns)), canonical)) for name, patterns in V.ENTITY_GROUPS.items()}
+    groups["commission_number"] = F.filter(groups["commission_number"], lambda x: ~F.lower(x).isin(*V.NO_COMMISSION) & x.rlike("[0-9]"))
+    topics = groups["manual_topic"]
+    groups["manual_topic"] = F.when(kind == "manual_pdf", F.array_remove(topics, "functional description")).otherwise(topics)
+    implied = F.coalesce(*[F.when(kind == k, words(v)) for k, v in V.KIND_DOCUMENT_TYPES.items()])
+    drawing = F.when((kind == "technical_drawing_pdf") & F.contains(F.lower("_text"), F.lit("wiring diagram")), words(["wiring diagram"]))
+    groups["document_type"] = F.coalesce(implied, drawing, groups["document_type"])
+    parts = groups["equipment"]
+    groups["equipment"] = F.when(kind == "hmi_translation_xlsx", F.array_union(parts, words(["PLC", "HMI"]))).otherwise(parts)
+    for field in V.TITLE_FIELDS:
+        value = F.trim(F.regexp_extract(F.coalesce("markdown", F.lit("")), rf"(?im)^-\s+{field}:\s*(.+)$", 1))
+        groups[field] = F.array_compact(F.array(T.blank_to_null(value)))
+    listed = F.array(*[F.struct(F.lit(name).alias("entity_type"), values.alias("texts")) for name, values in groups.items()])
+    kinds = docs.withColumn("_text", text).select("doc_id", F.posexplode(listed).alias("_k", "e")).select("doc_id", "_k", "e.entity_type", F.posexplode("e.texts").alias("_p", "entity_text"))
+    return kinds.select("doc_id", "entity_type", "entity_text", (F.shiftleft(F.col("_k").cast("long"), 32) + F.col("_p")).alias("position"))
 
 
 def flatten_entities(packs: DataFrame) -> DataFrame:

@@ -217,64 +217,21 @@ def multi_library_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- text and classification ----------------------------------------------------------------------------------------------
 
-_N = r"greatest(len(regexp_extract_all(text, '\S+')), 1)::DOUBLE"
-_NOISE_SQL = (
-    _LIB
-    + r""", c AS (SELECT doc_id, locator, length(text) AS chars, """ + _N + r""" AS tokens,
-len(regexp_extract_all(text, '[A-Za-z]:\\|\\\\'))::DOUBLE AS paths, len(regexp_extract_all(text, '<[^>\n]{2,40}>'))::DOUBLE AS tags,
-len(regexp_extract_all(text, '[A-Za-z]{3,}'))::DOUBLE AS alpha, len(regexp_extract_all(text, '[A-Za-z0-9+/]{60,}'))::DOUBLE AS base64 FROM lib),
-s AS (SELECT doc_id, (CASE WHEN base64 > 0 THEN least(base64 * 1.5::DOUBLE, 4) ELSE 0 END + CASE WHEN paths / tokens > 0.03::DOUBLE THEN least(paths / tokens * 5, 2.5::DOUBLE) ELSE 0 END
-+ CASE WHEN tags / tokens > 0.05::DOUBLE THEN least(tags / tokens * 4, 2) ELSE 0 END + CASE WHEN locator IS NULL THEN 1 ELSE 0 END + CASE WHEN alpha / tokens < 0.15::DOUBLE AND chars > 200 THEN 1 ELSE 0 END) AS score FROM c)
-SELECT doc_id, score >= 2.0 AS is_noisy, round(score, 6) AS noise_score FROM s"""
-)
-
-
-@query(_NOISE_SQL)
-def noise_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = lib(spark, sf_dir).select("doc_id", T.noise(F.col("text"), F.col("locator")).alias("n"))
-    return own.select("doc_id", "n.is_noisy", F.round("n.noise_score", 6).alias("noise_score"))
-
-
 @query(r"SELECT doc_id, CASE WHEN length(c) > 260 THEN rtrim(c[1:257]) || '...' ELSE c END AS clipped FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)")
 def clip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.clip(F.col("text"), 260).alias("clipped"))
 
 
-@query(r"SELECT doc_id, CASE WHEN i > 41 THEN '...' || c[i - 40:] ELSE c END AS shown FROM (SELECT doc_id, c, strpos(lower(c), 'license') AS i FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents))")
-def search_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text"), "license", None).alias("shown"))
-
-
 @query("SELECT item_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: length(t) >= 3 AND t NOT IN ('and','or','the','a','an','of','for','to','in','on','with')), ' ') AS tokens FROM benchmark")
 def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.query_tokens_of(F.col("text")), " ").alias("tokens"))
 
 
-@query(_LIB + """SELECT doc_id, CASE WHEN contains(lower(title), 'the') THEN 'english' WHEN contains(lower(source_path), '/de/') THEN 'german' WHEN contains(lower(text), ' les ') THEN 'french' ELSE 'generic' END AS kind FROM lib""")
-def classify_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name, folder, content = ([("english", ("the",))], [("german", ("/de/",))], [("french", (" les ",))])
-    own = lib(spark, sf_dir)
-    kind = F.coalesce(R.first_rule(F.lower("title"), name, None), R.first_rule(F.lower("source_path"), folder, None), R.first_rule(F.lower("text"), content, None), F.lit("generic"))
-    return own.select("doc_id", kind.alias("kind"))
-
-
-@query("SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(t, 'manual') OR contains(t, 'instruction') THEN 'manual' END, CASE WHEN contains(t, 'alarm') OR contains(t, 'fault') OR contains(t, 'error') THEN 'alarm' END, CASE WHEN contains(t, 'drawing') OR contains(t, 'schematic') OR contains(t, 'diagram') THEN 'drawing' END, CASE WHEN contains(t, 'safety') OR contains(t, 'warning') OR contains(t, 'danger') THEN 'safety' END, CASE WHEN contains(t, 'maintenance') OR contains(t, 'service') OR contains(t, 'spare') THEN 'maintenance' END, CASE WHEN contains(t, 'process') OR contains(t, 'batch') OR contains(t, 'recipe') THEN 'process' END, CASE WHEN contains(t, 'certificate') OR contains(t, 'conformity') THEN 'certificate' END, CASE WHEN contains(t, 'license') OR contains(t, 'copyright') OR contains(t, 'rights reserved') THEN 'license' END], lambda x: x IS NOT NULL), ',') AS tags FROM (SELECT doc_id, lower(text) AS t FROM documents)")
-def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(R.all_rules(F.lower("text"), R.TAG_RULES), ",").alias("tags"))
-
-
 @query("SELECT doc_id, concat_ws('; ', CASE WHEN trim(text) = '' THEN 'output markdown is empty' WHEN length(trim(text)) < 20 THEN 'output markdown is very short' END, CASE WHEN NOT regexp_matches(text, '(?m)^#{1,6}\\s') THEN 'no headings detected' END) AS warnings FROM documents".replace("\\\\", "\\"))
 def quality_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.quality_warnings(F.col("text"), F.lit(1)), "; ").alias("warnings"))
 
 
-@query(_LIB + "SELECT evidence_type, CASE WHEN evidence_type = 'section' THEN 'section' WHEN evidence_type = 'slide' THEN 'slide' ELSE 'text' END AS kept, count(*) AS n FROM lib WHERE trim(text) <> '' GROUP BY ALL")
-def evidence_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None)
-    own = lib(spark, sf_dir).filter("trim(text) <> ''").withColumn("kept", R.evidence_type(F.col("evidence_type"), none.cast("int"), none.cast("string"), F.col("text")))
-    return own.groupBy("evidence_type", "kept").agg(F.count("*").alias("n"))
-
-
 @query("SELECT doc_id, concat('sha256:', sha256(text)) AS checksum, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS copy FROM documents")
 def content_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "documents").select("doc_id", T.checksum(F.col("text").cast("binary")).alias("checksum"))
@@ -292,12 +249,6 @@ def unique_record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.unique_ids(table(spark, sf_dir, "documents"), "source", "lang", "doc_id").select("doc_id", "unique_id")
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(t, '\\b(?:fail(?:ed|ure)?|not ok|nok|rejected)\\b') THEN 'failed' WHEN regexp_matches(t, '\\b(?:passed with|conditional(?:ly)?|with remarks)\\b') THEN 'passed_with_remarks' WHEN regexp_matches(t, '\\b(?:pass(?:ed)?|ok|accepted|successful)\\b') THEN 'passed' WHEN regexp_matches(t, '\\b(?:pending|open|planned|tbd)\\b') THEN 'pending' ELSE 'unknown' END AS status FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z ]', ' ', 'g') AS t FROM documents)")
-def result_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents")
-    return own.select("doc_id", R.result_status(F.regexp_replace(F.lower("text"), "[^a-z ]", " ")).alias("status"))
-
-
 # --- chunks ---------------------------------------------------------------------------------------------------------------
 
 _PACK_SQL = r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
