@@ -53,10 +53,13 @@ def plan_warnings(counts: dict[str, int]) -> list[str]:
     return out
 
 
-def library_status(counts: dict[str, int] | None) -> str:
-    if counts is None:
-        return "unknown"
-    return "stale" if any(counts.get(s) for s in STATUSES if s not in ("unchanged", "unsupported")) else "current"
+def library_status(stale: int | None, plan: dict[str, int] | None = None, snapshot: str | None = None) -> str:
+    """stale: how many registered sources aren't as registered (None: nothing is registered). A plan with any change makes a
+    library stale; where nothing is registered and there is no plan, an earlier state stands."""
+    status = "unknown" if stale is None else "stale" if stale else "current"
+    if plan is not None:
+        return "stale" if any(plan.get(s) for s in STATUSES if s != "unchanged") else status
+    return snapshot if status == "unknown" and snapshot in ("current", "stale", "unknown") else status
 
 
 def build_registry(documents: DataFrame, live: DataFrame) -> DataFrame:

@@ -50,19 +50,52 @@ def bigrams(words: Column) -> Column:
     return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
 
 
+def cjk_terms(text: Column) -> Column:
+    """Runs of two to eight Chinese characters, in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"{CJK}{{2,8}}"), F.lit(0))
+
+
 def candidates(rows: DataFrame, text: Column, keys: list[str], most: int, source: str) -> DataFrame:
-    """keys, label, source: of each row the most frequent pairs of neighbouring words, then words, at most so many; equal
-    counts in the order first seen."""
-    words = rows.select(*keys, tokens(text).alias("_w"))
+    """keys, label, source: of each row the most frequent pairs of neighbouring words, then words, then the first Chinese terms,
+    at most so many; equal counts in the order first seen."""
+    words = rows.select(*keys, tokens(text).alias("_w"), cjk_terms(text).alias("_c"))
     both = F.concat(
         F.transform(bigrams(F.col("_w")), lambda x, i: F.struct(F.lit(0).alias("k"), x.alias("label"), i.alias("i"))),
         F.transform("_w", lambda x, i: F.struct(F.lit(1).alias("k"), x.alias("label"), i.alias("i"))),
+        F.transform(F.slice("_c", 1, most), lambda x, i: F.struct(F.lit(2).alias("k"), x.alias("label"), i.alias("i"))),
     )
-    counted = words.select(*keys, F.explode(both).alias("x")).groupBy(*keys, "x.k", "x.label").agg(F.count("*").alias("n"), F.min("x.i").alias("first"))
+    counted = words.select(*keys, F.explode(both).alias("x")).groupBy(*keys, "x.k", "x.label").agg(F.when(F.col("x.k") < 2, F.count("*")).otherwise(F.lit(1)).alias("n"), F.min("x.i").alias("first"))
     order = Window.partitionBy(*keys).orderBy("k", F.desc("n"), "first")
     return counted.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") <= most) & ~noisy_label(F.col("label"))).select(*keys, "label", F.lit(source).alias("source"))
 
 
+#: Words that make a label a header's, labels that are headers, titles that say little.
+HEADER_WORDS = ("assessment", "leadership", "thinking", "background", "experience", "risk", "study")
+HEADER_LABELS = (
+    "leadership", "communication", "collaboration", "resilience", "english", "result", "case study", "logical thinking", "strategic thinking",
+    "technical background", "learning agility", "background information",
+)
+WEAK_KINDS, WEAK_TITLES = ("generic_pdf", "low_structure_pdf"), ("cover", "cover sheet", "summary", "sheet", "untitled source page")
+
+
+def source_type(label: Column, base: Column, document_kind: Column, chunk_title: Column) -> Column:
+    """Where a label really stands: headings and phrases that look like a structured header count as one, and headings of
+    weakly structured pages as weak titles."""
+    clean = normal_label(label)
+    words = F.split(clean, " ")
+    header = ~noisy_label(clean) & ((F.size(words).between(2, 6) & F.arrays_overlap(words, F.array(*map(F.lit, HEADER_WORDS)))) | clean.isin(*HEADER_LABELS))
+    weak = normal_label(document_kind).isin(*WEAK_KINDS) | normal_label(chunk_title).isin(*WEAK_TITLES)
+    return F.when(base.isin("heading", "text_phrase") & header, F.lit("structured_header")).when((base == "heading") & weak, F.lit("weak_page_title")).otherwise(base)
+
+
+def entity_graph(mentions: DataFrame, most: int = NODES) -> tuple[DataFrame, DataFrame]:
+    """Entities of the most documents, and how many documents hold both of two of them. mentions: doc_id, entity_id, label."""
+    own = mentions.select("doc_id", "entity_id", "label").distinct()
+    nodes = own.groupBy("entity_id").agg(F.min("label").alias("label"), F.count("*").alias("documents")).orderBy(F.desc("documents"), "entity_id").limit(most)
+    kept = own.join(F.broadcast(nodes.select("entity_id")), "entity_id", "left_semi")  # a document has `most` of them at most
+    return nodes, cooccurrence(kept, "doc_id", "entity_id")
+
+
 def concept_index(found: DataFrame) -> DataFrame:
     """label and its measures from candidates (doc_id, chunk_id, label, source), gated by quality."""
     own = found.withColumn("label", normal_label(F.col("label"))).filter(~noisy_label(F.col("label")))
@@ -72,8 +105,8 @@ def concept_index(found: DataFrame) -> DataFrame:
         F.count_distinct("chunk_id").alias("chunk_count"), F.array_sort(F.collect_set("source")).alias("sources"),
     )
     score = F.col("source_score") + F.least(F.col("match_count"), F.lit(MATCH_CAP)) * MATCH_BONUS + F.least(F.col("doc_count"), F.lit(DOCUMENT_CAP)) * DOCUMENT_BONUS
-    scored = grouped.withColumn("score", score).withColumn("weight", F.round(score + F.col("chunk_count") + F.col("doc_count"), 2))
     only = lambda s: (F.size("sources") == 1) & (F.get("sources", F.lit(0)) == s)
+    scored = grouped.withColumn("score", score).withColumn("weight", F.round(score + F.col("chunk_count") + F.col("doc_count"), 2))
     return scored.filter((F.col("score") >= LEAST_SCORE) & ~only("weak_page_title") & ~(only("document_title") & (F.col("match_count") == 1)))
 
 
@@ -94,17 +127,29 @@ def concept_graph(index: DataFrame, pairs: DataFrame, most: int = NODES) -> tupl
     return nodes, inner.orderBy(F.desc("count"), "left", "right").limit(max(most, min(EDGES_LEAST, EDGES_FACTOR * most)))
 
 
-def admit_edges(edges: DataFrame, most: int = NODES, read: int = 5_000) -> list[tuple[str, str, int]]:
-    """Document-concept edges (source, target, count), strongest first, for as long as their nodes fit: each depends on those
-    before, so the `read` strongest are gone through on the driver."""
+def admit_edges(edges: DataFrame, most: int = NODES) -> DataFrame:
+    """Document-concept edges (source, target, count), strongest first, for as long as their nodes fit.
+
+    Each depends on those before until `most` nodes are there, so edges are gone through in order until then, a partition at a
+    time; from then on an edge is admitted if it has both ends, which is a filter."""
+    order = (F.desc("count"), "source", "target")
     nodes: set[str] = set()
-    out = []
-    for r in edges.orderBy(F.desc("count"), "source", "target").limit(read).collect():
+    first: list[tuple] = []
+    last = None
+    for r in edges.select("source", "target", "count").orderBy(*order).toLocalIterator():
         new = {r["source"], r["target"]} - nodes
+        last = r
         if len(nodes) + len(new) <= most:
             nodes |= new
-            out.append((r["source"], r["target"], r["count"]))
-    return out
+            first.append((r["source"], r["target"], r["count"]))
+        if len(nodes) == most:
+            break
+    begun = edges.sparkSession.createDataFrame(first, edges.select("source", "target", "count").schema)
+    if last is None or len(nodes) < most:
+        return begun
+    kept = list(nodes)  # `most` names
+    after = (F.col("count") < last["count"]) | ((F.col("count") == last["count"]) & (F.struct("source", "target") > F.struct(F.lit(last["source"]), F.lit(last["target"]))))
+    return begun.unionByName(edges.select("source", "target", "count").filter(after & F.col("source").isin(kept) & F.col("target").isin(kept)))
 
 
 def top_concepts(index: DataFrame, most: int) -> DataFrame:

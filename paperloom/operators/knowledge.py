@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as T
 
 OUTLINE_MOST = 40
@@ -60,14 +61,28 @@ def document_body(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit("# "), F.col("title"), F.lit("\n\nKind: "), F.col("document_kind"), F.lit("\n\n"), table, F.coalesce("markdown", F.lit(""))).alias("markdown"))
 
 
-def knowledge_records(documents: DataFrame, chunks: DataFrame, assets: DataFrame) -> DataFrame:
-    """One record for each document: its fields and the counts of what belongs to it."""
+#: Counts of a record by the kind of evidence.
+EVIDENCE_COUNTS = {
+    "image_chunks_count": ("image",), "page_chunks_count": ("page", "text_page"), "section_chunks_count": ("section",), "slide_chunks_count": ("slide",),
+    "table_chunks_count": ("table",), "topic_chunks_count": ("topic",), "batch_study_chunks_count": ("batch_study",), "drawing_index_count": ("drawing_index",),
+}
+
+
+def knowledge_records(documents: DataFrame, chunks: DataFrame, assets: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One record for each document: its fields and the counts of what belongs to it. pages: doc_id, text, image_path."""
+    kinds = [F.count_if(F.col("evidence_type").isin(*v)).alias(k) for k, v in EVIDENCE_COUNTS.items()]
+    located, filled = F.coalesce("locator", F.lit("")) != "", F.trim(F.coalesce("text", F.lit(""))) != ""
     c = chunks.groupBy("doc_id").agg(
-        F.count("*").alias("chunks_count"), F.count_if(F.coalesce("locator", F.lit("")) != "").alias("located_chunks"), F.count_if(F.col("page_number").isNotNull()).alias("page_chunks"),
-        F.count_distinct("evidence_type").alias("evidence_types"), F.sum(F.length("text")).alias("text_chars"),
+        F.count("*").alias("chunks_count"), F.count_if(located).alias("located_chunks"), F.count_if(F.col("page_number").isNotNull()).alias("page_chunks"),
+        F.count_distinct("evidence_type").alias("evidence_types"), F.sum(F.length("text")).alias("text_chars"), F.count_if(F.col("evidence_type").isin("page", "text_page") & filled).alias("searchable_page_chunks_count"),
+        F.count_if((F.col("evidence_type") == "section") & filled).alias("section_chunks_with_body_count"), *kinds,
     )
     a = assets.groupBy("doc_id").agg(F.count("*").alias("assets_count"))
-    return documents.join(c, "doc_id", "left").join(a, "doc_id", "left").na.fill(0, ["chunks_count", "located_chunks", "page_chunks", "evidence_types", "text_chars", "assets_count"])
+    out, counts = documents.join(c, "doc_id", "left").join(a, "doc_id", "left"), [x for x in (*c.columns, *a.columns) if x != "doc_id"]
+    if pages is not None:
+        p = pages.groupBy("doc_id").agg(F.count("*").alias("pages_count"), F.count_if(filled).alias("text_pages_count"), F.count_if(F.coalesce("image_path", F.lit("")) != "").alias("rendered_pages_count"))
+        out, counts = out.join(p, "doc_id", "left"), counts + [x for x in p.columns if x != "doc_id"]
+    return out.na.fill(0, counts).withColumn("text_chunks_count", F.greatest(F.col("chunks_count") - F.col("image_chunks_count"), F.lit(0)))
 
 
 def page_counters(pages: DataFrame) -> DataFrame:
@@ -83,13 +98,13 @@ def page_text_limit(kind: Column, pages: Column, all_pages: bool, most_text: int
     return F.when(kind == "manual_pdf", pages).otherwise(F.least(pages, F.lit(most_rendered)) if most_rendered is not None else pages)
 
 
-def semantic_titles(pages: DataFrame, rules: list[tuple[str, str]], document_title: str = "document_title") -> DataFrame:
-    """Adds semantic_title: the first rule (title, needle) that a page's text fits; else the document's title on its first
-    page only."""
+def semantic_titles(pages: DataFrame, rules: list[tuple[str, str]] | None = None, document_title: str = "document_title") -> DataFrame:
+    """Adds semantic_title: what a page's words say (or the first of other rules, (title, needle), that fits); else the document's
+    title on its first page only."""
     from pyspark.sql import Window
 
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number")) == 1
-    own = F.coalesce(*[F.when(F.contains(F.lower("text"), F.lit(n)), F.lit(t)) for t, n in rules], F.lit(None).cast("string"))
+    own = R.page_title(F.col("text")) if rules is None else F.coalesce(*[F.when(F.contains(F.lower("text"), F.lit(n)), F.lit(t)) for t, n in rules], F.lit(None).cast("string"))
     return pages.withColumn("semantic_title", F.coalesce(own, F.when(first, F.col(document_title))))
 
 

@@ -7,6 +7,7 @@ orders for versions. Every query reads its whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -76,13 +77,11 @@ r AS (SELECT lib.*, b.bm25, b.bm25 + {_ADJUST} AS score FROM lib JOIN b USING (d
 # --- search ---------------------------------------------------------------------------------------------------------------
 
 
-@query(_bm25_sql(["and", "thing"]) + "SELECT row_number() OVER (ORDER BY round(score, 6), doc_id) AS rank, doc_id, chunk_id, round(score, 6) AS score, (SELECT count(*) FROM r) AS total_hits FROM r ORDER BY round(score, 6), doc_id LIMIT 10")
+@query(_bm25_sql(["and", "thing"]) + "SELECT row_number() OVER (ORDER BY round(score, 9), doc_id) AS rank, doc_id, chunk_id, round(score, 6) AS score, (SELECT count(*) FROM r) AS total_hits, 'fts' AS mode FROM r ORDER BY round(score, 9), doc_id LIMIT 10")
 def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A match expression of two words over the library: BM25 and rank adjustment, the first page."""
-    found = search.match_rows(searchable_lib(spark, sf_dir), "and thing").withColumn("score", F.round("score", 6))
-    total = found.groupBy().agg(F.count("*")).scalar()
-    best = found.orderBy("score", "doc_id").limit(10).withColumn("total_hits", total)
-    return best.select(F.row_number().over(Window.orderBy("score", "doc_id")).alias("rank"), "doc_id", "chunk_id", "score", "total_hits")
+    """The search cascade for two words: the first page, by BM25 and rank adjustment."""
+    found = search.search(searchable_lib(spark, sf_dir), "and thing", 10)
+    return found.select("rank", F.col("chunk_id").cast("long").alias("doc_id"), "chunk_id", F.round("score", 6).alias("score"), "total_hits", "mode")
 
 
 @query(_bm25_sql(["und", "der"]) + "SELECT doc_id, round(bm25, 6) AS bm25 FROM r")
@@ -117,9 +116,24 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.with_terms(searchable_lib(spark, sf_dir)).filter(search.predicate(node)).select("doc_id")
 
 
-@query(_LIB + "SELECT doc_id FROM lib WHERE contains(' ' || array_to_string(" + _TERMS.format("concat_ws(' ', title, text, locator)") + ", ' '), ' akia')")
+@query(_LIB + "SELECT doc_id FROM lib WHERE contains(' ' || array_to_string(" + _TERMS.format("concat_ws(' ', title, text, locator)") + ", ' '), ' thion')")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    node = search.parse("akia*")
+    node = search.parse("thion*")
+    return search.with_terms(searchable_lib(spark, sf_dir)).filter(search.predicate(node)).select("doc_id")
+
+
+_TEXT_TERMS = _TERMS.format("text")
+
+
+@query(_LIB + ", t AS (SELECT doc_id, " + _TEXT_TERMS + " AS w FROM lib), p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS k FROM t) SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'the' AND b.term = 'and' AND ((b.k >= a.k AND b.k - a.k - 1 <= 2) OR (a.k >= b.k AND a.k - b.k - 1 <= 2))")
+def near_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = search.parse("text : NEAR(the and, 2)")
+    return search.with_terms(searchable_lib(spark, sf_dir)).filter(search.predicate(node)).select("doc_id")
+
+
+@query(_LIB + "SELECT doc_id FROM lib WHERE (" + _TEXT_TERMS + ")[1] = 'the' OR (" + _TERMS.format("title") + ")[1] = 'the'")
+def initial_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = search.parse("- locator : ^the")
     return search.with_terms(searchable_lib(spark, sf_dir)).filter(search.predicate(node)).select("doc_id")
 
 
@@ -144,11 +158,11 @@ def mention_filter_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.apply_filters(searchable_lib(spark, sf_dir), search.Filters(entities=["toxic"]), mentions).select("doc_id")
 
 
-@query(_LIB + f"SELECT doc_id, round({_ADJUST}, 6) AS adjustment, (SELECT count(*) FROM lib) AS total_hits FROM lib ORDER BY round({_ADJUST}, 6), doc_id LIMIT 10 OFFSET 20")
+@query(_bm25_sql(["the"]) + "SELECT row_number() OVER (ORDER BY round(score, 9), doc_id) AS rank, doc_id, round(score, 6) AS score, (SELECT count(*) FROM r) AS total_hits FROM r ORDER BY round(score, 9), doc_id LIMIT 10 OFFSET 20")
 def paged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = searchable_lib(spark, sf_dir).withColumn("adjustment", F.round(search.rank_adjustment(), 6))
-    total = rows.groupBy().agg(F.count("*")).scalar()
-    return rows.orderBy("adjustment", "doc_id").offset(20).limit(10).select("doc_id", "adjustment", total.alias("total_hits"))
+    """The third page of ten."""
+    found = search.page(search.match_rows(searchable_lib(spark, sf_dir), "the"), "the", 10, 20)
+    return found.select("rank", F.col("chunk_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "total_hits")
 
 
 _POOLS = (
@@ -170,13 +184,17 @@ def token_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.token_rows(searchable_lib(spark, sf_dir), "password fault license", 250).select("doc_id", "token_hits", "best_rank", F.array_join("matched_tokens", ",").alias("matched"))
 
 
-@query(_LIB + "SELECT * FROM (SELECT 'document_kind' AS facet, document_kind AS value, count(*) AS count FROM lib GROUP BY ALL UNION ALL SELECT 'evidence_type', evidence_type, count(*) FROM lib GROUP BY ALL UNION ALL SELECT 'output_dir', output_dir, count(*) FROM lib GROUP BY ALL UNION ALL SELECT 'has_locator', CASE WHEN locator IS NULL THEN 'no' ELSE 'yes' END, count(*) FROM lib GROUP BY ALL)")
+_PAGE = _bm25_sql(["the"]) + ", p AS (SELECT *, row_number() OVER (ORDER BY round(score, 9), doc_id) AS k FROM r QUALIFY k <= 250) "
+_FACET = "SELECT '{0}' AS facet, value, count FROM (SELECT {0} AS value, count(*) AS count, min(k) AS first FROM p GROUP BY {0} ORDER BY count DESC, first LIMIT 8)"
+
+
+@query(_PAGE + " UNION ALL ".join(_FACET.format(c) for c in ("document_kind", "evidence_type", "source_file", "output_dir")) + " UNION ALL SELECT 'has_locator', CASE WHEN locator IS NULL THEN 'no' ELSE 'yes' END, count(*) FROM p GROUP BY ALL UNION ALL SELECT 'entity', CASE toxic WHEN 1 THEN 'toxic' ELSE 'plain' END, count(*) FROM p JOIN labels USING (doc_id) GROUP BY ALL")
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lib(spark, sf_dir).withColumn("rank", F.col("doc_id"))
-    out = search.locator_facet(rows).select(F.lit("has_locator").alias("facet"), "value", "count")
-    for c in ("document_kind", "evidence_type", "output_dir"):
-        out = out.unionByName(search.facet(rows, c).select(F.lit(c).alias("facet"), "value", "count"))
-    return out
+    """The facets of a search's first 250 results."""
+    mentions = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("chunk_id"), F.when(F.col("toxic") == 1, "toxic").otherwise("plain").alias("entity_text"))
+    found = search.facets(searchable_lib(spark, sf_dir), "the", mentions)
+    parts = [rows.select(F.lit(name).alias("facet"), "value", "count") for name, rows in found.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _CONV = "SELECT conv_id AS doc_id, turn, role, text, concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS chunk_id FROM {conversations}"
@@ -200,19 +218,24 @@ def open_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.open_chunk(_turns(spark, sf_dir), "0-1")[0].select("doc_id", "chunk_id", "role")
 
 
-@query(_LIB + "SELECT d.source_file, count(c.conv_id) AS chunk_count FROM (SELECT DISTINCT doc_id, source_file FROM lib WHERE source_file ILIKE '%src1%' OR title ILIKE '%src1%') d LEFT JOIN conversations c ON c.conv_id = d.doc_id GROUP BY d.source_file")
+@query(_LIB + ", f AS (SELECT doc_id, source_file FROM lib WHERE source_file ILIKE '%src1%' OR title ILIKE '%src1%' OR source_path ILIKE '%src1%' ORDER BY source_file, doc_id LIMIT 20) SELECT f.doc_id, f.source_file, count(c.conv_id) AS chunk_count FROM f LEFT JOIN conversations c ON c.conv_id = f.doc_id GROUP BY ALL")
 def locate_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = lib(spark, sf_dir)
+    """The first page of the documents that a name finds."""
     chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"))
-    found = search.located(docs, chunks, "src1")
-    return found.groupBy("source_file").agg(F.sum("chunk_count").alias("chunk_count"))
+    return search.locate(lib(spark, sf_dir), chunks, "src1").select("doc_id", "source_file", "chunk_count")
+
 
+@query(_LIB + "SELECT d.source_file, count(c.conv_id) AS chunk_count FROM (SELECT DISTINCT doc_id, source_file FROM lib WHERE source_file ILIKE '%src1%' OR title ILIKE '%src1%') d LEFT JOIN conversations c ON c.conv_id = d.doc_id GROUP BY d.source_file")
+def located_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that a name finds, by source."""
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"))
+    return search.located(lib(spark, sf_dir), chunks, "src1").groupBy("source_file").agg(F.sum("chunk_count").alias("chunk_count"))
 
-@query(_bm25_sql(["the"]) + "SELECT source AS library_id, rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 6), doc_id) AS rank FROM r) WHERE rank <= 3")
+
+@query(_bm25_sql(["the"]) + "SELECT source AS library_id, rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 9), doc_id) AS rank FROM r) WHERE rank <= 3")
 def multi_library_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.match_rows(searchable_lib(spark, sf_dir).withColumn("library_id", F.col("source")), "the")
-    best = Window.partitionBy("library_id").orderBy(F.round("_order", 6), "doc_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter("rank <= 3").select("library_id", "rank", "doc_id")
+    rows = searchable_lib(spark, sf_dir).withColumn("library_id", F.col("source"))
+    return search.multi_library(rows, "the", 3).select("library_id", "rank", "doc_id")
 
 
 # --- text and classification ----------------------------------------------------------------------------------------------
@@ -269,30 +292,37 @@ def line_pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.pack_lines(table(spark, sf_dir, "documents")).select("doc_id", "position", "char_count", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-_H1 = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+_BODY = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<head\b.*?</head>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g')"
+_PLAIN_TEXT = r"list_transform(regexp_extract_all(b, '{}', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')))"
+_OUTLINE = (
+    "WITH b AS (SELECT page_id, " + _BODY + " AS b FROM pages), o AS (SELECT page_id, "
+    + _PLAIN_TEXT.format("(?is)<h1[^>]*>(.*?)</h1>") + " AS heads, list_filter(" + _PLAIN_TEXT.format(r"(?is)<(?:li|p)\b[^>]*>(.*?)</(?:li|p)>") + ", lambda x: x <> '') AS items FROM b), "
+    + "m AS (SELECT page_id, heads, array_to_string(list_transform(heads, lambda x: '# ' || x), chr(10)) || chr(10) || array_to_string(list_transform(items, lambda x: '- ' || x), chr(10)) AS markdown FROM o) "
+)
 
 
-@query(f"SELECT page_id, {_H1} AS heading FROM pages")
+@query(_OUTLINE + ", c AS (SELECT page_id, coalesce(heads[len(heads)], '') AS heading, trim(markdown, ' ' || chr(10)) AS t FROM m), k AS (SELECT page_id, heading, t, unnest(range(0, CASE WHEN length(t) <= 1600 THEN 1 ELSE CAST(ceil(length(t) / 1600.0) AS BIGINT) END)) AS position FROM c) SELECT page_id, position, heading, length(trim(CASE WHEN length(t) <= 1600 THEN t ELSE t[position * 1600 + 1:position * 1600 + 1600] END, ' ' || chr(10))) AS char_count FROM k")
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as Markdown, cut at their headings: the path of the section of each page's heading."""
+    """Pages as Markdown, cut at their headings and at the usual size."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("slug"), chunking.html_outline(F.col("html")).alias("markdown"))
-    found = chunking.chunk_markdown(pages, 1_000_000).filter("size(heading_path) > 0")
-    return found.groupBy(F.col("doc_id").alias("page_id")).agg(F.min_by(F.get("heading_path", F.lit(0)), "position").alias("heading"))
+    found = chunking.chunk_markdown(pages)
+    return found.select(F.col("doc_id").alias("page_id"), "position", F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.lit("")).alias("heading"), "char_count")
 
 
-@query(r"SELECT page_id, len(list_filter(regexp_extract_all(html, '(?is)<li\b[^>]*>(.*?)</li>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', ' ', 'g')) <> '')) AS items FROM pages")
+@query(_OUTLINE + "SELECT page_id, length(markdown) AS n_chars, md5(markdown) AS digest FROM m")
 def html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = F.regexp_extract_all("html", F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(F.filter(items, lambda x: F.trim(F.regexp_replace(x, "<[^>]+>", " ")) != "")).alias("items"))
+    own = table(spark, sf_dir, "pages").select("page_id", chunking.html_outline(F.col("html")).alias("m"))
+    return own.select("page_id", F.length("m").cast("long").alias("n_chars"), F.md5(F.col("m").cast("binary")).alias("digest"))
 
 
-@query("WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), r AS (SELECT conv_id, turn, role, length(text) AS n FROM conversations WHERE turn < 2) SELECT coalesce(t.conv_id, r.conv_id) AS doc_id, coalesce(t.turn, r.turn) AS page_number, length(t.text) AS n_text, r.role AS image_path FROM t FULL JOIN r ON t.conv_id = r.conv_id AND t.turn = r.turn")
+@query("WITH r AS (SELECT page_id AS doc_id, 0 AS page_number, url FROM pages), t AS (SELECT conv_id AS doc_id, turn AS page_number, CASE WHEN role = 'user' THEN text END AS text, role FROM conversations) SELECT doc_id, page_number, CASE WHEN t.text <> '' THEN length(t.text) ELSE coalesce(length(r.url), length(t.text)) END AS n_text, r.url AS image_path, CASE WHEN t.text <> '' THEN t.role ELSE coalesce('rendered' || left(r.url, 0), t.role) END AS semantic_title FROM t FULL JOIN r USING (doc_id, page_number)")
 def merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), "role", "text")
+    """Turns as pages with text (some without), pages as rendered ones; both whole."""
     none = lambda name: F.lit(None).cast("string").alias(name)
-    text = own.filter("role = 'user'").select("doc_id", "page_number", "text", F.length("text").alias("text_char_count"), none("semantic_title"), none("locator"), none("image_path"))
-    rendered = own.filter("page_number < 2").select("doc_id", "page_number", none("text"), F.lit(None).cast("int").alias("text_char_count"), none("semantic_title"), none("locator"), F.col("role").alias("image_path"))
-    return chunking.merge_pages(text, rendered).select("doc_id", "page_number", F.col("text_char_count").alias("n_text"), "image_path")
+    own = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("role") == "user", F.col("text")))
+    text = own.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), "text", F.length("text").alias("text_char_count"), F.col("role").alias("semantic_title"), none("locator"), none("image_path"))
+    rendered = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).cast("long").alias("page_number"), none("text"), F.length("url").alias("text_char_count"), F.lit("rendered").alias("semantic_title"), none("locator"), F.col("url").alias("image_path"))
+    return chunking.merge_pages(text, rendered).select("doc_id", "page_number", F.col("text_char_count").alias("n_text"), "image_path", "semantic_title")
 
 
 # --- entities, joins, sets ------------------------------------------------------------------------------------------------
@@ -386,11 +416,16 @@ def _report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REPORT = _LIB + ", x AS (SELECT lib.*, CASE WHEN quality = 0 THEN 'low_structure' WHEN quality IS NOT NULL THEN 'ok' END AS quality_status, toxic AS page_number, coalesce(toxic = 1, false) AS is_noisy, lang AS extension FROM lib LEFT JOIN labels USING (doc_id)) "
 
 
-@query(_REPORT + "SELECT count(*) AS chunks, count(*) FILTER (is_noisy) AS noisy_chunks, count(locator) AS chunks_with_locator, count(*) - count(locator) AS chunks_without_locator, count(DISTINCT doc_id) AS documents_with_chunks FROM x")
+_METRICS = ["chunks", "noisy_chunks", "chunks_with_locator", "chunks_without_locator", "documents_with_chunks", "documents", "low_structure_documents", "document_kinds", "entities", "entity_types", "mentions", "documents_with_entities"]
+
+
+@query(_REPORT + ", c AS (SELECT conv_id AS doc_id, CASE WHEN role = 'user' THEN 'p. 1' END AS locator, turn > 5 AS is_noisy FROM conversations), e AS (SELECT DISTINCT event_type, user_id FROM events) SELECT (SELECT count(*) FROM c) AS chunks, (SELECT count(*) FILTER (is_noisy) FROM c) AS noisy_chunks, (SELECT count(locator) FROM c) AS chunks_with_locator, (SELECT count(*) - count(locator) FROM c) AS chunks_without_locator, (SELECT count(DISTINCT doc_id) FROM c) AS documents_with_chunks, (SELECT count(*) FROM x) AS documents, (SELECT count(*) FILTER (quality_status = 'low_structure') FROM x) AS low_structure_documents, (SELECT count(DISTINCT document_kind) FROM x) AS document_kinds, (SELECT count(*) FROM e) AS entities, (SELECT count(DISTINCT event_type) FROM e) AS entity_types, (SELECT count(*) FROM events) AS mentions, (SELECT count(DISTINCT user_id) FROM events) AS documents_with_entities")
 def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _report_rows(spark, sf_dir)
-    empty = x.select(F.lit("a").alias("entity_type"), "doc_id")
-    return reports.metrics(x, x, empty, empty).filter("metric in ('chunks', 'noisy_chunks', 'chunks_with_locator', 'chunks_without_locator', 'documents_with_chunks')").groupBy().pivot("metric", ["chunks", "noisy_chunks", "chunks_with_locator", "chunks_without_locator", "documents_with_chunks"]).agg(F.first("value"))
+    """Documents, turns as their chunks, kinds of events as entities, events as mentions."""
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.when(F.col("role") == "user", "p. 1").alias("locator"), (F.col("turn") > 5).alias("is_noisy"))
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("entity_type"), F.col("user_id").alias("doc_id"))
+    found = reports.metrics(_report_rows(spark, sf_dir), chunks, events.distinct(), events)
+    return found.groupBy().pivot("metric", _METRICS).agg(F.first("value"))
 
 
 @query(_REPORT + "SELECT 'document_kind' AS dimension, document_kind AS value, count(*) AS missing FROM x WHERE locator IS NULL GROUP BY ALL UNION ALL SELECT 'evidence_type', evidence_type, count(*) FROM x WHERE locator IS NULL GROUP BY ALL UNION ALL SELECT 'extension', extension, count(*) FROM x WHERE locator IS NULL GROUP BY ALL")

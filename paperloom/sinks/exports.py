@@ -38,6 +38,53 @@ def write_library(library, folder: str) -> None:
     library.chunks.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/chunks")
 
 
+def write_packs(documents: DataFrame, chunks: DataFrame, folder: str) -> None:
+    """A folder for each document with its artifacts: document.md, document.raw.md, document.json, manifest.json, knowledge.json,
+    entities.json, source_map.json, chunks.jsonl.
+
+    documents: doc_id, output_dir, markdown, raw_markdown, and manifest, knowledge, entities, document (structs or JSON texts);
+    chunks: doc_id, chunk_ord and the fields of a chunk. A document's chunks are written with it, in order, from one sorted
+    group of rows that is never held whole; files are written over by a task that runs again, with the same content."""
+    from pyarrow import fs
+
+    fields = [c for c in chunks.columns if c not in ("doc_id", "chunk_ord")]
+    no_text = F.lit(None).cast("string")
+    heads = documents.select(
+        "doc_id", "output_dir", F.lit(-1).cast("long").alias("chunk_ord"), no_text.alias("chunk_id"), no_text.alias("chunk"),
+        *[(F.col(c) if dict(documents.dtypes)[c] == "string" else F.to_json(c)).alias(c) for c in ("markdown", "raw_markdown", "manifest", "knowledge", "entities", "document")],
+    )
+    none = [no_text.alias(c) for c in ("markdown", "raw_markdown", "manifest", "knowledge", "entities", "document")]
+    rows = chunks.join(documents.select("doc_id", "output_dir"), "doc_id").select("doc_id", "output_dir", F.col("chunk_ord").cast("long").alias("chunk_ord"), "chunk_id", F.to_json(F.struct(*fields)).alias("chunk"), *none)
+    ordered = heads.unionByName(rows).repartition("doc_id").sortWithinPartitions("doc_id", "chunk_ord")
+
+    def write(found: Iterator) -> None:
+        store, at = fs.FileSystem.from_uri(folder)
+        lines = places = None
+        for r in found:
+            if r["chunk_ord"] == -1:
+                for f in (lines, places):
+                    if f is not None:
+                        f.write(b"}" if f is places else b"")
+                        f.close()
+                own = f"{at}/{r['output_dir']}"
+                store.create_dir(f"{own}/assets", recursive=True)
+                for name, column in (("document.md", "markdown"), ("document.raw.md", "raw_markdown"), ("manifest.json", "manifest"), ("knowledge.json", "knowledge"), ("entities.json", "entities"), ("document.json", "document")):
+                    with store.open_output_stream(f"{own}/{name}") as f:
+                        f.write((r[column] or "").encode())
+                lines, places, first = store.open_output_stream(f"{own}/chunks.jsonl"), store.open_output_stream(f"{own}/source_map.json"), True
+                places.write(b"{")
+            else:
+                lines.write(r["chunk"].encode() + b"\n")
+                places.write((b"" if first else b", ") + f"{json.dumps(r['chunk_id'])}: {json.dumps({k: v for k, v in json.loads(r['chunk']).items() if k != 'text'}, ensure_ascii=False)}".encode())
+                first = False
+        for f in (lines, places):
+            if f is not None:
+                f.write(b"}" if f is places else b"")
+                f.close()
+
+    ordered.foreachPartition(write)
+
+
 def json_contract(rows: DataFrame, schema_version: str, columns: list[str]) -> DataFrame:
     """One JSON text for each row, its keys in the given order, with the contract's version first."""
     return rows.select(F.to_json(F.struct(F.lit(schema_version).alias("schema_version"), *columns), {"ignoreNullFields": "false"}).alias("value"))
@@ -63,18 +110,60 @@ def portal(documents: DataFrame) -> DataFrame:
     return documents.groupBy(F.col("document_kind").alias("page")).agg(F.concat(F.lit("# "), F.first("document_kind"), F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("markdown"))
 
 
-def vault_notes(documents: DataFrame, previews: DataFrame) -> DataFrame:
-    """name (unique whatever the case), markdown: a note with front matter for each document."""
+def _unique_names(rows: DataFrame, title: str, key: str) -> DataFrame:
+    """Adds name: a file name that is unique whatever the case; later ones of a name end with a part of their key's hash."""
     from pyspark.sql import Window
 
-    name = T.note_name(F.col("title"))
-    own = documents.join(previews, "doc_id", "left").withColumn("_name", name)
-    n = F.row_number().over(Window.partitionBy(F.lower("_name")).orderBy("doc_id"))
-    named = own.withColumn("_n", n).withColumn("name", F.when(F.col("_n") == 1, F.col("_name")).otherwise(F.concat("_name", F.lit("-"), F.substring(F.sha1(F.col("doc_id").cast("string").cast("binary")), 1, 8))))
+    own = rows.withColumn("_name", T.note_name(F.col(title)))
+    n = F.row_number().over(Window.partitionBy(F.lower("_name")).orderBy(key))
+    named = F.when(F.col("_n") == 1, F.col("_name")).otherwise(F.concat("_name", F.lit("-"), F.substring(F.sha1(F.col(key).cast("string").cast("binary")), 1, 8)))
+    return own.withColumn("_n", n).withColumn("name", named).drop("_n", "_name")
+
+
+def vault_notes(documents: DataFrame, previews: DataFrame) -> DataFrame:
+    """name (unique whatever the case), markdown: a note with front matter for each document."""
+    named = _unique_names(documents.join(previews, "doc_id", "left"), "title", "doc_id")
     body = F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.coalesce("preview", F.lit("")))
     return named.select("name", T.front_matter({"doc_id": F.col("doc_id"), "document_kind": F.col("document_kind")}, body).alias("markdown"))
 
 
+def concept_notes(concepts: DataFrame, evidence: DataFrame, most: int = 100, most_evidence: int = 5) -> DataFrame:
+    """name, markdown: a note for each of the `most` heaviest concepts (label, weight, doc_count) with up to `most_evidence` places
+    (label, document_title, locator, ord) where it stands."""
+    from pyspark.sql import Window
+
+    chosen = concepts.orderBy(F.desc("weight"), "label").limit(most)
+    near = evidence.join(F.broadcast(chosen.select("label")), "label").withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy("ord")))  # `most` labels
+    places = near.filter(F.col("_n") <= most_evidence).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("_n", "document_title", F.coalesce("locator", F.lit("")).alias("locator")))).alias("_p"))
+    lines = F.array_join(F.transform("_p", lambda x: F.concat(F.lit("- [["), x["document_title"], F.lit("]] "), x["locator"])), "\n")
+    named = _unique_names(chosen.join(places, "label", "left"), "label", "label")
+    body = F.concat(F.lit("# "), F.col("label"), F.lit("\n\n## Evidence\n\n"), F.coalesce(lines, F.lit("")))
+    return named.select("name", T.front_matter({"label": F.col("label"), "weight": F.col("weight"), "documents": F.col("doc_count")}, body).alias("markdown"))
+
+
+def export_vault(notes: DataFrame, concepts: DataFrame, folder: str, report: str = "", overwrite: bool = False, dry_run: bool = False) -> dict:
+    """Documents/, Concepts/, an index note, a report note and a manifest; a dry run only says what would be written."""
+    manifest = {"documents_exported": notes.count(), "concepts_exported": concepts.count(), "overwrite": overwrite, "dry_run": dry_run, "folder": folder}
+    if dry_run:
+        return manifest
+    write_vault(notes, f"{folder}/Documents", overwrite)
+    write_vault(concepts, f"{folder}/Concepts", overwrite)
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(folder)
+    index = store.open_output_stream(f"{at}/00_Index.md")
+    for title, rows in (("Documents", notes), ("Concepts", concepts)):
+        index.write(f"# {title}\n\n".encode())
+        for r in rows.select("name").orderBy("name").toLocalIterator():  # a partition's names at a time
+            index.write(f"- [[{r['name']}]]\n".encode())
+        index.write(b"\n")
+    index.close()
+    for name, text in (("00_Library_Report.md", f"# Library report\n\n{report}\n"), ("export_manifest.json", json.dumps(manifest, ensure_ascii=False))):
+        with store.open_output_stream(f"{at}/{name}") as f:
+            f.write(text.encode())
+    return manifest
+
+
 def write_vault(notes: DataFrame, folder: str, overwrite: bool = False) -> None:
     """The notes as text files; a folder that isn't empty is refused unless overwrite is set."""
     from pyarrow import fs

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import rules as R
 from paperloom.functions import text as T
+from paperloom.functions import vocabulary as V
 from paperloom.operators import changes, chunking, concepts, library, reports, search
 from paperloom.sinks import exports
 from paperloom.sources import files
@@ -57,7 +58,7 @@ def test_slides_topics_and_tables(spark):
     assert [(r["row_number"], r["cells"]) for r in rows] == [(2, {"a": "1", "b": "2"}), (4, {"a": "5", "b": "6"})]
     assert value(spark, T.key_values(F.lit("| k | 1 |\n|---|---|\n| k | 2 |\n| x | y |"))) == {"k": "2", "x": "y"}
     slides = spark.createDataFrame([(1, 1, "t", "a"), (1, 2, "t", "b"), (1, 5, "u", "c")], "doc_id long, slide_number int, topic string, text string")
-    assert {r["topic"]: r["locator"] for r in chunking.topics(slides, ["t", "u"]).collect()} == {"t": "Slides 1-2", "u": "Slides 5"}
+    assert {r["topic"]: r["locator"] for r in chunking.topics(slides, ["t", "u"]).collect()} == {"t": "Slides 1-2", "u": "Slide 5"}
 
 
 def test_text_functions(spark):
@@ -80,11 +81,11 @@ def test_text_functions(spark):
 
 
 def test_rules(spark):
-    assert value(spark, R.first_rule(F.lit("an operating manual"), R.KIND_RULES, "x")) == "manual_pdf"
+    assert value(spark, R.first_rule(F.lit("an operating manual"), V.NAME_KINDS, "x")) == "manual_pdf"
     assert value(spark, R.additive_kind(F.lit("a b"), [("a", 2), ("b", 1), ("c", 5)], 3, "k", F.lit("o"))) == "k"
     assert value(spark, R.quality_status(F.lit(0), F.lit(0), F.lit(False), F.lit(1))) == "visual_only"
     assert value(spark, R.evidence_type(F.lit(None).cast("string"), F.lit(1), F.lit("i"), F.lit(""))) == "image"
-    assert value(spark, R.result_status(F.lit("Test PASSED with remarks"))) == "passed_with_remarks"
+    assert value(spark, R.result_status(F.lit("Batch 3: Stability: PASS, approved"))) == "Approved" and value(spark, R.result_status(F.lit("failure"))) == ""
     assert value(spark, R.unsupported_reason(F.lit("~$a.docx"), F.lit("docx"))) == "office lock file"
 
 
@@ -157,7 +158,8 @@ def test_change_plan_pairs_moves_once(spark):
     registry = spark.createDataFrame([("gone1", 1, 1, "h", True), ("same", 2, 2, "s", True), ("mod", 3, 3, "m", True), ("lost", 9, 9, "z", True), ("old", 1, 1, "o", False)], schema + ", manifest_there boolean")
     plan = {r["path"]: (r["status"], r["previous_path"]) for r in changes.change_plan(current, registry).collect()}
     assert plan == {"new1": ("moved_or_renamed_candidate", "gone1"), "new2": ("new", None), "same": ("unchanged", "same"), "mod": ("modified", "mod"), "lost": ("deleted_missing", "lost"), "old": ("stale", "old")}
-    assert changes.library_status({"unchanged": 3}) == "current" and changes.library_status({"new": 1}) == "stale"
+    assert changes.library_status(0) == "current" and changes.library_status(2) == "stale" and changes.library_status(None) == "unknown"
+    assert changes.library_status(0, {"new": 1}) == "stale" and changes.library_status(None, None, "current") == "current" and changes.library_status(0, {"unchanged": 3}) == "current"
     with pytest.raises(ValueError):
         changes.linked_version([], None, False)
 
@@ -274,7 +276,8 @@ def test_conversion_results(spark):
     manifests = workspace.failure_manifests(sources, first)
     assert {r["source_path"]: (r["status"], r["markdown"], r["errors"]) for r in manifests.collect()} == {"a": ("failed", "", ["boom"]), "b": ("success", "text", [])}
     index = workspace.output_index(manifests, spark.createDataFrame([("b", "Title")], "source_path string, title string"))
-    assert {r["markdown"] for r in index.collect()} == {"| a | failed |", "| Title | success |"}
+    assert {r["markdown"] for r in index.collect()} == {"| [a](a/document.md) | document | ok |  | 0 | 0 |", "| [b](Title/document.md) | document | ok |  | 0 | 0 |"}
+    assert len(manifests.columns) == 18  # 17 fields and the text
     pages = spark.createDataFrame([(1, 1, "intro", "Doc"), (1, 2, "see the alarm list", "Doc"), (1, 3, "x", "Doc")], "doc_id long, page_number int, text string, document_title string")
     titles = [r["semantic_title"] for r in knowledge.semantic_titles(pages, [("Alarms", "alarm list")]).orderBy("page_number").collect()]
     assert titles == ["Doc", "Alarms", None]
@@ -336,16 +339,94 @@ def test_index_json(spark):
 
 
 def test_batches_and_phases(spark):
-    windows = spark.createDataFrame([(1, "B1", 0, "no result", False, "s1"), (1, "B1", 1, "test passed", True, "s2"), (1, "B1", 2, "failed", False, "s3")], "doc_id long, batch_id string, ord int, window string, has_table boolean, locator string")
-    row = chunking.batch_studies(windows).first()
-    assert (row["status"], row["confidence"], row["locators"]) == ("passed", "high", ["s1", "s2", "s3"])
-    sheet = docs(spark, "| phase | v |\n|---|---|\n| heating | 1 |\n| cooling | 2 |")
-    assert {r["phase"] for r in chunking.sheet_phases(sheet, {"heat": r"\bheating\b", "mix": r"\bmixing\b"}).collect()} == {"heat"}
-    assert value(spark, chunking.group_path(F.lit("Plant\\Unit\\Bilder\\x"), ["Bilder"])) == "Plant/Unit"
+    md = (
+        "<!-- Slide number: 2 -->\nBatch\n| Batch | VL123456 50 kg | TC000001 |\n|---|---|---|\n| Batch purpose | M4E 5 L/min | x |\n| Results | Shake stability fail | Stability ok |\n"
+        "<!-- Slide number: 5 -->\nM4E pilot scale up\nVL123456 with Symex\napproved\n<!-- Slide number: 7 -->\nFormula technical risk assessment\nVL999999 fail"
+    )
+    slides = chunking.slides(docs(spark, md))
+    found = {r["batch_id"]: r for r in chunking.batch_studies(chunking.batch_candidates(slides)).collect()}
+    assert {k: r["status"] for k, r in found.items()} == {"VL123456": "Approved", "TC000001": "Stability ok", "VL999999": ""}
+    best = found["VL123456"]
+    assert (best["slide_number"], best["confidence"], best["locators"], best["batch_size"], best["parameter"]) == (5, "high", ["Slide 2", "Slide 5"], "50 kg", "5 L/min")
+    own = docs(spark, md).withColumns({"source_file": F.lit("a.pptx"), "document_kind": F.lit("process_development_presentation")})
+    chunks = chunking.chunk_documents(own).orderBy("position").collect()
+    assert [r["evidence_type"] for r in chunks] == ["slide"] * 3 + ["topic"] * 3 + ["batch_study"] * 3
+    assert [r["chunk_id"] for r in chunks] == [f"d0_{k:04d}" for k in range(1, 10)]
+    sheet = docs(spark, "# Plan\n| phase | v |\n|---|---|\n| Pilot | 1 |\n| Production | 2 |\n", "# A\n\ntext")
+    kinds = F.when(F.col("doc_id") == 0, "mpdp_table_xlsx").otherwise("document")
+    rows = chunking.chunk_documents(sheet.withColumns({"source_file": F.lit("a.xlsx"), "document_kind": kinds})).orderBy("doc_id", "position").collect()
+    assert [(r["evidence_type"], r["locator"]) for r in rows] == [
+        ("table", "Sheet: Plan / Table 1"), ("table_section", "Sheet: Plan / Phase: Pilot"), ("table_section", "Sheet: Plan / Phase: Production"), ("text", None),
+    ]
+    assert {r["phase"] for r in chunking.sheet_phases(sheet, {"p": r"\bpilot\b", "mix": r"\bmixing\b"}).collect()} == {"p"}
+    assert value(spark, chunking.group_path(F.lit("SY1_PLC+HMI_V2\\Bilder\\Plant\\Unit\\Textfeld 3"))) == "Plant / Unit"
     rows = spark.createDataFrame([(1, 2, "g", "a"), (1, 3, "g", "b")], "doc_id long, row_number int, group_path string, line string")
     assert chunking.row_groups(rows, 1).first()["text"] == "a"
 
 
+def test_words_of_documents(spark):
+    text = "Symex  CML  125 with HMI; commission no. A-17 and commission: make\n- revision:  B\nsee ENG-1234567"
+    own = spark.createDataFrame([(1, "/in/SY1234567.pdf", text, "manual_pdf"), (2, "/in/b.pdf", None, None)], "doc_id long, source_path string, markdown string, document_kind string")
+    found = {(r["entity_type"], r["entity_text"]) for r in library.group_entities(own).filter("doc_id = 1").collect()}
+    assert found == {
+        ("organization", "Symex"), ("line", "CML125"), ("equipment", "HMI"), ("commission_number", "A-17"), ("revision", "B"), ("drawing_number", "ENG-1234567"),
+        ("project_number", "SY1234567"), ("order_number", "SY1234567"), ("document_type", "operating manual"),
+    }
+    kind = lambda path, text="": value(spark, R.document_kind(F.lit(path), F.lit(text)))
+    assert kind("/a/data.pdf") == "datasheet_pdf" and kind("/P_and_ID/Wiring-Diagram/x.PDF") == "technical_drawing_pdf" and kind("/a/EATON 5.pdf") == "component_document_pdf"
+    assert kind("/a/x.docx", "the PPPBC release") == "release_rationale_docx" and kind("x.txt") == "document" and kind("/a/x.pdf", "") == "generic_pdf"
+    assert value(spark, R.tags(F.lit("/a/Flowsheet P&ID.pdf"), F.lit("technical_drawing_pdf"), F.lit("low_structure"))) == ["flowsheet", "p-id", "mechanical-design", "pdf", "low-structure", "technical-drawing"]
+    assert value(spark, T.section_title(F.lit(" Media  supply. "))) == "Media Supply" and value(spark, T.section_title(F.lit("pump data"))) == "Pump data"
+    assert value(spark, T.repaired(F.lit("Est茅e "))) == "Esteé"
+    assert value(spark, T.front_matter({"a": F.lit('x: "y" # z'), "n": F.lit(3), "none": F.lit(None).cast("string")}, F.lit("b"))) == '---\na: "x: \\"y\\" # z"\nn: 3\nnone: null\n---\n\nb'
+    label = lambda x, base, kind="manual_pdf", title="t": value(spark, concepts.source_type(F.lit(x), F.lit(base), F.lit(kind), F.lit(title)))
+    assert label("Risk study", "heading") == "structured_header" and label("pump", "heading", "generic_pdf") == "weak_page_title" and label("pump", "entity", "generic_pdf") == "entity"
+    mentions = spark.createDataFrame([(1, "a", "A"), (1, "b", "B"), (2, "a", "A"), (2, "c", "C")], "doc_id long, entity_id string, label string")
+    nodes, edges = concepts.entity_graph(mentions, 2)
+    assert [r["entity_id"] for r in nodes.collect()] == ["a", "b"] and [tuple(r) for r in edges.collect()] == [("a", "b", 1)]
+
+
+def test_records_of_a_library(spark, tmp_path):
+    from paperloom.operators import workspace
+
+    folder, path = f"file://{tmp_path}/lib", f"file://{tmp_path}/ws"
+    assert workspace.load_record(spark, f"{folder}/x", {"a": 1}) == {"a": 1} and workspace.load_registry(spark, folder).count() == 0
+    registry = spark.createDataFrame([("a", 1, 1, "h", "registered"), ("b", 1, 1, "g", "registered")], workspace.REGISTRY_SCHEMA)
+    workspace.save_registry(registry, folder)
+    assert workspace.save_state(spark, folder)["status"] == "current" and workspace.load_record(spark, f"{folder}/library_state")["counts"]["registered_sources"] == 2
+    workspace.add_to_catalog(spark, path, "one", "One", folder, "/src")
+    workspace.add_to_catalog(spark, path, "two", "Two", folder)
+    now = registry.drop("status").filter("path = 'a'").unionByName(spark.createDataFrame([("c", 2, 2, "z")], "path string, size long, mtime long, sha256 string"))
+    review = workspace.kb_review(spark, path, "one", lambda root: now)
+    assert (review["change_counts"]["new"], review["change_counts"]["deleted_missing"], review["library_status"]["status"]) == (1, 1, "stale")
+    assert workspace.kb_review(spark, path, "two")["warnings"] == [workspace.NO_ROOT]
+    with pytest.raises(ValueError):
+        workspace.kb_review(spark, path, "three")
+    for _ in range(3):
+        last = workspace.register_library(spark, path, "/l", "/s", "h", 1, 2, dirty=False)
+    assert workspace.register_output(spark, path, "/o", "vault", last["library_version_id"])[0]["library_version_id"] == last["library_version_id"]
+
+
+def test_packs_and_vault(spark, tmp_path):
+    folder = f"file://{tmp_path}/out"
+    documents = spark.createDataFrame([(1, "one", "# A", "raw", '{"m": 1}'), (2, "two", "# B", "raw", '{"m": 2}')], "doc_id long, output_dir string, markdown string, raw_markdown string, manifest string")
+    documents = documents.withColumns({c: F.struct(F.col("doc_id").alias("k")) for c in ("knowledge", "entities", "document")})
+    chunks = spark.createDataFrame([(1, 1, "one_2", "second", "p. 2"), (1, 0, "one_1", "first", "p. 1")], "doc_id long, chunk_ord int, chunk_id string, text string, locator string")
+    exports.write_packs(documents, chunks, folder)
+    lines = [json.loads(x) for x in (tmp_path / "out/one/chunks.jsonl").read_text().splitlines()]
+    assert [x["chunk_id"] for x in lines] == ["one_1", "one_2"] and json.loads((tmp_path / "out/one/source_map.json").read_text())["one_2"]["locator"] == "p. 2"
+    assert json.loads((tmp_path / "out/two/manifest.json").read_text()) == {"m": 2} and (tmp_path / "out/two/chunks.jsonl").read_text() == "" and json.loads((tmp_path / "out/two/source_map.json").read_text()) == {}
+    notes = exports.vault_notes(spark.createDataFrame([(1, "A: b", "k"), (2, "a/ b", "k")], "doc_id long, title string, document_kind string"), spark.createDataFrame([(1, "p")], "doc_id long, preview string"))
+    ideas = spark.createDataFrame([("pump", 5.0, 2), ("valve", 4.0, 1)], "label string, weight double, doc_count long")
+    evidence = spark.createDataFrame([("pump", "A b", "p. 1", 1), ("pump", "A b", None, 2)], "label string, document_title string, locator string, ord int")
+    concept = exports.concept_notes(ideas, evidence, 1, 1)
+    assert "- [[A b]] p. 1" in concept.first()["markdown"] and concept.count() == 1
+    vault = f"file://{tmp_path}/vault"
+    assert exports.export_vault(notes, concept, vault, dry_run=True)["documents_exported"] == 2 and not (tmp_path / "vault").exists()
+    exports.export_vault(notes, concept, vault, "fine")
+    assert len(list((tmp_path / "vault/Documents").iterdir())) == 2 and "[[pump]]" in (tmp_path / "vault/00_Index.md").read_text()
+
+
 def test_reuse_and_staging(spark):
     packs = spark.createDataFrame([("p", "n", "success", "h", "h", True, True), ("q", "n", "success", "h", "x", True, True), ("r", "m", None, None, None, None, None)], "path string, name string, manifest_status string, manifest_checksum string, sha256 string, has_chunks boolean, has_document boolean")
     assert {r["path"]: r["refusal"] for r in changes.reuse_refusal(packs).collect()} == {"p": None, "q": "checksum differs", "r": "manifest missing"}
@@ -359,20 +440,22 @@ def test_reuse_and_staging(spark):
 
 def test_greedy_edges_and_neighbourhood(spark):
     edges = spark.createDataFrame([("d1", "x", 5), ("d2", "y", 4), ("d1", "y", 3)], "source string, target string, count long")
-    assert concepts.admit_edges(edges, 3) == [("d1", "x", 5), ("d1", "y", 3)]
+    assert {tuple(r) for r in concepts.admit_edges(edges, 3).collect()} == {("d1", "x", 5), ("d1", "y", 3)}
+    many = [(f"d{k % 40}", f"c{k * 7 % 90}", 1000 - k) for k in range(400)]
+    kept, nodes = [], set()
+    for a, b, n in sorted(many, key=lambda x: (-x[2], x[0], x[1])):
+        if len(nodes | {a, b}) <= 11:
+            nodes |= {a, b}
+            kept.append((a, b, n))
+    found = concepts.admit_edges(spark.createDataFrame(many, "source string, target string, count long"), 11)
+    assert {tuple(r) for r in found.collect()} == set(kept)
     chunks = spark.createDataFrame([(1, 2, "b" * 600), (1, 1, "a")], "doc_id long, chunk_ord int, text string")
     assert concepts.document_preview(chunks).first()["preview"] == "a\n\n" + "b" * 500
 
 
-def test_located_documents_and_whole_previews_have_no_limit(spark, monkeypatch):
-    from paperloom.plans import queries
-
+def test_located_documents_and_whole_previews_have_no_limit(spark):
     text = "a b " * 300_000 + "end"
-    monkeypatch.setattr(queries, "table", lambda *_: spark.createDataFrame([(1, text)], "doc_id long, text string"))
-    assert queries.search_preview(spark, "").first()["shown"] == text
-    monkeypatch.undo()
-    plan = queries.locate_document(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert "Limit" not in plan
+    assert value(spark, T.preview(F.lit(text), "", None)) == text and len(value(spark, T.preview(F.lit(text)))) == 222
     own = spark.range(30).select(F.col("id").alias("doc_id"), *[F.concat(F.lit("src1-"), "id").alias(c) for c in ("title", "source_file", "source_path")])
     chunks = spark.range(30).select(F.col("id").alias("doc_id"))
     assert search.located(own, chunks, "src1").count() == 30 and search.locate(own, chunks, "src1").count() == 20
