@@ -272,7 +272,9 @@ def _steps(code: Code, symbol: np.ndarray, hashes: list[np.ndarray], slot_bits:
     """Of the symbols' bits: how many each has, where each begins, the bits, and for each channel the slots."""
     lens = code.lens.take(symbol)
     begin = np.cumsum(lens) - lens
-    steps = code.steps.take(np.arange(lens.sum()) + np.repeat(code.starts.take(symbol) - begin, lens))
+    path = np.repeat((code.starts.take(symbol) - begin).astype(np.int32), lens)
+    path += np.arange(len(path), dtype=np.int32)
+    steps = code.steps.take(path)
     bit, node, shift = steps & np.uint32(1), steps >> np.uint32(1), np.uint32(32 - slot_bits)
     slots = []
     for h in hashes:
@@ -285,22 +287,42 @@ def _steps(code: Code, symbol: np.ndarray, hashes: list[np.ndarray], slot_bits:
 
 
 class Counts:
-    """How often the channels' slots have had a zero and a one; side by side, 2 * slots numbers for each channel."""
+    """How often the channels' slots have had a zero and a one; side by side, 2 * slots numbers for each channel.
+
+    The first two contexts of a token are known by the last common token alone, so these are counted as pairs of common token
+    and token, and their bits are counted once for each pair, in whole().
+    """
 
     def __init__(self, code: Code, endings: np.ndarray, slot_bits: int):
         self.code, self.endings, self.slot_bits = code, endings, slot_bits
         self.counts = np.zeros((CHANNELS, 2 << slot_bits), np.int32)
+        self.pairs = np.zeros((COMMON + 1) * (code.escape + 1), np.int32)
+
+    def _bits(self, channel: int, symbol: np.ndarray, hashed: np.ndarray, times: np.ndarray | None = None) -> None:
+        lens, _, bit, (slot,) = _steps(self.code, symbol, [hashed], self.slot_bits)
+        slot <<= 1
+        slot += bit
+        np.add.at(self.counts[channel], slot, np.int32(1) if times is None else np.repeat(times, lens))
 
     def add(self, tokens: Tokens) -> None:
         contexts = Contexts(tokens, self.endings, matches=False)
+        np.add.at(self.pairs, contexts.common.astype(np.intp) * (self.code.escape + 1) + tokens.ids, np.int32(1))
         for at in range(0, len(tokens.ids), SEGMENT):
             rows = np.arange(at, min(at + SEGMENT, len(tokens.ids)))
-            symbol, _, _, hashes = _symbols(tokens, contexts, self.code, rows)
-            _, _, bit, slots = _steps(self.code, symbol, hashes, self.slot_bits)
-            for own, slot in zip(self.counts, slots):
-                slot <<= 1
-                slot += bit
-                np.add.at(own, slot, np.int32(1))
+            symbol, _, is_byte, hashes = _symbols(tokens, contexts, self.code, rows)
+            self._bits(2, symbol, hashes[2])
+            for channel in (0, 1):
+                self._bits(channel, symbol[is_byte], hashes[channel][is_byte])
+
+    def whole(self) -> np.ndarray:
+        found = np.flatnonzero(self.pairs)
+        for at in range(0, len(found), SEGMENT):
+            pair = found[at : at + SEGMENT]
+            common, symbol = np.divmod(pair, self.code.escape + 1)
+            for channel, context in ((0, np.zeros(len(pair), np.uint32)), (1, common.astype(np.uint32))):
+                self._bits(channel, symbol, _mixed(context, _SALTS[channel]), self.pairs[pair])
+        self.pairs[:] = 0
+        return self.counts
 
 
 class Model:

@@ -51,7 +51,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 counts.update(_words(text))
                 counts[END] += 1
-                if len(counts) > 400_000:
+                if len(counts) > 700_000:
                     yield from flush()
         yield from flush()
 
@@ -121,7 +121,7 @@ def train(docs: DataFrame, counts: DataFrame, levels: list[tuple[int, int]], tot
                 texts = [_words(t) for t in batch.column(0).slice(at, 500).to_pylist()]
                 for a, b in _grouped(texts):
                     slots.add(read_tokens(texts[a:b], vocabulary, vocabulary[END]))
-        blocks = slots.counts.reshape(-1, BLOCK)
+        blocks = slots.whole().reshape(-1, BLOCK)
         for k in np.flatnonzero(blocks.any(1)).tolist():
             planes = blocks[k].astype("<i4").view(np.uint8).reshape(-1, 4).T  # bytes of like weight together, for the compression
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([planes.tobytes()], pa.binary())], names=["block", "counts"])
