@@ -1,7 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-A text becomes its lower-cased words, one space between, so that a signature is a regex over words. Each rule has a keyword
-that must stand in the text before its regex is tried, and a priority (its place in the list). A detection that lies within
+A text becomes its lower-cased words, one space between, so that a signature is a regex over words. Rules are
+names with versions (FAMILIES), sentences of license texts and notices, and SPDX identifiers (license_texts). Each rule has a
+keyword that must stand in the text before its regex is tried, and a priority (its place in the list). A detection that lies within
 another one is suppressed; of two with the same place the one of higher priority stays. Everything is a Spark expression over
 one row: no shuffle, no Python.
 """
@@ -10,11 +11,14 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, lower_ascii
+from .license_texts import IDENTIFIERS, SENTENCES
 from .native import sorted_join, spans
 
 #: Characters that are in no word, before and after lower-casing.
@@ -103,13 +107,26 @@ def rules() -> list[dict]:
                 if "gpl" in label:
                     add(f"{label}-{version}{suffix}", keyword, rf"{label}v{_version(version)[len('(?:(?:version |v ?)?'):-1]}{words}", 0.95)
         add(label, keyword, name, 0.8)
+    for label, keyword, pattern, _ in SENTENCES:
+        add(label, keyword, f"(?:{pattern})", 0.9)
+    for identifier in IDENTIFIERS:
+        add(identifier.lower(), "spdx", f"spdx licen[sc]e identifier {re.sub('[-.]', ' ', identifier.lower())}", 1.0)
     return out
 
 
-#: Tried on a raw text before it is turned into words: no rule and no base phrase can be found without it.
-HINT = (
-    rf"(?i)licen[sc]|creative|gpl|cc0|wtfpl|cecill|bsd|affero|proprietary|domain|rights{NOT_WORD}+reserved|general{NOT_WORD}+public|cc{NOT_WORD}+by"
-)
+#: Parts of words without one of which (or "cc by") no rule and no base phrase can be found in a text.
+HINTS = (
+    "licen", "softw", "permi", "distribut", "copyright", "warrant", "creative", "gpl", "cc0", "wtfpl", "cecill", "bsd", "proprietary", "domain", "reserved", "general",
+    "consortium", "beer", "derivative", "hereby", "procurement", "library", "interacting", "invariant", "eclipse", "perl", "datenlizenz", "ebook", "research", "parties",
+    "engineer", "decompile", "disassemble", "secret", "commercial", "personal", "government", "ruby", "shareware", "unauthorized",
+)
+
+
+def hinted(text: Column) -> Column:
+    def any_of(low: Column) -> Column:
+        return reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in HINTS)) | low.rlike(f"cc{NOT_WORD}+by")
+
+    return let(F.lower(text), any_of)
 
 
 def as_words(text: Column) -> Column:
@@ -165,7 +182,7 @@ def find_licenses(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     both = let(as_words(text), lambda w: F.struct(base_places(w).alias("base"), detections(w).alias("found")))
-    out = docs.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_both", F.when(text.rlike(HINT), both))
+    out = docs.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_both", F.when(hinted(text), both))
     return out.select(*docs.columns, "n_words", F.coalesce("_both.base", F.array()).alias("base"), F.coalesce("_both.found", F.array()).alias("found"))
 
 
