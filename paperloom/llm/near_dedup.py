@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_HASHES, use_caches_of, written
@@ -306,14 +306,9 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
         .agg(F.min("doc_id").alias("member"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")),
         "classes",
     )
-    bucket = Window.partitionBy("key")
-    buckets = written(
-        keys_of(classes, split)
-        .select("key", "member", "way", F.min("member").over(bucket).alias("low"), F.max("member").over(bucket).alias("high"))
-        .filter("low != high")
-        .select("key", "member", "way", "low"),
-        "buckets",
-    )
+    ends = keys_of(classes, split).groupBy("key").agg(F.min("member").alias("low"), F.max("member").alias("high"))  # summed map-side
+    shared = written(ends.filter("low != high").select("key", "low"), "shared-keys")
+    buckets = written(keys_of(classes, split).join(shared, "key").select("key", "member", "way", "low"), "buckets")
     stars = buckets.filter("member != low").select(F.col("low").alias("a"), F.col("member").alias("b")).distinct()
     links = confirmed(_within(stars, classes, split), docs, percent)
     first = written(components(links), "components")
