@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, lm_score, quality_classifier, quality_rules, secrets
 from .binary_tokens import write_and_read
@@ -55,6 +56,27 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scores' base says, which SQL can express."""
+    found = op3_lm_score(spark, sf_dir)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base phrases of the license scan, which SQL can express."""
+    return op7_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the quality rules, which SQL can express."""
+    return op8_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of the secret scan's base spans, which SQL can express."""
+    return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,6 +90,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_token_ids,
         op10_secret_scan,
+        lm_base,
+        license_phrases,
+        quality_counts,
+        secret_counts,
     )
 }
 
@@ -80,5 +106,33 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON r.doc = e.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN (SELECT doc, min(root) AS component_id FROM r GROUP BY doc) c ON c.doc = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+_LM_BASE_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(" + _CRC32 + " % 5 = 1, false) AS held_out, list_append(list_filter(regexp_split_to_array(" + _LOWER + r", '[\x20\x09-\x0D]+'), lambda x: x <> ''), chr(10)) AS w FROM documents), "
+    "t AS (SELECT doc_id, held_out, unnest(w) AS w FROM d), c AS (SELECT w, count(*)::DOUBLE AS c FROM t WHERE NOT held_out GROUP BY w), s AS (SELECT sum(c) AS n, count(*)::DOUBLE AS v FROM c) "
+    "SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(s.n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.5::DOUBLE) / (s.n + 0.5::DOUBLE * (s.v + 1)))), 4) AS base_score "
+    "FROM t LEFT JOIN c USING (w), s GROUP BY doc_id, held_out"
+)
+_LICENSE_SQL = (
+    "WITH w AS (SELECT doc_id, regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), "
+    "p AS (SELECT doc_id, len(w) AS n, list_filter(range(1, len(w)), lambda i: w[i] = 'cc' AND w[i + 1] = 'by') AS a, list_filter(range(1, len(w) - 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS b, "
+    "list_filter(range(1, len(w) - 1), lambda i: w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved') AS c FROM w), q AS (SELECT *, list_concat(a, b, c) AS x FROM p) "
+    "SELECT doc_id, n AS n_words, len(x) AS n_base, list_min(x) - 1 AS first_word, list_max(x) - 1 AS last_word, concat_ws(',', CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END) AS base_labels FROM q"
+)
+_QUALITY_SQL = (
+    r"WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents), "
+    "g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)), "
+    "r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1), p AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM r) GROUP BY doc_id), "
+    r"c AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, "
+    r"list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(p.n, 0) AS n_repeat_words FROM d LEFT JOIN p USING (doc_id)) "
+    "SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c"
+)
+_SECRET_SQL = r"""SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS n_assign,
+len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex FROM documents"""
+
 #: DuckDB's SQL for the queries that it can express.
-ORACLE_SQL: dict[str, str] = {"op1_near_dedup": _NEAR_DEDUP_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": _NEAR_DEDUP_SQL, "lm_base": _LM_BASE_SQL, "license_phrases": _LICENSE_SQL, "quality_counts": _QUALITY_SQL, "secret_counts": _SECRET_SQL,
+}
