@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocabulary as V
 
-#: Entities that are sent to every task for containment joins, at most; more are matched through their first words.
+#: Entities of one or two words that are sent to every task for containment joins, at most.
 MOST_SENT = 20_000
+_RUN = r"[\p{L}\p{N}]+"
 #: Default patterns of entities; callers with their own vocabulary pass their own.
 ENTITY_RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -107,21 +108,39 @@ def top_entities(entities: DataFrame, size: int = 25) -> DataFrame:
 def contained(chunks: DataFrame, entities: DataFrame, bounded: bool = True, least: int = 2) -> DataFrame:
     """chunk_id, entity_id where the entity's text stands in the chunk's title, text, locator or headings, whatever the case.
 
-    bounded: only entities first seen in this or an earlier document (first_doc_ord <= doc_ord). Up to MOST_SENT entities are
-    sent to the tasks; beyond, chunks and entities meet on the entity's first word, then the whole text is compared."""
+    bounded: only entities first seen in this or an earlier document (first_doc_ord <= doc_ord). An entity of three words and
+    more meets chunks on its longest inner word. Of the others up to MOST_SENT are sent to the tasks; beyond, they meet on the
+    first four characters of their first word. Then whole texts are compared."""
     hay = T.casefold(F.concat_ws(" ", "title", "text", "locator", F.array_join("heading_path", " ")))
     own = chunks.select("chunk_id", "doc_ord", hay.alias("_hay"))
-    needles = entities.select("entity_id", "first_doc_ord", T.casefold(F.col("entity_text")).alias("_needle")).filter(F.length("_needle") >= least)
+    runs = F.regexp_extract_all("_needle", F.lit(_RUN), F.lit(0))
+    inner = F.filter(F.slice(runs, 2, F.greatest(F.size(runs) - 2, F.lit(0))), lambda x: F.length(x) >= 3)
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
+    needles = entities.select("entity_id", "first_doc_ord", T.casefold(F.col("entity_text")).alias("_needle")).filter(F.length("_needle") >= least).withColumn("_key", longest)
     inside = F.contains("_hay", "_needle")
     if bounded:
         inside = inside & (F.col("first_doc_ord") <= F.col("doc_ord"))
-    if needles.limit(MOST_SENT + 1).count() <= MOST_SENT:
-        return own.join(F.broadcast(needles), inside).select("chunk_id", "entity_id")
-    words = own.withColumn("_key", F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("_hay", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.substr(w, k, F.lit(4))))))))
-    keyed = needles.withColumn("_key", F.substring(F.regexp_extract("_needle", r"[\p{L}\p{N}]+", 0), 1, 4))
-    short = keyed.filter(F.length(F.regexp_extract("_needle", r"[\p{L}\p{N}]+", 0)) < 4)
-    met = words.join(keyed.filter(F.length("_key") == 4), "_key").filter(inside).select("chunk_id", "entity_id").distinct()
-    return met.unionByName(own.join(short, inside).select("chunk_id", "entity_id"))
+    # an inner word stands whole in every text that holds the entity
+    words = own.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("_hay", F.lit(_RUN), F.lit(0)))).alias("_key")).filter(F.length("_key") >= 3)
+    met = words.join(needles.filter("_key is not null"), "_key").drop("_key").join(own, "chunk_id").filter(inside).select("chunk_id", "entity_id")
+    short = needles.filter("_key is null").drop("_key")
+    if short.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        return met.unionByName(own.join(F.broadcast(short), inside).select("chunk_id", "entity_id"))
+    grams = own.select("chunk_id", F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("_hay", F.lit(_RUN), F.lit(0)), lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.substr(w, k, F.lit(4))))))).alias("_gram"))
+    first = F.regexp_extract("_needle", _RUN, 0)
+    keyed = short.withColumn("_gram", F.substring(first, 1, 4)).filter(F.length("_gram") == 4)
+    others = grams.join(keyed, "_gram").drop("_gram").join(own, "chunk_id").filter(inside).select("chunk_id", "entity_id").distinct()
+    tiny = short.filter(F.length(first) < 4)  # names of one to three characters: as many as there are such names
+    return met.unionByName(others).unionByName(own.join(tiny, inside).select("chunk_id", "entity_id"))
+
+
+def with_entity_text(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """Adds `entities`, which the index holds: the texts of all entities that stand in a chunk, wherever they were first seen, in
+    the order in which they were. entities: entity_id, entity_text, first_doc_ord, first_ord."""
+    inside = contained(chunks, entities, bounded=False).join(entities.select("entity_id", "entity_text", "first_ord"), "entity_id")
+    listed = inside.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("first_ord", "entity_id", "entity_text"))).alias("_e"))
+    joined = chunks.drop("entities").join(listed, "chunk_id", "left")
+    return joined.withColumn("entities", F.coalesce(F.array_join(F.transform("_e", lambda x: x["entity_text"]), " "), F.lit(""))).drop("_e")
 
 
 def assemble_packs(manifests: DataFrame, **parts: DataFrame) -> DataFrame:
@@ -231,6 +250,7 @@ def build(documents: DataFrame, chunks: DataFrame, document_entities: DataFrame,
     own = ordered.withColumn("normalized_text", T.normal_entity(F.col("entity_text"))).join(entities.select("entity_type", "normalized_text", "entity_id"), ["entity_type", "normalized_text"])
     noise = T.noise(F.col("text"), F.col("locator"))
     marked = chunks.join(documents.select("doc_id", "doc_ord"), "doc_id").withColumn("_noise", noise).select("*", "_noise.is_noisy", F.round("_noise.noise_score", 3).alias("noise_score"), "_noise.noise_reasons").drop("_noise")
+    marked = with_entity_text(marked, entities)
     inside = contained(marked, entities)
     document_mentions = own.select("entity_id", "doc_id", F.lit(None).cast("string").alias("chunk_id"), "source_file", F.lit(None).cast("string").alias("locator")).distinct()
     chunk_mentions = inside.join(marked.select("chunk_id", "doc_id", "locator"), "chunk_id").join(documents.select("doc_id", "source_file"), "doc_id").select("entity_id", "doc_id", "chunk_id", "source_file", "locator")

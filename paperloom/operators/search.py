@@ -327,10 +327,16 @@ def search_rows(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 def with_terms(rows: DataFrame) -> DataFrame:
     """Rows with the terms of each indexed column; rows of a written index have them already."""
-    lacking = {f"terms_{c}": T.search_terms(F.col(c)) for c in INDEXED if f"terms_{c}" not in rows.columns}
+    lacking = {f"terms_{c}": T.search_terms(T.searchable(F.col(c)) if c == "text" else F.col(c)) for c in INDEXED if f"terms_{c}" not in rows.columns}
     return rows.withColumns(lacking) if lacking else rows
 
 
+def write_index(rows: DataFrame, path: str) -> DataFrame:
+    """Rows to search with their terms, written once, so that searches don't make them again."""
+    with_terms(rows).write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def rank_adjustment() -> Column:
     """Lower is better: noise, a missing locator and weak kinds of evidence cost."""
     weight = F.lit(0.0)

@@ -27,6 +27,8 @@ CASE lang WHEN 'en' THEN 'manual_pdf' WHEN 'de' THEN 'fault_catalog_pdf' ELSE 'g
 concat(source, '.pdf') AS source_file, concat('/in/', lang, '/', source, '.pdf') AS source_path, lang AS output_dir, source, lang FROM {documents}"""
 _LIB = "WITH lib AS (" + LIB.format(documents="documents") + ") "
 _TERMS = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
+#: What is indexed of a text (paths are in no document): without base64 runs and NaN.
+_INDEXED_TEXT = r"regexp_replace(regexp_replace(regexp_replace(text, '\b[A-Za-z0-9+/]{60,}={0,2}\b', '[base64]', 'g'), '(?i)\bNaN\b(?:\s*[|,;]\s*\bNaN\b){2,}', '[NaN omitted]', 'g'), '(?i)\bNaN\b', '', 'g')"
 _ADJUST = """(CASE WHEN locator IS NOT NULL AND locator <> '' THEN -0.30::DOUBLE ELSE 0.30::DOUBLE END + CASE evidence_type WHEN 'page' THEN -0.25::DOUBLE
 WHEN 'text_page' THEN -0.25::DOUBLE WHEN 'section' THEN -0.10::DOUBLE WHEN 'text' THEN 0.20::DOUBLE ELSE 0::DOUBLE END)"""
 
@@ -63,7 +65,7 @@ def _bm25_sql(words: list[str], every: bool = True) -> str:
     least = len(words) if every else 1
     return (
         _LIB
-        + ", t AS (SELECT *, " + _TERMS.format("concat_ws(' ', title, text, locator)") + " AS w FROM lib), "
+        + ", t AS (SELECT *, " + _TERMS.format("concat_ws(' ', title, " + _INDEXED_TEXT + ", locator)") + " AS w FROM lib), "
         + f"""s AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS mean FROM t),
 x AS (SELECT doc_id, unnest(w) AS term, len(w)::DOUBLE AS dl FROM t),
 tf AS (SELECT doc_id, term, dl, count(*)::DOUBLE AS tf FROM x WHERE term IN ({listed}) GROUP BY ALL),
@@ -104,25 +106,25 @@ def postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_postings(postings, lengths, ["und", "der"]).select(F.col("chunk_id").cast("long").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
-@query(_LIB + "SELECT doc_id FROM lib WHERE list_contains(" + _TERMS.format("text") + ", 'the') AND NOT list_contains(" + _TERMS.format("text") + ", 'with') AND NOT list_contains(" + _TERMS.format("concat_ws(' ', title, locator)") + ", 'with')")
+@query(_LIB + "SELECT doc_id FROM lib WHERE list_contains(" + _TERMS.format(_INDEXED_TEXT) + ", 'the') AND NOT list_contains(" + _TERMS.format(_INDEXED_TEXT) + ", 'with') AND NOT list_contains(" + _TERMS.format("concat_ws(' ', title, locator)") + ", 'with')")
 def not_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = search.parse("text:the NOT with")
     return search.with_terms(searchable_lib(spark, sf_dir)).filter(search.predicate(node)).select("doc_id")
 
 
-@query(_LIB + "SELECT doc_id FROM lib WHERE contains(' ' || array_to_string(" + _TERMS.format("text") + ", ' ') || ' ', ' of the ') OR contains(' ' || array_to_string(" + _TERMS.format("title") + ", ' ') || ' ', ' of the ')")
+@query(_LIB + "SELECT doc_id FROM lib WHERE contains(' ' || array_to_string(" + _TERMS.format(_INDEXED_TEXT) + ", ' ') || ' ', ' of the ') OR contains(' ' || array_to_string(" + _TERMS.format("title") + ", ' ') || ' ', ' of the ')")
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = search.parse('"of the"')
     return search.with_terms(searchable_lib(spark, sf_dir)).filter(search.predicate(node)).select("doc_id")
 
 
-@query(_LIB + "SELECT doc_id FROM lib WHERE contains(' ' || array_to_string(" + _TERMS.format("concat_ws(' ', title, text, locator)") + ", ' '), ' thion')")
+@query(_LIB + "SELECT doc_id FROM lib WHERE contains(' ' || array_to_string(" + _TERMS.format("concat_ws(' ', title, " + _INDEXED_TEXT + ", locator)") + ", ' '), ' thion')")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = search.parse("thion*")
     return search.with_terms(searchable_lib(spark, sf_dir)).filter(search.predicate(node)).select("doc_id")
 
 
-_TEXT_TERMS = _TERMS.format("text")
+_TEXT_TERMS = _TERMS.format(_INDEXED_TEXT)
 
 
 @query(_LIB + ", t AS (SELECT doc_id, " + _TEXT_TERMS + " AS w FROM lib), p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS k FROM t) SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.term = 'the' AND b.term = 'and' AND ((b.k >= a.k AND b.k - a.k - 1 <= 2) OR (a.k >= b.k AND a.k - b.k - 1 <= 2))")
@@ -167,7 +169,7 @@ def paged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _POOLS = (
     _LIB
-    + ", t AS (SELECT *, " + _TERMS.format("concat_ws(' ', title, text, locator)") + " AS w FROM lib), "
+    + ", t AS (SELECT *, " + _TERMS.format("concat_ws(' ', title, " + _INDEXED_TEXT + ", locator)") + " AS w FROM lib), "
     + f"""s AS (SELECT count(*)::DOUBLE AS n, avg(len(w))::DOUBLE AS mean FROM t),
 x AS (SELECT doc_id, unnest(w) AS term, len(w)::DOUBLE AS dl FROM t),
 tf AS (SELECT doc_id, term, dl, count(*)::DOUBLE AS tf FROM x WHERE term IN ('password', 'fault', 'license') GROUP BY ALL),
@@ -349,6 +351,38 @@ def top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.top_entities(library.dedupe_entities(found).withColumn("first_ord", F.col("first_ord.doc_id"))).select("normalized_text", "count")
 
 
+_BUILD_SQL = (
+    "WITH lib AS (" + LIB.format(documents="documents") + f"), m AS (SELECT doc_id, 'email' AS entity_type, unnest(list_distinct(regexp_extract_all(text, '{_EMAIL}'))) AS entity_text FROM documents UNION ALL SELECT doc_id, 'ip_address', unnest(list_distinct(regexp_extract_all(text, '{_IP}'))) FROM documents), "
+    "e AS (SELECT entity_type, lower(entity_text) AS norm, min(doc_id) AS first FROM m GROUP BY ALL), d AS (SELECT DISTINCT doc_id, entity_type, lower(entity_text) AS norm FROM m), "
+    "h AS (SELECT doc_id, lower(concat_ws(' ', title, text, locator)) AS hay, locator FROM lib), c AS (SELECT h.doc_id, e.norm, e.entity_type, e.first FROM h JOIN e ON contains(h.hay, e.norm)), "
+    "n AS (SELECT 'documents' AS part, count(*) AS n FROM lib UNION ALL SELECT 'chunks', count(*) FROM lib UNION ALL SELECT 'entities', count(*) FROM e UNION ALL SELECT 'mentions', (SELECT count(*) FROM d) + (SELECT count(*) FROM c WHERE first <= doc_id) "
+    "UNION ALL SELECT 'relations', (SELECT count(*) FROM d) + (SELECT count(*) FROM lib) + (SELECT count(locator) FROM lib) + (SELECT count(*) FROM c WHERE first <= doc_id) UNION ALL SELECT 'indexed_entities', count(*) FROM c) SELECT part, n FROM n"
+)
+
+
+@query(_BUILD_SQL)
+def build_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole library from documents as chunks: rows of each table, and entities in the search index."""
+    rows = lib(spark, sf_dir).withColumns({"doc_ord": F.col("doc_id"), "heading_path": F.array().cast("array<string>")})
+    entities = library.extract_entities(table(spark, sf_dir, "documents"), _RULES)
+    assets = spark.createDataFrame([], "asset_id string, doc_id long, path string")
+    built = library.build(rows.select("doc_id", "doc_ord", "title", "source_file", "source_path", "document_kind", "output_dir"), rows.drop("doc_ord", "source_file", "source_path", "document_kind", "output_dir"), entities, assets)
+    held = library.contained(built.chunks, built.entities, bounded=False)
+    parts = {"documents": built.documents, "chunks": built.chunks, "entities": built.entities, "mentions": built.mentions, "relations": built.relations, "indexed_entities": held}
+    return reduce(DataFrame.unionByName, (rows.groupBy().agg(F.lit(name).alias("part"), F.count("*").alias("n")) for name, rows in parts.items()))
+
+
+@query("WITH lib AS (" + LIB.format(documents="documents") + f"), m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{_EMAIL}'))) AS entity_text FROM documents), e AS (SELECT lower(entity_text) AS norm, min((doc_id, entity_text)) AS f FROM m GROUP BY ALL), "
+       "h AS (SELECT doc_id, lower(concat_ws(' ', title, text, locator)) AS hay FROM lib) SELECT h.doc_id, count(*) AS n, sum(length(e.norm)) + count(*) - 1 AS n_chars FROM h JOIN e ON contains(h.hay, e.norm) GROUP BY h.doc_id")
+def indexed_entity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities' text that the index holds for each chunk."""
+    found = library.extract_entities(table(spark, sf_dir, "documents"), {"email": _EMAIL}).withColumn("ord", F.struct("doc_id", "position"))
+    entities = library.dedupe_entities(found).withColumn("first_doc_ord", F.col("first_ord.doc_id"))
+    rows = searchable_lib(spark, sf_dir).withColumn("doc_ord", F.col("doc_id"))
+    listed = library.with_entity_text(rows, entities).filter("entities <> ''")
+    return listed.select("doc_id", F.size(F.split("entities", " ")).cast("long").alias("n"), F.length("entities").cast("long").alias("n_chars"))
+
+
 _CONTAINED = _LIB + ", h AS (SELECT doc_id, lower(concat_ws(' ', title, text, locator)) AS hay FROM lib), b AS (SELECT item_id, lower(text) AS needle FROM benchmark) SELECT h.doc_id, b.item_id FROM h JOIN b ON contains(h.hay, b.needle)"
 
 
