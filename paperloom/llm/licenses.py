@@ -23,7 +23,6 @@ from .native import sorted_join, spans
 
 #: Characters that are in no word, before and after lower-casing.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 #: Families whose signatures are made by rule: id, keyword (or two), names (regexes over words), versions.
@@ -123,10 +122,8 @@ HINTS = (
 
 
 def hinted(text: Column) -> Column:
-    def any_of(low: Column) -> Column:
-        return reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in HINTS)) | low.rlike(f"cc{NOT_WORD}+by")
-
-    return let(F.lower(text), any_of)
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(h)) for h in HINTS)) | low.rlike(f"cc{NOT_WORD}+by")
 
 
 def as_words(text: Column) -> Column:
@@ -182,7 +179,8 @@ def find_licenses(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     both = let(as_words(text), lambda w: F.struct(base_places(w).alias("base"), detections(w).alias("found")))
-    out = docs.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_both", F.when(hinted(text), both))
+    words = F.array_remove(F.split(text, f"{NOT_WORD}+"), "")
+    out = docs.withColumn("n_words", F.size(words).cast("long")).withColumn("_both", F.when(hinted(text), both))
     return out.select(*docs.columns, "n_words", F.coalesce("_both.base", F.array()).alias("base"), F.coalesce("_both.found", F.array()).alias("found"))
 
 
