@@ -6,7 +6,7 @@ integers (16 bits where the vocabulary fits, else 32); ``part-K.idx`` holds for
 in ascending document id; the manifest gives each part's first document and first token in the whole, from prefix sums over the
 parts' counts. A reader maps both files into memory where the folder is a mounted one, and reads ranges of them elsewhere.
 
-Texts are encoded where they are read; only ids are put in order. Parts are written under names that no other attempt of a task
+Texts are encoded where they are read, and only ids are shuffled, into ranges of document ids. Parts are written under names that no other attempt of a task
 uses, and only those that finished tasks report are in the manifest, so a task that runs again leaves nothing wrong behind.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import shared_dir
 from .tokens import encoder, vocabulary
 
 PART_SCHEMA = "part int, name string, documents long, tokens long"
@@ -36,7 +36,7 @@ def _store(folder: str):
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
-    """doc_id, ids (binary, width bytes each, the end id last) of every document, as a written table."""
+    """part, doc_id, ids (binary, width bytes each, the end id last) of every document (part, doc_id, text)."""
     path = vocabulary(tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,22 +44,31 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2) -> Dat
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                own = [tokens.ids(text) + end for text in part.column(1).to_pylist()]
+                own = [tokens.ids(text) + end for text in part.column(2).to_pylist()]
                 joined, ends = np.frombuffer(b"".join(own), "<u4"), np.cumsum([0, *(len(x) // 4 for x in own)])
                 if width == 2 and joined.max() > 0xFFFF:
                     raise ValueError("ids of this vocabulary need 32 bits")
                 small = joined.astype(f"<u{width}").tobytes()
                 ids = [small[a * width : b * width] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
-    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary"), "encoded")
+    return docs.select("part", "doc_id", "text").mapInArrow(encode, "part int, doc_id long, ids binary")
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2, parts: int | None = None) -> list[dict]:
-    """Writes the data set in ascending doc_id and returns its manifest, in order: one small record per part.
+def placed(docs: DataFrame, parts: int) -> DataFrame:
+    """part, doc_id, text: parts are ranges of ascending ids with about as many rows each. The rows of an id that fills several
+    ranges are dealt out over them by their text; null ids come first."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shares = [k / parts for k in range(1, parts)]
+    bounds = (own.agg(F.percentile_approx("doc_id", shares).alias("b")).first()["b"] if shares else None) or []  # parts - 1 numbers
+    edges = F.array(*map(F.lit, bounds)).cast("array<long>")
+    low, high = F.size(F.filter(edges, lambda b: b < F.col("doc_id"))), F.size(F.filter(edges, lambda b: b <= F.col("doc_id")))
+    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(low + F.pmod(F.xxhash64("text"), high - low + 1))
+    return own.select(part.cast("int").alias("part"), "doc_id", "text")
 
-    Rows go into ranges of (doc_id, a number of the row), so a doc_id that very many rows share is spread over parts as well.
-    """
+
+def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2, parts: int | None = None) -> list[dict]:
+    """Writes the data set in ascending doc_id and returns its manifest, in order: one small record per part."""
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +97,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width:
             index_file.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([documents]), pa.array([total])], names=["part", "name", "documents", "tokens"])
 
-    numbered = encoded(docs, tokenizer, end_id, width).withColumn("row", F.monotonically_increasing_id())
-    ordered = numbered.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "ids")
+    rows = encoded(placed(docs, parts), tokenizer, end_id, width)
+    ordered = rows.repartitionById(parts, "part").sortWithinPartitions("doc_id").select("doc_id", "ids")
     found = sorted(ordered.mapInArrow(write, PART_SCHEMA).collect(), key=lambda r: r["part"])  # a record per part
     firsts = zip(accumulate((r["documents"] for r in found), initial=0), accumulate((r["tokens"] for r in found), initial=0))
     return [r.asDict() | {"first_document": d, "first_token": t, "width": width} for r, (d, t) in zip(found, firsts)]
