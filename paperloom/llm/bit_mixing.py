@@ -37,6 +37,8 @@ FIRST_BLOCK, LAST_BLOCK = 32, 1024
 #: Tokens of a text that are worked on at once.
 SEGMENT = 60_000
 RATE, MAP_RATE, SHARE = 6.0, 3.0, 2
+#: Bits that are gathered before they are counted.
+FLUSH = 1 << 21
 MATCH_TOKENS = 3
 _ODD = np.uint32(0x9E3779B1)
 _SALTS = np.array([0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
@@ -282,7 +284,7 @@ def _steps(code: Code, symbol: np.ndarray, hashes: list[np.ndarray], slot_bits:
         own ^= node
         own *= _ODD
         own >>= shift
-        slots.append(own.astype(np.intp))
+        slots.append(own)
     return lens, begin, bit, slots
 
 
@@ -297,12 +299,27 @@ class Counts:
         self.code, self.endings, self.slot_bits = code, endings, slot_bits
         self.counts = np.zeros((CHANNELS, 2 << slot_bits), np.int32)
         self.pairs = np.zeros((COMMON + 1) * (code.escape + 1), np.int32)
+        self.waiting: list[list[np.ndarray]] = [[] for _ in range(CHANNELS)]
 
     def _bits(self, channel: int, symbol: np.ndarray, hashed: np.ndarray, times: np.ndarray | None = None) -> None:
         lens, _, bit, (slot,) = _steps(self.code, symbol, [hashed], self.slot_bits)
-        slot <<= 1
-        slot += bit
-        np.add.at(self.counts[channel], slot, np.int32(1) if times is None else np.repeat(times, lens))
+        slot <<= np.uint32(1)
+        slot |= bit
+        if times is not None:
+            np.add.at(self.counts[channel], slot.astype(np.intp), np.repeat(times, lens))
+            return
+        self.waiting[channel].append(slot)
+        if sum(map(len, self.waiting[channel])) >= FLUSH:
+            self._flush(channel)
+
+    def _flush(self, channel: int) -> None:
+        """Counts what waits, in the order of the slots, so that memory is gone through once."""
+        if not self.waiting[channel]:
+            return
+        slots = np.sort(np.concatenate(self.waiting[channel]))
+        ends = np.append(np.flatnonzero(slots[1:] != slots[:-1]), len(slots) - 1)
+        self.counts[channel][slots[ends]] += np.diff(ends, prepend=-1).astype(np.int32)
+        self.waiting[channel] = []
 
     def add(self, tokens: Tokens) -> None:
         contexts = Contexts(tokens, self.endings, matches=False)
@@ -315,6 +332,8 @@ class Counts:
                 self._bits(channel, symbol[is_byte], hashes[channel][is_byte])
 
     def whole(self) -> np.ndarray:
+        for channel in range(CHANNELS):
+            self._flush(channel)
         found = np.flatnonzero(self.pairs)
         for at in range(0, len(found), SEGMENT):
             pair = found[at : at + SEGMENT]
@@ -354,7 +373,7 @@ class Model:
         less = (bit.astype(np.intp) + 1) << 8 if trained else 0
         inputs = []
         for k, slot in enumerate(slots):
-            state_of = self.states[k].take(slot).astype(np.intp)
+            state_of = self.states[k].take(slot.astype(np.intp)).astype(np.intp)
             state_of += less
             inputs.append(ODDS.take(state_of))
         known = KNOWN_OF.take(state_of)
