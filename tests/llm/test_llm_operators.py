@@ -680,6 +680,16 @@ def test_a_doc_id_of_minus_one_stays(spark):
     assert [r["doc_id"] for r in binary_tokens.write_and_read(docs).orderBy("start").collect()] == [None, -1]
 
 
+def test_one_id_fills_several_parts(spark, tmp_path):
+    docs = spark.createDataFrame([(7, f"text {k}") for k in range(300)] + [(k, "x") for k in range(20)], "doc_id long, text string")
+    folder = f"file://{tmp_path}/ids"
+    manifest = binary_tokens.write_ids(docs, folder, "word_bpe_49k.json", 1, parts=8)
+    assert max(m["documents"] for m in manifest) < 120 and sum(m["documents"] for m in manifest) == 320
+    rows = binary_tokens.read_ids(spark, folder, manifest).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows)
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
+
+
 def test_planted_secrets_are_found(spark):
     """Random keys, each in prose of its own, by the entropy alone; the prose and its joined words aren't taken for keys."""
     rng = random.Random(5)
