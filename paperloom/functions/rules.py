@@ -125,12 +125,16 @@ def refine_generic(kind: Column, source_file: Column, text: Column) -> Column:
     return F.when((kind == "generic_pdf") & F.lower(source_file).endswith(".pdf"), again).otherwise(kind)
 
 
-def quality_status(text_chars: Column, headings: Column, noisy: Column, images: Column) -> Column:
-    """visual_only before structured_with_noise before low_structure before ok."""
+def quality_status(suffix: Column, markdown: Column, fallback: Column, elements: Column, kind: Column, pages: Column, text_pages: Column) -> Column:
+    """A PDF without headings, converted by the fallback, or without pages and elements has low structure; drawings have it always,
+    translation tables are structured with noise; a PDF with pages and no text on any is visual only."""
+    pdf = F.lower(suffix) == "pdf"
+    headed = F.coalesce(markdown, F.lit("")).rlike(r"(?m)^\s*#")
+    low = pdf & (~headed | F.coalesce(fallback, F.lit(False)) | (F.coalesce(elements, F.lit(0)) == 0))
     return (
-        F.when((text_chars == 0) & (images > 0), F.lit("visual_only"))
-        .when((headings > 0) & noisy, F.lit("structured_with_noise"))
-        .when(headings == 0, F.lit("low_structure"))
+        F.when(pdf & (F.coalesce(pages, F.lit(0)) > 0) & (F.coalesce(text_pages, F.lit(0)) == 0), F.lit("visual_only"))
+        .when(kind == "hmi_translation_xlsx", F.lit("structured_with_noise"))
+        .when((kind == "technical_drawing_pdf") | low, F.lit("low_structure"))
         .otherwise(F.lit("ok"))
     )
 
@@ -171,10 +175,11 @@ def result_confidence(window: Column, status: Column, title: Column) -> Column:
     return F.when((status != "") & ~risk, F.lit("high")).when(window.rlike(f"(?iU){V.BATCH_EVIDENCE}"), F.lit("medium")).otherwise(F.lit("low"))
 
 
-def file_failure(checksum_same: Column, failed: Column, timed_out: Column, json_ok: Column) -> Column:
+def file_failure(selected: Column, checksum_same: Column, failed: Column, timed_out: Column, json_ok: Column, html: Column, skip_html: bool = False, skip_json: bool = False) -> Column:
+    """Why a file counts as failed, the first reason that holds; null if none does."""
     return (
-        F.when(~checksum_same, F.lit("source_modified")).when(timed_out > 0, F.lit("timeout"))
-        .when(failed > 0, F.lit("command_failed")).when(~json_ok, F.lit("invalid_output"))
+        F.when(~selected, F.lit("unsupported_file")).when(checksum_same == F.lit(False), F.lit("checksum_changed")).when(timed_out > 0, F.lit("command_timeout"))
+        .when(failed > 0, F.lit("command_failed")).when(F.lit(not skip_json) & ~json_ok, F.lit("json_parse_failed")).when(F.lit(not skip_html) & ~html, F.lit("html_not_generated"))
     )
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 LOCATED = "coalesce(locator, '') != ''"
 
 
@@ -24,15 +26,21 @@ def missing_locators(chunks: DataFrame, size: int = 20) -> DataFrame:
     return own.filter("missing > 0").orderBy(F.desc("missing"), "source_file").limit(size)
 
 
-def missing_locator_detail(chunks: DataFrame) -> DataFrame:
-    """dimension, value, missing: by kind of document, kind of evidence and extension, in one scan."""
-    own = chunks.filter(~F.expr(LOCATED))
-    sets = own.groupingSets([["document_kind"], ["evidence_type"], ["extension"]], "document_kind", "evidence_type", "extension").agg(
-        F.grouping("document_kind").alias("_k"), F.grouping("evidence_type").alias("_e"), F.count("*").alias("missing")
-    )
-    dimension = F.when(F.col("_k") == 0, "document_kind").when(F.col("_e") == 0, "evidence_type").otherwise("extension")
-    value = F.when(F.col("_k") == 0, F.col("document_kind")).when(F.col("_e") == 0, F.col("evidence_type")).otherwise(F.col("extension"))
-    return sets.select(dimension.alias("dimension"), value.alias("value"), "missing")
+#: Extensions of office documents; kinds of evidence that are pages.
+OFFICE = ("docx", "xlsx", "pptx", "doc", "xls", "ppt")
+PAGES = ("page", "text_page", "drawing_index")
+
+
+def missing_locator_detail(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """dimension, value, missing: chunks without a locator by kind of document, kind of evidence, extension and source, and the
+    raw Markdown ones of office documents by extension, in one scan. documents: doc_id, document_kind, source_file; chunks: doc_id,
+    evidence_type, locator, provenance_status."""
+    own = chunks.filter(~F.expr(LOCATED)).select("doc_id", "evidence_type", "provenance_status").join(documents.select("doc_id", "document_kind", "source_file"), "doc_id", "left")
+    named = own.withColumn("extension", T.extension(F.coalesce("source_file", F.lit(""))))
+    raw = F.when((F.col("provenance_status") == "raw_markdown") & F.col("extension").isin(*OFFICE), F.col("extension"))
+    values = {"document_kind": F.coalesce("document_kind", F.lit("")), "evidence_type": F.coalesce("evidence_type", F.lit("")), "extension": F.col("extension"), "source_file": F.coalesce("source_file", F.lit("")), "office_raw_markdown": raw}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), v.alias("value")) for k, v in values.items()]))
+    return named.select(each.alias("x")).select("x.*").filter("value is not null").groupBy("dimension", "value").agg(F.count("*").alias("missing"))
 
 
 def metrics(documents: DataFrame, chunks: DataFrame, entities: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -48,13 +56,61 @@ def metrics(documents: DataFrame, chunks: DataFrame, entities: DataFrame, mentio
     return reduce(DataFrame.unionByName, parts)
 
 
-def page_level_documents(chunks: DataFrame) -> DataFrame:
-    """Documents of low structure whose pages can still be searched: every one of several chunks located, none noisy."""
-    counts = chunks.groupBy("doc_id").agg(
-        F.count("*").alias("chunk_count"), F.count_if(F.expr(LOCATED)).alias("located"), F.count_if("is_noisy").alias("noisy"),
-        F.bool_or(F.col("page_number").isNotNull()).alias("has_pages"), F.max("quality_status").alias("quality_status"),
-    )
-    return counts.filter("quality_status = 'low_structure' and has_pages and located = chunk_count and noisy = 0")
+def page_level_documents(documents: DataFrame, chunks: DataFrame, assets: DataFrame) -> DataFrame:
+    """PDFs of low structure whose pages can still be searched: with page chunks, some of them located, with assets, and without
+    noise. documents: doc_id, title, source_file, document_kind, quality_status."""
+    page = F.col("evidence_type").isin(*PAGES)
+    own = documents.filter((F.col("quality_status") == "low_structure") & F.col("document_kind").endswith("_pdf"))
+    counts = chunks.groupBy("doc_id").agg(F.count_if(page).alias("page_level_chunks"), F.count_if(page & F.expr(LOCATED)).alias("locator_chunks"), F.count_if("is_noisy").alias("noisy"))
+    there = assets.groupBy("doc_id").agg(F.count("*").alias("asset_count"))
+    good = counts.filter("page_level_chunks > 0 and locator_chunks > 0 and noisy = 0").drop("noisy")
+    return own.join(good, "doc_id").join(there, "doc_id").select("doc_id", "title", "source_file", "document_kind", "quality_status", "page_level_chunks", "locator_chunks", "asset_count")
+
+
+def library_report(documents: DataFrame, chunks: DataFrame, entities: DataFrame, assets: DataFrame, exports: list[str]) -> dict[str, DataFrame | list[str]]:
+    """The twenty parts of a library's report. documents: doc_id, title, source_file, output_dir, document_kind, quality_status,
+    missing_assets_count; chunks: doc_id, evidence_type, locator, is_noisy, batch_id, provenance_status."""
+    titled = documents.select("doc_id", "title", "source_file")
+    unlocated, pages = chunks.filter(~F.expr(LOCATED)), page_level_documents(documents, chunks, assets)
+    detail = missing_locator_detail(documents, chunks)
+    of = lambda name: detail.filter(F.col("dimension") == name).select("value", "missing").orderBy(F.desc("missing"), "value")
+    number = lambda rows: rows.agg(F.count("*").alias("n"))
+    sources = unlocated.groupBy("doc_id").agg(
+        F.count("*").alias("chunks_without_locator"), F.count_if(F.col("provenance_status") == "raw_markdown").alias("raw_markdown_chunks"), F.array_sort(F.collect_set("evidence_type")).alias("evidence_types")
+    )
+    noisy = chunks.filter("is_noisy").groupBy("doc_id").agg(F.count("*").alias("noisy_chunks_count"))
+    return {
+        "documents_count": number(documents), "chunks_count": number(chunks), "entities_count": number(entities),
+        "document_kind_distribution": distribution(documents, "document_kind"), "evidence_type_distribution": distribution(chunks, "evidence_type"),
+        "top_entities": entities.orderBy(F.desc("mention_count"), "entity_id").limit(10),
+        "top_batches": distribution(chunks, "batch_id").orderBy(F.desc("count"), "value").limit(10),
+        "missing_assets_summary": documents.filter("missing_assets_count > 0").select("title", F.col("missing_assets_count").alias("missing")),
+        "low_quality_documents": documents.filter(F.col("quality_status").isin("low_structure", "visual_only")).join(pages, "doc_id", "left_anti").select("doc_id", "title", "quality_status"),
+        "page_level_pdf_documents": pages, "noisy_chunks_count": number(chunks.filter("is_noisy")), "chunks_without_locator": number(unlocated),
+        "chunks_without_locator_by_document_kind": of("document_kind"), "chunks_without_locator_by_evidence_type": of("evidence_type"), "chunks_without_locator_by_extension": of("extension"),
+        "chunks_without_locator_top_sources": sources.join(documents.select("doc_id", "title", "source_file", "output_dir", "document_kind"), "doc_id").orderBy(F.desc("chunks_without_locator"), "source_file", "doc_id").limit(20),
+        "office_raw_markdown_missing_locator_summary": of("office_raw_markdown"),
+        "noisy_documents": noisy.join(titled, "doc_id").orderBy(F.desc("noisy_chunks_count"), "doc_id"),
+        "hmi_translation_documents": documents.filter("document_kind = 'hmi_translation_xlsx'").select("title", "source_file", "output_dir"),
+        "export_files_generated": sorted(exports),
+    }
+
+
+def recommendation(counts: dict[str, int], rerun: list[str] | None = None, dry_run: bool = False) -> tuple[str, list[str]]:
+    """What a tool's benchmark speaks for, and why. counts: files_selected, files_failed, checksum_changed, json_parse_success,
+    html_generated, text_artifacts."""
+    n = {k: counts.get(k, 0) for k in ("files_selected", "files_failed", "checksum_changed", "json_parse_success", "html_generated", "text_artifacts")}
+    if dry_run or not n["files_selected"]:
+        return "not_evaluated", ["Dry-run did not execute OfficeCLI commands." if dry_run else "No Office files were processed."]
+    if n["checksum_changed"]:
+        return "diagnostic_only", ["At least one source checksum changed; do not use for sidecar or engine work."]
+    if n["files_failed"]:
+        return "diagnostic_only", [f"{n['files_failed']} file(s) had command failures or timeouts.", *[f"Consider rerun option: {x}" for x in (rerun or [])[:4]]]
+    if n["json_parse_success"] == n["html_generated"] == n["text_artifacts"] == n["files_selected"]:
+        return "engine_candidate", ["All files succeeded with JSON, HTML, and text-like artifacts."]
+    if n["json_parse_success"] >= max(1, n["files_selected"] * 2 // 3) and n["html_generated"] + n["text_artifacts"] > 0:
+        return "sidecar_candidate", ["Most files produced parseable JSON and usable artifacts with unchanged checksums."]
+    return "diagnostic_only", ["Read-only commands completed without checksum changes, but artifact coverage is limited."]
 
 
 def documents_without(documents: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -462,9 +462,19 @@ def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy().pivot("metric", _METRICS).agg(F.first("value"))
 
 
-@query(_REPORT + "SELECT 'document_kind' AS dimension, document_kind AS value, count(*) AS missing FROM x WHERE locator IS NULL GROUP BY ALL UNION ALL SELECT 'evidence_type', evidence_type, count(*) FROM x WHERE locator IS NULL GROUP BY ALL UNION ALL SELECT 'extension', extension, count(*) FROM x WHERE locator IS NULL GROUP BY ALL")
+_PARTS = "SELECT doc_id, concat(source, CASE lang WHEN 'en' THEN '.docx' WHEN 'de' THEN '.XLSX' WHEN 'fr' THEN '.pdf' ELSE '' END) AS source_file, CASE lang WHEN 'en' THEN 'manual_pdf' WHEN 'de' THEN 'generic_pdf' ELSE 'document' END AS document_kind, source AS title, source AS output_dir, lang FROM {documents}"
+_TURNS = "SELECT conv_id AS doc_id, CASE WHEN turn < 2 THEN 'page' WHEN role = 'user' THEN 'text_page' ELSE 'text' END AS evidence_type, CASE WHEN role = 'user' THEN 'p. 1' END AS locator, turn > 6 AS is_noisy, CASE WHEN turn < 4 THEN 'raw_markdown' ELSE 'page_text' END AS provenance_status FROM {conversations}"
+
+
+@query("WITH d AS (" + _PARTS.format(documents="documents") + "), c AS (" + _TURNS.format(conversations="conversations") + r"), x AS (SELECT c.*, coalesce(document_kind, '') AS document_kind, coalesce(source_file, '') AS source_file, CASE WHEN regexp_matches(coalesce(source_file, ''), '\.[^.]+$') THEN lower(regexp_extract(source_file, '\.([^.]+)$', 1)) ELSE 'unknown' END AS extension FROM c LEFT JOIN d USING (doc_id) WHERE locator IS NULL) SELECT 'document_kind' AS dimension, document_kind AS value, count(*) AS missing FROM x GROUP BY ALL UNION ALL SELECT 'evidence_type', evidence_type, count(*) FROM x GROUP BY ALL UNION ALL SELECT 'extension', extension, count(*) FROM x GROUP BY ALL UNION ALL SELECT 'source_file', source_file, count(*) FROM x GROUP BY ALL UNION ALL SELECT 'office_raw_markdown', extension, count(*) FROM x WHERE provenance_status = 'raw_markdown' AND extension IN ('docx', 'xlsx', 'pptx', 'doc', 'xls', 'ppt') GROUP BY ALL")
 def missing_locator_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.missing_locator_detail(_report_rows(spark, sf_dir))
+    return reports.missing_locator_detail(*_library_of_turns(spark, sf_dir))
+
+
+def _library_of_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and turns of conversations as their chunks."""
+    documents = spark.sql(_PARTS, documents=table(spark, sf_dir, "documents"))
+    return documents, spark.sql(_TURNS, conversations=table(spark, sf_dir, "conversations"))
 
 
 @query(_REPORT + "SELECT source_file, count(*) FILTER (locator IS NULL) AS missing, count(*) AS chunk_count, array_to_string(list_sort(list(DISTINCT evidence_type) FILTER (locator IS NULL)), ',') AS evidence_types FROM x GROUP BY source_file HAVING count(*) FILTER (locator IS NULL) > 0 ORDER BY missing DESC, source_file LIMIT 20")
@@ -472,9 +482,13 @@ def missing_locator_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.missing_locators(_report_rows(spark, sf_dir))
 
 
-@query(_REPORT + "SELECT doc_id FROM x WHERE quality_status = 'low_structure' AND page_number IS NOT NULL AND locator IS NOT NULL AND NOT is_noisy")
+@query("WITH d AS (" + _PARTS.format(documents="documents") + "), c AS (" + _TURNS.format(conversations="conversations") + "), g AS (SELECT doc_id, count(*) FILTER (evidence_type IN ('page', 'text_page')) AS page_level_chunks, count(locator) FILTER (evidence_type IN ('page', 'text_page')) AS locator_chunks, count(*) FILTER (is_noisy) AS noisy FROM c GROUP BY doc_id), a AS (SELECT page_id AS doc_id, count(*) AS asset_count FROM pages GROUP BY page_id) SELECT doc_id, page_level_chunks, locator_chunks, asset_count FROM d JOIN g USING (doc_id) JOIN a USING (doc_id) LEFT JOIN labels USING (doc_id) WHERE coalesce(quality, 0) = 0 AND document_kind LIKE '%\\_pdf' ESCAPE '\\' AND page_level_chunks > 0 AND locator_chunks > 0 AND noisy = 0".replace("\\\\", "\\"))
 def page_level_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.page_level_documents(_report_rows(spark, sf_dir)).select("doc_id")
+    documents, chunks = _library_of_turns(spark, sf_dir)
+    quality = F.when(F.coalesce("quality", F.lit(0)) == 0, "low_structure").otherwise("ok")
+    own = documents.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("quality_status", quality)
+    assets = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
+    return reports.page_level_documents(own, chunks, assets).select("doc_id", "page_level_chunks", "locator_chunks", "asset_count")
 
 
 @query(_REPORT + "SELECT lang AS value, count(*) AS count FROM x GROUP BY lang")

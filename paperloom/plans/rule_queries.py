@@ -112,6 +112,15 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plant(spark, sf_dir).select("doc_id", R.page_title(F.col("markdown")).alias("title"))
 
 
+_STATUS = "SELECT doc_id, CASE lang WHEN 'en' THEN 'pdf' WHEN 'de' THEN 'PDF' ELSE 'docx' END AS suffix, CASE WHEN doc_id % 3 = 0 THEN concat('  # Head', chr(10), text) ELSE text END AS markdown, doc_id % 5 = 0 AS fallback, doc_id % 7 AS elements, CASE doc_id % 11 WHEN 0 THEN 'technical_drawing_pdf' WHEN 1 THEN 'hmi_translation_xlsx' ELSE 'x' END AS kind, doc_id % 2 AS pages, doc_id % 4 AS text_pages FROM {documents}"
+
+
+@query("WITH s AS (" + _STATUS.format(documents="documents") + r") SELECT doc_id, CASE WHEN lower(suffix) = 'pdf' AND pages > 0 AND text_pages = 0 THEN 'visual_only' WHEN kind = 'hmi_translation_xlsx' THEN 'structured_with_noise' WHEN kind = 'technical_drawing_pdf' OR (lower(suffix) = 'pdf' AND (NOT regexp_matches(markdown, '(?m)^[ 	]*#') OR fallback OR elements = 0)) THEN 'low_structure' ELSE 'ok' END AS status FROM s")
+def quality_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql(_STATUS, documents=table(spark, sf_dir, "documents"))
+    return own.select("doc_id", R.quality_status(*map(F.col, ("suffix", "markdown", "fallback", "elements", "kind", "pages", "text_pages"))).alias("status"))
+
+
 _FINDINGS = ["Shake stability pass after 3 days", "Stability: pass", "batch VL123456 F/TH fail", "50kg pilot scale up: Success", "Approved by all", "Stability ok", "PASS", "not feasible", "it will fail. Stability ok", "pass Fth 3cyc & Shaker", "failure", "Risk VL999999 50 kg"]
 _BATCHES = f"SELECT doc_id, {_case(['Batch history', 'Formula technical risk assessment', 'Timeline', 'Pilot'])} AS title, concat({_case(_FINDINGS)}, chr(10), text) AS w FROM {{documents}}"
 _RISK = f"regexp_matches(lower(title), '{V.RISK_TITLE}')"

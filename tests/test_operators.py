@@ -83,7 +83,11 @@ def test_text_functions(spark):
 def test_rules(spark):
     assert value(spark, R.first_rule(F.lit("an operating manual"), V.NAME_KINDS, "x")) == "manual_pdf"
     assert value(spark, R.additive_kind(F.lit("a b"), [("a", 2), ("b", 1), ("c", 5)], 3, "k", F.lit("o"))) == "k"
-    assert value(spark, R.quality_status(F.lit(0), F.lit(0), F.lit(False), F.lit(1))) == "visual_only"
+    status = lambda *x: value(spark, R.quality_status(*map(F.lit, x)))
+    assert status("pdf", "# A", False, 3, "x", 2, 0) == "visual_only" and status("pdf", "no head", False, 3, "x", 2, 1) == "low_structure" and status("docx", "", True, 0, "x", 0, 0) == "ok"
+    failure = lambda *x: value(spark, R.file_failure(*map(F.lit, x)))
+    assert failure(True, True, 0, 2, False, False) == "command_timeout" and failure(True, True, 0, 0, True, True) is None and failure(True, False, 0, 0, True, True) == "checksum_changed"
+    assert reports.recommendation({"files_selected": 2, "json_parse_success": 2, "html_generated": 2, "text_artifacts": 2})[0] == "engine_candidate" and reports.recommendation({})[0] == "not_evaluated"
     assert value(spark, R.evidence_type(F.lit(None).cast("string"), F.lit(1), F.lit("i"), F.lit(""))) == "image"
     assert value(spark, R.result_status(F.lit("Batch 3: Stability: PASS, approved"))) == "Approved" and value(spark, R.result_status(F.lit("failure"))) == ""
     assert value(spark, R.unsupported_reason(F.lit("~$a.docx"), F.lit("docx"))) == "office lock file"
