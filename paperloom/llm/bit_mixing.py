@@ -426,26 +426,28 @@ class _State:
             return
         odds = self.weights[0].take(where)
         odds *= inputs[0]
-        for w, x in zip(self.weights[1:], inputs[1:]):
+        for w, x in zip(self.weights[1:], inputs[1:-1]):
             part = w.take(where)
             part *= x
             odds += part
+        hoped = np.flatnonzero(inputs[-1])  # few bits have a match
+        hope, at = inputs[-1][hoped], where[hoped]
+        odds[hoped] += self.weights[-1].take(at) * hope
         np.clip(odds, -7.99, 7.99, out=odds)
         bucket = ((odds + np.float32(8)) * np.float32(BUCKETS / 16)).astype(np.intp)
         bucket += base
-        final = self.map.take(bucket)
-        final += odds
-        final *= sign
-        chance = 1 / (1 + np.exp(-final))
+        odds += self.map.take(bucket)
+        odds *= sign
+        chance = 1 / (1 + np.exp(-odds))
         self.taken += np.bincount(bucket, np.log(chance).astype(float), len(self.taken))
         if not learn:
             return
-        odds, bucket, where, sign = odds[:learn], bucket[:learn], where[:learn], sign[:learn]
+        bucket, where = bucket[:learn], where[:learn]
+        error = ((1 - chance[:learn]) * sign[:learn]).astype(float)
         self.mapped += np.bincount(bucket, minlength=len(self.map))
-        self.map += MAP_RATE * np.bincount(bucket, ((1 - chance[:learn]) * sign).astype(float), len(self.map)) / (self.mapped + 100)
-        odds *= sign
-        error = (sign / (1 + np.exp(odds))).astype(float)
-        bits = self.mapped.reshape(-1, BUCKETS).sum(1)
-        rate = np.repeat(RATE / (400 + bits / SHARE), GATES)
-        for w, x in zip(self.weights, inputs):
+        self.map += MAP_RATE * np.bincount(bucket, error, len(self.map)) / (self.mapped + 100)
+        rate = np.repeat(RATE / (400 + self.mapped.reshape(-1, BUCKETS).sum(1) / SHARE), GATES)
+        for w, x in zip(self.weights, inputs[:-1]):
             w += rate * np.bincount(where, error * x[:learn], len(w))
+        early = np.searchsorted(hoped, learn)
+        self.weights[-1] += rate * np.bincount(at[:early], error[hoped[:early]] * hope[:early], len(rate))

@@ -40,6 +40,7 @@ class Encoder:
         self.whole.no_padding()
         self.model, self.most, self.most_pieces = self.whole.model, most, most_pieces
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
@@ -91,18 +92,25 @@ class Encoder:
         else:
             units = _UNIT.findall(text)
         known = self.units
+        found = list(map(known.get, units))
         try:
-            return b"".join([known[u] for u in units])
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            own = {}
-            for u in set(units):
-                if u not in known:
-                    own[u] = got = self._unit(u)
-                    if len(u) <= 64:
-                        known[u] = got
-            return b"".join([known[u] if u in known else own[u] for u in units])
+            return b"".join(found)
+        except TypeError:  # some aren't known yet
+            return self._filled(units, found)
+
+    def _filled(self, units: list[str], found: list[bytes | None]) -> bytes:
+        if 2 * len(self.units) > self.most:  # the older half stays in reach, and what is met again comes over
+            self.older, self.units = self.units, {}
+        known, long = self.units, {}
+        for k, ids in enumerate(found):
+            if ids is None:
+                unit = units[k]
+                cache = known if len(unit) <= 64 else long
+                ids = cache.get(unit) or self.older.get(unit)
+                if ids is None:
+                    ids = self._unit(unit)
+                found[k] = cache[unit] = ids
+        return b"".join(found)
 
     def _library(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()

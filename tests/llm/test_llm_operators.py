@@ -442,7 +442,7 @@ def _plain_bits(own, trained, words, code, model):
                 for where, sign, odds, bucket, chance, inputs in waiting:
                     steps[bucket] += (1 - chance) * sign
                     for k, x in enumerate(inputs):
-                        gradient[where, k] += sign / (1 + math.exp(odds * sign)) * x
+                        gradient[where, k] += (1 - chance) * sign * x
                 for bucket, x in steps.items():
                     corrected[bucket] = corrected.get(bucket, 0) + bit_mixing.MAP_RATE * x / (seen[bucket] + 100)
                 for key, x in gradient.items():
