@@ -5,9 +5,10 @@ mark. Symbols are spelled in bits by Huffman codes (one of tokens, one of bytes)
 is predicted in order:
 
 - CHANNELS hashed contexts, of tokens (none; the last common token; the token before) or, inside a spelled token, of bytes (the
-  last two; the last common token and three bytes; all so far). The context and the code's node give a slot, and the counts of
-  zeros and ones there, kept as one of 256 states, give log odds;
-- a match: where the tokens just before have been seen, what followed then is expected again.
+  last three; the last common token and two bytes; the last five). The context and the code's node give a slot, and the counts of
+  zeros and ones there, kept as one of 256 states, give log odds. How tokens are spelled is learned from those that training
+  spells, and from each token of the vocabulary once;
+- a match: where the tokens just before have been seen, what followed then is expected again, spelled bytes too.
 
 A gate (how well the longer contexts are known, whether a match runs, token or byte) chooses the weights that add the log odds
 up, and the sum is refined by a map from odds to odds that the document itself corrects. Weights and map start from fixed values
@@ -19,13 +20,14 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 from itertools import repeat
+from os.path import commonprefix
 
 import numpy as np
 import xxhash
 
 CHANNELS = 3
-#: The weights that a document starts from: of the channels, and of the match.
-START = (0.35, 0.6, 0.4, 2.5)
+#: The weights that a document starts from, of the channels and of the match: for tokens, and for spelled bytes.
+START = ((0.35, 0.6, 0.4, 2.5), (0.5, 0.6, 0.5, 2.5))
 #: Tokens that count as common, and tokens that are contexts by themselves (others are so by their endings).
 COMMON, FREQUENT = 64, 4096
 KNOWN = 4  # classes of what is known of the third context
@@ -33,7 +35,7 @@ GATES = 2 * 3 * KNOWN
 BUCKETS = 16  # of log odds from -8 to 8
 MARK = 32  # the byte after a spelled token; no token holds a space
 #: Tokens in the first block of a text, and in its later ones (each twice the one before, up to this).
-FIRST_BLOCK, LAST_BLOCK = 32, 1024
+FIRST_BLOCK, LAST_BLOCK = 16, 1024
 #: Tokens of a text that are worked on at once.
 SEGMENT = 60_000
 RATE, MAP_RATE, SHARE = 6.0, 3.0, 2
@@ -193,13 +195,13 @@ class Contexts:
         seen = np.maximum.accumulate(np.concatenate([[-1], seen[:-1]])) if n else seen
         self.common = np.where(seen >= first[tokens.doc], ids[np.maximum(seen, 0)] + 1, 0).astype(np.uint32)
         self.hashes = [_mixed(c, s) for c, s in zip((np.zeros(n, np.uint32), self.common, before), _SALTS)]
-        self.expected, self.lengths = self._matches(tokens, place) if matches else (None, None)
+        self.expected, self.lengths, self.source = self._matches(tokens, place) if matches else (None, None, None)
 
     @staticmethod
-    def _matches(tokens: Tokens, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Within a document: the token that followed where its last MATCH_TOKENS tokens stood before, and for how long so."""
+    def _matches(tokens: Tokens, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Within a document: the token that followed where its last MATCH_TOKENS tokens stood before, for how long so, and where."""
         n, ids = len(tokens.ids), tokens.ids.astype(np.uint64)
-        expected, lengths = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+        expected, lengths, source = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
         key = (tokens.doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         own = ids.copy()
         own[tokens.where] = np.fromiter(map(xxhash.xxh64_intdigest, tokens.words), np.uint64, len(tokens.words)) | np.uint64(1 << 40)
@@ -211,18 +213,17 @@ class Contexts:
         short = (key >> np.uint64(48)).astype(np.intp)
         rows = np.flatnonzero((np.bincount(short, minlength=1 << 16).take(short) > 1) & (place >= MATCH_TOKENS))  # others stand alone
         if not len(rows):
-            return expected, lengths
+            return expected, lengths, source
         order = rows[np.argsort(key[rows], kind="stable")]
         same = key[order[1:]] == key[order[:-1]]
         at, earlier = order[1:][same], order[:-1][same]
         expected[at] = tokens.ids[earlier]
-        source = np.full(n, -1, np.int64)
         source[at] = earlier
         goes_on = np.zeros(n, bool)
         goes_on[1:] = (source[1:] >= 0) & (source[1:] == source[:-1] + 1)
         begun = np.maximum.accumulate(np.where(goes_on, 0, np.arange(n)))
         lengths[at] = (np.arange(n) - begun)[at] + 1
-        return expected, lengths
+        return expected, lengths, source
 
 
 def _edges(n: int) -> np.ndarray:
@@ -256,16 +257,15 @@ def _symbols(tokens: Tokens, contexts: Contexts, code: Code, rows: np.ndarray) -
         symbol[is_byte] = data + np.uint32(code.escape + 1)
         begin = np.cumsum(lens) - lens
         place = np.arange(len(data)) - np.repeat(begin, lens)
-        last = np.zeros((3, len(data)), np.uint32)
-        for back in (1, 2, 3):
-            last[back - 1, back:] = data[: len(data) - back] + 1
+        last = np.zeros((5, len(data)), np.uint32)
+        for back in range(1, 6):
+            last[back - 1, back:] = data[: max(0, len(data) - back)] + 1
             last[back - 1, place < back] = 0
-        powers = np.cumprod(np.full(int(lens.max()), 0x01000193, np.uint32), dtype=np.uint32)
-        total = np.concatenate([[0], np.cumsum((data + np.uint32(1)) * powers[place], dtype=np.uint32)]).astype(np.uint32)
-        so_far = (total[:-1] - np.repeat(total[begin], lens)) * np.uint32(0x2C1B3C6D) + place.astype(np.uint32)
         common = contexts.common[token[is_byte]] + np.uint32(1)
-        two, three = last[0] * np.uint32(257) + last[1], (last[0] * np.uint32(257) + last[1]) * np.uint32(257) + last[2]
-        for k, c in enumerate((two, three * np.uint32(67) + common, so_far)):
+        two = last[0] * np.uint32(257) + last[1]
+        three = two * np.uint32(257) + last[2]
+        five = (three * np.uint32(257) + last[3]) * np.uint32(263) + last[4]
+        for k, c in enumerate((three, two * np.uint32(67) + common, five)):
             hashes[k][is_byte] = _mixed(c + np.uint32(0x5BD1E995), _SALTS[k])
     return symbol, token, is_byte, hashes
 
@@ -331,6 +331,15 @@ class Counts:
             for channel in (0, 1):
                 self._bits(channel, symbol[is_byte], hashes[channel][is_byte])
 
+    def spell(self, words: list[bytes]) -> None:
+        """Counts how these tokens are spelled, each once, after no common token."""
+        for at in range(0, len(words), SEGMENT):
+            part = words[at : at + SEGMENT]
+            spelled = Tokens(np.full(len(part), self.code.escape, np.int32), np.arange(len(part)), np.ones(len(part), np.int64), np.arange(len(part)), part)
+            symbol, _, is_byte, hashes = _symbols(spelled, Contexts(spelled, self.endings, matches=False), self.code, np.arange(len(part)))
+            for channel in range(CHANNELS):
+                self._bits(channel, symbol[is_byte], hashes[channel][is_byte])
+
     def whole(self) -> np.ndarray:
         for channel in range(CHANNELS):
             self._flush(channel)
@@ -377,7 +386,7 @@ class Model:
             state_of += less
             inputs.append(ODDS.take(state_of))
         known = KNOWN_OF.take(state_of)
-        match, run, lost = self._match(contexts, symbol, token, is_byte, lens, begin, bit)
+        match, run, lost = self._match(tokens, contexts, symbol, token, is_byte, lens, begin, bit)
         inputs.append(match)
         doc = tokens.doc[token]
         where = np.repeat(doc * GATES + (is_byte * 3 + run) * KNOWN, lens)
@@ -391,14 +400,19 @@ class Model:
             a, b, c = edges[k : k + 3]
             state.block(base[a:c], where[a:c], sign[a:c], [x[a:c] for x in inputs], b - a)
 
-    def _match(self, contexts: Contexts, symbol: np.ndarray, token: np.ndarray, is_byte: np.ndarray, lens: np.ndarray, begin: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _match(self, tokens: Tokens, contexts: Contexts, symbol: np.ndarray, token: np.ndarray, is_byte: np.ndarray, lens: np.ndarray, begin: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each bit: 1 or -1 for an expected one or zero, else 0; of each symbol: 0, 1 or 2 (a long match); bits after a miss."""
         match, run = np.zeros(len(bit), np.float32), np.zeros(len(symbol), np.int64)
-        hoped = np.flatnonzero((contexts.expected[token] >= 0) & ~is_byte)
+        expected, escape = np.where(is_byte, -1, contexts.expected[token]), self.code.escape
+        for at in np.flatnonzero((expected == escape) & (symbol == escape)).tolist():
+            own, other = (tokens.words[np.searchsorted(tokens.where, row)] + b" " for row in (token[at], contexts.source[token[at]]))
+            n = len(own) if own == other else len(commonprefix([own, other])) + 1  # up to the first byte that differs
+            expected[at + 1 : at + 1 + n] = np.frombuffer(other[:n], np.uint8) + np.int64(escape + 1)
+        hoped = np.flatnonzero(expected >= 0)
         if not len(hoped):
             return match, run, hoped
         own = lens[hoped]
-        right = np.repeat(np.minimum(self.code.shared(symbol[hoped], contexts.expected[token[hoped]]), own), own)
+        right = np.repeat(np.minimum(self.code.shared(symbol[hoped], expected[hoped]), own), own)
         depth = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
         at = np.repeat(begin[hoped], own) + depth
         sign = bit[at].astype(np.float32) * 2 - 1
@@ -411,7 +425,7 @@ class _State:
     """What documents have learned so far, and the bits that they have taken."""
 
     def __init__(self, n_docs: int):
-        self.weights = [np.full(n_docs * GATES, w, np.float32) for w in START]
+        self.weights = [np.tile(np.repeat(np.array(w, np.float32), GATES // 2), n_docs) for w in zip(*START)]
         self.map = np.zeros(n_docs * BUCKETS, np.float32)
         self.mapped = np.zeros(n_docs * BUCKETS)
         self.taken = np.zeros(n_docs * BUCKETS)

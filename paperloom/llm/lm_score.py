@@ -1,9 +1,10 @@
 """Language-model scores: tables, training and scoring over a corpus; the model itself is in bit_mixing.
 
 Training counts tokens (map-side, then a shuffle), takes the most frequent ones as the vocabulary, and counts every bit of every
-training document in the channels' slots; the tasks' slot counts are summed block by block. A corpus of more different tokens
-gets more slots, up to MOST_SLOT_BITS. What is sent to each task has a bound: VOCABULARY tokens with their codes, the slots'
-states and the counts of the MOST_SENT most frequent tokens; other tokens' counts, which only the base score needs, come by a join.
+training document in the channels' slots, and the spelling of each of those tokens once; the tasks' slot counts are summed block
+by block. A corpus of more different tokens gets more slots, up to MOST_SLOT_BITS. What is sent to each task has a bound:
+VOCABULARY tokens with their codes, the slots' states and the counts of the MOST_SENT most frequent tokens; other tokens' counts,
+which only the base score needs, come by a join.
 
 Scoring reads each text once, in order. Weights and map are learned within the document, so a score depends on the document and
 the counts alone, not on how the table is cut. A training document's bits are predicted without themselves in the counts.
@@ -121,6 +122,16 @@ def train(docs: DataFrame, counts: DataFrame, levels: list[tuple[int, int]], tot
                 texts = [_words(t) for t in batch.column(0).slice(at, 500).to_pylist()]
                 for a, b in _grouped(texts):
                     slots.add(read_tokens(texts[a:b], vocabulary, vocabulary[END]))
+        yield from blocks_of(slots)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, code, endings = sent.value
+        for _ in batches:  # one row
+            slots = Counts(code, endings, slot_bits)
+            slots.spell([w for w in vocabulary if w != END])
+            yield from blocks_of(slots)
+
+    def blocks_of(slots: Counts) -> Iterator[pa.RecordBatch]:
         blocks = slots.whole().reshape(-1, BLOCK)
         for k in np.flatnonzero(blocks.any(1)).tolist():
             planes = blocks[k].astype("<i4").view(np.uint8).reshape(-1, 4).T  # bytes of like weight together, for the compression
@@ -138,8 +149,10 @@ def train(docs: DataFrame, counts: DataFrame, levels: list[tuple[int, int]], tot
 
     schema = "block long, counts binary"
     slots = np.zeros((CHANNELS * (2 << slot_bits) // BLOCK, BLOCK // 2), np.uint8)
-    for r in docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add_up, schema).toLocalIterator():  # a fixed number of slots
+    once = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(spell, schema)  # the vocabulary's own spellings
+    for r in docs.select("text").mapInArrow(count, schema).unionByName(once).repartition("block").mapInArrow(add_up, schema).toLocalIterator():  # a fixed number of slots
         slots[r["block"]] = np.frombuffer(r["counts"], np.uint8)
+    own[words.index(END)] *= total > 0  # without a training document there is no end
     return Model(code, endings, slot_bits, slots.reshape(CHANNELS, -1)), vocabulary, own
 
 
@@ -207,7 +220,7 @@ def score(docs: DataFrame) -> DataFrame:
         doc = tokens.doc[tokens.where]
         prices = np.append(price(own), 0.0)[tokens.ids]
         prices[tokens.where] = np.where(rare, 0, price(c))
-        known = np.bincount(tokens.doc, minlength=n) - np.bincount(doc[rare], minlength=n)
+        known = np.bincount(tokens.doc, np.append(own, 1)[tokens.ids] > 0, n).astype(np.int64) - np.bincount(doc[rare | (c == 0)], minlength=n)
         sizes = np.array([sum(map(len, t)) + len(t) + 1 for t in texts], np.int64)
         base = np.bincount(tokens.doc, prices, n)
         values = [numbers, ids, np.full(n, fold), pa.nulls(n, pa.binary()), tokens.sizes, sizes, known, base, -bits * math.log10(2)]

@@ -446,25 +446,25 @@ def _plain_bits(own, trained, words, code, model):
                 for bucket, x in steps.items():
                     corrected[bucket] = corrected.get(bucket, 0) + bit_mixing.MAP_RATE * x / (seen[bucket] + 100)
                 for key, x in gradient.items():
-                    weights[key] = weights.get(key, bit_mixing.START[key[1]]) + bit_mixing.RATE / (400 + taken / bit_mixing.SHARE) * x
+                    weights[key] = weights.get(key, bit_mixing.START[key[0] // (3 * bit_mixing.KNOWN)][key[1]]) + bit_mixing.RATE / (400 + taken / bit_mixing.SHARE) * x
                 waiting = []
             last = next((k for k in range(at - 1, 2, -1) if at >= 3 and tokens[k - 3 : k] == tokens[at - 3 : at]), None)
             run = run + 1 if last is not None and source is not None and last == source + 1 else int(last is not None)
             source = last
             hope = ids[last] if last is not None else None
-            symbols = [(own_id, False, [hashed(c, s) for c, s in zip((0, common, before), salts)])]
+            symbols = [(own_id, False, hope, [hashed(c, s) for c, s in zip((0, common, before), salts)])]
+            other = tokens[last] + b" " if hope == n_tokens else b""
             if own_id == n_tokens:
-                so_far = power = 0
-                power = 0x01000193
                 for place, x in enumerate(word + b" "):
-                    back = [word[place - k] + 1 if place >= k else 0 for k in (1, 2, 3)]
-                    three = ((back[0] * 257 + back[1]) * 257 + back[2]) & m32
-                    contexts = ((back[0] * 257 + back[1]) & m32, (three * 67 + common + 1) & m32, (so_far * 0x2C1B3C6D + place) & m32)
-                    symbols.append((n_tokens + 1 + x, True, [hashed((c + 0x5BD1E995) & m32, s) for c, s in zip(contexts, salts)]))
-                    so_far, power = (so_far + (x + 1) * power) & m32, power * 0x01000193 & m32
-            for symbol, is_byte, hashes in symbols:
+                    back = [word[place - k] + 1 if place >= k else 0 for k in (1, 2, 3, 4, 5)]
+                    two = (back[0] * 257 + back[1]) & m32
+                    three = (two * 257 + back[2]) & m32
+                    contexts = (three, (two * 67 + common + 1) & m32, ((three * 257 + back[3]) * 263 + back[4]) & m32)
+                    hoped = n_tokens + 1 + other[place] if place < len(other) and other[:place] == word[:place] else None
+                    symbols.append((n_tokens + 1 + x, True, hoped, [hashed((c + 0x5BD1E995) & m32, s) for c, s in zip(contexts, salts)]))
+            for symbol, is_byte, hope, hashes in symbols:
                 path = code.steps[code.starts[symbol] : code.starts[symbol] + code.lens[symbol]].tolist()
-                wanted = None if hope is None or is_byte else [x & 1 for x in code.steps[code.starts[hope] : code.starts[hope] + code.lens[hope]].tolist()]
+                wanted = None if hope is None else [x & 1 for x in code.steps[code.starts[hope] : code.starts[hope] + code.lens[hope]].tolist()]
                 for depth, step in enumerate(path):
                     bit, sign = step & 1, 2 * (step & 1) - 1
                     slots = [((h ^ (step >> 1)) * 0x9E3779B1 & m32) >> (32 - model.slot_bits) for h in hashes]
@@ -475,7 +475,7 @@ def _plain_bits(own, trained, words, code, model):
                     kind = (3 if is_byte else 0) + ((2 if run >= 16 else 1) if hit else 0)
                     where = kind * bit_mixing.KNOWN + int(bit_mixing.KNOWN_OF[read[2]])
                     inputs = [*(float(bit_mixing.ODDS[x]) for x in read), match]
-                    odds = max(-7.99, min(7.99, sum(weights.get((where, k), bit_mixing.START[k]) * x for k, x in enumerate(inputs))))
+                    odds = max(-7.99, min(7.99, sum(weights.get((where, k), bit_mixing.START[is_byte][k]) * x for k, x in enumerate(inputs))))
                     bucket = int((odds + 8) * bit_mixing.BUCKETS / 16)
                     chance = 1 / (1 + math.exp(-sign * (odds + corrected.get(bucket, 0))))
                     total -= math.log2(chance)
@@ -496,6 +496,7 @@ def _model(own, least=2):
     slots = bit_mixing.Counts(code, endings, 16)
     vocabulary = bit_mixing.Vocabulary(words)
     slots.add(bit_mixing.read_tokens(own, vocabulary, vocabulary[b"\n"]))
+    slots.spell([w for w in words if w != b"\n"])
     states = np.stack([bit_mixing.states(x[0::2].astype(int), x[1::2].astype(int)) for x in slots.whole()])
     return words, code, vocabulary, bit_mixing.Model(code, endings, 16, states)
 
