@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm_score, quality_classifier, quality_rules, secrets
+from . import clustering, collocations, decontaminate, licenses, lm_score, quality_classifier, quality_rules, secrets
 from .binary_tokens import write_and_read
 from .common import benchmark, documents, labels
 from .near_dedup import deduplicate
+from .online_packing import pack_online
 from .packing import pack
 from .token_counts import count_tokens
 
@@ -56,6 +57,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's digests of the packed pieces, taken from the ids that were placed."""
+    return pack_online(documents(spark, sf_dir)).drop("ids")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
 def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the scores' base says, which SQL can express."""
     found = op3_lm_score(spark, sf_dir)
@@ -90,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_token_ids,
         op10_secret_scan,
+        op11_clustering,
+        op12_online_packing,
+        op13_collocations,
         lm_base,
         license_phrases,
         quality_counts,
@@ -132,7 +149,34 @@ _QUALITY_SQL = (
 _SECRET_SQL = r"""SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS n_assign,
 len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS n_hex FROM documents"""
 
+_FLOORED = "CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END"
+_ROUND_SQL = """a{0} AS MATERIALIZED (SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.r, c.k, list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{0} c) GROUP BY r)"""
+_MOVE_SQL = """m{0} AS (SELECT k, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT a.k, unnest(v.q) AS x, generate_subscripts(v.q, 1) AS i FROM v JOIN a{0} a USING (r)) GROUP BY k, i),
+c{1} AS MATERIALIZED (SELECT c.k, coalesce(g.q, c.q) AS q FROM c{0} c LEFT JOIN (SELECT k, list(""" + _FLOORED + """ ORDER BY i)::BIGINT[] AS q FROM m{0} GROUP BY k) g USING (k))"""
+_CLUSTER_SQL = (
+    "WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64), "
+    "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS k, q FROM v QUALIFY k < 16), "
+    + ", ".join(_ROUND_SQL.format(k) + ", " + _MOVE_SQL.format(k, k + 1) for k in range(3))
+    + ", " + _ROUND_SQL.format(3) + ", i AS (SELECT k, sum(d) AS s FROM a3 GROUP BY k) "
+    "SELECT v.vec_id, CAST(a.k AS INTEGER) AS cluster, a.d AS distance, CAST(i.s AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM a3) AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM v JOIN a3 a USING (r) JOIN i USING (k) JOIN c3 c USING (k)"
+)
+_SCORED = "1000000::HUGEINT * {0} * {0} // ({1}::HUGEINT * {2})"
+_COLLOCATION_SQL = (
+    "WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(" + _LOWER + r", '[.,;:!?\x0A-\x0D]')) AS piece FROM documents), "
+    r"w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p), "
+    "t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang), "
+    + ", ".join(f"f{k} AS MATERIALIZED (SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: w[i:i + {k - 1}])) AS g FROM w) GROUP BY lang, g HAVING count(*) >= 10)" for k in (1, 2, 3))
+    + ", b AS (SELECT x.lang, x.g, x.f AS a, l.f AS l, r.f AS r, " + _SCORED.format("x.f", "l.f", "r.f") + " AS score FROM f2 x JOIN f1 l ON l.lang = x.lang AND l.g = x.g[1:1] JOIN f1 r ON r.lang = x.lang AND r.g = x.g[2:2]), "
+    "u AS (SELECT x.lang, x.g, x.f AS a, l.f AS l1, r.f AS r1, m.f AS l2, s.f AS r2 FROM f3 x JOIN f1 l ON l.lang = x.lang AND l.g = x.g[1:1] JOIN f2 r ON r.lang = x.lang AND r.g = x.g[2:3] JOIN f2 m ON m.lang = x.lang AND m.g = x.g[1:2] JOIN f1 s ON s.lang = x.lang AND s.g = x.g[3:3]), "
+    "y AS (SELECT *, " + _SCORED.format("a", "l1", "r1") + " AS s1, " + _SCORED.format("a", "l2", "r2") + " AS s2 FROM u), "
+    "o AS (SELECT lang, g[1:2] AS g, f FROM f3 UNION ALL SELECT lang, g[2:3], f FROM f3), v AS (SELECT lang, g, max(f) AS f FROM o GROUP BY lang, g), "
+    "z AS (SELECT b.* FROM b LEFT JOIN v ON v.lang = b.lang AND v.g = b.g WHERE v.f IS NULL OR 100 * v.f < 50 * b.a UNION ALL SELECT lang, g, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM y), "
+    "k AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score FROM z) "
+    "SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM k JOIN t USING (lang) QUALIFY rank <= 2000"
+)
+
 #: DuckDB's SQL for the queries that it can express.
 ORACLE_SQL: dict[str, str] = {
     "op1_near_dedup": _NEAR_DEDUP_SQL, "lm_base": _LM_BASE_SQL, "license_phrases": _LICENSE_SQL, "quality_counts": _QUALITY_SQL, "secret_counts": _SECRET_SQL,
+    "op11_clustering": _CLUSTER_SQL, "op13_collocations": _COLLOCATION_SQL,
 }
