@@ -75,15 +75,28 @@ def path_tail(path: Column, parts: int = 3) -> Column:
     return F.when(F.size(split) > parts, tail).otherwise(path)
 
 
+def _where(there: Callable[[Column], Column], change: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda t: F.when(there(t), change(t)).otherwise(t)
+
+
 def searchable(text: Column) -> Column:
     """What is indexed and shown: no base64 runs, no NaN, short paths, single spaces."""
+
+    def cut_paths(t: Column) -> Column:
+        paths = F.regexp_extract_all(t, F.lit(LONG_PATH), F.lit(0))
+        return F.aggregate(F.array_distinct(paths), t, lambda acc, p: F.replace(acc, p, path_tail(p)))
+
+    # patterns are tried only where a text has what each of their matches has
+    steps = [
+        (lambda t: t.rlike("[A-Za-z0-9+/]{60}"), lambda t: F.regexp_replace(t, BASE64_RUN, "[base64]")),
+        (lambda t: F.contains(F.lower(t), F.lit("nan")), lambda t: F.regexp_replace(F.regexp_replace(t, NAN_RUN, "[NaN omitted]"), NAN, "")),
+        (lambda t: F.contains(t, F.lit("\\")) | F.contains(t, F.lit("_PLC+HMI")), cut_paths),
+    ]
+
     clean = F.coalesce(text, F.lit(""))
-    clean = F.regexp_replace(clean, BASE64_RUN, "[base64]")
-    clean = F.regexp_replace(clean, NAN_RUN, "[NaN omitted]")
-    clean = F.regexp_replace(clean, NAN, "")
-    paths = F.regexp_extract_all(clean, F.lit(LONG_PATH), F.lit(0))
-    cut = F.aggregate(F.array_distinct(paths), clean, lambda acc, p: F.replace(acc, p, path_tail(p)))
-    return collapse(F.when(clean.rlike(LONG_PATH), cut).otherwise(clean))
+    for there, change in steps:
+        clean = let(clean, _where(there, change))
+    return collapse(clean)
 
 
 def query_tokens(query: str) -> list[str]:

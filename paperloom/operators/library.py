@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..tables import written
+from .ranks import numbered
 
-#: Entities of one or two words that are sent to every task for containment joins, at most.
-MOST_SENT = 20_000
-_RUN = r"[\p{L}\p{N}]+"
+#: Letters of entities that one automaton holds, about.
+MOST_LETTERS = 1_000_000
 #: Default patterns of entities; callers with their own vocabulary pass their own.
 ENTITY_RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -108,37 +114,56 @@ def top_entities(entities: DataFrame, size: int = 25) -> DataFrame:
 def contained(chunks: DataFrame, entities: DataFrame, bounded: bool = True, least: int = 2) -> DataFrame:
     """chunk_id, entity_id where the entity's text stands in the chunk's title, text, locator or headings, whatever the case.
 
-    bounded: only entities first seen in this or an earlier document (first_doc_ord <= doc_ord). An entity of three words and
-    more meets chunks on its longest inner word. Of the others up to MOST_SENT are sent to the tasks; beyond, they meet on the
-    first four characters of their first word. Then whole texts are compared."""
+    bounded: only entities first seen in this or an earlier document (first_doc_ord <= doc_ord). Texts of `least` characters and
+    more are looked for, all at once: an automaton over a block of them goes through each chunk once, so neither common words nor
+    names of one word cost more than others. A block has about MOST_LETTERS letters, whatever the number of entities; the
+    entities are read block by block when the frame is made, chunks in as many scans as there are blocks."""
     hay = T.casefold(F.concat_ws(" ", "title", "text", "locator", F.array_join("heading_path", " ")))
-    own = chunks.select("chunk_id", "doc_ord", hay.alias("_hay"))
-    runs = F.regexp_extract_all("_needle", F.lit(_RUN), F.lit(0))
-    inner = F.filter(F.slice(runs, 2, F.greatest(F.size(runs) - 2, F.lit(0))), lambda x: F.length(x) >= 3)
-    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("word"))))["word"]
-    needles = entities.select("entity_id", "first_doc_ord", T.casefold(F.col("entity_text")).alias("_needle")).filter(F.length("_needle") >= least).withColumn("_key", longest)
-    inside = F.contains("_hay", "_needle")
-    if bounded:
-        inside = inside & (F.col("first_doc_ord") <= F.col("doc_ord"))
-    # an inner word stands whole in every text that holds the entity
-    words = own.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("_hay", F.lit(_RUN), F.lit(0)))).alias("_key")).filter(F.length("_key") >= 3)
-    met = words.join(needles.filter("_key is not null"), "_key").drop("_key").join(own, "chunk_id").filter(inside).select("chunk_id", "entity_id")
-    short = needles.filter("_key is null").drop("_key")
-    if short.limit(MOST_SENT + 1).count() <= MOST_SENT:
-        return met.unionByName(own.join(F.broadcast(short), inside).select("chunk_id", "entity_id"))
-    grams = own.select("chunk_id", F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("_hay", F.lit(_RUN), F.lit(0)), lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.substr(w, k, F.lit(4))))))).alias("_gram"))
-    first = F.regexp_extract("_needle", _RUN, 0)
-    keyed = short.withColumn("_gram", F.substring(first, 1, 4)).filter(F.length("_gram") == 4)
-    others = grams.join(keyed, "_gram").drop("_gram").join(own, "chunk_id").filter(inside).select("chunk_id", "entity_id").distinct()
-    tiny = short.filter(F.length(first) < 4)  # names of one to three characters: as many as there are such names
-    return met.unionByName(others).unionByName(own.join(tiny, inside).select("chunk_id", "entity_id"))
-
-
-def with_entity_text(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    own = chunks.select("chunk_id", F.col("doc_ord").cast("long").alias("doc_ord"), hay.alias("_hay"))
+    needles = entities.select(T.casefold(F.col("entity_text")).alias("_needle"), "entity_id", F.col("first_doc_ord").cast("long").alias("first_doc_ord")).filter(F.length("_needle") >= least)
+    needles = written(needles, "needles")
+    schema = StructType([own.schema["chunk_id"], needles.schema["entity_id"]])
+    blocks = -(-(needles.agg(F.sum(F.length("_needle"))).first()[0] or 0) // MOST_LETTERS)
+    context, parts = chunks.sparkSession.sparkContext, []
+    for k in range(blocks):
+        part = needles.filter(F.pmod(F.xxhash64("_needle"), F.lit(blocks)) == k).toArrow()  # MOST_LETTERS letters, about
+        parts.append(own.mapInArrow(_finder(context.broadcast(part), bounded, schema), schema))
+    return reduce(DataFrame.unionByName, parts) if parts else chunks.sparkSession.createDataFrame([], schema)
+
+
+def _finder(sent: Broadcast[pa.Table], bounded: bool, schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    kinds = to_arrow_schema(schema)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for needle, entity_id, first in zip(*(sent.value.column(k).to_pylist() for k in range(3))):
+            if needle in automaton:
+                automaton.get(needle).append((entity_id, first))
+            else:
+                automaton.add_word(needle, [(entity_id, first)])
+        automaton.make_automaton()
+        for batch in batches:
+            chunk_ids, entity_ids = [], []
+            for chunk_id, doc_ord, hay in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                for same in {id(x): x for _, x in automaton.iter(hay)}.values():
+                    for entity_id, first in same:
+                        if not bounded or first is not None and doc_ord is not None and first <= doc_ord:
+                            chunk_ids.append(chunk_id)
+                            entity_ids.append(entity_id)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((chunk_ids, entity_ids), kinds)], schema=kinds)
+
+    return find
+
+
+def with_entity_text(chunks: DataFrame, entities: DataFrame, inside: DataFrame | None = None) -> DataFrame:
     """Adds `entities`, which the index holds: the texts of all entities that stand in a chunk, wherever they were first seen, in
-    the order in which they were. entities: entity_id, entity_text, first_doc_ord, first_ord."""
-    inside = contained(chunks, entities, bounded=False).join(entities.select("entity_id", "entity_text", "first_ord"), "entity_id")
-    listed = inside.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("first_ord", "entity_id", "entity_text"))).alias("_e"))
+    the order in which they were. entities: entity_id, entity_text, first_doc_ord, first_ord; inside: contained(..., False), if it
+    is there already."""
+    inside = contained(chunks, entities, bounded=False) if inside is None else inside
+    named = inside.join(entities.select("entity_id", "entity_text", "first_ord"), "entity_id")
+    listed = named.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("first_ord", "entity_id", "entity_text"))).alias("_e"))
     joined = chunks.drop("entities").join(listed, "chunk_id", "left")
     return joined.withColumn("entities", F.coalesce(F.array_join(F.transform("_e", lambda x: x["entity_text"]), " "), F.lit(""))).drop("_e")
 
@@ -166,26 +191,26 @@ def with_source(chunks: DataFrame, sources: DataFrame, columns: list[str]) -> Da
 
 
 def unique_ids(rows: DataFrame, base: str, hint: str, order: str) -> DataFrame:
-    """Adds `unique_id`: the base id made safe; the second of a kind gets -hint, later ones -hint-2 and so on."""
-    safe = T.safe_id(F.col(base))
-    n = F.row_number().over(Window.partitionBy("_safe").orderBy(order))
+    """Adds `unique_id`: the base id made safe; the second of a kind gets -hint, later ones -hint-2 and so on. Rows of a kind are
+    numbered by ranges, however many there are."""
     named = F.when(F.col("_n") == 1, F.col("_safe")).when(F.col("_n") == 2, F.concat("_safe", F.lit("-"), T.safe_id(F.col(hint)))).otherwise(
         F.concat("_safe", F.lit("-"), T.safe_id(F.col(hint)), F.lit("-"), (F.col("_n") - 1).cast("string"))
     )
-    return rows.withColumn("_safe", safe).withColumn("_n", n).withColumn("unique_id", named).drop("_safe", "_n")
+    return numbered(rows.withColumn("_safe", T.safe_id(F.col(base))), ["_safe"], [order], "_n").withColumn("unique_id", named).drop("_safe", "_n")
 
 
 def output_folders(files: DataFrame) -> DataFrame:
-    """Adds output_dir to files (doc_ord, slug, checksum): the first of a slug has it, others add 8 characters of their hash."""
-    first = Window.partitionBy("slug").orderBy("doc_ord")
-    return files.withColumn("_first", F.first("checksum").over(first)).withColumn(
-        "output_dir", F.when(F.col("_first") == F.col("checksum"), F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.substring(F.regexp_replace("checksum", "^sha256:", ""), 1, 8)))
-    ).drop("_first")
+    """Adds output_dir to files (doc_ord, slug, checksum): the first of a slug has it, others add 8 characters of their hash. The
+    first is a minimum that is taken before anything is shuffled, and comes back by a join that splits common slugs."""
+    first = files.groupBy("slug").agg(F.min_by("checksum", "doc_ord").alias("_first"))
+    named = F.when(F.col("_first").eqNullSafe(F.col("checksum")), F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.substring(F.regexp_replace("checksum", "^sha256:", ""), 1, 8)))
+    return files.join(first, "slug", "left").withColumn("output_dir", named).select(*files.columns, "output_dir")
 
 
 def first_rows(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter("_n = 1").drop("_n")
+    """The first row of each key, a minimum that is taken before anything is shuffled."""
+    first = F.min_by(F.struct(*rows.columns), order).alias("_r")
+    return rows.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]).agg(first).select("_r.*")
 
 
 _EDGE = ("source_id", "source_type", "target_id", "target_type", "relation_type", "evidence", "locator")
@@ -250,8 +275,10 @@ def build(documents: DataFrame, chunks: DataFrame, document_entities: DataFrame,
     own = ordered.withColumn("normalized_text", T.normal_entity(F.col("entity_text"))).join(entities.select("entity_type", "normalized_text", "entity_id"), ["entity_type", "normalized_text"])
     noise = T.noise(F.col("text"), F.col("locator"))
     marked = chunks.join(documents.select("doc_id", "doc_ord"), "doc_id").withColumn("_noise", noise).select("*", "_noise.is_noisy", F.round("_noise.noise_score", 3).alias("noise_score"), "_noise.noise_reasons").drop("_noise")
-    marked = with_entity_text(marked, entities)
-    inside = contained(marked, entities)
+    held = written(contained(marked, entities, bounded=False), "contained")
+    marked = with_entity_text(marked, entities, held)
+    seen_before = F.col("first_doc_ord") <= F.col("doc_ord")
+    inside = held.join(entities.select("entity_id", "first_doc_ord"), "entity_id").join(marked.select("chunk_id", "doc_ord"), "chunk_id").filter(seen_before).select("chunk_id", "entity_id")
     document_mentions = own.select("entity_id", "doc_id", F.lit(None).cast("string").alias("chunk_id"), "source_file", F.lit(None).cast("string").alias("locator")).distinct()
     chunk_mentions = inside.join(marked.select("chunk_id", "doc_id", "locator"), "chunk_id").join(documents.select("doc_id", "source_file"), "doc_id").select("entity_id", "doc_id", "chunk_id", "source_file", "locator")
     edges = relations(marked, assets, document_mentions, chunk_mentions)

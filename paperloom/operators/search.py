@@ -1,8 +1,9 @@
 """Ranked evidence search: match expressions, BM25, rank adjustment, cascades, filters, facets and context.
 
 Rows to search are chunks joined with their documents (`search_rows`). A query is compiled on the driver into a predicate and
-BM25 terms over each row's term arrays, so a search is one or two scans with column expressions and a top-k; nothing is
-collected but the page that is asked for. `build_postings` makes an index for searches by single words over large libraries.
+BM25 terms over each row's term arrays. A search of such rows is one scan: it cuts texts into terms, counts over all rows what
+BM25 needs, and keeps the matching rows without their texts in a written table, from which the page is taken. A library that
+has been written has an index (`operators/index.py`), which answers the same queries from the postings of their terms.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import written
 
+#: Columns that matching rows are kept without; a page fetches them for its rows.
+LARGE = ("text", "headings", "heading_path", "entities")
 #: What is indexed, BM25's constants, the ranking's adjustments, caps.
 INDEXED = ("title", "text", "headings", "locator", "entities")
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -241,15 +245,24 @@ def _starts(terms: Column, phrase: Phrase) -> Column:
     return T.let(terms, places)
 
 
-def count_of(phrase: Phrase, columns: tuple[str, ...] = INDEXED) -> Column:
-    """How often the phrase stands in a row's columns; needs the columns terms_<name>."""
+#: Where a phrase begins in a column of a row: an array of positions.
+Places = Callable[[str, Phrase], Column]
+
+
+def in_terms(column: str, phrase: Phrase) -> Column:
+    """Places in rows with terms; needs the column terms_<name>."""
+    return _starts(F.col(f"terms_{column}"), phrase)
+
+
+def count_of(phrase: Phrase, columns: tuple[str, ...] = INDEXED, places: Places = in_terms) -> Column:
+    """How often the phrase stands in a row's columns."""
     if not phrase.terms:
         return F.lit(0)
-    if len(phrase.terms) == 1 and not phrase.initial:
+    if places is in_terms and len(phrase.terms) == 1 and not phrase.initial:
         word = phrase.terms[0]
         test = (lambda x: x.startswith(word)) if phrase.is_prefix(0) else (lambda x: x == word)
         return sum((F.size(F.filter(F.col(f"terms_{c}"), test)) for c in columns), F.lit(0))
-    return sum((F.size(_starts(F.col(f"terms_{c}"), phrase)) for c in columns), F.lit(0))
+    return sum((F.size(places(c, phrase)) for c in columns), F.lit(0))
 
 
 def _near(places: Column, lengths: list[int], distance: int) -> Column:
@@ -265,17 +278,17 @@ def _near(places: Column, lengths: list[int], distance: int) -> Column:
     return F.exists(F.concat(*[places[f"p{k}"] for k in range(len(lengths))]), ends_at)
 
 
-def predicate(node: Node) -> Column:
+def predicate(node: Node, places: Places = in_terms) -> Column:
     if node.kind == "phrases":
         if len(node.phrases) == 1:
-            return count_of(node.phrases[0], node.columns) > 0
+            return count_of(node.phrases[0], node.columns, places) > 0
         lengths = [len(p.terms) for p in node.phrases]
         near = F.lit(False)
         for c in node.columns:
-            starts = F.struct(*[_starts(F.col(f"terms_{c}"), p).alias(f"p{k}") for k, p in enumerate(node.phrases)])
+            starts = F.struct(*[places(c, p).alias(f"p{k}") for k, p in enumerate(node.phrases)])
             near = near | T.let(starts, lambda x: _near(x, lengths, node.distance))
         return near
-    own = [predicate(p) for p in node.parts]
+    own = [predicate(p, places) for p in node.parts]
     if node.kind == "not":
         return own[0] & ~own[1]
     return reduce((lambda a, b: a & b) if node.kind == "and" else (lambda a, b: a | b), own)
@@ -331,12 +344,6 @@ def with_terms(rows: DataFrame) -> DataFrame:
     return rows.withColumns(lacking) if lacking else rows
 
 
-def write_index(rows: DataFrame, path: str) -> DataFrame:
-    """Rows to search with their terms, written once, so that searches don't make them again."""
-    with_terms(rows).write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.parquet(path)
-
-
 def rank_adjustment() -> Column:
     """Lower is better: noise, a missing locator and weak kinds of evidence cost."""
     weight = F.lit(0.0)
@@ -355,16 +362,30 @@ def saturated(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def bm25(rows: DataFrame, node: Node, matched: Column) -> DataFrame:
-    """Rows that match, with bm25 (negative; lower is better). Counts and lengths are of all rows."""
+def counted(rows: DataFrame, node: Node) -> tuple[DataFrame, list[Column]]:
+    """Rows with terms and what BM25 counts in each, and what it counts over all of them: n, mean, df0, df1, ..."""
     own = phrases(node)
-    counted = rows.select("*", F.size(F.concat(*[F.col(f"terms_{c}") for c in INDEXED])).cast("double").alias("_dl"), *[count_of(*p).cast("double").alias(f"_tf{k}") for k, p in enumerate(own)])
-    statistics = counted.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("_dl").alias("mean"), *[F.count_if(F.col(f"_tf{k}") > 0).cast("double").alias(f"df{k}") for k in range(len(own))]).alias("s")).scalar()
-    found = counted.filter(matched).withColumn("_s", statistics)
+    length = F.size(F.concat(*[F.col(f"terms_{c}") for c in INDEXED])).cast("double").alias("_dl")
+    each = rows.select("*", length, *[count_of(*p).cast("double").alias(f"_tf{k}") for k, p in enumerate(own)])
+    having = [F.count_if(F.col(f"_tf{k}") > 0).cast("double").alias(f"df{k}") for k in range(len(own))]
+    return each, [F.count("*").cast("double").alias("n"), F.avg("_dl").alias("mean"), *having]
+
+
+def bm25_score(phrase_count: int, statistic: Callable[[str], Column]) -> Column:
+    """Negative, lower is better; of rows with _dl and _tf0, _tf1, ..."""
     score = F.lit(0.0)
-    for k in range(len(own)):
-        score = score + idf(F.col("_s.n"), F.col(f"_s.df{k}")) * saturated(F.col(f"_tf{k}"), F.col("_dl"), F.col("_s.mean"))
-    return found.withColumn("bm25", -score).drop("_s", "_dl", *[f"_tf{k}" for k in range(len(own))])
+    for k in range(phrase_count):
+        score = score + idf(statistic("n"), statistic(f"df{k}")) * saturated(F.col(f"_tf{k}"), F.col("_dl"), statistic("mean"))
+    return -score
+
+
+def bm25(rows: DataFrame, node: Node, matched: Column) -> DataFrame:
+    """Rows that match, with bm25. Counts and lengths are of all rows."""
+    each, over_all = counted(rows, node)
+    statistics = each.agg(F.struct(*over_all).alias("s")).scalar()
+    found = each.filter(matched).withColumn("_s", statistics)
+    own = len(over_all) - 2
+    return found.withColumn("bm25", bm25_score(own, lambda name: F.col(f"_s.{name}"))).drop("_s", "_dl", *[f"_tf{k}" for k in range(own)])
 
 
 def match_rows(rows: DataFrame, query: str, filters: Filters | None = None, mentions: DataFrame | None = None) -> DataFrame:
@@ -378,6 +399,55 @@ def match_rows(rows: DataFrame, query: str, filters: Filters | None = None, ment
     return apply_filters(scored.drop("bm25", *[f"terms_{c}" for c in INDEXED]), filters, mentions).withColumn("_order", F.round("score", 9))
 
 
+@dataclass(frozen=True)
+class Rows:
+    """Rows to search that no index has been written of."""
+
+    rows: DataFrame
+
+    def fetch(self, chunk_ids: list[str]) -> DataFrame:
+        return self.rows.filter(F.col("chunk_id").isin(chunk_ids))
+
+    def substrings(self, found: DataFrame, filters: Filters, mentions: DataFrame | None) -> DataFrame:
+        return written(apply_filters(found, filters, mentions).drop(*LARGE), "matches")
+
+    def any_of(self, queries: list[str], filters: Filters, mentions: DataFrame | None) -> list[DataFrame]:
+        """The matching rows of each query (words), scored; all from one scan."""
+        nodes = [parse(q) for q in queries]
+        each, over_all = counted(with_terms(self.rows), Node("or", tuple(nodes)))
+        seen = Observation()
+        matched = reduce(lambda a, b: a | b, (predicate(n) for n in nodes))
+        flags = each.observe(seen, *over_all).filter(matched).withColumns({f"_hit{k}": predicate(n) if len(nodes) > 1 else F.lit(True) for k, n in enumerate(nodes)})
+        kept = written(apply_filters(flags, filters, mentions).drop(*LARGE, *[f"terms_{c}" for c in INDEXED]), "matches")
+        return scored_apart(kept, nodes, seen.get)
+
+
+def scored_apart(kept: DataFrame, nodes: list[Node], statistics: dict[str, float]) -> list[DataFrame]:
+    """For each node its rows among those kept (_hit0, ..., _dl, _tf0, ... of all nodes' phrases, in order) with score, _order."""
+    out, at = [], 0
+    for k, node in enumerate(nodes):
+        own = len(phrases(node))
+        shifted = kept.filter(f"_hit{k}").withColumns({f"_own{j}": F.col(f"_tf{at + j}") for j in range(own)})
+        score = F.lit(0.0)
+        for j in range(own):
+            score = score + idf(F.lit(statistics["n"]), F.lit(statistics[f"df{at + j}"])) * saturated(F.col(f"_own{j}"), F.col("_dl"), F.lit(statistics["mean"]))
+        adjustment = F.col("adjustment") if "adjustment" in kept.columns else rank_adjustment()
+        scored = shifted.withColumn("score", -score + adjustment).withColumn("_order", F.round("score", 9))
+        out.append(scored.drop(*[c for c in scored.columns if c.startswith(("_own", "_tf", "_hit")) or c == "_dl"]))
+        at += own
+    return out
+
+
+def kept_matches(source: Rows, query: str, filters: Filters | None = None, mentions: DataFrame | None = None) -> DataFrame:
+    """The rows of match_rows, without their texts, from one scan; reading them again costs little."""
+    filters = filters or Filters()
+    try:
+        parse(query)
+    except QuerySyntaxError:
+        return source.substrings(substring_rows(source.rows, query), filters, mentions)
+    return source.any_of([query], filters, mentions)[0]
+
+
 def substring_rows(rows: DataFrame, text: str) -> DataFrame:
     hit = _like("text", text) | _like("title", text) | _like("headings", text) | _like("locator", text)
     return rows.filter(hit).withColumn("score", F.lit(0.0)).withColumn("_order", rank_adjustment())
@@ -390,12 +460,17 @@ def prefix_rows(rows: DataFrame, prefix: str) -> DataFrame:
     return substring_rows(rows, prefix)
 
 
-def token_rows(rows: DataFrame, query: str, size: int, filters: Filters | None = None, mentions: DataFrame | None = None) -> DataFrame:
-    """Rows that match any token of the query: the best of each token, merged. The more tokens match, the better."""
+def source_of(rows: DataFrame | Rows) -> Rows:
+    return Rows(rows) if isinstance(rows, DataFrame) else rows
+
+
+def token_rows(rows: DataFrame | Rows, query: str, size: int, filters: Filters | None = None, mentions: DataFrame | None = None) -> DataFrame:
+    """Rows that match any token of the query, without their texts: the best of each token, merged. The more tokens match, the
+    better. All tokens are looked for in one scan."""
     tokens, pool = T.query_tokens(query), max(POOL, size)
     parts = []
-    for k, token in enumerate(tokens):
-        best = match_rows(rows, token, filters, mentions).orderBy("_order", "chunk_ord").limit(pool)
+    for k, (token, found) in enumerate(zip(tokens, source_of(rows).any_of(tokens, filters or Filters(), mentions))):
+        best = found.orderBy("_order", "chunk_ord").limit(pool)
         ranked = best.withColumn("_rank", F.row_number().over(Window.orderBy("_order", "chunk_ord")))  # at most `pool` rows
         parts.append(ranked.withColumn("_token", F.lit(token)).withColumn("_k", F.lit(k)))
     merged = reduce(DataFrame.unionByName, parts)
@@ -404,8 +479,9 @@ def token_rows(rows: DataFrame, query: str, size: int, filters: Filters | None =
         *[F.min_by(c, "_k").alias(c) for c in kept], F.min_by("score", "_k").alias("score"),
         F.array_sort(F.collect_set("_token")).alias("matched_tokens"), F.count("*").alias("token_hits"), F.min("_rank").alias("best_rank"),
     )
+    adjustment = F.col("adjustment") if "adjustment" in kept else rank_adjustment()
     bonus = F.when(F.col("document_kind") == FAILURE_KIND, F.lit(FAILURE_WEIGHT)).otherwise(F.lit(0.0)) if FAILURE_TOKENS & set(tokens) else F.lit(0.0)
-    return found.withColumn("_order", F.struct(-F.size("matched_tokens"), rank_adjustment() + bonus, F.col("best_rank"), F.col("is_noisy"), F.coalesce("noise_score", F.lit(0.0))))
+    return found.withColumn("_order", F.struct(-F.size("matched_tokens"), adjustment + bonus, F.col("best_rank"), F.col("is_noisy"), F.coalesce("noise_score", F.lit(0.0))))
 
 
 def identifier_variants(query: str) -> list[str]:
@@ -432,76 +508,111 @@ def expansions(query: str, aliases: dict[str, list[str]] | None = None) -> list[
     return out
 
 
-def page(found: DataFrame, query: str, limit: int, offset: int, fallback: bool = False, alias: str | None = None, exact: bool = False, original: str | None = None) -> DataFrame:
-    """The page of results with their ranks. total_hits is counted beside it, so no window runs over all rows."""
+_PAGE = "chunk_id string, rank int, score double, matched_tokens array<string>, total_hits long"
+
+
+def page(found: DataFrame, query: str, limit: int, offset: int, fallback: bool = False, alias: str | None = None, exact: bool = False, original: str | None = None, source: Rows | None = None) -> DataFrame:
+    """The page of results with their ranks. total_hits is counted beside it, so no window runs over all rows. source: what has
+    the texts, if found doesn't."""
     tokens = F.col("matched_tokens") if "matched_tokens" in found.columns else F.array().cast("array<string>")
-    total = found.groupBy().agg(F.count("*").alias("n")).scalar()
     best = found.orderBy("_order", "chunk_ord").offset(offset).limit(limit)
-    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy("_order", "chunk_ord")) + F.lit(offset))  # one page
-    return ranked.select(
+    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy("_order", "chunk_ord")) + F.lit(offset)).withColumn("matched_tokens", tokens)  # one page
+    if source is None:
+        shown = ranked.withColumn("total_hits", found.groupBy().agg(F.count("*").alias("n")).scalar())
+    else:
+        total = found.count()
+        picked = [(*r, total) for r in ranked.select("chunk_id", "rank", "score", "matched_tokens").collect()]  # one page
+        own = found.sparkSession.createDataFrame(picked, _PAGE)
+        shown = source.fetch([r[0] for r in picked]).join(F.broadcast(own), "chunk_id")
+    return shown.select(
         "rank", "chunk_id", "document_title", "document_kind", "source_file", "output_dir", F.col("title").alias("chunk_title"),
-        "evidence_type", "locator", "is_noisy", "noise_score", "noise_reasons", total.alias("total_hits"),
+        "evidence_type", "locator", "is_noisy", "noise_score", "noise_reasons", "total_hits",
         F.lit(fallback).alias("fallback_used"), F.lit("token_fallback" if fallback else "fts").alias("mode"),
         F.lit(query).alias("query_used"), F.lit(original or query).alias("original_query"), F.lit(alias).cast("string").alias("alias_used"),
-        F.lit(exact).alias("normalized_used"), tokens.alias("matched_tokens"), T.preview(F.col("text"), query).alias("preview"), "score",
+        F.lit(exact).alias("normalized_used"), "matched_tokens", T.preview(F.col("text"), query).alias("preview"), "score",
     )
 
 
-def search(rows: DataFrame, query: str, limit: int = 10, offset: int = 0, filters: Filters | None = None, mentions: DataFrame | None = None, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """The first stage that finds anything: the query, its expansions, its tokens, the expansions' tokens."""
+def search(rows: DataFrame | Rows, query: str, limit: int = 10, offset: int = 0, filters: Filters | None = None, mentions: DataFrame | None = None, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+    """The first stage that finds anything: the query, its expansions, its tokens, the expansions' tokens. rows: rows to search,
+    or a library's index."""
+    source = source_of(rows)
 
     def shown(found: DataFrame, used: str, **kind: object) -> DataFrame | None:
-        return page(found, used, limit, offset, original=query, **kind) if not found.limit(1).isEmpty() else None
+        return page(found, used, limit, offset, original=query, source=source, **kind) if not found.limit(1).isEmpty() else None
 
-    if (out := shown(match_rows(rows, query, filters, mentions), query)) is not None:
+    if (out := shown(kept_matches(source, query, filters, mentions), query)) is not None:
         return out
     others = expansions(query, aliases)
     for other, label, exact in others:
-        if (out := shown(match_rows(rows, other, filters, mentions), other, alias=label, exact=exact)) is not None:
+        if (out := shown(kept_matches(source, other, filters, mentions), other, alias=label, exact=exact)) is not None:
             return out
         if exact and other.endswith("*"):
-            start = apply_filters(prefix_rows(rows, other.rstrip("*")), filters or Filters(), mentions)
+            start = source.substrings(prefix_rows(source.rows, other.rstrip("*")), filters or Filters(), mentions)
             if (out := shown(start, other, alias=label, exact=exact)) is not None:
                 return out
     for other, label, exact in [(query, None, False), *others]:
         if len(T.query_tokens(other)) > 1:
-            found = token_rows(rows, other, limit + offset, filters, mentions)
+            found = token_rows(source, other, limit + offset, filters, mentions)
             if (out := shown(found, other, fallback=True, alias=label, exact=exact)) is not None:
                 return out
-    return page(rows.filter(F.lit(False)).withColumn("score", F.lit(0.0)).withColumn("_order", F.lit(0.0)), query, limit, offset)
+    return page(source.rows.filter(F.lit(False)).withColumn("score", F.lit(0.0)).withColumn("_order", F.lit(0.0)), query, limit, offset)
+
+
+#: Facets of a page's own columns; where a row has no value it doesn't count, but for the locator.
+FACETS = ("document_kind", "evidence_type", "source_file", "output_dir", "has_locator")
 
 
-def facet(results: DataFrame, column: str, size: int = FACET_SIZE) -> DataFrame:
-    """value, count of a page's column; equal counts in the order first seen; empty values are left out."""
-    own = results.filter(F.coalesce(F.col(column), F.lit("")) != "").groupBy(F.col(column).alias("value"))
-    return own.agg(F.count("*").alias("count"), F.min("rank").alias("first")).orderBy(F.desc("count"), "first").limit(size).drop("first")
+def facets(rows: DataFrame | Rows, query: str, mentions: DataFrame, filters: Filters | None = None, size: int = FACET_SIZE) -> DataFrame:
+    """facet, value, count, position: the first values of each facet of a search's first FACET_PAGE results. Equal counts are in the
+    order first seen (entities: by name). The page is searched for once and kept; one grouping over it counts all of its facets."""
+    results = written(search(rows, query, FACET_PAGE, 0, filters, mentions).select("rank", "chunk_id", *FACETS[:4], "locator"), "page")
+    located = F.when(F.coalesce("locator", F.lit("")) != "", F.lit("yes")).otherwise(F.lit("no"))
+    listed = F.array(*[F.struct(F.lit(c).alias("facet"), (located if c == "has_locator" else F.col(c)).alias("value")) for c in FACETS])
+    own = results.select("rank", F.explode(listed).alias("f")).select("f.facet", "f.value", F.struct(F.col("rank"), F.lit("").alias("name")).alias("first"))
+    named = mentions.join(F.broadcast(results.select("chunk_id")), "chunk_id", "left_semi")  # one page of results
+    named = named.select(F.lit("entity").alias("facet"), F.col("entity_text").alias("value"), F.struct(F.lit(0).alias("rank"), F.col("entity_text").alias("name")).alias("first"))
+    counts = own.unionByName(named).filter("value <> ''").groupBy("facet", "value").agg(F.count("*").alias("count"), F.min("first").alias("first"))
+    order = [F.when(F.col("facet") == "has_locator", F.col("value")).desc_nulls_last(), F.desc("count"), F.asc("first")]
+    ranked = counts.withColumn("position", F.row_number().over(Window.partitionBy("facet").orderBy(*order)))  # a page's values, and its entities'
+    return ranked.filter(F.col("position") <= size).select("facet", "value", "count", "position")
 
 
-def locator_facet(results: DataFrame) -> DataFrame:
-    named = F.when(F.coalesce("locator", F.lit("")) != "", F.lit("yes")).otherwise(F.lit("no"))
-    return results.groupBy(named.alias("value")).agg(F.count("*").alias("count")).orderBy(F.desc("value"))
+_PLACE = ("chunk_id", "chunk_ord", "page_number", "slide_number", "sheet_name", "section_number")
 
 
-def entity_facet(results: DataFrame, mentions: DataFrame, size: int = FACET_SIZE) -> DataFrame:
-    own = mentions.join(F.broadcast(results.select("chunk_id")), "chunk_id", "left_semi")  # one page of results
-    return own.groupBy(F.col("entity_text").alias("value")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "value").limit(size)
+def nearest(rows: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
+    """doc_id, target_id, chunk_id, context_rank, distance, position: the nearest chunks of the same document for each target
+    (doc_id, chunk_id): first those of the same page or slide, then of the same sheet or section, then the others.
 
+    chunk_ord tells the chunks of a document apart. The nearest of a kind are among the `limit` chunks before and after the target that share its page (slide, ...), and those of
+    the next kind among the `limit` around it in that kind, as fewer than `limit` nearer ones can stand between; so a chunk is
+    compared with 10 * limit others at most, whatever the size of its document."""
+    own = rows.select("doc_id", *_PLACE).join(targets.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = targets.select("doc_id", F.col("chunk_id").alias("_target")).distinct()
+    around = own
+    for k, c in enumerate((None, *_PLACE[2:])):
+        frame = Window.partitionBy("doc_id", *([c] if c else [])).orderBy("chunk_ord", "chunk_id").rowsBetween(-limit, limit)
+        listed = F.collect_list(F.struct(*[F.col(x).alias(f"_{x}") for x in _PLACE])).over(frame)
+        around = around.withColumn(f"_w{k}", F.when(F.col(c).isNotNull(), listed) if c else listed)
+    near_by = F.array_distinct(F.flatten(F.array_compact(F.array(*[f"_w{k}" for k in range(5)]))))
+    both = around.join(chosen, [around["doc_id"] == chosen["doc_id"], around["chunk_id"] == chosen["_target"]], "left_semi").withColumn("_near", near_by)
 
-def facets(rows: DataFrame, query: str, mentions: DataFrame, filters: Filters | None = None, size: int = FACET_SIZE) -> dict[str, DataFrame]:
-    results = search(rows, query, FACET_PAGE, 0, filters, mentions)
-    out = {c: facet(results, c, size) for c in ("document_kind", "evidence_type", "source_file", "output_dir")}
-    return out | {"has_locator": locator_facet(results), "entity": entity_facet(results, mentions, size)}
+    def ranked(target: Column, other: Column) -> Column:
+        same = lambda c: F.coalesce(target[c] == other[f"_{c}"], F.lit(False))
+        kind = F.when(same("page_number") | same("slide_number"), 0).when(same("sheet_name") | same("section_number"), 1).otherwise(2)
+        return F.struct(kind.alias("context_rank"), F.abs(other["_chunk_ord"] - target["chunk_ord"]).alias("distance"), other["_chunk_ord"].alias("chunk_ord"), other["_chunk_id"].alias("chunk_id"))
+
+    target = F.struct(*_PLACE)
+    others = F.filter("_near", lambda x: x["_chunk_id"] != F.col("chunk_id"))
+    first = F.slice(F.array_sort(T.let(target, lambda t: F.transform(others, lambda x: ranked(t, x)))), 1, limit)
+    found = both.select("doc_id", F.col("chunk_id").alias("target_id"), F.posexplode(first).alias("_p", "_c"))
+    return found.select("doc_id", "target_id", "_c.chunk_id", "_c.context_rank", "_c.distance", (F.col("_p") + 1).alias("position"))
 
 
 def related(rows: DataFrame, targets: DataFrame, limit: int) -> DataFrame:
-    """The nearest chunks of the same document for each target (doc_id, chunk_id, chunk_ord, page_number, slide_number,
-    sheet_name, section_number): first those of the same page or slide, then of the same sheet or section, then the others."""
-    own = targets.select("doc_id", *[F.col(c).alias(f"_{c}") for c in ("chunk_id", "chunk_ord", "page_number", "slide_number", "sheet_name", "section_number")])
-    same = lambda c: F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False))
-    near = F.when(same("page_number") | same("slide_number"), 0).when(same("sheet_name") | same("section_number"), 1).otherwise(2)
-    both = rows.join(own, "doc_id").filter("chunk_id != _chunk_id").withColumns({"context_rank": near, "distance": F.abs(F.col("chunk_ord") - F.col("_chunk_ord"))})
-    nearest = Window.partitionBy("_chunk_id").orderBy("context_rank", "distance", "chunk_ord")
-    return both.withColumn("position", F.row_number().over(nearest)).filter(F.col("position") <= limit).withColumnRenamed("_chunk_id", "target_id").drop("_chunk_ord", "_page_number", "_slide_number", "_sheet_name", "_section_number")
+    """The rows that are nearest to the targets, with target_id, context_rank, distance, position."""
+    return rows.join(nearest(rows, targets, limit), ["doc_id", "chunk_id"])
 
 
 def open_chunk(rows: DataFrame, chunk_id: str, context: int = 0) -> tuple[DataFrame, DataFrame | None]:
@@ -550,11 +661,12 @@ def diagnostics(results: DataFrame, query: str, filters: Filters | None = None)
     }
 
 
-def report_context(rows: DataFrame, query: str, limit: int = 10, context: int = 2, filters: Filters | None = None, mentions: DataFrame | None = None) -> DataFrame:
+def report_context(rows: DataFrame | Rows, query: str, limit: int = 10, context: int = 2, filters: Filters | None = None, mentions: DataFrame | None = None) -> DataFrame:
     """Evidence, each with its supporting chunks and limitation."""
     results = search(rows, query, limit, 0, filters, mentions)
-    targets = rows.join(F.broadcast(results.select("chunk_id")), "chunk_id", "left_semi")  # one page of results
-    near = related(rows, targets, context).groupBy("target_id").agg(
+    every = source_of(rows).rows
+    targets = every.join(F.broadcast(results.select("chunk_id")), "chunk_id", "left_semi")  # one page of results
+    near = related(every, targets, context).groupBy("target_id").agg(
         F.array_sort(F.collect_list(F.struct("position", "chunk_id", "locator", T.preview(F.col("text"), "", RELATED_PREVIEW).alias("preview")))).alias("supporting")
     )
     return results.join(near, F.col("chunk_id") == F.col("target_id"), "left").drop("target_id").withColumn("limitation", T.limitation(F.col("locator"), F.col("is_noisy")))
@@ -564,32 +676,3 @@ def multi_library(rows: DataFrame, query: str, limit: int = 5) -> DataFrame:
     """The best of each library (library_id); libraries are never ranked against one another."""
     best = Window.partitionBy("library_id").orderBy("_order", "chunk_ord")
     return match_rows(rows, query).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
-
-
-def build_postings(rows: DataFrame) -> DataFrame:
-    """term, chunk_id, column, tf, positions, length (of the whole row): the index, to be written by the term's bucket."""
-    own = with_terms(rows)
-    length = F.size(F.concat(*[F.col(f"terms_{c}") for c in INDEXED]))
-    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"terms_{c}").alias("terms")) for c in INDEXED])
-    words = own.select("chunk_id", length.alias("length"), F.explode(each).alias("e")).select("chunk_id", "length", "e.column", F.posexplode("e.terms").alias("position", "term"))
-    return words.groupBy("term", "chunk_id", "column", "length").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-
-
-def write_postings(postings: DataFrame, path: str, buckets: int = 256) -> None:
-    """Partitioned by the term's bucket, so a search reads the buckets of its terms and no others."""
-    postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(path)
-
-
-def search_postings(postings: DataFrame, lengths: DataFrame, terms: list[str], buckets: int | None = None) -> DataFrame:
-    """chunk_id, bm25 of the chunks with all the terms. lengths: chunk_id, length of every chunk."""
-    own = sorted(set(terms))
-    found = postings
-    if buckets:
-        wanted = F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in own])
-        found = found.filter(F.array_contains(wanted, F.col("bucket")))
-    found = found.filter(F.col("term").isin(own)).groupBy("chunk_id", "term", "length").agg(F.sum("tf").cast("double").alias("tf"))
-    df = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    s = lengths.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean")).alias("s")).scalar()
-    scored = found.join(F.broadcast(df), "term").withColumn("_s", s)  # a row for each term of the query
-    part = idf(F.col("_s.n"), F.col("df")) * saturated(F.col("tf"), F.col("length"), F.col("_s.mean"))
-    return scored.groupBy("chunk_id").agg(F.count("*").alias("n"), (-F.sum(part)).alias("bm25")).filter(F.col("n") == len(own)).drop("n")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sinks.exports import write_library
-from . import changes, search
+from . import changes, index, search
 from .library import Library
 
 VERSION_SCHEMA = "library_version_id string, registered_at string, library_path string, source_root string, source_hash string, label string, notes string, documents long, chunks long, source_dirty boolean, warnings array<string>"
@@ -99,8 +99,7 @@ def build_library(library: Library, folder: str) -> str:
     build that fails leaves nothing that is read."""
     target = f"{folder}/build-{datetime.now(UTC):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
     write_library(library, target)
-    rows = search.write_index(search.search_rows(library.chunks, library.documents), f"{target}/index")
-    search.write_postings(search.build_postings(rows), f"{target}/postings")
+    index.write_index(search.search_rows(library.chunks, library.documents), target)
     return target
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
-from ..operators import changes, chunking, concepts, library, reports, search
+from ..operators import changes, chunking, concepts, index, library, reports, search
+from ..tables import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,6 +50,19 @@ def searchable_lib(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def built(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of LIB, written when it is first asked for in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        folder = fresh_path(spark, "library")
+        index.write_index(searchable_lib(spark, sf_dir), folder, 64)
+        _BUILT[key] = folder
+    return index.open_index(spark, _BUILT[key])
+
+
 def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
@@ -100,10 +114,9 @@ def or_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_bm25_sql(["und", "der"]) + "SELECT doc_id, round(bm25, 6) AS bm25 FROM r")
 def postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through the inverted index."""
-    postings = search.build_postings(searchable_lib(spark, sf_dir))
-    lengths = search.with_terms(searchable_lib(spark, sf_dir)).select("chunk_id", F.size(F.concat(*[F.col(f"terms_{c}") for c in search.INDEXED])).alias("length"))
-    return search.search_postings(postings, lengths, ["und", "der"]).select(F.col("chunk_id").cast("long").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+    """The same from a written library's postings."""
+    found = built(spark, sf_dir).any_of(["und AND der"], search.Filters(), None)[0]
+    return found.select(F.col("chunk_id").cast("long").alias("doc_id"), F.round(F.col("score") - F.col("adjustment"), 6).alias("bm25"))
 
 
 @query(_LIB + "SELECT doc_id FROM lib WHERE list_contains(" + _TERMS.format(_INDEXED_TEXT) + ", 'the') AND NOT list_contains(" + _TERMS.format(_INDEXED_TEXT) + ", 'with') AND NOT list_contains(" + _TERMS.format("concat_ws(' ', title, locator)") + ", 'with')")
@@ -194,9 +207,66 @@ _FACET = "SELECT '{0}' AS facet, value, count FROM (SELECT {0} AS value, count(*
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facets of a search's first 250 results."""
     mentions = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("chunk_id"), F.when(F.col("toxic") == 1, "toxic").otherwise("plain").alias("entity_text"))
-    found = search.facets(searchable_lib(spark, sf_dir), "the", mentions)
-    parts = [rows.select(F.lit(name).alias("facet"), "value", "count") for name, rows in found.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return search.facets(searchable_lib(spark, sf_dir), "the", mentions).drop("position")
+
+
+# --- search of a written library ------------------------------------------------------------------------------------------
+
+
+def _matching(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    return built(spark, sf_dir).matching(search.parse(text)).select(F.col("chunk_id").cast("long").alias("doc_id"))
+
+
+@query(ORACLE_SQL["ranked_search"])
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ranked_search from the postings; texts are read for the page alone."""
+    found = search.search(built(spark, sf_dir), "and thing", 10)
+    return found.select("rank", F.col("chunk_id").cast("long").alias("doc_id"), "chunk_id", F.round("score", 6).alias("score"), "total_hits", "mode")
+
+
+@query(ORACLE_SQL["phrase_search"])
+def indexed_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matching(spark, sf_dir, '"of the"')
+
+
+@query(ORACLE_SQL["near_search"])
+def indexed_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matching(spark, sf_dir, "text : NEAR(the and, 2)")
+
+
+@query(_LIB + "SELECT doc_id FROM lib WHERE contains(' ' || array_to_string(" + _TERMS.format("concat_ws(' ', title, " + _INDEXED_TEXT + ", locator)") + ", ' '), ' licen') OR contains(' ' || array_to_string(" + _TERMS.format("title") + ", ' ') || ' ', ' pa')")
+def indexed_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prefix that has one bucket, or one of two letters in titles."""
+    return _matching(spark, sf_dir, "licen* OR title : pa*")
+
+
+@query(ORACLE_SQL["initial_search"])
+def indexed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matching(spark, sf_dir, "- locator : ^the")
+
+
+@query(ORACLE_SQL["not_search"])
+def indexed_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matching(spark, sf_dir, "text:the NOT with")
+
+
+@query(_POOLS)
+def indexed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_fallback from the postings of all three tokens at once."""
+    return search.token_rows(built(spark, sf_dir), "password fault license", 250).select(F.col("chunk_id").cast("long").alias("doc_id"), "token_hits", "best_rank", F.array_join("matched_tokens", ",").alias("matched"))
+
+
+@query(ORACLE_SQL["facets"])
+def indexed_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("chunk_id"), F.when(F.col("toxic") == 1, "toxic").otherwise("plain").alias("entity_text"))
+    return search.facets(built(spark, sf_dir), "the", mentions).drop("position")
+
+
+@query(_bm25_sql(["the"]) + "SELECT row_number() OVER (ORDER BY round(score, 9), doc_id) AS rank, doc_id, round(score, 6) AS score, (SELECT count(*) FROM r WHERE document_kind = 'manual_pdf' AND locator IS NOT NULL) AS total_hits FROM r WHERE document_kind = 'manual_pdf' AND locator IS NOT NULL ORDER BY round(score, 9), doc_id LIMIT 10")
+def indexed_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters choose among the matching rows; the score counts over all."""
+    found = search.search(built(spark, sf_dir), "the", 10, filters=search.Filters(kinds=["manual_pdf"], has_locator=True))
+    return found.select("rank", F.col("chunk_id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "total_hits")
 
 
 _CONV = "SELECT conv_id AS doc_id, turn, role, text, concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS chunk_id FROM {conversations}"
@@ -212,7 +282,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.chunk_id <> b.chunk_id) SELECT target_id, chunk_id, context_rank, distance, position FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY context_rank, distance, turn) AS position FROM p) WHERE position <= 2""")
 def related_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _turns(spark, sf_dir)
-    return search.related(rows, rows, 2).select("target_id", "chunk_id", "context_rank", "distance", "position")
+    return search.nearest(rows, rows, 2).select("target_id", "chunk_id", "context_rank", "distance", "position")
 
 
 @query("WITH c AS (" + _CONV.format(conversations="conversations") + ") SELECT doc_id, chunk_id, role FROM c WHERE chunk_id = '0-1'")
