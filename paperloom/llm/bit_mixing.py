@@ -115,14 +115,11 @@ def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """By state, as it is, without one zero, without one one: log odds, and the class of how much is known."""
-    odds, known = [], []
-    for less in ((0, 0), (1, 0), (0, 1)):
-        rest = [(max(0, zeros - less[0]), max(0, ones - less[1])) for zeros, ones in _PAIRS]
-        few = [np.log((ones + 0.4) / (zeros + 0.4)) for zeros, ones in rest]
-        odds.append(np.concatenate([few, np.tile(np.linspace(-8, 8, LEVELS), _MANY), np.zeros(256 - len(_PAIRS) - _MANY * LEVELS)]))
-        known.append(np.append(np.digitize([sum(x) for x in rest], [1, 3, EXACT]), np.full(256 - len(_PAIRS), KNOWN - 1)))
-    return np.concatenate(odds).astype(np.float32), np.concatenate(known).astype(np.int64)
+    """By state: log odds, and the class of how much is known."""
+    few = [np.log((ones + 0.4) / (zeros + 0.4)) for zeros, ones in _PAIRS]
+    odds = np.concatenate([few, np.tile(np.linspace(-8, 8, LEVELS), _MANY), np.zeros(256 - len(_PAIRS) - _MANY * LEVELS)])
+    known = np.append(np.digitize([sum(x) for x in _PAIRS], [1, 3, EXACT]), np.full(256 - len(_PAIRS), KNOWN - 1))
+    return odds.astype(np.float32), known.astype(np.int64)
 
 
 ODDS, KNOWN_OF = _tables()
@@ -314,12 +311,12 @@ class Counts:
 
     def _flush(self, channel: int) -> None:
         """Counts what waits, in the order of the slots, so that memory is gone through once."""
-        if not self.waiting[channel]:
+        waiting, self.waiting[channel] = self.waiting[channel], []
+        if not any(map(len, waiting)):  # nothing, or texts without a spelled token
             return
-        slots = np.sort(np.concatenate(self.waiting[channel]))
+        slots = np.sort(np.concatenate(waiting))
         ends = np.append(np.flatnonzero(slots[1:] != slots[:-1]), len(slots) - 1)
         self.counts[channel][slots[ends]] += np.diff(ends, prepend=-1).astype(np.int32)
-        self.waiting[channel] = []
 
     def add(self, tokens: Tokens) -> None:
         contexts = Contexts(tokens, self.endings, matches=False)
@@ -359,9 +356,9 @@ class Model:
     def __init__(self, code: Code, endings: np.ndarray, slot_bits: int, slots: np.ndarray):
         self.code, self.endings, self.slot_bits, self.states = code, endings, slot_bits, slots
 
-    def score(self, tokens: Tokens, contexts: Contexts, trained: bool) -> np.ndarray:
-        """For each document the bits that its tokens take, learning online. trained: whether the documents are in the counts;
-        if so, each bit is predicted as if it were not."""
+    def score(self, tokens: Tokens, contexts: Contexts) -> np.ndarray:
+        """For each document the bits that its tokens take, learning online from the bits before. What a bit is predicted from
+        doesn't depend on the bit, so the chances of its two values add up to one, in documents that are in the counts too."""
         n_docs = len(tokens.sizes)
         place = np.arange(len(tokens.ids)) - (np.cumsum(tokens.sizes) - tokens.sizes)[tokens.doc]
         block = np.searchsorted(_edges(int(tokens.sizes.max(initial=1))), place, "right") - 1
@@ -369,21 +366,19 @@ class Model:
         state = _State(n_docs)
         for at in range(0, len(tokens.ids), SEGMENT):  # later segments are a long text's, or begin new documents
             rows = np.arange(at, min(at + SEGMENT, len(tokens.ids)))
-            self._segment(tokens, contexts, rows, block[rows], ends, trained, state)
+            self._segment(tokens, contexts, rows, block[rows], ends, state)
         return state.spent
 
-    def _segment(self, tokens: Tokens, contexts: Contexts, rows: np.ndarray, block: np.ndarray, ends: np.ndarray, trained: bool, state: _State) -> None:
+    def _segment(self, tokens: Tokens, contexts: Contexts, rows: np.ndarray, block: np.ndarray, ends: np.ndarray, state: _State) -> None:
         last = block == ends[tokens.doc[rows]]  # nothing is learned from a document's last block
         part = (block - block.min()) * 2 + last
         order = np.argsort(part, kind="stable")
         rows, part = rows[order], part[order]
         symbol, token, is_byte, hashes = _symbols(tokens, contexts, self.code, rows)
         lens, begin, bit, slots = _steps(self.code, symbol, hashes, self.slot_bits)
-        less = (bit.astype(np.intp) + 1) << 8 if trained else 0
         inputs = []
         for k, slot in enumerate(slots):
             state_of = self.states[k].take(slot.astype(np.intp)).astype(np.intp)
-            state_of += less
             inputs.append(ODDS.take(state_of))
         known = KNOWN_OF.take(state_of)
         match, run, lost = self._match(tokens, contexts, symbol, token, is_byte, lens, begin, bit)

@@ -7,7 +7,8 @@ VOCABULARY tokens with their codes, the slots' states and the counts of the MOST
 which only the base score needs, come by a join.
 
 Scoring reads each text once, in order. Weights and map are learned within the document, so a score depends on the document and
-the counts alone, not on how the table is cut. A training document's bits are predicted without themselves in the counts.
+the counts alone, not on how the table is cut. A training document is in the counts that predict it: its score is the model's
+probability of it, as that of any other text, and higher than that of a text which the model hasn't seen.
 """
 
 from __future__ import annotations
@@ -213,7 +214,7 @@ def score(docs: DataFrame) -> DataFrame:
     def of_texts(ids: pa.Array, texts: list[list[bytes]], fold: bool, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
         model, vocabulary, own, hashes, all_c = sent.value
         tokens = read_tokens(texts, vocabulary, vocabulary[END])
-        bits = model.score(tokens, Contexts(tokens, model.endings), not fold)
+        bits = model.score(tokens, Contexts(tokens, model.endings))
         n = len(texts)
         spelled = np.fromiter(map(WORD_HASHES.__getitem__, tokens.words), np.uint64, len(tokens.words))
         c, rare = _counts_of(spelled, hashes, all_c)

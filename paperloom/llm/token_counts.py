@@ -1,13 +1,16 @@
 """Token counts of whole texts by a sentencepiece model; huge texts are encoded in overlapping chunks.
 
 A huge text is encoded chunk by chunk with offsets. Two neighbouring chunks overlap, and they are spliced where both have a
-token boundary before a single space that follows a visible character: no piece of the vocabulary holds white space after
-another character, so nothing on the left of such a place can merge with anything on its right, and each side's tokens are
-those of the whole text. If the overlap has no such place, it is widened, at last to the whole of both chunks.
+token boundary that nothing can merge across: before a single space that follows a visible character, as no piece of the
+vocabulary holds white space after another character, or between two characters that stand side by side in no piece. Each
+side's tokens are then those of the whole text. If the overlap has no such place, it is widened, at last to the whole of both
+chunks, which then become one; the chunk that follows is twice as long, so that a text without any such place is encoded a few
+times at most.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,10 +31,13 @@ class Counter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.chunk, self.overlap = chunk, overlap
-        pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         #: Whether a space after a visible character is a boundary that no merge crosses.
         self.stable = not any(_MARK in p.lstrip(_MARK) for p in pieces)
-        self.widened = 0
+        #: Characters that stand side by side in a piece; nothing is known of them if texts are changed before they are encoded.
+        self.joined = {x + y for p in pieces for x, y in zip(p, p[1:])}
+        self.unchanged = [p.piece for p in self.model.encode("aﬁ２é", return_type="proto").pieces if p.piece in ("ﬁ", "２", "<0xEF>")] != []
+        self.widened = self.encoded = 0
 
     def count(self, texts: list[str | None]) -> list[int]:
         texts = [t or "" for t in texts]
@@ -49,39 +55,68 @@ class Counter:
             return len(self.model.encode(text))
         data = text.encode()
         total = counted = start = 0  # what lies before `counted` is in `total`; the chunk at hand begins at `start`
-        end = _whole(data, min(self.chunk, len(data)))
+        size = self.chunk
+        end = _whole(data, min(size, len(data)))
         left = self._starts(data, start, end)
         while end < len(data):
-            further, overlap = _whole(data, min(end + self.chunk, len(data))), self.overlap
+            further, overlap = _whole(data, min(end + size, len(data))), self.overlap
             while True:
                 begin = _whole(data, max(start, end - overlap))
-                right = self._starts(data, begin, further)
                 if begin <= start:  # no boundary to be had: both chunks become one
-                    left = [x for x in right if x >= counted]
-                    break
-                if (at := self._common(data, left, right, begin, end)) is not None:
-                    total += sum(x < at for x in left)
-                    left, counted, start = [x for x in right if x >= at], at, begin
+                    left, size = self._starts(data, start, further), 2 * size
                     break
+                if (at := self._boundary(data, begin, end)) is not None:
+                    right = self._starts(data, begin, further)
+                    if left.holds(at) and right.holds(at):
+                        total += left.before(at) - left.before(counted)
+                        left, counted, start, size = right, at, begin, self.chunk
+                        break
                 overlap *= 2
                 self.widened += 1
             end = further
-        return total + len(left)
+        return total + len(left) - left.before(counted)
 
-    def _starts(self, data: bytes, start: int, end: int) -> list[int]:
-        """Byte offsets, in the whole text, at which the tokens of a chunk begin."""
-        return [start + p.begin for p in self.model.encode(data[start:end].decode(), return_type="proto").pieces]
+    def _starts(self, data: bytes, start: int, end: int) -> _Starts:
+        self.encoded += end - start
+        return _Starts(self.model.encode(data[start:end].decode(), return_type="proto").pieces, start)
 
-    def _common(self, data: bytes, left: list[int], right: list[int], start: int, end: int) -> int | None:
-        """The first common boundary before a single space after a visible character, away from either chunk's rim."""
+    def _boundary(self, data: bytes, start: int, end: int) -> int | None:
+        """The first place, away from either rim, that no merge crosses."""
         rim = min(200, (end - start) // 4)
-        both = set(left) & set(right)
-        for x in sorted(both):
-            if start + rim <= x < end - rim and data[x] == 32 and data[x - 1] > 32 and data[x + 1] > 32:
-                return x
+        at = _whole(data, start + rim)
+        own = data[at:end].decode()
+        for x, y, z in zip(own, own[1:], own[2:]):
+            at += len(x.encode())
+            if at >= end - rim:
+                return None
+            if y == " ":
+                if x > " " and z > " ":
+                    return at
+            elif self.unchanged and x + y not in self.joined and not x.isspace() and not y.isspace() and _MARK not in x + y:
+                return at
         return None
 
 
+class _Starts:
+    """The byte offsets, in the whole text, at which the tokens of a chunk begin; they ascend, and few are ever looked at."""
+
+    def __init__(self, pieces, start: int):
+        self.pieces, self.start = pieces, start
+
+    def __len__(self) -> int:
+        return len(self.pieces)
+
+    def __getitem__(self, k: int) -> int:
+        return self.start + self.pieces[k].begin
+
+    def before(self, at: int) -> int:
+        return bisect_left(self, at)
+
+    def holds(self, at: int) -> bool:
+        k = bisect_left(self, at)
+        return k < len(self) and self[k] == at
+
+
 def _whole(data: bytes, at: int) -> int:
     """at, or the next place that doesn't split a character."""
     while at < len(data) and data[at] & 0xC0 == 0x80:

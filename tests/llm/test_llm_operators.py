@@ -61,6 +61,19 @@ def test_huge_texts_are_spliced(texts):
     assert small.widened
 
 
+def test_texts_without_spaces_take_linear_time():
+    import time
+
+    rng = random.Random(1)
+    own = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1_350_000)), "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=4_000_000)), "e" * 1_000_000]
+    counter = token_counts.Counter(vocabulary("piece_bpe_32k.model"))
+    for t in own:
+        began, counter.encoded = time.process_time(), 0
+        n = counter.count_huge(t)
+        assert time.process_time() - began < 20 and counter.encoded < 4 * len(t.encode())
+        assert n == len(counter.model.encode(t))
+
+
 # --- packing --------------------------------------------------------------------------------------------------------------
 
 
@@ -418,7 +431,7 @@ def test_language_model(spark, texts, monkeypatch, sent):
     assert rows[len(texts) + 6]["score"] > rows[len(texts) + 6]["base_score"]  # a text of one word again and again
 
 
-def _plain_bits(own, trained, words, code, model):
+def _plain_bits(own, words, code, model):
     """The bits that each text takes, one bit after another, with plain numbers."""
     m32, vocabulary, out = 0xFFFFFFFF, {w: k for k, w in enumerate(words)}, []
     hashed = lambda x, salt: ((((x ^ salt) * 0x9E3779B1 & m32) ^ (((x ^ salt) * 0x9E3779B1 & m32) >> 16)) * 0x7FEB352D) & m32
@@ -468,8 +481,7 @@ def _plain_bits(own, trained, words, code, model):
                 for depth, step in enumerate(path):
                     bit, sign = step & 1, 2 * (step & 1) - 1
                     slots = [((h ^ (step >> 1)) * 0x9E3779B1 & m32) >> (32 - model.slot_bits) for h in hashes]
-                    mode = 256 * (1 + bit) if trained else 0
-                    read = [int(model.states[k][x]) + mode for k, x in enumerate(slots)]
+                    read = [int(model.states[k][x]) for k, x in enumerate(slots)]
                     hit = wanted is not None and [x & 1 for x in path[:depth]] == wanted[:depth]
                     match = (2 * wanted[depth] - 1) if hit else 0
                     kind = (3 if is_byte else 0) + ((2 if run >= 16 else 1) if hit else 0)
@@ -501,29 +513,63 @@ def _model(own, least=2):
     return words, code, vocabulary, bit_mixing.Model(code, endings, 16, states)
 
 
-@pytest.mark.parametrize("trained", [False, True])
-def test_language_model_is_the_plain_one(texts, trained):
+def test_language_model_is_the_plain_one(texts):
     own = [(t or "").encode().lower().split() for t in [*texts[:25], "one two three four five one two three four five " * 12, "unseen-word " * 3, ""]]
     words, code, vocabulary, model = _model(own)
     chosen = own[5:25] + own[-3:] + [own[3] + [b"neverseen"] + own[4]]
     tokens = bit_mixing.read_tokens(chosen, vocabulary, vocabulary[b"\n"])
-    found = model.score(tokens, bit_mixing.Contexts(tokens, model.endings), trained)
-    assert np.allclose(found, _plain_bits(chosen, trained, words, code, model), rtol=2e-3)
+    found = model.score(tokens, bit_mixing.Contexts(tokens, model.endings))
+    assert np.allclose(found, _plain_bits(chosen, words, code, model), rtol=2e-3)
     alone = []
     for t in chosen:
         one = bit_mixing.read_tokens([t], vocabulary, vocabulary[b"\n"])
-        alone.append(model.score(one, bit_mixing.Contexts(one, model.endings), trained)[0])
+        alone.append(model.score(one, bit_mixing.Contexts(one, model.endings))[0])
     assert found.tolist() == alone  # whatever else is scored beside it
 
 
+def test_chances_of_both_values_of_a_bit_add_up_to_one(texts, monkeypatch):
+    """Texts that differ in one last bit are predicted from the same numbers up to it, in trained and in unseen texts alike."""
+    own = [(t or "").encode().lower().split() for t in texts[:25]]
+    words, code, vocabulary, model = _model(own)
+    symbols = [k for k in range(code.escape) if words[k] != b"\n"]
+    one, two = next((a, b) for a in symbols for b in symbols if a < b and code.lens[a] == code.lens[b] == code.shared(np.array([a]), np.array([b]))[0] + 1)
+    seen = []
+    block = bit_mixing._State.block
+
+    def record(self, base, where, sign, inputs, learn):
+        seen[-1].append((where.tolist(), sign.tolist(), [x.tolist() for x in inputs]))
+        block(self, base, where, sign, inputs, learn)
+
+    monkeypatch.setattr(bit_mixing._State, "block", record)
+    for before in (own[3][:40], [b"never", b"seen", b"before"] * 5):
+        seen.clear()
+        for last in (words[one], words[two]):
+            seen.append([])
+            tokens = bit_mixing.read_tokens([[*before, last]], vocabulary, vocabulary[b"\n"])
+            model.score(tokens, bit_mixing.Contexts(tokens, model.endings))
+        a, b = ([np.concatenate([np.array(x[k] if k < 2 else x[2][0]) for x in run]) for k in range(3)] for run in seen)
+        at = int(np.flatnonzero(a[1] != b[1])[0])  # the bit in which they differ
+        assert (a[0][: at + 1] == b[0][: at + 1]).all() and (a[2][: at + 1] == b[2][: at + 1]).all()
+    state = [bit_mixing._State(1) for _ in range(2)]
+    for x, sign in zip(state, (1, -1)):
+        block(x, np.zeros(1, np.intp), np.zeros(1, np.intp), np.array([sign], np.float32), [np.array([0.7], np.float32)] * 4, 0)
+    assert abs(sum(2.0 ** -float(x.spent[0]) for x in state) - 1) < 1e-6
+
+
+@pytest.mark.parametrize("own", [[""] * 12, [None], ["a a a", "a"] * 6, ["a b"] * 40 + ["a"]])
+def test_language_model_without_spelled_tokens(spark, own):
+    rows = lm_score.score(table(spark, own).repartition(3)).collect()
+    assert len(rows) == len(own) and all(math.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+
+
 def test_language_model_cuts_long_texts(texts, monkeypatch):
     own = [(t or "").encode().lower().split() for t in texts[:30]]
     _, _, vocabulary, model = _model(own)
     whole = [w for t in own for w in t]
     tokens = bit_mixing.read_tokens([whole, own[0]], vocabulary, vocabulary[b"\n"])
-    once = model.score(tokens, bit_mixing.Contexts(tokens, model.endings), False)
+    once = model.score(tokens, bit_mixing.Contexts(tokens, model.endings))
     monkeypatch.setattr(bit_mixing, "SEGMENT", 1024 * 2 + 992)
-    assert np.allclose(once, model.score(tokens, bit_mixing.Contexts(tokens, model.endings), False), rtol=0.02)
+    assert np.allclose(once, model.score(tokens, bit_mixing.Contexts(tokens, model.endings)), rtol=0.02)
 
 
 def test_language_model_adds_up():
