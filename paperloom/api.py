@@ -11,7 +11,7 @@ from .operators.library import build, neighbourhood
 from .operators.reports import library_report, metrics, missing_locator_detail, quality_issues
 from .operators.search import Filters, diagnostics, facets, locate, multi_library, open_chunk, report_context, search, search_rows
 from .operators.workspace import add_to_catalog, build_library, doctor, init_workspace, kb_review, read_catalog, register_library, register_output, run_tool, save_state, update_library, workspace_status
-from .sinks.exports import concept_notes, export_vault, vault_notes, write_interop, write_packs, write_vault
+from .sinks.exports import concept_notes, export_vault, vault_notes, write_interop, write_packs, write_portal, write_vault
 from .sources.files import convert, read_packs, scan
 
 #: Commands and the functions that stand for them.
@@ -23,7 +23,7 @@ COMMANDS = {
     "build-report-context": report_context, "library-report": library_report, "export-vault": export_vault, "export-interop": write_interop,
     "convert": convert, "scan": scan, "read-packs": read_packs, "convert-file": convert, "workspace-scan": workspace_scan, "kb-review": kb_review,
     "doctor-layout": partial(doctor, "layout"), "warmup-layout": partial(doctor, "layout"), "doctor-ai": partial(doctor, "enrichment"), "write-packs": write_packs,
-    "export-concepts": concept_notes, "chunk-documents": chunk_documents,
+    "export-concepts": concept_notes, "write-portal": write_portal, "chunk-documents": chunk_documents,
 }
 
 __all__ = [

@@ -175,14 +175,6 @@ def result_confidence(window: Column, status: Column, title: Column) -> Column:
     return F.when((status != "") & ~risk, F.lit("high")).when(window.rlike(f"(?iU){V.BATCH_EVIDENCE}"), F.lit("medium")).otherwise(F.lit("low"))
 
 
-def file_failure(selected: Column, checksum_same: Column, failed: Column, timed_out: Column, json_ok: Column, html: Column, skip_html: bool = False, skip_json: bool = False) -> Column:
-    """Why a file counts as failed, the first reason that holds; null if none does."""
-    return (
-        F.when(~selected, F.lit("unsupported_file")).when(checksum_same == F.lit(False), F.lit("checksum_changed")).when(timed_out > 0, F.lit("command_timeout"))
-        .when(failed > 0, F.lit("command_failed")).when(F.lit(not skip_json) & ~json_ok, F.lit("json_parse_failed")).when(F.lit(not skip_html) & ~html, F.lit("html_not_generated"))
-    )
-
-
 def slide_topic(title: Column, text: Column) -> Column:
     """A slide's topic by its title, else by title and text."""
     whole = F.lower(F.concat(title, F.lit("\n"), text))
