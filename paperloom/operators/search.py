@@ -448,16 +448,22 @@ def kept_matches(source: Rows, query: str, filters: Filters | None = None, menti
     return source.any_of([query], filters, mentions)[0]
 
 
+def substring(text: str) -> Column:
+    return _like("text", text) | _like("title", text) | _like("headings", text) | _like("locator", text)
+
+
 def substring_rows(rows: DataFrame, text: str) -> DataFrame:
-    hit = _like("text", text) | _like("title", text) | _like("headings", text) | _like("locator", text)
-    return rows.filter(hit).withColumn("score", F.lit(0.0)).withColumn("_order", rank_adjustment())
+    return rows.filter(substring(text)).withColumn("score", F.lit(0.0)).withColumn("_order", rank_adjustment())
+
+
+def start_of(prefix: str) -> Column:
+    """Whether the start of an identifier stands in a row; too short a start is in none."""
+    return F.lit(False) if len(prefix) < 4 and not re.fullmatch(r"\d+[A-Za-z]{2,}", prefix) else substring(prefix)
 
 
 def prefix_rows(rows: DataFrame, prefix: str) -> DataFrame:
-    """Substring search for the start of an identifier; too short a start finds nothing."""
-    if len(prefix) < 4 and not re.fullmatch(r"\d+[A-Za-z]{2,}", prefix):
-        return substring_rows(rows, prefix).filter(F.lit(False))
-    return substring_rows(rows, prefix)
+    """Substring search for the start of an identifier."""
+    return substring_rows(rows, prefix).filter(start_of(prefix))
 
 
 def source_of(rows: DataFrame | Rows) -> Rows:

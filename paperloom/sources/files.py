@@ -156,10 +156,10 @@ def core_properties(xml: Column) -> Column:
 
 def read_json_tolerant(spark: SparkSession, path: str, schema: str, lines: bool = False, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, warnings): what can't be read is a warning with its file."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("wholetext", str(not lines).lower())
+    reader = spark.read.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    found = reader.text(path).select("value", F.col("_metadata.file_path").alias("_file")).filter(F.trim("value") != "")
+    found = reader.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("_file")).filter(F.trim("value") != "")
     parsed = F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     own = found.withColumn("j", parsed).withColumn("doc_dir", F.regexp_replace("_file", "/[^/]*$", ""))
     bad = own.filter("j._bad is not null").select(F.concat(F.col("_file"), F.lit(": can't be read")).alias("warning"))

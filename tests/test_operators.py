@@ -187,7 +187,7 @@ def test_files_and_packs(spark, tmp_path):
     assert out["a.html"]["markdown"].startswith("# T\n- ") and out["e.docx"]["error"] and out["b.txt"]["engine"] == "text"
     pack = tmp_path / "packs/p1"
     pack.mkdir(parents=True)
-    (pack / "manifest.json").write_text('{"source_file": "a.pdf", "status": "success"}')
+    (pack / "manifest.json").write_text('{\n  "source_file": "a.pdf",\n  "status": "success"\n}\n')
     (pack / "chunks.jsonl").write_text('{"chunk_id": "c1", "text": "x"}\nbad\n')
     bad = tmp_path / "packs/p2"
     bad.mkdir()
