@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from ..functions import text as T
+from ..tables import written
 
 #: Words that are no concepts, sources' weights, bonuses and the gate.
 STOPWORDS = [
@@ -124,32 +126,98 @@ def concept_graph(index: DataFrame, pairs: DataFrame, most: int = NODES) -> tupl
     nodes = index.join(degree, "label", "left").select("label", (F.col("weight") + F.coalesce("pairs", F.lit(0))).alias("score")).orderBy(F.desc("score"), "label").limit(most)
     ids = F.broadcast(nodes.select("label"))  # `most` rows
     inner = pairs.join(ids, pairs["left"] == F.col("label"), "left_semi").join(ids, pairs["right"] == F.col("label"), "left_semi")
-    return nodes, inner.orderBy(F.desc("count"), "left", "right").limit(max(most, min(EDGES_LEAST, EDGES_FACTOR * most)))
+    return nodes, inner.orderBy(F.desc("count"), "left", "right").limit(edge_limit(most))
 
 
-def admit_edges(edges: DataFrame, most: int = NODES) -> DataFrame:
-    """Document-concept edges (source, target, count), strongest first, for as long as their nodes fit.
+def edge_limit(most: int) -> int:
+    return max(most, min(EDGES_LEAST, EDGES_FACTOR * most))
+
+
+def _literal(value: object, kind: DataType) -> Column:
+    """A value, a row too, as a column of its type."""
+    if isinstance(kind, StructType):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind)])
+    return F.lit(value).cast(kind)
+
 
-    Each depends on those before until `most` nodes are there, so edges are gone through in order until then, a partition at a
-    time; from then on an edge is admitted if it has both ends, which is a filter."""
-    order = (F.desc("count"), "source", "target")
-    nodes: set[str] = set()
-    first: list[tuple] = []
+def admitted(edges: DataFrame, order: list[str], most: int = NODES, until_full: bool = True) -> tuple[list[str], DataFrame]:
+    """(nodes, edges): edges (source, target: string, ...) in ascending order of columns that tell them apart, each admitted if its
+    ends fit among `most` nodes with those before it. until_full: none is admitted after the one that fills the nodes.
+
+    Only edges that would bring in a node change what fits. They are taken in rounds: the first `most` of those that still fit by
+    now, a top-k over the table; a round fills the nodes or brings in one for each edge that it takes, so a few rounds do,
+    whatever the number of edges. What was admitted are the edges between the nodes: an edge is refused only if both of its ends
+    are new and one place is left, and then one of them stays out."""
+    edges = written(edges.withColumn("_o", F.struct(*order)), "edges")
+    kinds = edges.schema["_o"].dataType
+    nodes: list[str] = []
     last = None
-    for r in edges.select("source", "target", "count").orderBy(*order).toLocalIterator():
-        new = {r["source"], r["target"]} - nodes
-        last = r
-        if len(nodes) + len(new) <= most:
-            nodes |= new
-            first.append((r["source"], r["target"], r["count"]))
-        if len(nodes) == most:
+    while len(nodes) < most:
+        inside = [F.col(c).isin(nodes) if nodes else F.lit(False) for c in ("source", "target")]
+        wanted = (inside[0] != inside[1]) if len(nodes) == most - 1 else ~(inside[0] & inside[1])
+        if last is not None:
+            wanted = wanted & (F.col("_o") > _literal(last, kinds))
+        batch = edges.filter(wanted).orderBy("_o").limit(most).select("source", "target", "_o").collect()  # `most` rows
+        if not batch:
             break
-    begun = edges.sparkSession.createDataFrame(first, edges.select("source", "target", "count").schema)
-    if last is None or len(nodes) < most:
-        return begun
-    kept = list(nodes)  # `most` names
-    after = (F.col("count") < last["count"]) | ((F.col("count") == last["count"]) & (F.struct("source", "target") > F.struct(F.lit(last["source"]), F.lit(last["target"]))))
-    return begun.unionByName(edges.select("source", "target", "count").filter(after & F.col("source").isin(kept) & F.col("target").isin(kept)))
+        for r in batch:
+            new = [x for x in dict.fromkeys((r["source"], r["target"])) if x not in nodes]
+            if len(nodes) + len(new) <= most:
+                nodes += new
+            last = r["_o"]
+            if len(nodes) == most:
+                break
+    found = edges.filter(F.col("source").isin(nodes) & F.col("target").isin(nodes)) if nodes else edges.limit(0)
+    if until_full and len(nodes) == most:
+        found = found.filter(F.col("_o") <= _literal(last, kinds))
+    return nodes, found
+
+
+def admit_edges(edges: DataFrame, most: int = NODES) -> DataFrame:
+    """Document-concept edges (source, target, count), strongest first, for as long as their nodes fit; once `most` nodes are there,
+    those between them."""
+    own = edges.select("source", "target", "count").withColumn("_less", -F.col("count"))
+    return admitted(own, ["_less", "source", "target"], most, until_full=False)[1].select("source", "target", "count")
+
+
+def _graph(nodes: list[str], edges: DataFrame, most: int, families: list[tuple[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type, label) of the families that are among those admitted, and the first edges."""
+    kept = [rows.filter(F.col("id").isin(nodes)).select("id", F.lit(kind).alias("type"), "label") for kind, rows in families]
+    return reduce(DataFrame.unionByName, kept), edges.orderBy("_o").limit(edge_limit(most)).drop("_o")
+
+
+def document_concept_graph(found: DataFrame, index: DataFrame, documents: DataFrame, most: int = NODES, keyword: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of documents and the concepts that stand in them: heavier concepts first, then by label and document.
+
+    found: doc_id, label as in concept_index; index: its result; documents: doc_id, title. keyword: only edges of a concept or a
+    document whose name holds it, whatever the case."""
+    counts = found.select(F.col("doc_id").cast("string").alias("source"), normal_label(F.col("label")).alias("label")).groupBy("source", "label").agg(F.count("*").alias("weight"))
+    titles = documents.select(F.col("doc_id").cast("string").alias("source"), F.col("title").alias("_title"))
+    own = counts.join(index.select("label", (-F.col("weight")).alias("_less")), "label").join(titles, "source", "left")
+    if keyword:
+        own = own.filter(F.contains(T.casefold(F.concat_ws("\n", "label", "_title")), T.casefold(F.lit(keyword))))
+    edges = own.select("source", F.concat(F.lit("concept:"), "label").alias("target"), F.lit("document_mentions_concept").alias("relation_type"), "weight", "label", "_less")
+    nodes, kept = admitted(edges, ["_less", "label", "source"], most)
+    families = [("document", documents.select(F.col("doc_id").cast("string").alias("id"), F.col("title").alias("label"))), ("concept", index.select(F.concat(F.lit("concept:"), "label").alias("id"), "label"))]
+    return _graph(nodes, kept.drop("_less", "label"), most, families)
+
+
+def document_entity_graph(documents: DataFrame, entities: DataFrame, mentions: DataFrame, most: int = NODES, keyword: str | None = None, show_isolated: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of documents and the entities that they mention, in the order of the mentions (doc_id, entity_id, ord: tells
+    them apart). documents: doc_id, title, doc_ord; entities: entity_id, entity_text, first_ord. keyword: only edges of a document
+    or an entity whose name holds it; with show_isolated, other such documents, then entities, fill the places left."""
+    docs = documents.select(F.col("doc_id").cast("string").alias("id"), F.col("title").alias("label"), F.col("doc_ord").alias("place"))
+    names = entities.select(F.col("entity_id").cast("string").alias("id"), F.col("entity_text").alias("label"), F.col("first_ord").alias("place"))
+    holds = lambda c: F.contains(T.casefold(F.coalesce(c, F.lit(""))), T.casefold(F.lit(keyword)))
+    own = mentions.select(F.col("doc_id").cast("string").alias("source"), F.col("entity_id").cast("string").alias("target"), "ord")
+    own = own.join(docs.select(F.col("id").alias("source"), F.col("label").alias("_d")), "source").join(names.select(F.col("id").alias("target"), F.col("label").alias("_e")), "target")
+    own = own.filter(holds(F.col("_d")) | holds(F.col("_e"))) if keyword else own
+    nodes, kept = admitted(own.select("source", "target", F.lit("document_mentions_entity").alias("relation_type"), "ord"), ["ord"], most)
+    for rows in (docs, names) if show_isolated and keyword else ():
+        if len(nodes) < most:
+            more = rows.filter(holds(F.col("label")) & ~(F.col("id").isin(nodes) if nodes else F.lit(False))).orderBy("place").limit(most - len(nodes))
+            nodes += [r["id"] for r in more.select("id").collect()]  # `most` rows
+    return _graph(nodes, kept.drop("ord"), most, [("document", docs), ("entity", names)])
 
 
 def top_concepts(index: DataFrame, most: int) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from ..tables import written
 
 LOCATED = "coalesce(locator, '') != ''"
 
@@ -72,35 +73,77 @@ def page_level_documents(documents: DataFrame, chunks: DataFrame, assets: DataFr
     return own.join(good, "doc_id").join(there, "doc_id").select("doc_id", "title", "source_file", "document_kind", "quality_status", "page_level_chunks", "locator_chunks", "asset_count")
 
 
+def chunk_facts(chunks: DataFrame) -> DataFrame:
+    """doc_id, evidence_type, batch_id, located, is_noisy, raw, n: all that a report counts of chunks, from one scan; as many rows as a
+    document has different chunks in these, as a written table."""
+    own = chunks.select("doc_id", "evidence_type", "batch_id", F.expr(LOCATED).alias("located"), F.coalesce("is_noisy", F.lit(False)).alias("is_noisy"), F.coalesce(F.col("provenance_status") == "raw_markdown", F.lit(False)).alias("raw"))
+    return written(own.groupBy(*own.columns).agg(F.count("*").alias("n")), "chunk-facts")
+
+
+#: The parts of a report, in order.
+PARTS = (
+    "documents_count", "chunks_count", "entities_count", "document_kind_distribution", "evidence_type_distribution", "top_entities", "top_batches", "missing_assets_summary", "low_quality_documents",
+    "page_level_pdf_documents", "noisy_chunks_count", "chunks_without_locator", "chunks_without_locator_by_document_kind", "chunks_without_locator_by_evidence_type", "chunks_without_locator_by_extension",
+    "chunks_without_locator_top_sources", "office_raw_markdown_missing_locator_summary", "noisy_documents", "hmi_translation_documents", "export_files_generated",
+)
+
+
 def library_report(documents: DataFrame, chunks: DataFrame, entities: DataFrame, assets: DataFrame, exports: list[str]) -> dict[str, DataFrame | list[str]]:
     """The twenty parts of a library's report. documents: doc_id, title, source_file, output_dir, document_kind, quality_status,
-    missing_assets_count; chunks: doc_id, evidence_type, locator, is_noisy, batch_id, provenance_status."""
-    titled = documents.select("doc_id", "title", "source_file")
-    unlocated, pages = chunks.filter(~F.expr(LOCATED)), page_level_documents(documents, chunks, assets)
-    detail = missing_locator_detail(documents, chunks)
-    of = lambda name: detail.filter(F.col("dimension") == name).select("value", "missing").orderBy(F.desc("missing"), "value")
-    number = lambda rows: rows.agg(F.count("*").alias("n"))
-    sources = unlocated.groupBy("doc_id").agg(
-        F.count("*").alias("chunks_without_locator"), F.count_if(F.col("provenance_status") == "raw_markdown").alias("raw_markdown_chunks"), F.array_sort(F.collect_set("evidence_type")).alias("evidence_types")
-    )
-    noisy = chunks.filter("is_noisy").groupBy("doc_id").agg(F.count("*").alias("noisy_chunks_count"))
+    missing_assets_count; chunks: doc_id, evidence_type, locator, is_noisy, batch_id, provenance_status; entities: entity_id,
+    entity_text, mention_count. Chunks are read once; all parts come from what was counted then (chunk_facts), which is joined with
+    the documents once."""
+    facts = chunk_facts(chunks)
+    docs = documents.select("doc_id", "title", "source_file", "output_dir", "document_kind", "quality_status", "missing_assets_count")
+    joined = facts.join(docs, "doc_id", "left").withColumn("extension", T.extension(F.coalesce("source_file", F.lit(""))))
+    page, missing = F.col("evidence_type").isin(*PAGES), ~F.col("located")
+    total = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0))
+    per_document = written(
+        joined.groupBy("doc_id", "title", "source_file", "output_dir", "document_kind", "quality_status").agg(
+            total(page).alias("page_level_chunks"), total(page & F.col("located")).alias("locator_chunks"), total(F.col("is_noisy")).alias("noisy_chunks_count"), total(missing).alias("chunks_without_locator"),
+            total(missing & F.col("raw")).alias("raw_markdown_chunks"), F.array_sort(F.collect_set(F.when(missing, F.col("evidence_type")))).alias("evidence_types"),
+        ),
+        "report-documents",
+    )
+    raw = F.when(missing & F.col("raw") & F.col("extension").isin(*OFFICE), F.col("extension"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    listed = {
+        "chunks_count": F.lit(""), "noisy_chunks_count": F.when(F.col("is_noisy"), F.lit("")), "chunks_without_locator": F.when(missing, F.lit("")), "evidence_type_distribution": T.blank_to_null(F.col("evidence_type")),
+        "top_batches": T.blank_to_null(F.col("batch_id")), "chunks_without_locator_by_document_kind": F.when(missing, text("document_kind")), "chunks_without_locator_by_evidence_type": F.when(missing, text("evidence_type")),
+        "chunks_without_locator_by_extension": F.when(missing, F.col("extension")), "office_raw_markdown_missing_locator_summary": raw,
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), v.alias("value")) for k, v in listed.items()]))
+    counts = written(joined.select(each.alias("x"), "n").select("x.*", "n").filter("value is not null").groupBy("part", "value").agg(F.sum("n").alias("count")), "report-counts")
+    of = lambda part: counts.filter(F.col("part") == part)
+    number = lambda part: of(part).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
+    by = lambda part: of(part).select("value", F.col("count").alias("missing")).orderBy(F.desc("missing"), "value")
+    ranked = lambda part: of(part).select("value", "count").orderBy(F.desc("count"), "value")
+    there = assets.groupBy("doc_id").agg(F.count("*").alias("asset_count"))
+    pages = per_document.filter("quality_status = 'low_structure' and endswith(document_kind, '_pdf') and page_level_chunks > 0 and locator_chunks > 0 and noisy_chunks_count = 0").join(there, "doc_id")
+    pages = pages.select("doc_id", "title", "source_file", "document_kind", "quality_status", "page_level_chunks", "locator_chunks", "asset_count")
     return {
-        "documents_count": number(documents), "chunks_count": number(chunks), "entities_count": number(entities),
-        "document_kind_distribution": distribution(documents, "document_kind"), "evidence_type_distribution": distribution(chunks, "evidence_type"),
-        "top_entities": entities.orderBy(F.desc("mention_count"), "entity_id").limit(10),
-        "top_batches": distribution(chunks, "batch_id").orderBy(F.desc("count"), "value").limit(10),
-        "missing_assets_summary": documents.filter("missing_assets_count > 0").select("title", F.col("missing_assets_count").alias("missing")),
-        "low_quality_documents": documents.filter(F.col("quality_status").isin("low_structure", "visual_only")).join(pages, "doc_id", "left_anti").select("doc_id", "title", "quality_status"),
-        "page_level_pdf_documents": pages, "noisy_chunks_count": number(chunks.filter("is_noisy")), "chunks_without_locator": number(unlocated),
-        "chunks_without_locator_by_document_kind": of("document_kind"), "chunks_without_locator_by_evidence_type": of("evidence_type"), "chunks_without_locator_by_extension": of("extension"),
-        "chunks_without_locator_top_sources": sources.join(documents.select("doc_id", "title", "source_file", "output_dir", "document_kind"), "doc_id").orderBy(F.desc("chunks_without_locator"), "source_file", "doc_id").limit(20),
-        "office_raw_markdown_missing_locator_summary": of("office_raw_markdown"),
-        "noisy_documents": noisy.join(titled, "doc_id").orderBy(F.desc("noisy_chunks_count"), "doc_id"),
-        "hmi_translation_documents": documents.filter("document_kind = 'hmi_translation_xlsx'").select("title", "source_file", "output_dir"),
+        "documents_count": docs.agg(F.count("*").alias("n")), "chunks_count": number("chunks_count"), "entities_count": entities.agg(F.count("*").alias("n")),
+        "document_kind_distribution": distribution(docs, "document_kind"), "evidence_type_distribution": ranked("evidence_type_distribution"),
+        "top_entities": entities.orderBy(F.desc("mention_count"), "entity_id").limit(10), "top_batches": ranked("top_batches").limit(10),
+        "missing_assets_summary": docs.filter("missing_assets_count > 0").select("title", F.col("missing_assets_count").alias("missing")),
+        "low_quality_documents": docs.filter(F.col("quality_status").isin("low_structure", "visual_only")).join(pages, "doc_id", "left_anti").select("doc_id", "title", "quality_status"),
+        "page_level_pdf_documents": pages, "noisy_chunks_count": number("noisy_chunks_count"), "chunks_without_locator": number("chunks_without_locator"),
+        "chunks_without_locator_by_document_kind": by("chunks_without_locator_by_document_kind"), "chunks_without_locator_by_evidence_type": by("chunks_without_locator_by_evidence_type"), "chunks_without_locator_by_extension": by("chunks_without_locator_by_extension"),
+        "chunks_without_locator_top_sources": per_document.filter("chunks_without_locator > 0 and source_file is not null").select("doc_id", "chunks_without_locator", "raw_markdown_chunks", "evidence_types", "title", "source_file", "output_dir", "document_kind").orderBy(F.desc("chunks_without_locator"), "source_file", "doc_id").limit(20),
+        "office_raw_markdown_missing_locator_summary": by("office_raw_markdown_missing_locator_summary"),
+        "noisy_documents": per_document.filter("noisy_chunks_count > 0 and title is not null").select("doc_id", "noisy_chunks_count", "title", "source_file").orderBy(F.desc("noisy_chunks_count"), "doc_id"),
+        "hmi_translation_documents": docs.filter("document_kind = 'hmi_translation_xlsx'").select("title", "source_file", "output_dir"),
         "export_files_generated": sorted(exports),
     }
 
 
+def report_rows(report: dict[str, DataFrame | list[str]], spark: SparkSession) -> DataFrame:
+    """part, value: all parts of a report, each row as JSON."""
+    plain = [(name, v) for name, rows in report.items() if not isinstance(rows, DataFrame) for v in rows]
+    own = [rows.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("value")) for name, rows in report.items() if isinstance(rows, DataFrame)]
+    return reduce(DataFrame.unionByName, own).unionByName(spark.createDataFrame(plain, "part string, value string"))
+
+
 def documents_without(documents: DataFrame, mentions: DataFrame) -> DataFrame:
     return documents.join(mentions.select("doc_id"), "doc_id", "left_anti")
 

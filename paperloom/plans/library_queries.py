@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kb, library, workspace
+from ..operators import concepts, kb, library, reports, workspace
 from ..sinks import exports
 from ..sources import files
 from ..tables import fresh_path
-from .queries import _BUILD_SQL, _EMAIL, _LIB, _RULES, _TERMS, _INDEXED_TEXT, _ADJUST, lib, query, searchable_lib, table
+from .queries import _ADJUST, _BUILD_SQL, _EMAIL, _INDEXED_TEXT, _LIB, _RULES, _TERMS, _WORDS_SQL, lib, query, searchable_lib, table
 
 # --- what is written and read back ----------------------------------------------------------------------------------------
 
@@ -142,3 +142,92 @@ def kb_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = searchable_lib(spark, sf_dir).withColumn("library_id", F.col("lang"))
     found = kb.evidence(rows, "tion reed", 4, ["es", "en", "fr"], aliases={"tion reed": ["eou"]})
     return found.select("library_id", "library_order", "stage", "rank", F.col("chunk_id").cast("long").alias("doc_id"), "total_hits")
+
+
+# --- reports and graphs ---------------------------------------------------------------------------------------------------
+
+_REPORT_DOCUMENTS = """SELECT d.doc_id, concat('T', CAST(d.doc_id AS STRING)) AS title, concat(source, CASE lang WHEN 'en' THEN '.docx' WHEN 'de' THEN '.XLSX' WHEN 'fr' THEN '.pdf' ELSE '' END) AS source_file,
+CASE lang WHEN 'en' THEN 'manual_pdf' WHEN 'de' THEN 'generic_pdf' WHEN 'fr' THEN 'hmi_translation_xlsx' ELSE 'document' END AS document_kind, source AS output_dir,
+CASE WHEN quality = 0 THEN 'low_structure' WHEN toxic = 1 THEN 'visual_only' ELSE 'ok' END AS quality_status, CAST(d.doc_id % 4 AS INT) AS missing_assets_count FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id"""
+_REPORT_CHUNKS = """SELECT conv_id AS doc_id, CASE WHEN turn < 2 THEN 'page' WHEN role = 'user' THEN 'text_page' ELSE 'text' END AS evidence_type, CASE WHEN role = 'user' OR conv_id % 3 = 0 THEN 'p. 1' END AS locator,
+turn > 5 AND conv_id % 2 = 0 AS is_noisy, CASE WHEN turn < 3 THEN concat('B', CAST(conv_id % 15 AS STRING)) END AS batch_id, CASE WHEN turn < 4 THEN 'raw_markdown' ELSE 'page_text' END AS provenance_status FROM {conversations}"""
+_REPORT_SQL = (
+    "WITH d AS (" + _REPORT_DOCUMENTS.format(documents="documents", labels="labels") + "), c AS (" + _REPORT_CHUNKS.format(conversations="conversations") + "), "
+    f"e AS (SELECT lower(x) AS norm, count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{_EMAIL}'))) AS x FROM documents) GROUP BY lower(x)), "
+    r"j AS (SELECT c.*, d.title, d.source_file, d.output_dir, coalesce(d.document_kind, '') AS document_kind, d.quality_status, CASE WHEN regexp_matches(coalesce(d.source_file, ''), '\.[^.]+$') THEN lower(regexp_extract(d.source_file, '\.([^.]+)$', 1)) ELSE 'unknown' END AS extension FROM c LEFT JOIN d USING (doc_id)), "
+    "m AS (SELECT * FROM j WHERE locator IS NULL), "
+    "g AS (SELECT doc_id, any_value(title) AS title, any_value(source_file) AS source_file, count(*) FILTER (evidence_type IN ('page', 'text_page')) AS pages, count(locator) FILTER (evidence_type IN ('page', 'text_page')) AS located, count(*) FILTER (is_noisy) AS noisy, count(*) FILTER (locator IS NULL) AS missing, count(*) FILTER (locator IS NULL AND provenance_status = 'raw_markdown') AS raw, array_to_string(list_sort(list(DISTINCT evidence_type) FILTER (locator IS NULL)), ',') AS kinds FROM j GROUP BY doc_id), "
+    "a AS (SELECT page_id AS doc_id, count(*) AS n FROM pages GROUP BY page_id), "
+    r"p AS (SELECT d.doc_id, d.title, g.pages, g.located, a.n FROM d JOIN g USING (doc_id) JOIN a USING (doc_id) WHERE quality_status = 'low_structure' AND ends_with(document_kind, '_pdf') AND pages > 0 AND located > 0 AND noisy = 0) "
+    "SELECT 'documents_count' AS part, '' AS key, count(*) AS n FROM d UNION ALL SELECT 'chunks_count', '', count(*) FROM c UNION ALL SELECT 'entities_count', '', count(*) FROM e "
+    "UNION ALL SELECT 'document_kind_distribution', document_kind, count(*) FROM d GROUP BY document_kind UNION ALL SELECT 'evidence_type_distribution', evidence_type, count(*) FROM c GROUP BY evidence_type "
+    "UNION ALL SELECT 'top_entities', CAST(n AS VARCHAR), count(*) FROM (SELECT n FROM e ORDER BY n DESC LIMIT 10) GROUP BY n "
+    "UNION ALL SELECT * FROM (SELECT 'top_batches', batch_id, count(*) AS n FROM c WHERE batch_id IS NOT NULL GROUP BY batch_id ORDER BY n DESC, batch_id LIMIT 10) "
+    "UNION ALL SELECT 'missing_assets_summary', title, missing_assets_count FROM d WHERE missing_assets_count > 0 "
+    "UNION ALL SELECT 'low_quality_documents', concat(title, '|', quality_status), doc_id FROM d WHERE quality_status IN ('low_structure', 'visual_only') AND doc_id NOT IN (SELECT doc_id FROM p) "
+    "UNION ALL SELECT 'page_level_pdf_documents', concat(title, '|', pages, '|', located), n FROM p UNION ALL SELECT 'noisy_chunks_count', '', count(*) FROM c WHERE is_noisy UNION ALL SELECT 'chunks_without_locator', '', count(*) FROM m "
+    "UNION ALL SELECT 'chunks_without_locator_by_document_kind', document_kind, count(*) FROM m GROUP BY document_kind UNION ALL SELECT 'chunks_without_locator_by_evidence_type', evidence_type, count(*) FROM m GROUP BY evidence_type "
+    "UNION ALL SELECT 'chunks_without_locator_by_extension', extension, count(*) FROM m GROUP BY extension "
+    "UNION ALL SELECT * FROM (SELECT 'chunks_without_locator_top_sources', concat(title, '|', raw, '|', kinds), missing FROM g WHERE missing > 0 AND source_file IS NOT NULL ORDER BY missing DESC, source_file, doc_id LIMIT 20) "
+    "UNION ALL SELECT 'office_raw_markdown_missing_locator_summary', extension, count(*) FROM m WHERE provenance_status = 'raw_markdown' AND extension IN ('docx', 'xlsx', 'pptx', 'doc', 'xls', 'ppt') GROUP BY extension "
+    "UNION ALL SELECT 'noisy_documents', title, noisy FROM g WHERE noisy > 0 AND title IS NOT NULL UNION ALL SELECT 'hmi_translation_documents', concat(title, '|', source_file), 1 FROM d WHERE document_kind = 'hmi_translation_xlsx' UNION ALL SELECT 'export_files_generated', unnest(['a.md', 'b.md']), 1"
+)
+_NAMED = {
+    "top_entities": ("cast(mention_count AS string)", "1"), "missing_assets_summary": ("title", "missing"), "low_quality_documents": ("concat(title, '|', quality_status)", "doc_id"),
+    "page_level_pdf_documents": ("concat(title, '|', page_level_chunks, '|', locator_chunks)", "asset_count"), "noisy_documents": ("title", "noisy_chunks_count"), "hmi_translation_documents": ("concat(title, '|', source_file)", "1"),
+    "chunks_without_locator_top_sources": ("concat(title, '|', raw_markdown_chunks, '|', array_join(evidence_types, ','))", "chunks_without_locator"),
+}
+
+
+@query(_REPORT_SQL)
+def library_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twenty parts of the report: documents, turns as their chunks, e-mail addresses as entities, pages as assets."""
+    documents = spark.sql(_REPORT_DOCUMENTS, documents=table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
+    chunks = spark.sql(_REPORT_CHUNKS, conversations=table(spark, sf_dir, "conversations"))
+    entities = library.dedupe_entities(library.extract_entities(table(spark, sf_dir, "documents"), {"email": _EMAIL}).withColumn("ord", F.struct("doc_id", "position")))
+    assets = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
+    found = reports.library_report(documents, chunks, entities, assets, ["b.md", "a.md"])
+    out = []
+    for part, rows in found.items():
+        if isinstance(rows, list):
+            rows = spark.createDataFrame([(x, 1) for x in rows], "value string, count long")
+        key, n = _NAMED.get(part) or ("value" if "value" in rows.columns else "''", next(c for c in ("n", "count", "missing") if c in rows.columns))
+        own = rows.selectExpr(f"'{part}' AS part", f"{key} AS key", f"cast({n} AS long) AS n")
+        out.append(own.groupBy("part", "key").agg(F.sum("n").alias("n")) if part == "top_entities" else own)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _greedy_sql(edges: str, most: int) -> str:
+    """The edges (k: their place, source, target) that are admitted one after another, until the nodes are full."""
+    both = "list_distinct(list_concat(r.nodes, [e.source, e.target]))"
+    return (
+        f"e AS MATERIALIZED ({edges}), r(k, nodes) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT e.k, CASE WHEN len({both}) <= {most} THEN {both} ELSE r.nodes END FROM r JOIN e ON e.k = r.k + 1 WHERE len(r.nodes) < {most}), "
+        "z AS (SELECT k, nodes FROM r ORDER BY k DESC LIMIT 1) SELECT e.source, e.target FROM e, z WHERE e.k <= z.k AND list_contains(z.nodes, e.source) AND list_contains(z.nodes, e.target) ORDER BY e.k LIMIT "
+    )
+
+
+_MENTIONS = f"SELECT doc_id, lower(x) AS norm, min(k) AS k FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, '{_EMAIL}')) AS l FROM documents)) GROUP BY doc_id, lower(x)"
+
+
+@query("WITH RECURSIVE " + _greedy_sql(f"SELECT row_number() OVER (ORDER BY doc_id, norm) AS k, CAST(doc_id AS VARCHAR) AS source, norm AS target FROM ({_MENTIONS})", 40) + str(concepts.edge_limit(40)))
+def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of documents and the e-mail addresses in them, of forty nodes."""
+    found = library.extract_entities(table(spark, sf_dir, "documents"), {"email": _EMAIL}).withColumn("entity_id", F.lower("entity_text"))
+    mentions = found.select("doc_id", "entity_id").distinct().withColumn("ord", F.struct("doc_id", "entity_id"))
+    entities = mentions.groupBy("entity_id").agg(F.min("ord").alias("first_ord")).withColumn("entity_text", F.col("entity_id"))
+    documents = lib(spark, sf_dir).select("doc_id", "title", F.col("doc_id").alias("doc_ord"))
+    return concepts.document_entity_graph(documents, entities, mentions, 40)[1].select("source", "target")
+
+
+_CONCEPT_EDGES = (
+    "SELECT row_number() OVER (ORDER BY w DESC, label, CAST(item_id AS VARCHAR)) AS k, CAST(item_id AS VARCHAR) AS source, concat('concept:', label) AS target FROM "
+    "(SELECT DISTINCT item_id, label FROM p) JOIN (SELECT label, round(4.0::DOUBLE + least(count(*), 8) * 0.45::DOUBLE + least(count(DISTINCT item_id), 5) * 0.8::DOUBLE + 2 * count(DISTINCT item_id), 2) AS w FROM p GROUP BY label) USING (label)"
+)
+
+
+@query(_WORDS_SQL.replace("WITH w AS", "WITH RECURSIVE w AS") + ", p AS (SELECT item_id, unnest(words) AS label FROM t), " + _greedy_sql(_CONCEPT_EDGES, 60) + str(concepts.edge_limit(60)))
+def document_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of benchmark items and the concepts in them, of sixty nodes."""
+    own = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("item_id").alias("chunk_id"), F.explode(concepts.tokens(F.col("text"))).alias("label"), F.lit("heading").alias("source"))
+    documents = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("title"))
+    return concepts.document_concept_graph(own, concepts.concept_index(own), documents, 60)[1].select("source", "target")
