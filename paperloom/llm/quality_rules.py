@@ -2,9 +2,9 @@
 
 Words and pairs of neighbouring words are hashed into a fixed number of buckets. One multinomial over the buckets comes from
 all trusted documents, one from all documents; a document's score is the mean, over its n-grams, of the log of the ratio of the
-two. It is kept if the score reaches a fixed threshold. All of it is Spark expressions; documents meet the trusted ids in a
-shuffle, the counts are summed map-side into at most 2 * BUCKETS rows a task, and the table of ratios has that many numbers,
-whatever the corpus.
+two. It is kept if the score reaches a fixed threshold. All of it is Spark expressions. Up to MOST_SENT trusted ids are sent to
+the tasks, beyond that the documents that have an id meet them in a shuffle; the counts are summed map-side into at most
+2 * BUCKETS rows a task, and the table of ratios has that many numbers, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ BUCKETS = 1 << BUCKET_BITS
 #: Counts by which the trusted multinomial is drawn to that of all documents.
 PRIOR = 20_000.0
 THRESHOLD = -0.12
+#: Ids of trusted documents that are sent to every task at most; more meet the documents in a shuffle.
+MOST_SENT = 1_000_000
 WINDOW = 8
 
 
@@ -60,7 +62,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+def log_ratios(docs: DataFrame, trusted: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """One row with ratios, array<double>: of the words' buckets, then of the pairs'. trusted: doc_id, once each."""
     text = F.coalesce("text", F.lit(""))
     grams = let(
@@ -69,15 +71,15 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
             F.transform(w, lambda x, i: F.array(_bucket(x), F.when(i + 1 < F.size(w), _bucket(x, F.get(w, i + 1)) + BUCKETS)))
         ),
     )
-    marked = trusted.select(F.col("doc_id").alias("_id"), F.lit(1).alias("_trusted")).hint("shuffle_hash")  # ids grow with the corpus
-    counts = (
-        docs.select(F.col("doc_id").cast("long").alias("_doc"), text.alias("text"))
-        .join(marked, F.col("_doc") == F.col("_id"), "left")
-        .select(F.explode(grams).alias("bucket"), F.coalesce("_trusted", F.lit(0)).alias("_trusted"))
-        .filter(F.col("bucket").isNotNull())
-        .groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.sum("_trusted").alias("t"))
-    )
+    own = docs.select(F.col("doc_id").cast("long").alias("_doc"), text.alias("text"))
+    marked = trusted.select(F.col("doc_id").alias("_doc"), F.lit(1).alias("_trusted"))
+    if trusted.limit(most_sent + 1).count() <= most_sent:  # one scan, and nothing of a text is shuffled
+        found = own.join(F.broadcast(marked), "_doc", "left").select(F.explode(grams).alias("bucket"), F.coalesce("_trusted", F.lit(0)).alias("_trusted"), F.lit(1).alias("_all"))
+    else:  # only the trusted documents' texts have to meet ids
+        every = own.select(F.explode(grams).alias("bucket"), F.lit(0).alias("_trusted"), F.lit(1).alias("_all"))
+        chosen = own.filter("_doc is not null").join(marked, "_doc", "left_semi")
+        found = every.unionByName(chosen.select(F.explode(grams).alias("bucket"), F.lit(1).alias("_trusted"), F.lit(0).alias("_all")))
+    counts = found.filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.sum("_all").alias("n"), F.sum("_trusted").alias("t"))
     every = docs.sparkSession.range(0, 2 * BUCKETS, 1, 4).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(counts, "bucket", "left").na.fill(0)
     lists = filled.groupBy().agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "t"))).alias("rows"))  # 2 * BUCKETS rows

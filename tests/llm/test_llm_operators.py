@@ -277,6 +277,45 @@ def test_quality_rules(spark, texts):
     assert quality_rules.judge(table(spark, []), labels).count() == 0
 
 
+def _spark_bucket(parts):
+    """The bucket of a word or of a pair, as Spark's xxhash64 with its seed gives it."""
+    import xxhash
+
+    seed = 42
+    for p in parts:
+        seed = xxhash.xxh64_intdigest(p.encode(), seed)
+    return seed >> (64 - quality_rules.BUCKET_BITS)
+
+
+@pytest.mark.parametrize("most_sent", [0, 1_000_000])
+def test_ratios_and_scores_are_the_plain_ones(spark, most_sent):
+    rng = random.Random(7)
+    own = [" ".join(rng.choices(["alpha", "beta", "Gamma", "é", "x1", "the"], k=rng.randint(0, 40))) for _ in range(60)] + [None, "", "one"]
+    docs = table(spark, own).unionByName(table(spark, own[:2])).unionByName(table(spark, ["null id words"]).withColumn("doc_id", F.lit(None).cast("long")))
+    trusted = {0, 1, 3, 8, 20, 61, 62}
+    counts, of_trusted = collections.Counter(), collections.Counter()
+
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        return [_spark_bucket([w]) for w in words] + [quality_rules.BUCKETS + _spark_bucket(p) for p in zip(words, words[1:])]
+
+    for k, t in [*enumerate(own), *enumerate(own[:2]), (None, "null id words")]:
+        counts.update(grams(t))
+        if k in trusted:
+            of_trusted.update(grams(t))
+    n, m, size = sum(counts.values()), sum(of_trusted.values()), 2 * quality_rules.BUCKETS
+    raw = [(counts[b] + 0.5) / (n + 0.5 * size) for b in range(size)]
+    expected = [math.log((of_trusted[b] + quality_rules.PRIOR * raw[b]) / (m + quality_rules.PRIOR) / raw[b]) for b in range(size)]
+    ids = spark.createDataFrame([(k,) for k in trusted], "doc_id long")
+    found = quality_rules.log_ratios(docs, ids, most_sent).first()["ratios"]
+    assert np.allclose(found, expected, rtol=1e-9, atol=1e-12)
+    labels = spark.createDataFrame([(k, 1) for k in trusted] + [(5, 0)], "doc_id long, quality int")
+    for r in quality_rules.judge(docs, labels).filter("doc_id is not null").collect():
+        g = grams(own[r["doc_id"]])
+        score = sum(expected[b] for b in g) / max(1, len(g))
+        assert abs(r["score"] - score) < 1e-9 and r["kept"] == (not r["base_failed"] and r["score"] >= quality_rules.THRESHOLD)
+
+
 def test_all_trusted_documents_are_counted(spark):
     n, own = 60_000, spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit(1).alias("quality"))
     ratios = quality_rules.log_ratios(own, quality_rules.trusted_ids(own.unionByName(own))).first()["ratios"]
