@@ -19,6 +19,8 @@ STOPWORDS = [
     "text", "chapter", "title", "untitled source page",
 ]
 SOURCE_WEIGHTS = {"structured_header": 7.0, "entity": 6.0, "document_title": 4.0, "heading": 4.0, "text_phrase": 2.0, "weak_page_title": 0.5}
+NOISY_PHRASES = ["cover sheet", "private confidential", "liang private", "selection new", "caner sheet"]
+NOISY_PART = "pm-group"
 UNITS = ["min", "degc", "%", "bar", "rpm"]
 LEAST_SCORE, MATCH_BONUS, MATCH_CAP, DOCUMENT_BONUS, DOCUMENT_CAP = 3.0, 0.45, 8, 0.8, 5
 TITLE_TERMS, HEADING_TERMS, TEXT_TERMS, NODES, EDGES_LEAST, EDGES_FACTOR = 12, 10, 24, 150, 1000, 6
@@ -29,12 +31,12 @@ def normal_label(label: Column) -> Column:
     return T.normal_entity(F.coalesce(label, F.lit("")))
 
 
-def noisy_label(label: Column, stopwords: list[str] = STOPWORDS, phrases: list[str] | None = None) -> Column:
+def noisy_label(label: Column, stopwords: list[str] = STOPWORDS, phrases: list[str] = NOISY_PHRASES) -> Column:
     """Whether a normalised label is no concept."""
     sheet = label.endswith(" sheet") & ~F.substring_index(label, " ", 1).isin("data", "assessment", "score", "risk")
     numbered = label.rlike(r"\d") & (F.contains(F.concat(F.lit(" "), label, F.lit(" ")), F.lit(" form ")) | F.contains(label, F.lit("group")))
     return (
-        (label == "") | label.isin(stopwords) | label.isin(phrases or [""]) | F.contains(label, F.lit("private")) | F.contains(label, F.lit("confidential"))
+        (label == "") | label.isin(stopwords) | label.isin(phrases) | F.contains(label, F.lit(NOISY_PART)) | F.contains(label, F.lit("private")) | F.contains(label, F.lit("confidential"))
         | sheet | numbered | ((F.length(label) < 3) & ~label.rlike(CJK)) | label.rlike(r"^(\d{4}|\d+(\.\d+)?)$") | label.rlike("^[a-z]{2}-[a-z]{2}$")
         | label.isin(UNITS) | label.startswith("assets/") | label.rlike(r"\.(png|jpe?g|gif|bmp|tiff|pdf|docx?|xlsx?|pptx?|txt|md|html)$")
         | label.rlike(r"^eng-\d+$") | label.isin("document_has_chunk", "document_has_asset", "chunk_has_source_locator")

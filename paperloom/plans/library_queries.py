@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
 from functools import reduce
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import concepts, kb, library, reports, workspace
 from ..sinks import exports
-from ..sources import files
+from ..sinks.folders import write_files
+from ..sources import files, office
 from ..tables import fresh_path
 from .queries import _ADJUST, _BUILD_SQL, _EMAIL, _INDEXED_TEXT, _LIB, _RULES, _TERMS, _WORDS_SQL, lib, query, searchable_lib, table
 
@@ -117,6 +123,70 @@ def interop_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+_INDEX_SQL = (
+    _LIB + f", m AS (SELECT DISTINCT doc_id, lower(x) AS norm FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{_EMAIL}'))) AS x FROM documents)), "
+    "c AS (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY conv_id), e AS (SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id) "
+    "SELECT 'documents_count' AS key, '' AS value, count(*) AS n FROM lib UNION ALL SELECT 'chunks_count', '', count(*) FROM conversations UNION ALL SELECT 'entities_count', '', count(DISTINCT norm) FROM m "
+    "UNION ALL SELECT 'document_kind', document_kind, count(*) FROM lib GROUP BY document_kind UNION ALL SELECT 'evidence_type', role, count(*) FROM conversations GROUP BY role "
+    "UNION ALL SELECT * FROM (SELECT 'top', norm, count(*) AS n FROM m GROUP BY norm ORDER BY n DESC, norm LIMIT 25) "
+    "UNION ALL SELECT 'document', concat(lib.doc_id, '|', output_dir, '|', coalesce(e.n, 0)), coalesce(c.n, 0) FROM lib LEFT JOIN c USING (doc_id) LEFT JOIN e USING (doc_id)"
+)
+
+
+@query(_INDEX_SQL)
+def library_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of a library as one JSON file, written and read back: documents, turns as chunks, e-mail addresses as entities."""
+    documents = lib(spark, sf_dir).withColumn("doc_ord", F.col("doc_id"))
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_ord"), F.col("role").alias("evidence_type"))
+    found = library.extract_entities(table(spark, sf_dir, "documents"), {"email": _EMAIL}).withColumn("ord", F.struct("doc_id", "position"))
+    entities = library.dedupe_entities(found)
+    keyed = found.withColumn("normalized_text", F.lower("entity_text")).groupBy("doc_id", "normalized_text").agg(F.min("ord").alias("ord"))
+    mentions = keyed.join(entities.select("normalized_text", "entity_id"), "normalized_text").select("entity_id", "doc_id", F.lit(None).cast("string").alias("chunk_id"), "ord")
+    folder = fresh_path(spark, "index-json")
+    write_files(exports.library_index(documents, chunks, entities, mentions), folder)
+    counts = ("documents_count", "chunks_count", "entities_count")
+    schema = ", ".join(f"{c} long" for c in counts) + ", document_kind_distribution map<string,long>, evidence_type_distribution map<string,long>, top_entities array<struct<normalized_text: string, count: long>>, documents array<struct<doc_id: long, output_dir: string, chunks_count: long, entities: array<string>>>"
+    read = spark.read.json(f"{folder}/library_index.json", schema=schema, multiLine=True)
+    shown = lambda rows, key, value, n: rows.select(F.lit(key).alias("key"), value.alias("value"), n.cast("long").alias("n"))
+    each = lambda column, *names: read.select(F.explode(column).alias(*names))
+    parts = [shown(read, c, F.lit(""), F.col(c)) for c in counts]
+    parts += [shown(each(f"{c}_distribution", "k", "v"), c, F.col("k"), F.col("v")) for c in ("document_kind", "evidence_type")]
+    parts.append(shown(each("top_entities", "t"), "top", F.col("t.normalized_text"), F.col("t.count")))
+    of_document = F.concat_ws("|", F.col("d.doc_id").cast("string"), "d.output_dir", F.size("d.entities").cast("string"))
+    parts.append(shown(each("documents", "d"), "document", of_document, F.col("d.chunks_count")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _word_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Conversations (conv_id, turns) as docx files: a heading, a paragraph for each turn, and a table of the turns' roles."""
+    for batch in batches:
+        paths, contents = [], []
+        for conv_id, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            said = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(t["text"] or "")}</w:t></w:r></w:p>' for t in turns)
+            rows = "".join("<w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{escape(str(x))}</w:t></w:r></w:p></w:tc>" for x in row) + "</w:tr>" for row in [("turn", "role"), *((t["turn"], t["role"]) for t in turns)])
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("word/styles.xml", '<w:styles><w:style w:styleId="One"><w:name w:val="heading 1"/></w:style></w:styles>')
+                z.writestr("word/document.xml", f'<w:body><w:p><w:pPr><w:pStyle w:val="One"/></w:pPr><w:r><w:t>Conversation {conv_id}</w:t></w:r></w:p>{said}<w:tbl>{rows}</w:tbl></w:body>')
+            paths.append(f"conv_{conv_id}.docx")
+            contents.append(out.getvalue())
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(["docx"] * len(paths), pa.string()), pa.array(contents, pa.binary())], names=["path", "extension", "content"])
+
+
+_TRIMMED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@query(
+    f"WITH c AS (SELECT conv_id, turn, role, {_TRIMMED} AS t FROM conversations), n AS (SELECT chr(10) AS l) SELECT concat('conv_', conv_id, '.docx') AS path, md5(concat('# Conversation ', conv_id, l, l, "
+    "string_agg(concat(t, l, l), '' ORDER BY turn) FILTER (t <> ''), '| turn | role |', l, '| --- | --- |', l, string_agg(concat('| ', turn, ' | ', role, ' |', l), '' ORDER BY turn))) AS digest FROM c, n GROUP BY conv_id, l"
+)
+def office_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as office files, and the Markdown that those are converted to."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))  # a conversation is a file
+    made = turns.mapInArrow(_word_file, "path string, extension string, content binary")
+    return office.markdown(made).select("path", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
 # --- several libraries ----------------------------------------------------------------------------------------------------
 
 _SCORE = "(-sum(greatest(ln((s.n - df.df + 0.5::DOUBLE) / (df.df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf.tf * 2.2::DOUBLE / (tf.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * tf.dl / s.mean))))"

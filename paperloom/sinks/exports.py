@@ -85,6 +85,43 @@ def index_json(documents: DataFrame, chunks: DataFrame, mentions: DataFrame) ->
     return documents.join(counts, "doc_id", "left").join(names, "doc_id", "left").select("doc_id", "title", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("entities", F.array()).alias("entities"))
 
 
+def library_index(documents: DataFrame, chunks: DataFrame, entities: DataFrame, mentions: DataFrame, warnings: list[str] | None = None) -> DataFrame:
+    """path, place, glue, text: library_index.json, its counts, distributions (values in the order first seen), first entities and
+    documents in their order; each document is a row, so the file may have any number of them.
+
+    documents: doc_id, doc_ord, title, source_file, document_kind, output_dir; chunks: doc_id, chunk_ord, evidence_type; entities:
+    entity_id, entity_type, entity_text, normalized_text, first_ord; mentions: entity_id, doc_id, chunk_id, ord."""
+    from ..operators import library
+
+    own = mentions.filter("chunk_id is null").join(entities.select("entity_id", "entity_text"), "entity_id")
+    counted = own.groupBy("entity_id").agg(F.count("*").alias("mention_count"))
+    top = library.top_entities(entities.drop("mention_count").join(counted, "entity_id")).withColumn("_n", F.monotonically_increasing_id())
+    placed = chunks.join(documents.select("doc_id", "doc_ord"), "doc_id", "left")
+    number = lambda rows, name: rows.agg(F.count("*").alias("n")).select(F.lit(0).alias("at"), F.concat(F.lit(f'"{name}": '), F.col("n").cast("string")).alias("text"))
+    object_of = lambda rows, key: rows.select(F.col("first").alias("at"), F.concat(_quoted(F.col(key)), F.lit(": "), F.col("n").cast("string")).alias("text"))
+    kinds = documents.groupBy("document_kind").agg(F.count("*").alias("n"), F.min("doc_ord").alias("first"))
+    evidence = placed.groupBy("evidence_type").agg(F.count("*").alias("n"), F.min(F.coalesce("doc_ord", F.lit(0)) * (1 << 24) + F.col("chunk_ord")).alias("first"))
+    shown = index_json(documents, chunks, own).withColumnRenamed("chunk_count", "chunks_count")
+    listed = documents.join(shown.drop("title"), "doc_id").select(F.col("doc_ord").alias("at"), F.to_json(F.struct("doc_id", "title", "source_file", "document_kind", "chunks_count", "entities", "output_dir"), {"ignoreNullFields": "false"}).alias("text"))
+    fields = ["entity_text", "entity_type", "entity_types", "normalized_text", "count"]
+    parts: list[tuple[DataFrame | str, str | None]] = [
+        ("{", None), (number(documents, "documents_count"), ""), (", ", None), (number(chunks, "chunks_count"), ""), (", ", None), (number(entities, "entities_count"), ""),
+        (', "document_kind_distribution": {', None), (object_of(kinds, "document_kind"), ", "), ('}, "evidence_type_distribution": {', None), (object_of(evidence, "evidence_type"), ", "),
+        ('}, "top_entities": [', None), (top.select(F.col("_n").alias("at"), F.to_json(F.struct(*fields)).alias("text")), ", "), ('], "documents": [\n', None), (listed, ",\n"),
+        (f'\n], "warnings": {json.dumps(warnings or [], ensure_ascii=False)}}}\n', None),
+    ]
+    spark, rows = documents.sparkSession, []
+    for k, (part, glue) in enumerate(parts):
+        part = spark.createDataFrame([(0, part)], "at long, text string") if isinstance(part, str) else part
+        rows.append(part.select(F.lit("library_index.json").alias("path"), F.struct(F.lit(k).alias("part"), F.col("at").cast("long").alias("at"), "text").alias("place"), F.lit(glue).cast("string").alias("glue"), "text"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _quoted(value: Column) -> Column:
+    """A text as JSON."""
+    return F.regexp_replace(F.to_json(F.struct(F.coalesce(value, F.lit("")).alias("k"))), r'^\{"k":|\}$', "")
+
+
 def manifest(documents: int, chunks: int, entities: int, warnings: list[str], root: str) -> dict:
     from datetime import UTC, datetime
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import text as T
 from ..operators.chunking import html_outline
+from . import office
 
 CHUNK_SCHEMA = (
     "chunk_id string, evidence_type string, heading_path array<string>, text string, char_count int, locator string, provenance_status string, "
@@ -108,8 +109,8 @@ READERS: dict[str, Callable[[bytes, str], str]] = {"office": _office_text, "layo
 def convert(files: DataFrame, reader: str = "office") -> DataFrame:
     """path, markdown, engine, warnings, error for files (path, extension, content).
 
-    Text kinds are decoded and HTML is outlined in the JVM; office files go through a reader in Python, whose failure makes an
-    error row and no exception."""
+    Text kinds are decoded and HTML is outlined in the JVM, office files become Markdown by joins over their parts (office.py);
+    others, or all if another reader is named, go through a reader in Python. What fails is an error row and no exception."""
     simple = files.filter(F.col("extension").isin("txt", "md", "csv", "json", "html", "htm"))
     text = decode_text(F.col("content"))
     none = F.lit(None).cast("string")
@@ -127,6 +128,9 @@ def convert(files: DataFrame, reader: str = "office") -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "markdown", "engine", "warnings", "error"])
 
     others = files.filter(~F.col("extension").isin("txt", "md", "csv", "json", "html", "htm")).select("path", "extension", "content")
+    if reader == "office":
+        parts = office.markdown(others).select("path", "markdown", F.lit("office").alias("engine"), F.when(F.col("media") > 0, F.array(F.concat(F.col("media").cast("string"), F.lit(" embedded media")))).otherwise(F.array().cast("array<string>")).alias("warnings"), "error")
+        read, others = read.unionByName(parts), others.filter(~F.col("extension").isin(*office.KINDS))
     return read.unionByName(others.mapInPandas(run, "path string, markdown string, engine string, warnings array<string>, error string"))
 
 
