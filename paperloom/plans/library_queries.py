@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import concepts, kb, library, reports, workspace
+from ..operators import bodies, concepts, kb, knowledge, library, reports, workspace
 from ..sinks import exports
 from ..sinks.folders import write_files
 from ..sources import files, office
@@ -301,3 +301,57 @@ def document_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("item_id").alias("chunk_id"), F.explode(concepts.tokens(F.col("text"))).alias("label"), F.lit("heading").alias("source"))
     documents = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("title"))
     return concepts.document_concept_graph(own, concepts.concept_index(own), documents, 60)[1].select("source", "target")
+
+
+# --- bodies and records ---------------------------------------------------------------------------------------------------
+
+_BODY_DOCUMENTS = """SELECT doc_id, concat('T', CAST(doc_id AS STRING)) AS title, concat(source, '.pdf') AS source_file, concat('/in/', source, '.pdf') AS source_path, concat('h', CAST(doc_id AS STRING)) AS checksum,
+CASE lang WHEN 'en' THEN 'manual_pdf' WHEN 'de' THEN 'technical_drawing_pdf' WHEN 'fr' THEN 'release_rationale_docx' ELSE 'generic_pdf' END AS document_kind, 'ok' AS quality_status, 'text' AS extraction_status, doc_id % 2 = 0 AS requires_ocr_or_vision, 'c' AS converter, text AS markdown FROM {documents}"""
+_TRIM = r"regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')"
+_L = "chr(10)"
+_LINES = lambda *parts: "concat_ws(chr(10), " + ", ".join(parts) + ")"
+_SQL_META = ["concat('- source_file: ', source_file)", "concat('- document_kind: ', document_kind)", "'- quality_status: ok'", "'- extraction_status: text'", "concat('- requires_ocr_or_vision: ', requires_ocr_or_vision)"]
+_SQL_TRACE = ["'## Source Traceability'", "''", "concat('- source_path: ', source_path)", "concat('- checksum: ', checksum)", "''"]
+_SQL_TOP = ["''", "'## Document Summary'", "''", "'_No summary generated._'", "''"]
+_SQL_FIELDS = ["'| Field | Value |'", "'|---|---|'", *[f"'| {n} |  |'" if n != "document_title" else "concat('| document_title | ', title, ' |')" for n in ("document_title", "project_number", "product_name", "pathfinder_mass_code", "manufacturing_location", "filling_location", "formula_system", "release_phase", "annual_volume")]]
+_BODY_SQL = (
+    "WITH d AS (" + _BODY_DOCUMENTS.format(documents="documents") + "), "
+    "p AS (SELECT conv_id AS doc_id, string_agg(concat('- Page ', turn, ': p. ', turn), chr(10) ORDER BY turn) AS overview, "
+    + "string_agg(" + _LINES("concat('### Page ', turn)", "''", "concat('Source page: ', turn)", "''", f"CASE WHEN {_TRIM.format('text')} = '' THEN '_No text extracted for this page._' ELSE {_TRIM.format('text')} END", "''") + ", chr(10) ORDER BY turn) AS manual, "
+    + "string_agg(concat('- Page ', turn, ': p. ', turn, ' - i', turn, '.png'), chr(10) ORDER BY turn) AS links, "
+    + "string_agg(" + _LINES("concat('## Page ', turn)", "''", "concat('Source page: ', turn)", "''", "concat('![Page ', turn, '](i', turn, '.png)')", "''", "'### Extracted Text'", "''", f"CASE WHEN {_TRIM.format('coalesce(nullif(c.text, chr(0)), chr(0))')} = '' THEN '_No text extracted._' ELSE {_TRIM.format('c.text')} END", "''", "'### Notes'", "''", "''") + ", chr(10) ORDER BY turn) AS drawn FROM conversations c GROUP BY conv_id) "
+    + "SELECT doc_id, md5(CASE document_kind WHEN 'manual_pdf' THEN "
+    + _LINES("concat('# ', title)", *_SQL_TOP, "'## Key Metadata'", "''", *_SQL_META, "'- converter: c'", "'- tags: '", "concat('- document_title: ', title)", "''", *_SQL_TRACE, "'## Revision History'", "''", "'_No revision history detected._'", "''", "'## Table of Contents'", "''", "'_No table of contents detected._'", "''", "'## Page Overview'", "''", "coalesce(overview, '_No page overview available._')", "''", "'## Section Outline'", "''", "'_No section outline detected._'", "''", "'## Content'", "''", f"coalesce(manual, {_TRIM.format('markdown')})")
+    + " WHEN 'technical_drawing_pdf' THEN "
+    + _LINES("concat('# ', replace(source_file, '.pdf', ''))", *_SQL_TOP, "'## Document Classification'", "''", *_SQL_META[1:], "CASE WHEN requires_ocr_or_vision THEN '- note: No text was extracted; page image preserved for visual review.' END", "''", "'## Key Metadata'", "''", _SQL_META[0], "'- converter: c'", "'- tags: '", "''", *_SQL_TRACE, "'## Page Index'", "''",
+             "CASE WHEN links IS NOT NULL THEN " + _LINES("links", "''", "drawn") + " ELSE " + _LINES("'No page images rendered. Re-run with --render-pdf-pages.'", "''", "'## Extracted Text'", "''", f"coalesce(nullif({_TRIM.format('markdown')}, ''), '_No text extracted._')", "''") + " END")
+    + " WHEN 'release_rationale_docx' THEN "
+    + _LINES("concat('# ', title)", "''", "'## Release Summary'", "''", "'_No summary generated._'", "''", "'## Key Release Metadata'", "''", *_SQL_FIELDS, "''", "'## Key Process Parameters'", "''", "'_No key process parameters detected._'", "''", "'## Recommendation'", "''", "'_No recommendation detected._'", "''", *_SQL_TRACE, "'## Content'", "''", _TRIM.format("markdown"), "''")
+    + " ELSE " + _LINES("concat('# ', title)", *_SQL_TOP, "'## Key Metadata'", "''", *_SQL_META, "'- converter: c'", "''", *_SQL_TRACE, "'## Content'", "''", _TRIM.format("markdown"), "''")
+    + " END) AS digest FROM d LEFT JOIN p USING (doc_id)"
+)
+
+
+@query(_BODY_SQL)
+def document_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bodies of four kinds; turns of conversations are the pages of the documents with their numbers."""
+    docs = spark.sql(_BODY_DOCUMENTS, documents=table(spark, sf_dir, "documents")).withColumns({"tags": F.array().cast("array<string>"), "fields": F.create_map(F.lit("document_title"), F.col("title"))})
+    number = F.col("turn").cast("string")
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_number"), F.lit(None).cast("string").alias("page_title"), F.concat(F.lit("p. "), number).alias("locator"), "text", F.concat(F.lit("i"), number, F.lit(".png")).alias("image_path"))
+    return bodies.document_bodies(docs, pages=pages).select("doc_id", F.md5(F.col("markdown").cast("binary")).alias("digest"))
+
+
+@query(
+    "WITH d AS (SELECT doc_id, source, lang FROM documents), c AS (SELECT conv_id AS doc_id, count(*) AS n, count(*) FILTER (role = 'user') AS pages, count(*) FILTER (role <> 'user') AS images FROM conversations GROUP BY conv_id), a AS (SELECT page_id AS doc_id, count(*) AS n FROM pages GROUP BY page_id) "
+    "SELECT d.doc_id, concat('T', d.doc_id) AS title, coalesce(c.n, 0) AS chunks_count, coalesce(a.n, 0) AS assets_count, coalesce(c.n, 0) - coalesce(c.images, 0) AS text_chunks_count, coalesce(c.pages, 0) AS page_chunks_count, concat('h', d.doc_id) AS checksum, CASE WHEN lang = 'en' THEN concat('P', d.doc_id) END AS project_number, 33 + CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS n_fields FROM d LEFT JOIN c USING (doc_id) LEFT JOIN a USING (doc_id)"
+)
+def knowledge_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of documents as JSON, read back: fixed fields, and an optional one that some documents have."""
+    docs = spark.sql(_BODY_DOCUMENTS, documents=table(spark, sf_dir, "documents")).withColumn("tags", F.array().cast("array<string>"))
+    docs = docs.withColumn("fields", F.when(F.col("document_kind") == "manual_pdf", F.create_map(F.lit("project_number"), F.concat(F.lit("P"), F.col("doc_id").cast("string")), F.lit("other"), F.lit("x"))).otherwise(F.create_map(F.lit("other"), F.lit("x"))))
+    chunks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text", F.when(F.col("role") == "user", "page").otherwise("image").alias("evidence_type"), F.lit("l").alias("locator"), F.col("turn").alias("page_number"))
+    assets = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
+    found = bodies.knowledge_json(knowledge.knowledge_records(docs, chunks, assets))
+    read = F.from_json("knowledge", "title string, chunks_count long, assets_count long, text_chunks_count long, page_chunks_count long, key_metadata map<string,string>, project_number string")
+    fields = F.size(F.json_object_keys("knowledge")).cast("long").alias("n_fields")
+    return found.select("doc_id", read.alias("r"), fields).select("doc_id", "r.title", "r.chunks_count", "r.assets_count", "r.text_chunks_count", "r.page_chunks_count", F.col("r.key_metadata.checksum").alias("checksum"), "r.project_number", "n_fields")
