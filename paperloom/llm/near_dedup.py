@@ -12,8 +12,13 @@ member is first compared with the smallest one only; links are confirmed on whol
 Then only pairs whose members are still in different components are looked at, each in the first bucket that its members
 share, so that a large group of near copies never emits its pairs, and no link that joins two components is missed. Before
 their sets are fetched, pairs are compared by sketches: one shingle from each of BINS ranges of hashes, nearly the whole set of
-a short document, from which the similarity is known to within a few hundredths; pairs five deviations short of a link go. A
-bucket too large for one task is cut into blocks, and pairs of blocks are dealt out.
+a short document, from which the similarity is known to within a few hundredths; pairs five deviations short of a link go.
+
+A bucket of more than BLOCK members in several components is what a template makes: documents that share most of their words, too
+few for a link, so that their signatures are near and all of their pairs would be compared. Its members meet on single shingles
+instead: two sets that are to be linked share one of the rarest shingles of either, as many as a link lets them differ by, and what
+only the template holds is common and no key. Only where even such a shingle has more members than a task takes, blocks of them
+are dealt out in pairs.
 """
 
 from __future__ import annotations
@@ -67,8 +72,8 @@ def split_for(percent: int) -> Split:
 
 #: Ids that are broadcast at most, to find the texts of candidates; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
-#: Members of a bucket that one task compares at most.
-BLOCK = 4_000
+#: Members of a bucket that one task compares at most; larger ones meet on rarer keys. What stands for a key of any way.
+BLOCK, ANY_WAY = 4_000, -1
 
 _random = np.random.default_rng(20_240_229)
 _WEIGHTS = _random.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -205,6 +210,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
     few = ids.count() <= MOST_BROADCAST
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    sets = written(_sets(texts), "sets")
+    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("shingles_a"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("shingles_b"))
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("shingles_a") + F.size("shingles_b")).alias("all"))
+    return written(joined.filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"), "confirmed")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """doc_id, shingles (array<long>) of texts (doc_id, text)."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_caches_of("hashes")
@@ -216,18 +231,40 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "shingles"])
 
-    sets = written(texts.mapInArrow(sets_of, "doc_id long, shingles array<long>"), "sets")
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("shingles_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("shingles_b"))
-    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("shingles_a") + F.size("shingles_b")).alias("all"))
-    return written(joined.filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"), "confirmed")
+    return texts.mapInArrow(sets_of, "doc_id long, shingles array<long>")
+
+
+def _rare_keys(members: DataFrame, docs: DataFrame, split: Split) -> DataFrame:
+    """key, member: the rarest shingles of each member (member, ...), one more than a link lets it lack, if others have them. Two
+    sets of a similarity of split.percent share one of them: if they share none, the rarest of those that they share comes after
+    all of the keys of one of the two, which then lacks too many."""
+    ids = written(members.select(F.col("member").alias("doc_id")).distinct(), "large-ids")
+    few = ids.count() <= MOST_BROADCAST
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    sets = written(_sets(texts), "large-sets").select(F.col("doc_id").alias("member"), F.size("shingles").alias("size"), F.xxhash64("shingles").alias("print"), F.explode("shingles").alias("key"))
+    counts = sets.groupBy("key").agg(F.count("*").alias("n"))  # summed map-side
+    ranked = sets.join(counts, "key").groupBy("member", "size", "print").agg(F.array_sort(F.collect_set(F.struct("n", "key"))).alias("keys"))  # a document's own shingles
+    first = F.slice("keys", 1, F.col("size") - F.ceil(split.percent * F.col("size") / 100).cast("int") + 1)
+    return ranked.select("member", F.explode(first).alias("k")).filter("k.n > 1").select("k.key", "member").distinct()
 
 
-def _across(buckets: DataFrame, classes: DataFrame, split: Split) -> DataFrame:
-    """Pairs (a, b) of a bucket (key, member, way, component) that are in different components and may be linked; each once."""
+def _across(buckets: DataFrame, classes: DataFrame, docs: DataFrame, split: Split) -> DataFrame:
+    """Pairs (a, b) of a bucket (key, member, way, component) that are in different components and may be linked."""
     counts = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = counts.filter("low != high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = written(counts.filter("low != high").select("key", "n"), "mixed-keys")
+    found = _compared(buckets, mixed.filter(F.col("n") <= BLOCK), classes, split)
+    large = mixed.filter(F.col("n") > BLOCK).select("key")
+    if large.isEmpty():
+        return found
+    members = written(buckets.join(large, "key").select("member", "component").distinct(), "large-members")
+    rare = written(_rare_keys(members, docs, split).join(members, "member").select("key", "member", F.lit(ANY_WAY).cast("byte").alias("way"), "component"), "rare-keys")
+    counts = rare.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return found.unionByName(_compared(rare, counts.filter("low != high").select("key", "n"), classes, split)).distinct()
+
+
+def _compared(buckets: DataFrame, mixed: DataFrame, classes: DataFrame, split: Split) -> DataFrame:
+    """Pairs of the buckets mixed (key, n), each pair in the first bucket that its members share, or, where way is ANY_WAY, in all."""
+    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = (
         buckets.join(mixed, "key")
         .withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
@@ -279,7 +316,7 @@ def _pairs_of(table: pa.Table, split: Split) -> pa.RecordBatch:
             errors = differ.sum(2)
             chunk = (errors <= 1).argmax(1)  # the first chunk that makes a key of both, and there the first such key
             first = chunk * split.width + differ[np.arange(len(i)), chunk].argmax(1)
-            near = (errors.sum(1) <= split.distance) & (first == way[i])
+            near = (errors.sum(1) <= split.distance) & ((first == way[i]) | (way[i] == ANY_WAY))
             i, j = i[near], j[near]
             near = _may_link(sketches[i], sketches[j], size[i] + size[j], split)
             found_a.append(np.minimum(member[i[near]], member[j[near]]))
@@ -314,7 +351,7 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = written(components(links), "components")
     known = buckets.join(first.select(F.col("node").alias("member"), "component"), "member", "left")
     known = known.select("key", "member", "way", F.coalesce("component", "member").alias("component"))
-    more = confirmed(_across(known, classes, split), docs, percent)
+    more = confirmed(_across(known, classes, docs, split), docs, percent)
     found = components(links.unionByName(more))
     named = classes.join(found.select(F.col("node").alias("member"), "component"), "member", "left")
     named = named.select("set_a", "set_b", F.coalesce("component", "member").alias("component_id"))

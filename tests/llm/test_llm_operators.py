@@ -371,6 +371,31 @@ def test_near_duplicates(spark, texts, monkeypatch):
         assert (r["component_id"], r["n_shingles"], r["kept"]) == (expected[k], len(sets[k]), expected[k] == k)
 
 
+def test_a_template_of_many_documents_makes_few_pairs(spark, monkeypatch):
+    """Documents that share a template are no copies of one another, and their pairs aren't all compared; those that are, are found."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    rng = random.Random(3)
+    template = [f"t{k}" for k in range(230)]
+    own = [" ".join([*template, *(f"u{rng.randrange(10**9)}" for _ in range(40))]) for _ in range(150)]
+    for k in range(0, 150, 10):  # near copies of some of them
+        w = own[k].split()
+        w[250] = f"x{k}"
+        own.append(" ".join(w))
+    own += own[:5]
+    expected, _ = _components(own)
+    sizes, confirmed = [], near_dedup.confirmed
+
+    def counted(pairs, docs, percent):
+        sizes.append(pairs.count())
+        return confirmed(pairs, docs, percent)
+
+    monkeypatch.setattr(near_dedup, "confirmed", counted)
+    docs = table(spark, own)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.deduplicate(docs.unionByName(docs.limit(9))).collect()}
+    assert found == dict(enumerate(expected)) and len(set(expected)) == 150
+    assert sum(sizes) < 5 * len(own)  # of some 13,000
+
+
 def test_near_duplicates_edges(spark):
     assert near_dedup.deduplicate(table(spark, [])).count() == 0
     docs = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (9, None)], "doc_id long, text string")
