@@ -45,9 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a parquet table in the shared folder: cuts the lineage, and survives the loss of any executor."""
+#: Rows that a file of a written table has at least, where their number is known to be small.
+ROWS_A_FILE = 50_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a parquet table in the shared folder: cuts the lineage, and survives the loss of any executor. rows: as many as it
+    has at most, if that is known; a table of few rows gets few files, however many partitions a shuffle has."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{shared_dir(spark)}/paperloom/{name}-{uuid.uuid4().hex}"
     for paths in _WRITTEN:
         paths.append(path)

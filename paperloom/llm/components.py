@@ -21,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     the longest chain, about.
     """
     edges = written(
-        links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
+        links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", links.count()
     )
     before = _mark(edges)
     while before[0]:
@@ -31,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.filter("u != v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links", 2 * before[0])
         after = _mark(edges)
         if after == before:
             break

@@ -207,7 +207,8 @@ def _within(pairs: DataFrame, classes: DataFrame, split: Split) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * |A and B| >= percent * |A or B| on the whole sets of shingles, as a written table."""
     pairs = written(pairs, "candidates")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids")
+    n_pairs = pairs.count()
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-ids", 2 * n_pairs)
     few = ids.count() <= MOST_BROADCAST
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     sets = written(_sets(texts), "sets")
@@ -215,7 +216,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("shingles_b"))
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("shingles_a") + F.size("shingles_b")).alias("all"))
-    return written(joined.filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"), "confirmed")
+    return written(joined.filter(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b"), "confirmed", n_pairs)
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -348,7 +349,7 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     buckets = written(keys_of(classes, split).join(shared, "key").select("key", "member", "way", "low"), "buckets")
     stars = buckets.filter("member != low").select(F.col("low").alias("a"), F.col("member").alias("b")).distinct()
     links = confirmed(_within(stars, classes, split), docs, percent)
-    first = written(components(links), "components")
+    first = written(components(links), "components", 2 * links.count())
     known = buckets.join(first.select(F.col("node").alias("member"), "component"), "member", "left")
     known = known.select("key", "member", "way", F.coalesce("component", "member").alias("component"))
     more = confirmed(_across(known, classes, docs, split), docs, percent)
