@@ -207,12 +207,16 @@ def _matches(pattern: str) -> Callable[[Column], Column]:
     return lambda x: x.rlike(pattern)
 
 
-def slides(docs: DataFrame) -> DataFrame:
+#: Where a presentation's project is named.
+PROJECT_NAMES = [r"(?i)Project name:\s*([^\n]+)", r"(?i)(LS Daily Rescue Eye Serum)"]
+
+
+def slides(docs: DataFrame, projects: list[str] = PROJECT_NAMES) -> DataFrame:
     """doc_id, slide_number, title, topic, visual, locator, text of the slides that the marks in `markdown` part; empty ones are
     dropped. A slide without a title takes the project's name, else its number."""
     parts = F.split("markdown", SLIDE_MARK)
     both = F.arrays_zip(F.regexp_extract_all("markdown", F.lit(SLIDE_MARK), F.lit(1)).alias("number"), F.slice(parts, 2, F.size(parts)).alias("text"))
-    project = T.first_match(F.col("markdown"), [r"(?i)Project name:\s*([^\n]+)", r"(?i)(LS Daily Rescue Eye Serum)"])
+    project = T.first_match(F.col("markdown"), projects)
     found = docs.select("doc_id", T.collapse(project).alias("_project"), F.posexplode(both).alias("_k", "s")).withColumns({"slide_number": F.col("s.number").cast("int"), "text": _stripped(F.col("s.text"))}).filter("text != ''")
     titled = found.withColumn("title", F.coalesce(slide_title(F.col("text")), "_project", F.concat(F.lit("Slide "), F.col("slide_number").cast("string"))))
     return titled.select(

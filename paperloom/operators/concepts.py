@@ -25,6 +25,11 @@ UNITS = ["min", "degc", "%", "bar", "rpm"]
 LEAST_SCORE, MATCH_BONUS, MATCH_CAP, DOCUMENT_BONUS, DOCUMENT_CAP = 3.0, 0.45, 8, 0.8, 5
 TITLE_TERMS, HEADING_TERMS, TEXT_TERMS, NODES, EDGES_LEAST, EDGES_FACTOR = 12, 10, 24, 150, 1000, 6
 CJK = r"[一-鿿]"
+#: What a label is no concept by, what is no word of a text, and what a word is.
+SHEETS, NUMBERED = ("data", "assessment", "score", "risk"), (" form ", "group")
+NUMBER, LANGUAGE_TAG, FILE_NAME, DRAWING = r"^(\d{4}|\d+(\.\d+)?)$", "^[a-z]{2}-[a-z]{2}$", r"\.(png|jpe?g|gif|bmp|tiff|pdf|docx?|xlsx?|pptx?|txt|md|html)$", r"^eng-\d+$"
+RELATIONS = ("document_has_chunk", "document_has_asset", "chunk_has_source_locator")
+NO_WORDS, WORD, WORD_EDGES = r"https?://\S+|[\w.+-]+@[\w.-]+\.\w+|\+?\d[\d\s().-]{7,}\d|[\\/_]+", "[A-Za-z][A-Za-z0-9+.-]*", r"^[.+-]+|[.+-]+$"
 
 
 def normal_label(label: Column) -> Column:
@@ -33,20 +38,19 @@ def normal_label(label: Column) -> Column:
 
 def noisy_label(label: Column, stopwords: list[str] = STOPWORDS, phrases: list[str] = NOISY_PHRASES) -> Column:
     """Whether a normalised label is no concept."""
-    sheet = label.endswith(" sheet") & ~F.substring_index(label, " ", 1).isin("data", "assessment", "score", "risk")
-    numbered = label.rlike(r"\d") & (F.contains(F.concat(F.lit(" "), label, F.lit(" ")), F.lit(" form ")) | F.contains(label, F.lit("group")))
+    sheet = label.endswith(" sheet") & ~F.substring_index(label, " ", 1).isin(*SHEETS)
+    numbered = label.rlike(r"\d") & (F.contains(F.concat(F.lit(" "), label, F.lit(" ")), F.lit(NUMBERED[0])) | F.contains(label, F.lit(NUMBERED[1])))
     return (
         (label == "") | label.isin(stopwords) | label.isin(phrases) | F.contains(label, F.lit(NOISY_PART)) | F.contains(label, F.lit("private")) | F.contains(label, F.lit("confidential"))
-        | sheet | numbered | ((F.length(label) < 3) & ~label.rlike(CJK)) | label.rlike(r"^(\d{4}|\d+(\.\d+)?)$") | label.rlike("^[a-z]{2}-[a-z]{2}$")
-        | label.isin(UNITS) | label.startswith("assets/") | label.rlike(r"\.(png|jpe?g|gif|bmp|tiff|pdf|docx?|xlsx?|pptx?|txt|md|html)$")
-        | label.rlike(r"^eng-\d+$") | label.isin("document_has_chunk", "document_has_asset", "chunk_has_source_locator")
+        | sheet | numbered | ((F.length(label) < 3) & ~label.rlike(CJK)) | label.rlike(NUMBER) | label.rlike(LANGUAGE_TAG)
+        | label.isin(UNITS) | label.startswith("assets/") | label.rlike(FILE_NAME) | label.rlike(DRAWING) | label.isin(*RELATIONS)
     )
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words that could be concepts, in order, without addresses, numbers and paths."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"https?://\S+|[\w.+-]+@[\w.-]+\.\w+|\+?\d[\d\s().-]{7,}\d|[\\/_]+", " ")
-    words = F.transform(F.regexp_extract_all(clean, F.lit("[A-Za-z][A-Za-z0-9+.-]*"), F.lit(0)), lambda w: F.lower(F.regexp_replace(w, r"^[.+-]+|[.+-]+$", "")))
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), NO_WORDS, " ")
+    words = F.transform(F.regexp_extract_all(clean, F.lit(WORD), F.lit(0)), lambda w: F.lower(F.regexp_replace(w, WORD_EDGES, "")))
     return F.filter(words, lambda w: ~noisy_label(w))
 
 

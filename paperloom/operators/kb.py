@@ -19,13 +19,6 @@ from ..tables import written
 from . import search
 from .search import Filters, Node, QuerySyntaxError
 
-#: What an evidence packet says of itself.
-LIMITATIONS = [
-    "evidence and context only, no generated final answers",
-    "multi-library ranking is grouped by selected library and preserves existing per-library search behavior",
-    "stale libraries are reported but never auto-updated",
-]
-
 
 @dataclass(frozen=True)
 class Stage:
