@@ -111,19 +111,20 @@ def top_entities(entities: DataFrame, size: int = 25) -> DataFrame:
     return grouped.orderBy(F.desc("count"), T.casefold(F.col("entity_text")), "normalized_text").limit(size)
 
 
-def contained(chunks: DataFrame, entities: DataFrame, bounded: bool = True, least: int = 2) -> DataFrame:
+def contained(chunks: DataFrame, entities: DataFrame, bounded: bool = True, least: int = 2, fold: Callable[[Column], Column] = T.casefold) -> DataFrame:
     """chunk_id, entity_id where the entity's text stands in the chunk's title, text, locator or headings, whatever the case.
 
-    bounded: only entities first seen in this or an earlier document (first_doc_ord <= doc_ord). Texts of `least` characters and
-    more are looked for, all at once: an automaton over a block of them goes through each chunk once, so neither common words nor
+    bounded: only entities first seen in this or an earlier document (first_doc_ord <= doc_ord). fold: which spellings are one;
+    T.casefold takes ß for ss, F.lower doesn't. Texts of `least` characters and
+    more are looked for (the empty one stands in every chunk), all at once: an automaton over a block of them goes through each chunk once, so neither common words nor
     names of one word cost more than others. A block has about MOST_LETTERS letters, whatever the number of entities; the
     entities are read block by block when the frame is made, chunks in as many scans as there are blocks."""
-    hay = T.casefold(F.concat_ws(" ", "title", "text", "locator", F.array_join("heading_path", " ")))
+    hay = fold(F.concat_ws(" ", "title", "text", "locator", T.blank_to_null(F.array_join("heading_path", " "))))
     own = chunks.select("chunk_id", F.col("doc_ord").cast("long").alias("doc_ord"), hay.alias("_hay"))
-    needles = entities.select(T.casefold(F.col("entity_text")).alias("_needle"), "entity_id", F.col("first_doc_ord").cast("long").alias("first_doc_ord")).filter(F.length("_needle") >= least)
+    needles = entities.select(fold(F.col("entity_text")).alias("_needle"), "entity_id", F.col("first_doc_ord").cast("long").alias("first_doc_ord")).filter(F.length("_needle") >= least)
     needles = written(needles, "needles")
     schema = StructType([own.schema["chunk_id"], needles.schema["entity_id"]])
-    blocks = -(-(needles.agg(F.sum(F.length("_needle"))).first()[0] or 0) // MOST_LETTERS)
+    blocks = -(-(needles.agg(F.sum(F.greatest(F.length("_needle"), F.lit(1)))).first()[0] or 0) // MOST_LETTERS)
     context, parts = chunks.sparkSession.sparkContext, []
     for k in range(blocks):
         part = needles.filter(F.pmod(F.xxhash64("_needle"), F.lit(blocks)) == k).toArrow()  # MOST_LETTERS letters, about
@@ -137,9 +138,11 @@ def _finder(sent: Broadcast[pa.Table], bounded: bool, schema: StructType) -> Cal
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
+        automaton, everywhere = ahocorasick.Automaton(), []
         for needle, entity_id, first in zip(*(sent.value.column(k).to_pylist() for k in range(3))):
-            if needle in automaton:
+            if not needle:
+                everywhere.append((entity_id, first))
+            elif needle in automaton:
                 automaton.get(needle).append((entity_id, first))
             else:
                 automaton.add_word(needle, [(entity_id, first)])
@@ -147,7 +150,8 @@ def _finder(sent: Broadcast[pa.Table], bounded: bool, schema: StructType) -> Cal
         for batch in batches:
             chunk_ids, entity_ids = [], []
             for chunk_id, doc_ord, hay in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for same in {id(x): x for _, x in automaton.iter(hay)}.values():
+                inside = {id(x): x for _, x in automaton.iter(hay)} if len(automaton) else {}
+                for same in (everywhere, *inside.values()):
                     for entity_id, first in same:
                         if not bounded or first is not None and doc_ord is not None and first <= doc_ord:
                             chunk_ids.append(chunk_id)

@@ -115,3 +115,19 @@ def test_numbers_of_a_key_that_fills_several_ranges(spark):
     assert {tuple(r) for r in found.collect()} == expected
     windows = re.findall(r"windowspecdefinition\(([^)]*)", found._jdf.queryExecution().optimizedPlan().toString())
     assert windows and all("_range" in w for w in windows)
+
+
+def test_containment_queries_take_texts_as_their_sql_does(spark, tmp_path):
+    """ß is not ss, no space follows the last part, and texts of one letter or none count."""
+    import duckdb
+
+    from paperloom.plans.queries import ORACLE_SQL, QUERIES
+
+    texts = ["Die STRASSE hier", "die straße hier", "am Ende", "", None, "x y\nÖl"]
+    spark.createDataFrame([(k, t, "de", "s1") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(["Straße", "strasse", "ende ", "x", "", None, "öl"])), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("entity_containment", "entity_containment_bounded"):
+        assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.sql(ORACLE_SQL[name]).fetchall())
