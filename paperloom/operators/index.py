@@ -8,17 +8,25 @@ page that it shows. The number of chunks and their mean length are written besid
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from . import search
 from .search import INDEXED, Filters, Node, Phrase
 
 #: Letters of a term that decide its bucket.
 LETTERS = 3
+#: Rows whose postings are grouped at once, and terms whose postings a task sorts, about.
+ROWS, TASK_TERMS = 1000, 4_000_000
 _FACTS = ["length", "chunk_ord", "adjustment", "document_kind", "is_noisy", "noise_score"]
 
 
@@ -27,24 +35,58 @@ def _bucket(value: Column, buckets: int) -> Column:
 
 
 def postings_of(rows: DataFrame) -> DataFrame:
-    """term, column, chunk_id, positions (from 0, ascending) and the chunk's facts, for rows with terms and facts."""
-    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"terms_{c}").alias("terms")) for c in INDEXED])
-    words = rows.select("chunk_id", *_FACTS, F.explode(each).alias("e")).select("chunk_id", *_FACTS, "e.column", F.posexplode("e.terms").alias("position", "term"))
-    return words.groupBy("term", "column", "chunk_id", *_FACTS).agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    """term, column, chunk_id, positions (from 0, ascending) and the chunk's facts, for rows with terms and facts. A chunk's
+    postings come from its own row, so nothing is shuffled."""
+    own = rows.select("chunk_id", *_FACTS, *[f"terms_{c}" for c in INDEXED])
+    kinds = {f.name: f for f in own.schema}
+    schema = StructType([StructField("term", StringType()), StructField("column", StringType()), kinds["chunk_id"], *[kinds[c] for c in _FACTS], StructField("positions", ArrayType(IntegerType()))])
+    return own.mapInArrow(_grouped(schema), schema)
+
+
+def _grouped(schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    kinds = to_arrow_schema(schema)
+    facts = schema.names[2:-1]
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                for column in INDEXED:
+                    lists = batch.column(batch.schema.get_field_index(f"terms_{column}"))
+                    terms = lists.flatten().dictionary_encode()
+                    if not len(terms):
+                        continue
+                    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+                    row = np.repeat(np.arange(len(lengths)), lengths)
+                    place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                    code = terms.indices.to_numpy(zero_copy_only=False)
+                    key = row * len(terms.dictionary) + code
+                    order = np.argsort(key, kind="stable")  # places of a term stay in order
+                    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                    ends = np.append(first, len(order)).astype(np.int32)
+                    chunk = pa.array(row[order[first]])
+                    out = [terms.dictionary.take(pa.array(code[order[first]])), pa.array([column] * len(first)), *[batch.column(batch.schema.get_field_index(c)).take(chunk) for c in facts]]
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32))))
+                    yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, kinds)], schema=kinds)
+
+    return grouped
 
 
 def write_index(rows: DataFrame, folder: str, buckets: int = 256) -> Index:
     """Writes rows to search (search.search_rows) and their postings into a fresh folder.
 
-    A term that very many chunks hold is spread over several files of its bucket, as the postings are dealt out by ranges."""
+    Each task writes the postings of its own rows, sorted, into a file of each bucket: nothing is shuffled, and a term that very
+    many chunks hold is spread over the files of its bucket. A bucket has a file for each TASK_TERMS terms of the library, about."""
     length = F.size(F.concat(*[F.col(f"terms_{c}") for c in INDEXED])).cast("double")
     own = search.with_terms(rows).withColumns({"length": length, "adjustment": search.rank_adjustment(), "bucket": _bucket(F.col("chunk_id"), buckets)})
     own.write.partitionBy("bucket").parquet(f"{folder}/index")
     spark = rows.sparkSession
     kept = spark.read.schema(own.schema).parquet(f"{folder}/index")
     kept.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"), F.lit(buckets).alias("buckets")).write.parquet(f"{folder}/statistics")
-    found = postings_of(kept).withColumn("bucket", _bucket(F.substring("term", 1, LETTERS), buckets))
-    found.repartitionByRange("bucket", "term", "chunk_id").sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    counted = spark.read.parquet(f"{folder}/statistics").first()
+    tasks = max(spark.sparkContext.defaultParallelism, ceil(counted["n"] * (counted["mean"] or 0) / TASK_TERMS))
+    found = postings_of(kept.coalesce(tasks)).withColumn("bucket", _bucket(F.substring("term", 1, LETTERS), buckets))
+    found.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
     return open_index(spark, folder)
 
 
@@ -117,8 +159,8 @@ class Index(search.Rows):
         each = found.select("chunk_id", *_FACTS, F.col("length").alias("_dl"), *[search.count_of(*p, places).cast("double").alias(f"_tf{k}") for k, p in enumerate(own)], *[search.predicate(n, places).alias(f"_hit{k}") for k, n in enumerate(nodes)])
         kept = search.written(each, "matches")  # a query's postings
         having = kept.agg(F.lit(0).alias("none"), *[F.count_if(F.col(f"_tf{k}") > 0).cast("double").alias(f"df{k}") for k in range(len(own))]).first().asDict()
-        if mentions is not None or filters != Filters():
-            kept = kept.join(search.apply_filters(self.rows, filters, mentions).select("chunk_id"), "chunk_id", "left_semi")
+        if filters != Filters():
+            kept = search.written(kept.join(search.apply_filters(self.rows, filters, mentions).select("chunk_id"), "chunk_id", "left_semi"), "matches")
         return search.scored_apart(kept, nodes, {"n": self.n, "mean": self.mean} | having)
 
 

@@ -131,3 +131,19 @@ def test_containment_queries_take_texts_as_their_sql_does(spark, tmp_path):
         con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     for name in ("entity_containment", "entity_containment_bounded"):
         assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.sql(ORACLE_SQL[name]).fetchall())
+
+
+def test_postings_are_made_without_a_shuffle(tables, spark):
+    _, rows, own = tables
+    terms = search.with_terms(rows).withColumns({"length": F.lit(1.0), "adjustment": F.lit(0.0)})
+    made = index.postings_of(terms)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    expected = {}
+    for r in terms.collect():
+        for c in search.INDEXED:
+            for k, t in enumerate(r[f"terms_{c}"]):
+                expected.setdefault((t, c, r["chunk_id"]), []).append(k)
+    got = [((r["term"], r["column"], r["chunk_id"]), r["positions"]) for r in own.postings.collect()]
+    assert dict(got) == expected and len(got) == len(expected)
+    mentions = spark.createDataFrame([("1", "x", "x")], "chunk_id string, entity_text string, normalized_text string")
+    assert "Join" not in own.any_of(["a"], search.Filters(), mentions)[0]._jdf.queryExecution().optimizedPlan().toString()
