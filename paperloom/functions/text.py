@@ -88,7 +88,7 @@ def searchable(text: Column) -> Column:
 
     # patterns are tried only where a text has what each of their matches has
     steps = [
-        (lambda t: t.rlike("[A-Za-z0-9+/]{60}"), lambda t: F.regexp_replace(t, BASE64_RUN, "[base64]")),
+        (lambda t: t.rlike("(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{60}"), lambda t: F.regexp_replace(t, BASE64_RUN, "[base64]")),
         (lambda t: F.contains(F.lower(t), F.lit("nan")), lambda t: F.regexp_replace(F.regexp_replace(t, NAN_RUN, "[NaN omitted]"), NAN, "")),
         (lambda t: F.contains(t, F.lit("\\")) | F.contains(t, F.lit("_PLC+HMI")), cut_paths),
     ]

@@ -459,3 +459,12 @@ def test_located_documents_and_whole_previews_have_no_limit(spark):
     own = spark.range(30).select(F.col("id").alias("doc_id"), *[F.concat(F.lit("src1-"), "id").alias(c) for c in ("title", "source_file", "source_path")])
     chunks = spark.range(30).select(F.col("id").alias("doc_id"))
     assert search.located(own, chunks, "src1").count() == 30 and search.locate(own, chunks, "src1").count() == 20
+
+
+def test_a_ranked_search_scans_its_rows_once(spark):
+    """Terms are cut once: statistics come from the scan that keeps the matching rows."""
+    df = rows_of(spark, "pump seal", "pump", "other words")
+    node = search.parse("pump")
+    for found in (search.match_rows(df, "pump"), search.bm25(search.with_terms(df), node, search.predicate(node))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp" not in plan and "subquery" not in plan and found.count() == 2
