@@ -102,7 +102,7 @@ def library_index(documents: DataFrame, chunks: DataFrame, entities: DataFrame,
     kinds = documents.groupBy("document_kind").agg(F.count("*").alias("n"), F.min("doc_ord").alias("first"))
     evidence = placed.groupBy("evidence_type").agg(F.count("*").alias("n"), F.min(F.coalesce("doc_ord", F.lit(0)) * (1 << 24) + F.col("chunk_ord")).alias("first"))
     shown = index_json(documents, chunks, own).withColumnRenamed("chunk_count", "chunks_count")
-    listed = documents.join(shown.drop("title"), "doc_id").select(F.col("doc_ord").alias("at"), F.to_json(F.struct("doc_id", "title", "source_file", "document_kind", "chunks_count", "entities", "output_dir"), {"ignoreNullFields": "false"}).alias("text"))
+    listed = documents.join(shown.drop("title"), "doc_id").select(F.col("doc_ord").alias("at"), F.col("doc_id").cast("string").alias("tie"), F.to_json(F.struct("doc_id", "title", "source_file", "document_kind", "chunks_count", "entities", "output_dir"), {"ignoreNullFields": "false"}).alias("text"))
     fields = ["entity_text", "entity_type", "entity_types", "normalized_text", "count"]
     parts: list[tuple[DataFrame | str, str | None]] = [
         ("{", None), (number(documents, "documents_count"), ""), (", ", None), (number(chunks, "chunks_count"), ""), (", ", None), (number(entities, "entities_count"), ""),
@@ -113,7 +113,8 @@ def library_index(documents: DataFrame, chunks: DataFrame, entities: DataFrame,
     spark, rows = documents.sparkSession, []
     for k, (part, glue) in enumerate(parts):
         part = spark.createDataFrame([(0, part)], "at long, text string") if isinstance(part, str) else part
-        rows.append(part.select(F.lit("library_index.json").alias("path"), F.struct(F.lit(k).alias("part"), F.col("at").cast("long").alias("at"), "text").alias("place"), F.lit(glue).cast("string").alias("glue"), "text"))
+        tie = "tie" if "tie" in part.columns else "text"  # a document's text goes to the file's task once
+        rows.append(part.select(F.lit("library_index.json").alias("path"), F.struct(F.lit(k).alias("part"), F.col("at").cast("long").alias("at"), F.col(tie).alias("tie")).alias("place"), F.lit(glue).cast("string").alias("glue"), "text"))
     return reduce(DataFrame.unionByName, rows)
 
 
