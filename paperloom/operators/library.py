@@ -273,9 +273,10 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most: in
 
 def build(documents: DataFrame, chunks: DataFrame, document_entities: DataFrame, assets: DataFrame) -> Library:
     """documents: doc_id, doc_ord, title, ...; chunks: chunk_id, doc_id, chunk_ord, title, text, locator, heading_path, ...;
-    document_entities: doc_id, entity_type, entity_text, position; assets: asset_id, doc_id, path."""
-    ordered = document_entities.join(documents.select("doc_id", "doc_ord", "source_file"), "doc_id").withColumn("ord", F.struct("doc_ord", "position"))
-    entities = dedupe_entities(ordered).withColumn("first_doc_ord", F.col("first_ord.doc_ord"))
+    document_entities: doc_id, entity_type, entity_text, position; assets: asset_id, doc_id, path. Entities are looked for in the
+    documents' texts once and kept, as most tables need them."""
+    ordered = written(document_entities, "document-entities").join(documents.select("doc_id", "doc_ord", "source_file"), "doc_id").withColumn("ord", F.struct("doc_ord", "position"))
+    entities = written(dedupe_entities(ordered).withColumn("first_doc_ord", F.col("first_ord.doc_ord")), "entities")
     own = ordered.withColumn("normalized_text", T.normal_entity(F.col("entity_text"))).join(entities.select("entity_type", "normalized_text", "entity_id"), ["entity_type", "normalized_text"])
     noise = T.noise(F.col("text"), F.col("locator"))
     marked = chunks.join(documents.select("doc_id", "doc_ord"), "doc_id").withColumn("_noise", noise).select("*", "_noise.is_noisy", F.round("_noise.noise_score", 3).alias("noise_score"), "_noise.noise_reasons").drop("_noise")

@@ -468,3 +468,15 @@ def test_a_ranked_search_scans_its_rows_once(spark):
     for found in (search.match_rows(df, "pump"), search.bm25(search.with_terms(df), node, search.predicate(node))):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp" not in plan and "subquery" not in plan and found.count() == 2
+
+
+def test_a_build_looks_for_entities_once(spark):
+    """What a library's tables share of the texts is kept: none of them looks through the texts for entities again."""
+    texts = spark.createDataFrame([(0, "mail a@b.de"), (1, "A@b.de, c@d.fr")], "doc_id long, text string")
+    documents = texts.select("doc_id", F.col("doc_id").alias("doc_ord"), F.lit("t").alias("title"), F.lit("s").alias("source_file"))
+    chunks = texts.select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.lit(0).alias("chunk_ord"), F.lit("t").alias("title"), "text", F.lit("p").alias("locator"), F.array().cast("array<string>").alias("heading_path"))
+    assets = spark.createDataFrame([], "asset_id string, doc_id long, path string")
+    built = library.build(documents, chunks, library.extract_entities(texts, {"email": library.ENTITY_RULES["email"]}), assets)
+    for rows in (built.entities, built.mentions, built.relations):
+        assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert built.entities.count() == 2 and built.mentions.count() == 6
