@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 import xxhash
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +124,14 @@ def use_caches_of(owner: str) -> None:
     for other, clear in _CACHES.items():
         if other != owner:
             clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns to the system what a worker has freed; it would stay the worker's, which outlives its task."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 class WordHashes(dict):

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import give_back, written
 from .tokens import encoder, vocabulary
 
+#: Documents that are encoded at once.
+ROWS = 1000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -99,7 +101,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int, path: str, end_id: int) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = encoder(path), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             rows: list[list] = [[] for _ in range(5)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = tokens.ids(text) + end
@@ -108,6 +110,7 @@ def tokenized_pieces(docs: DataFrame, capacity: int, path: str, end_id: int) ->
                         column.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids"])
+        give_back()  # what follows runs in the JVM, beside workers that wait
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECE_SCHEMA)
 

@@ -835,3 +835,17 @@ def test_lsh_recall(texts):
         tried += 1
         met += bool((both[0] == both[1]).any())
     assert met >= 0.95 * tried
+
+
+def test_a_worker_returns_what_it_has_freed():
+    from pathlib import Path
+
+    from paperloom.llm.common import use_caches_of
+
+    used = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+    blocks = [b"x" * 20_000 for _ in range(10_000)]
+    pinned = blocks[::100]  # freed memory between them stays with the process
+    del blocks
+    before = used()
+    use_caches_of("none")
+    assert used() < before - 100e6 and pinned
