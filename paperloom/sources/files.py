@@ -7,8 +7,10 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,12 +160,100 @@ def core_properties(xml: Column) -> Column:
     return F.struct(*[T.blank_to_null(F.regexp_extract(xml, rf"<dc:{n}>([^<]*)</dc:{n}>", 1)).alias(n) for n in ("title", "creator", "subject")])
 
 
+#: What is quoted in the path of a URI, as Spark does in a file's path.
+_QUOTED = re.compile(r"[^A-Za-z0-9_\-!.~'()*,;:$&+=/@\u00a1-\U0010FFFF]|[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Bytes of texts that a task hands on at once.
+_BATCH_BYTES = 4 << 20
+
+
+def _entries(store, folder: str, pattern: str) -> tuple[list[str], list[str]]:
+    """The folders and the files like the pattern in a folder, but for what Spark's readers leave out too."""
+    from pyarrow import fs
+
+    hidden = lambda name: name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+    found = [i for i in store.get_file_info(fs.FileSelector(folder)) if not hidden(i.base_name)]
+    return [i.path for i in found if i.type == fs.FileType.Directory], [i.path for i in found if i.type == fs.FileType.File and fnmatch.fnmatchcase(i.base_name, pattern)]
+
+
+def _read_text(store, path: str, lines: bool) -> Iterator[bytes]:
+    """A file's lines, or its whole text."""
+    with store.open_input_stream(path) as file:
+        if not lines:
+            yield file.read()
+            return
+        for k, line in enumerate(io.TextIOWrapper(file, "latin-1")):  # bytes as they are; CR, LF and CR LF end a line
+            own = line.removesuffix("\n").encode("latin-1")
+            yield own.removeprefix(b"\xef\xbb\xbf") if k == 0 else own
+
+
+def _texts_below(spark: SparkSession, folder: str, pattern: str, lines: bool) -> DataFrame | None:
+    """value, _file: the texts, or the lines, of the files below a folder whose names are like the pattern. Tasks list the folder,
+    go through its entries and read their files, so the driver gets no list of files; a file is read by one task. None where
+    that can't be done: the folder is a pattern, a file or missing, or its store is one that only Spark can read."""
+    from pyarrow import fs
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    own = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if re.search(r"[*?\[{]", folder) or not own.exists(at) or not own.getFileStatus(at).isDirectory():
+        return None
+    uri = own.makeQualified(at).toUri()
+    authority, uri_path = uri.getAuthority() or "", uri.getPath()
+    scheme, whole = f"{uri.getScheme()}:" + (f"//{authority}" if authority else ""), f"{uri.getScheme()}://{authority}{quote(uri_path)}"
+    try:
+        fs.FileSystem.from_uri(whole)
+    except (pa.ArrowException, OSError):
+        return None
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(whole)
+        for _ in batches:  # one row
+            folders, found = _entries(store, root, pattern)
+            for paths, is_folder in ((folders, True), (found, False)):
+                for k in range(0, len(paths), 10_000):
+                    part = paths[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([is_folder] * len(part))], names=["path", "is_folder"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(whole)
+        above = f"{scheme}{uri_path[: len(uri_path) - len(root)]}" if uri_path.endswith(root) else scheme
+        values, places, size = [], [], 0
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), pa.array(places, pa.string())], names=["value", "_file"])
+
+        for batch in batches:
+            for path, is_folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                folders, found = ([path], []) if is_folder else ([], [path])
+                while folders or found:
+                    if not found:
+                        more, found = _entries(store, folders.pop(), pattern)
+                        folders += more
+                        continue
+                    path = found.pop()
+                    name = above + _QUOTED.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), path)
+                    for value in _read_text(store, path, lines):
+                        values.append(value)
+                        places.append(name)
+                        size += len(value) + len(name)
+                        if size >= _BATCH_BYTES:
+                            yield batch_of()
+                            values, places, size = [], [], 0
+        yield batch_of()
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = spark.range(0, 1, 1, 1).mapInArrow(listed, "path string, is_folder boolean").repartition(parts, "path")
+    return entries.mapInArrow(read, "value binary, _file string").select(F.col("value").cast("string").alias("value"), "_file")
+
+
 def read_json_tolerant(spark: SparkSession, path: str, schema: str, lines: bool = False, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, warnings): what can't be read is a warning with its file."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    found = reader.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("_file")).filter(F.trim("value") != "")
+    found = _texts_below(spark, path, pattern, lines) if pattern else None
+    if found is None:
+        reader = spark.read.option("recursiveFileLookup", "true")
+        if pattern:
+            reader = reader.option("pathGlobFilter", pattern)
+        found = reader.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("_file"))
+    found = found.filter(F.trim("value") != "")
     parsed = F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     own = found.withColumn("j", parsed).withColumn("doc_dir", F.regexp_replace("_file", "/[^/]*$", ""))
     bad = own.filter("j._bad is not null").select(F.concat(F.col("_file"), F.lit(": can't be read")).alias("warning"))

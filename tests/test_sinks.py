@@ -35,6 +35,37 @@ def test_packs_are_read_back(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(f"d{k}" for k in range(30))
 
 
+def test_reading_packs_sends_no_list_of_files(spark, tmp_path):
+    from paperloom.sources import files as sources
+
+    root = tmp_path / "a b%é"
+    for k in range(60):
+        own = root / f"d {k}" / ("deep/er" if k % 7 == 0 else "")
+        own.mkdir(parents=True)
+        (own / "manifest.json").write_bytes(b'{"source_file": "f%d",\r\n "status": "success"}' % k)
+        (own / "chunks.jsonl").write_bytes("\ufeff{\"chunk_id\": \"a\u2028é\"}\r\n\n{\"chunk_id\": \"b\"}\rbad".encode() + b"\n\xff" * (k == 5))
+        (own / "knowledge.json").write_text("{}")
+    for name in ("_left/x", ".left"):
+        (root / name).mkdir(parents=True)
+        (root / name / "manifest.json").write_text('{"source_file": "none"}')
+    (root / "manifest.json").write_text('{"source_file": "top"}')
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("packs", "read")
+    back = sources.read_packs(spark, str(root))
+    assert not tracker.getJobIdsForGroup("packs")  # 63 folders are no job of the driver's index
+    got = {name: sorted(map(str, back[name].collect())) for name in back}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got["manifests"]) == 61 and len(got["chunks"]) == 120 and len(got["warnings"]) == 61
+    kept, sources._texts_below = sources._texts_below, lambda *_: None
+    try:
+        back = sources.read_packs(spark, f"file://{root}")  # as Spark's own readers do it
+        assert got == {name: sorted(map(str, back[name].collect())) for name in back}
+        few = {name: sorted(map(str, x.collect())) for name, x in sources.read_packs(spark, str(root / "d 7")).items()}
+    finally:
+        sources._texts_below = kept
+    assert few == {name: sorted(map(str, x.collect())) for name, x in sources.read_packs(spark, str(root / "d 7")).items()}
+
+
 def test_a_failed_job_leaves_nothing_and_changes_nothing(spark, tmp_path):
     folder = f"file://{tmp_path}/out"
     documents, chunks = _packs(spark)
