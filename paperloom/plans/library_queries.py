@@ -16,7 +16,7 @@ from ..operators import bodies, concepts, kb, knowledge, library, reports, works
 from ..sinks import exports
 from ..sinks.folders import write_files
 from ..sources import files, office
-from ..tables import fresh_path
+from ..tables import fresh_path, written
 from .queries import _ADJUST, _BUILD_SQL, _EMAIL, _INDEXED_TEXT, _LIB, _RULES, _TERMS, _WORDS_SQL, lib, query, searchable_lib, table
 
 # --- what is written and read back ----------------------------------------------------------------------------------------
@@ -89,10 +89,11 @@ _PAGES = (
 def portal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of the portal, written and read back: documents, e-mail addresses as entities, roles as topics."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    documents = lib(spark, sf_dir).join(labels, "doc_id", "left").withColumns({"doc_ord": F.col("doc_id"), "quality_status": F.when(F.col("quality") == 0, "low_structure").otherwise("ok")})
+    shown = lib(spark, sf_dir).select("doc_id", "title", "source_file", "output_dir", "document_kind").join(labels, "doc_id", "left")
+    documents = written(shown.withColumns({"doc_ord": F.col("doc_id"), "quality_status": F.when(F.col("quality") == 0, "low_structure").otherwise("ok")}), "portal-documents")  # pages read them many times
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_ord"), "text", F.col("role").alias("topic_label"), F.concat(F.lit("t. "), F.col("turn").cast("string")).alias("locator"))
     chunks = turns.withColumns({"chunk_id": F.col("locator"), "title": F.lit("t"), "evidence_type": F.lit("text"), "is_noisy": F.lit(False), "provenance_status": F.lit("page_text")})
-    found = library.extract_entities(table(spark, sf_dir, "documents"), {"email": _EMAIL}).withColumn("ord", F.struct("doc_id", "position"))
+    found = written(library.extract_entities(table(spark, sf_dir, "documents"), {"email": _EMAIL}), "portal-entities").withColumn("ord", F.struct("doc_id", "position"))
     entities = library.dedupe_entities(found)
     mentions = found.withColumn("normalized_text", F.lower("entity_text")).join(entities.select("normalized_text", "entity_id"), "normalized_text").select("entity_id", "doc_id", F.lit(None).cast("string").alias("chunk_id"))
     assets = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"))
@@ -100,7 +101,7 @@ def portal_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = exports.portal(documents, chunks, entities, mentions, assets)
     exports.write_portal(lines.withColumn("page", F.ltrim("page", F.lit("_"))), folder)  # readers skip names that begin so
     shown = [f"{folder}/{name.lstrip('_')}" for name in exports.PORTAL[1:5]]
-    return spark.read.text(shown, wholetext=True).select(F.concat(F.lit("_"), "_metadata.file_name").alias("page"), F.md5(F.col("value").cast("binary")).alias("digest"))
+    return files.file_digests(spark, shown).select(F.concat(F.lit("_"), "name").alias("page"), "digest")
 
 
 _RECORDS = _LIB + " UNION ALL ".join(

@@ -274,8 +274,8 @@ def portal_files(lines: DataFrame) -> DataFrame:
 
 
 def write_portal(lines: DataFrame, folder: str, replace: bool = True) -> None:
-    """The six pages; each passes through one task, line by line."""
-    write_files(portal_files(lines), folder, 1, replace)
+    """The six pages; lines are put together by ranges, and a page's task writes the blocks down."""
+    write_files(portal_files(lines), folder, 1, replace, long=True)
 
 
 def _unique_names(rows: DataFrame, title: str, key: str) -> DataFrame:

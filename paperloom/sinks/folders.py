@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -117,12 +118,50 @@ def listed(folder: str) -> list[str]:
     return sorted(i.base_name for i in store.get_file_info(fs.FileSelector(at, allow_not_found=True)) if not i.base_name.startswith(("_attempts-", ".")))
 
 
-def write_files(rows: DataFrame, folder: str, depth: int = 1, replace: bool = False) -> None:
+#: Bytes of a block, a row that stands for rows of a long file that follow one another.
+BLOCK_BYTES = 1 << 20
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The same files from few rows: rows (path, place, glue, text) are sorted by ranges of path and place, and those of a range
+    that follow one another become blocks, in many tasks. What is left to a file's task is to write its blocks down."""
+    from ..tables import written
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, first, parts, size, number = None, None, [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            values = [pa.array([path], pa.string()), pa.array([number], pa.int64()), pa.array([first], pa.string()), pa.array(["".join(parts)], pa.string())]
+            return pa.RecordBatch.from_arrays(values, names=["path", "number", "glue", "text"])
+
+        for batch in batches:
+            for name, glue, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if path is not None and (name != path or (glue is None) != (first is None) or size >= BLOCK_BYTES):
+                    yield block()
+                    path, parts, size, number = None, [], 0, number + 1
+                if path is None:
+                    path, first = name, glue
+                else:
+                    parts.append(glue or "")
+                parts.append(text or "")
+                size += len(parts[-1])
+        if path is not None:
+            yield block()
+
+    own = written(rows.select("path", "place", "glue", "text"), "lines")  # the ranges are taken from what is written
+    sorted_rows = own.repartitionByRange("path", "place").sortWithinPartitions("path", "place").select("path", "glue", "text")
+    joined = sorted_rows.mapInArrow(join, "path string, number long, glue string, text string")
+    return joined.select("path", F.struct(F.spark_partition_id().alias("range"), "number").alias("place"), "glue", "text")
+
+
+def write_files(rows: DataFrame, folder: str, depth: int = 1, replace: bool = False, long: bool = False) -> None:
     """Writes rows (path, place, text, and glue or none) as files; the rows of an entry are one task's. Files that are there
-    already are an error unless `replace` is set, in which case an entry is replaced as a whole."""
+    already are an error unless `replace` is set, in which case an entry is replaced as a whole. long: few files of very many
+    rows each, whose rows are put together by other tasks before."""
     spark: SparkSession = rows.sparkSession
     spark.dataSource.register(TextFolders)
     glue = F.col("glue") if "glue" in rows.columns else F.lit(None).cast("string")
-    own = rows.select("path", "place", glue.alias("glue"), "text", F.substring_index("path", "/", depth).alias("_entry"))
+    rows = rows.withColumn("glue", glue)
+    own = (_blocks(rows) if long else rows).select("path", "place", "glue", "text", F.substring_index("path", "/", depth).alias("_entry"))
     dealt = own.repartition("_entry").sortWithinPartitions("path", "place").select("path", F.lit("").alias("place"), "glue", "text")
     dealt.write.format("text_folders").option("path", folder).option("depth", str(depth)).option("replace", str(replace).lower()).mode("append").save()

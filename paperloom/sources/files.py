@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import io
 import re
 import zipfile
@@ -269,6 +270,23 @@ def read_packs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {"manifests": good, "chunks": chunks.join(good.select("doc_dir"), "doc_dir", "left_semi"), "warnings": bad.unionByName(bad_chunks).unionByName(skipped)}
 
 
+def file_digests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """name, digest: the MD5 of each of these files, which is read piece by piece and may be longer than a value can be."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(at) as file:
+                    found = hashlib.file_digest(file, "md5").hexdigest()
+                yield pa.RecordBatch.from_arrays([pa.array([at.rpartition("/")[2]]), pa.array([found])], names=["name", "digest"])
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
+    return rows.mapInArrow(digest, "name string, digest string")
+
+
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table of the engine, or an empty one where nothing has been written yet."""
     from pyspark.errors import AnalysisException

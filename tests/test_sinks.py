@@ -157,6 +157,27 @@ def test_portal_pages(spark, tmp_path):
     assert "_No quality issues detected._" in (tmp_path / "portal/_library.md").read_text() and "_None._" in (tmp_path / "portal/_quality_report.md").read_text()
 
 
+def test_long_files_are_put_together_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(folders, "BLOCK_BYTES", 300)
+    rows = spark.range(5000).select(
+        F.concat(F.lit("f"), (F.col("id") % 2).cast("string")).alias("path"), F.struct((F.col("id") * 7919 % 5000).alias("a"), F.lit("x").alias("b")).alias("place"),
+        F.when(F.col("id") * 7919 % 5000 % 40 > 2, F.lit(", ")).alias("glue"), F.when(F.col("id") % 11 > 0, F.concat(F.lit("é"), F.col("id").cast("string"))).alias("text"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = folders._blocks(rows.repartition(6)).select("path", "place").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) < 2500 and len({r["place"]["range"] for r in found}) > 1  # a page's task had all of its 2,500 rows before
+    folders.write_files(rows, f"file://{tmp_path}/one")
+    folders.write_files(rows.repartition(6), f"file://{tmp_path}/two", long=True)
+    for name in ("f0", "f1"):
+        own = (tmp_path / "one" / name).read_text()
+        assert own == (tmp_path / "two" / name).read_text() and own.count("é") > 2000
+    found = {r["name"]: r["digest"] for r in files.file_digests(spark, [f"file://{tmp_path}/two/f{k}" for k in (0, 1)]).collect()}
+    assert found == {f"f{k}": hashlib.md5((tmp_path / f"one/f{k}").read_bytes()).hexdigest() for k in (0, 1)}
+
+
 def test_folder_digest_is_a_fold(spark):
     rows = [(g, f"{'A' if k % 3 else 'b'}{k}", str(k * 7)) for g in ("x", None, "y") for k in range(40)]
     df = spark.createDataFrame(rows, "g string, p string, s string").repartition(6)
