@@ -88,14 +88,18 @@ def _grouped(texts: list[list[bytes]]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def train(docs: DataFrame, counts: DataFrame, levels: list[tuple[int, int]], total: int, distinct: int) -> tuple[Model, Vocabulary, np.ndarray]:
-    """The model, the vocabulary, and the counts of its tokens. docs (text): what is learned from; counts: its written tokens."""
-    context = docs.sparkSession.sparkContext
+def frequent(counts: DataFrame, levels: list[tuple[int, int]]) -> tuple[int, list[bytes], np.ndarray]:
+    """The vocabulary's level, its tokens, the most frequent ones first, and their counts."""
     least = max(64, _least_level(levels, VOCABULARY))  # from a count of 2 on
     chosen = {r["word"]: r["c"] for r in counts.filter(_level() >= least).select("word", "c").toArrow().to_pylist()}  # at most VOCABULARY
     chosen[END] = max(1, sum(r["c"] for r in counts.filter(F.col("word") == F.lit(END)).collect()))
     words = sorted(chosen, key=lambda w: (-chosen[w], w))
-    own = np.array([chosen[w] for w in words], np.int64)
+    return least, words, np.array([chosen[w] for w in words], np.int64)
+
+
+def train(docs: DataFrame, counts: DataFrame, least: int, words: list[bytes], own: np.ndarray, total: int, distinct: int) -> Model:
+    """The model. docs (text): what is learned from; counts: its written tokens; least, words, own: those of the vocabulary."""
+    context = docs.sparkSession.sparkContext
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(256)
@@ -153,13 +157,18 @@ def train(docs: DataFrame, counts: DataFrame, levels: list[tuple[int, int]], tot
     once = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(spell, schema)  # the vocabulary's own spellings
     for r in docs.select("text").mapInArrow(count, schema).unionByName(once).repartition("block").mapInArrow(add_up, schema).toLocalIterator():  # a fixed number of slots
         slots[r["block"]] = np.frombuffer(r["counts"], np.uint8)
-    own[words.index(END)] *= total > 0  # without a training document there is no end
-    return Model(code, endings, slot_bits, slots.reshape(CHANNELS, -1)), vocabulary, own
+    return Model(code, endings, slot_bits, slots.reshape(CHANNELS, -1))
 
 
 _ROWS = "row long, doc_id long, held_out boolean, word binary, n_tokens long, n_bytes long, known long, base double, score double"
 
 
+def base(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score as in score(), from the counts of tokens alone: what the
+    model needs besides isn't made."""
+    return _scores(docs, False).drop("score", "bits_per_byte")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """One row per document (doc_id, text, ...): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte.
@@ -170,6 +179,11 @@ def score(docs: DataFrame) -> DataFrame:
     bits_per_byte its bits for each byte of the words with a byte after each. A null or empty text is the end alone. A null
     doc_id is in training. Repeated rows are documents of their own; other columns are ignored. An empty table gives no rows.
     """
+    return _scores(docs, True)
+
+
+def _scores(docs: DataFrame, modelled: bool) -> DataFrame:
+    """score(); its last two columns are null where no model is asked for."""
     context = docs.sparkSession.sparkContext
     held_out = F.coalesce(training_fold(F.col("doc_id").cast("long")) == HELD_OUT, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
@@ -177,7 +191,9 @@ def score(docs: DataFrame) -> DataFrame:
     counts = written(token_counts(training), "token-counts")
     sums = counts.groupBy(_level().alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).orderBy(F.desc("level")).collect()  # 64 a doubling
     levels, total, distinct = [(r["level"], r["n"]) for r in sums], sum(r["c"] for r in sums), sum(r["n"] for r in sums)
-    model, vocabulary, own = train(training, counts, levels, total, distinct)
+    least, words, own = frequent(counts, levels)
+    model, vocabulary = train(training, counts, least, words, own, total, distinct) if modelled else None, Vocabulary(words)
+    own[words.index(END)] *= total > 0  # without a training document there is no end
     often = counts.filter(_level() >= _least_level(levels, MOST_SENT)).select("word", "c")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,8 +230,8 @@ def score(docs: DataFrame) -> DataFrame:
     def of_texts(ids: pa.Array, texts: list[list[bytes]], fold: bool, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
         model, vocabulary, own, hashes, all_c = sent.value
         tokens = read_tokens(texts, vocabulary, vocabulary[END])
-        bits = model.score(tokens, Contexts(tokens, model.endings))
         n = len(texts)
+        score = pa.array(-model.score(tokens, Contexts(tokens, model.endings)) * math.log10(2)) if model else pa.nulls(n, pa.float64())
         spelled = np.fromiter(map(WORD_HASHES.__getitem__, tokens.words), np.uint64, len(tokens.words))
         c, rare = _counts_of(spelled, hashes, all_c)
         doc = tokens.doc[tokens.where]
@@ -224,7 +240,7 @@ def score(docs: DataFrame) -> DataFrame:
         known = np.bincount(tokens.doc, np.append(own, 1)[tokens.ids] > 0, n).astype(np.int64) - np.bincount(doc[rare | (c == 0)], minlength=n)
         sizes = np.array([sum(map(len, t)) + len(t) + 1 for t in texts], np.int64)
         base = np.bincount(tokens.doc, prices, n)
-        values = [numbers, ids, np.full(n, fold), pa.nulls(n, pa.binary()), tokens.sizes, sizes, known, base, -bits * math.log10(2)]
+        values = [numbers, ids, np.full(n, fold), pa.nulls(n, pa.binary()), tokens.sizes, sizes, known, base, score]
         names = [f.split()[0] for f in _ROWS.split(", ")]
         yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values], names=names)
         at = np.flatnonzero(rare)

@@ -849,3 +849,13 @@ def test_a_worker_returns_what_it_has_freed():
     before = used()
     use_caches_of("none")
     assert used() < before - 100e6 and pinned
+
+
+def test_base_scores_need_no_model(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).unionByName(table(spark, ["", "new words here"]).select("doc_id", "text"), allowMissingColumns=True)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    whole = sorted(map(tuple, lm_score.score(docs).select(names).collect()))
+    monkeypatch.setattr(lm_score, "train", None)
+    monkeypatch.setattr(bit_mixing.Model, "score", None)
+    found = lm_score.base(docs)
+    assert found.columns == names and sorted(map(tuple, found.collect())) == whole
