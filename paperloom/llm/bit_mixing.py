@@ -168,6 +168,14 @@ def ending(word: bytes) -> int:
     return (word[-2:][0] * 7 + word[-1]) % 1021
 
 
+def endings_of(words: list[bytes]) -> np.ndarray:
+    """ending() of each of these words."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) - 1
+    data = np.frombuffer(b"".join(words), np.uint8).astype(np.uint32)
+    begin = np.append(0, ends[:-1] + 1)
+    return (data[np.maximum(ends - 1, begin)] * np.uint32(7) + data[ends]) % np.uint32(1021)
+
+
 def _mixed(x: np.ndarray, salt: np.uint32) -> np.ndarray:
     x = (x ^ salt) * _ODD
     return (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
@@ -183,7 +191,7 @@ class Contexts:
         place = np.arange(n) - first[tokens.doc]
         own = np.where(ids < FREQUENT, ids, FREQUENT + endings[ids]).astype(np.uint32)
         if len(tokens.where):
-            own[tokens.where] = FREQUENT + np.array([ending(w) for w in tokens.words], np.uint32)
+            own[tokens.where] = np.uint32(FREQUENT) + endings_of(tokens.words)
         own += 2
         before = np.ones(n, np.uint32)
         before[1:] = own[:-1]
@@ -269,11 +277,11 @@ def _symbols(tokens: Tokens, contexts: Contexts, code: Code, rows: np.ndarray) -
 
 def _steps(code: Code, symbol: np.ndarray, hashes: list[np.ndarray], slot_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of the symbols' bits: how many each has, where each begins, the bits, and for each channel the slots."""
-    lens = code.lens.take(symbol)
+    lens = code.lens.take(symbol, mode="clip")
     begin = np.cumsum(lens) - lens
-    path = np.repeat((code.starts.take(symbol) - begin).astype(np.int32), lens)
-    path += np.arange(len(path), dtype=np.int32)
-    steps = code.steps.take(path)
+    path = np.repeat(code.starts.take(symbol, mode="clip") - begin, lens)
+    path += np.arange(len(path))
+    steps = code.steps.take(path, mode="clip")
     bit, node, shift = steps & np.uint32(1), steps >> np.uint32(1), np.uint32(32 - slot_bits)
     slots = []
     for h in hashes:
@@ -378,9 +386,9 @@ class Model:
         lens, begin, bit, slots = _steps(self.code, symbol, hashes, self.slot_bits)
         inputs = []
         for k, slot in enumerate(slots):
-            state_of = self.states[k].take(slot.astype(np.intp)).astype(np.intp)
-            inputs.append(ODDS.take(state_of))
-        known = KNOWN_OF.take(state_of)
+            state_of = self.states[k].take(slot, mode="clip")  # all are in range; "clip" needs no buffer
+            inputs.append(ODDS.take(state_of, mode="clip"))
+        known = KNOWN_OF.take(state_of, mode="clip")
         match, run, lost = self._match(tokens, contexts, symbol, token, is_byte, lens, begin, bit)
         inputs.append(match)
         doc = tokens.doc[token]
@@ -399,8 +407,10 @@ class Model:
         """Of each bit: 1 or -1 for an expected one or zero, else 0; of each symbol: 0, 1 or 2 (a long match); bits after a miss."""
         match, run = np.zeros(len(bit), np.float32), np.zeros(len(symbol), np.int64)
         expected, escape = np.where(is_byte, -1, contexts.expected[token]), self.code.escape
-        for at in np.flatnonzero((expected == escape) & (symbol == escape)).tolist():
-            own, other = (tokens.words[np.searchsorted(tokens.where, row)] + b" " for row in (token[at], contexts.source[token[at]]))
+        both = np.flatnonzero((expected == escape) & (symbol == escape))
+        ours, others = (np.searchsorted(tokens.where, rows).tolist() for rows in (token[both], contexts.source[token[both]]))
+        for at, one, two in zip(both.tolist(), ours, others):
+            own, other = tokens.words[one] + b" ", tokens.words[two] + b" "
             n = len(own) if own == other else len(commonprefix([own, other])) + 1  # up to the first byte that differs
             expected[at + 1 : at + 1 + n] = np.frombuffer(other[:n], np.uint8) + np.int64(escape + 1)
         hoped = np.flatnonzero(expected >= 0)
@@ -433,10 +443,10 @@ class _State:
         """Scores a block's bits, then learns from the first `learn` of them. base: where the document's map begins."""
         if not len(base):
             return
-        odds = self.weights[0].take(where)
+        odds = self.weights[0].take(where, mode="clip")
         odds *= inputs[0]
         for w, x in zip(self.weights[1:], inputs[1:-1]):
-            part = w.take(where)
+            part = w.take(where, mode="clip")
             part *= x
             odds += part
         hoped = np.flatnonzero(inputs[-1])  # few bits have a match
@@ -445,7 +455,7 @@ class _State:
         np.clip(odds, -7.99, 7.99, out=odds)
         bucket = ((odds + np.float32(8)) * np.float32(BUCKETS / 16)).astype(np.intp)
         bucket += base
-        odds += self.map.take(bucket)
+        odds += self.map.take(bucket, mode="clip")
         odds *= sign
         chance = 1 / (1 + np.exp(-odds))
         self.taken += np.bincount(bucket, np.log(chance).astype(float), len(self.taken))

@@ -859,3 +859,8 @@ def test_base_scores_need_no_model(spark, monkeypatch):
     monkeypatch.setattr(bit_mixing.Model, "score", None)
     found = lm_score.base(docs)
     assert found.columns == names and sorted(map(tuple, found.collect())) == whole
+
+
+def test_endings_at_once():
+    words = [b"a", b"bc", "é".encode(), b"\xff\xff\xff", b"word", b"7"]
+    assert bit_mixing.endings_of(words).tolist() == [bit_mixing.ending(w) for w in words] and len(bit_mixing.endings_of([])) == 0
