@@ -39,8 +39,8 @@ FIRST_BLOCK, LAST_BLOCK = 16, 1024
 #: Tokens of a text that are worked on at once.
 SEGMENT = 60_000
 RATE, MAP_RATE, SHARE = 6.0, 3.0, 2
-#: Bits that are gathered before they are counted.
-FLUSH = 1 << 21
+#: Symbols with their contexts that are gathered before their bits are counted, and bits that hold a symbol's number.
+FLUSH, SYMBOL_BITS = 1 << 20, 24
 MATCH_TOKENS = 3
 _ODD = np.uint32(0x9E3779B1)
 _SALTS = np.array([0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
@@ -306,25 +306,31 @@ class Counts:
         self.pairs = np.zeros((COMMON + 1) * (code.escape + 1), np.int32)
         self.waiting: list[list[np.ndarray]] = [[] for _ in range(CHANNELS)]
 
-    def _bits(self, channel: int, symbol: np.ndarray, hashed: np.ndarray, times: np.ndarray | None = None) -> None:
-        lens, _, bit, (slot,) = _steps(self.code, symbol, [hashed], self.slot_bits)
-        slot <<= np.uint32(1)
-        slot |= bit
-        if times is not None:
-            np.add.at(self.counts[channel], slot.astype(np.intp), np.repeat(times, lens))
-            return
-        self.waiting[channel].append(slot)
+    def _bits(self, channel: int, symbol: np.ndarray, hashed: np.ndarray) -> None:
+        self.waiting[channel].append(hashed.astype(np.uint64) << np.uint64(SYMBOL_BITS) | symbol.astype(np.uint64))
         if sum(map(len, self.waiting[channel])) >= FLUSH:
             self._flush(channel)
 
     def _flush(self, channel: int) -> None:
-        """Counts what waits, in the order of the slots, so that memory is gone through once."""
+        """Counts what waits: the bits of each symbol in each context once, times how often it stands there."""
         waiting, self.waiting[channel] = self.waiting[channel], []
         if not any(map(len, waiting)):  # nothing, or texts without a spelled token
             return
-        slots = np.sort(np.concatenate(waiting))
-        ends = np.append(np.flatnonzero(slots[1:] != slots[:-1]), len(slots) - 1)
-        self.counts[channel][slots[ends]] += np.diff(ends, prepend=-1).astype(np.int32)
+        keys = np.concatenate(waiting)
+        del waiting
+        keys.sort()
+        ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]), len(keys) - 1)
+        keys, times = keys[ends], np.diff(ends, prepend=-1).astype(np.int32)
+        for at in range(0, len(keys), SEGMENT):
+            part = keys[at : at + SEGMENT]
+            symbol = (part & np.uint64((1 << SYMBOL_BITS) - 1)).astype(np.int64)
+            self._count(channel, symbol, (part >> np.uint64(SYMBOL_BITS)).astype(np.uint32), times[at : at + SEGMENT])
+
+    def _count(self, channel: int, symbol: np.ndarray, hashed: np.ndarray, times: np.ndarray) -> None:
+        lens, _, bit, (slot,) = _steps(self.code, symbol, [hashed], self.slot_bits)
+        slot <<= np.uint32(1)
+        slot |= bit
+        np.add.at(self.counts[channel], slot.astype(np.intp), np.repeat(times, lens))
 
     def add(self, tokens: Tokens) -> None:
         contexts = Contexts(tokens, self.endings, matches=False)
@@ -353,7 +359,7 @@ class Counts:
             pair = found[at : at + SEGMENT]
             common, symbol = np.divmod(pair, self.code.escape + 1)
             for channel, context in ((0, np.zeros(len(pair), np.uint32)), (1, common.astype(np.uint32))):
-                self._bits(channel, symbol, _mixed(context, _SALTS[channel]), self.pairs[pair])
+                self._count(channel, symbol, _mixed(context, _SALTS[channel]), self.pairs[pair])
         self.pairs[:] = 0
         return self.counts
 
@@ -449,7 +455,7 @@ class _State:
             part = w.take(where, mode="clip")
             part *= x
             odds += part
-        hoped = np.flatnonzero(inputs[-1])  # few bits have a match
+        hoped = np.flatnonzero(inputs[-1] != 0)  # few bits have a match
         hope, at = inputs[-1][hoped], where[hoped]
         odds[hoped] += self.weights[-1].take(at) * hope
         np.clip(odds, -7.99, 7.99, out=odds)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bit_mixing import CHANNELS, Code, Contexts, Counts, Model, Vocabulary, ending, read_tokens, states
-from .common import WORD_HASHES, training_fold, use_caches_of, written
+from .common import give_back, keep_freed, training_fold, use_caches_of, written
 
 HELD_OUT = 1
 #: Tokens that are symbols of their own at most, and those whose counts are sent to every task at most.
@@ -121,6 +121,7 @@ def train(docs: DataFrame, counts: DataFrame, least: int, words: list[bytes], ow
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, code, endings = sent.value
+        keep_freed()
         slots = Counts(code, endings, slot_bits)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -128,6 +129,8 @@ def train(docs: DataFrame, counts: DataFrame, least: int, words: list[bytes], ow
                 for a, b in _grouped(texts):
                     slots.add(read_tokens(texts[a:b], vocabulary, vocabulary[END]))
         yield from blocks_of(slots)
+        del slots
+        give_back()
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, code, endings = sent.value
@@ -213,7 +216,8 @@ def _scores(docs: DataFrame, modelled: bool) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        use_caches_of("hashes")
+        use_caches_of("lm_score")
+        keep_freed()
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -226,13 +230,14 @@ def _scores(docs: DataFrame, modelled: bool) -> DataFrame:
                     for a, b in _grouped(own_texts):
                         yield from of_texts(part.column(0).take(pa.array(chosen[a:b])), own_texts[a:b], fold, row + at + chosen[a:b])
             row += batch.num_rows
+        give_back()
 
     def of_texts(ids: pa.Array, texts: list[list[bytes]], fold: bool, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
         model, vocabulary, own, hashes, all_c = sent.value
         tokens = read_tokens(texts, vocabulary, vocabulary[END])
         n = len(texts)
         score = pa.array(-model.score(tokens, Contexts(tokens, model.endings)) * math.log10(2)) if model else pa.nulls(n, pa.float64())
-        spelled = np.fromiter(map(WORD_HASHES.__getitem__, tokens.words), np.uint64, len(tokens.words))
+        spelled = np.fromiter((xxhash.xxh64_intdigest(w) or 1 for w in tokens.words), np.uint64, len(tokens.words))
         c, rare = _counts_of(spelled, hashes, all_c)
         doc = tokens.doc[tokens.where]
         prices = np.append(price(own), 0.0)[tokens.ids]

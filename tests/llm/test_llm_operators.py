@@ -5,7 +5,10 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -864,3 +867,37 @@ def test_base_scores_need_no_model(spark, monkeypatch):
 def test_endings_at_once():
     words = [b"a", b"bc", "é".encode(), b"\xff\xff\xff", b"word", b"7"]
     assert bit_mixing.endings_of(words).tolist() == [bit_mixing.ending(w) for w in words] and len(bit_mixing.endings_of([])) == 0
+
+
+def test_training_counts_each_symbol_of_a_context_once(texts, monkeypatch):
+    """A word that is spelled a thousand times has its bits found once, and they are counted a thousand times."""
+    own = [[b"often"] * 50 + [b"rarely"] * 950, *((t or "").encode().lower().split() for t in texts[:10])]
+    vocabulary, endings = bit_mixing.Vocabulary([b"often", b"\n"]), np.array([*map(bit_mixing.ending, [b"often", b"\n"]), 0])
+    code = bit_mixing.Code(np.array([50, 11, 2000]), np.arange(256))
+    tokens = bit_mixing.read_tokens(own, vocabulary, 1)
+    symbol, _, is_byte, hashes = bit_mixing._symbols(tokens, bit_mixing.Contexts(tokens, endings), code, np.arange(len(tokens.ids)))
+    expected = np.zeros((bit_mixing.CHANNELS, 2 << 16), np.int64)
+    for k, h in enumerate(hashes):
+        _, _, bit, (slot,) = bit_mixing._steps(code, symbol, [h], 16)
+        np.add.at(expected[k], slot.astype(np.intp) * 2 + bit, 1)
+    found, steps = [], bit_mixing._steps
+    monkeypatch.setattr(bit_mixing, "_steps", lambda code, symbol, *others: found.append(len(symbol)) or steps(code, symbol, *others))
+    for flush in (bit_mixing.FLUSH, 700):
+        monkeypatch.setattr(bit_mixing, "FLUSH", flush)
+        counts = bit_mixing.Counts(code, endings, 16)
+        counts.add(bit_mixing.read_tokens(own, vocabulary, 1))
+        assert (counts.whole() == expected).all()
+        if flush != 700:
+            distinct = sum(len(np.unique(np.stack([h, symbol.astype(np.uint32)]), axis=1).T) for h in hashes)
+            assert distinct <= sum(found) < distinct + 10  # a token may stand after several common ones
+
+
+def test_workers_keep_what_they_free():
+    """Arrays made and freed again and again take their pages from the system once."""
+    code = (
+        "import resource, numpy as np\nfrom paperloom.llm.common import keep_freed\nkeep_freed()\n"
+        "for k in range(60):\n    if k == 10: before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt\n    x = [np.ones(300_000) for _ in range(4)]; del x\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(lm_score.__file__).parents[2])
+    assert int(done.stdout) < 5_000  # else 50 times 2,300 pages
