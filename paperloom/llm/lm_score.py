@@ -207,12 +207,13 @@ def _scores(docs: DataFrame, modelled: bool) -> DataFrame:
     found = often.mapInArrow(hashed, "hash long, c long").toArrow()
     hashes = found.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    sent = context.broadcast((model, vocabulary, own, hashes[order], found.column("c").to_numpy()[order]))
-    del found, hashes, order
-
     def price(c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
 
+    known_ids, prices_of = np.append(own, 1) > 0, np.append(price(own), 0.0)  # the escape's last
+    sent = context.broadcast((model, vocabulary, known_ids, prices_of, hashes[order], found.column("c").to_numpy()[order]))
+    del found, hashes, order
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -224,28 +225,25 @@ def _scores(docs: DataFrame, modelled: bool) -> DataFrame:
                 part = batch.slice(at, 500)
                 held = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 texts = [_words(t) for t in part.column(2).to_pylist()]
-                for fold in (False, True):
-                    chosen = np.flatnonzero(held == fold)
-                    own_texts = [texts[k] for k in chosen.tolist()]
-                    for a, b in _grouped(own_texts):
-                        yield from of_texts(part.column(0).take(pa.array(chosen[a:b])), own_texts[a:b], fold, row + at + chosen[a:b])
+                for a, b in _grouped(texts):
+                    yield from of_texts(part.column(0).slice(a, b - a), texts[a:b], held[a:b], row + at + np.arange(a, b))
             row += batch.num_rows
         give_back()
 
-    def of_texts(ids: pa.Array, texts: list[list[bytes]], fold: bool, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
-        model, vocabulary, own, hashes, all_c = sent.value
+    def of_texts(ids: pa.Array, texts: list[list[bytes]], held: np.ndarray, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        model, vocabulary, known_ids, prices_of, hashes, all_c = sent.value
         tokens = read_tokens(texts, vocabulary, vocabulary[END])
         n = len(texts)
         score = pa.array(-model.score(tokens, Contexts(tokens, model.endings)) * math.log10(2)) if model else pa.nulls(n, pa.float64())
         spelled = np.fromiter((xxhash.xxh64_intdigest(w) or 1 for w in tokens.words), np.uint64, len(tokens.words))
         c, rare = _counts_of(spelled, hashes, all_c)
         doc = tokens.doc[tokens.where]
-        prices = np.append(price(own), 0.0)[tokens.ids]
+        prices = prices_of[tokens.ids]
         prices[tokens.where] = np.where(rare, 0, price(c))
-        known = np.bincount(tokens.doc, np.append(own, 1)[tokens.ids] > 0, n).astype(np.int64) - np.bincount(doc[rare | (c == 0)], minlength=n)
+        known = np.bincount(tokens.doc, known_ids[tokens.ids], n).astype(np.int64) - np.bincount(doc[rare | (c == 0)], minlength=n)
         sizes = np.array([sum(map(len, t)) + len(t) + 1 for t in texts], np.int64)
         base = np.bincount(tokens.doc, prices, n)
-        values = [numbers, ids, np.full(n, fold), pa.nulls(n, pa.binary()), tokens.sizes, sizes, known, base, score]
+        values = [numbers, ids, held, pa.nulls(n, pa.binary()), tokens.sizes, sizes, known, base, score]
         names = [f.split()[0] for f in _ROWS.split(", ")]
         yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values], names=names)
         at = np.flatnonzero(rare)
