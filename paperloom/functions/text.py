@@ -291,20 +291,29 @@ def noise(text: Column, locator: Column) -> Column:
     """struct<is_noisy, noise_score (three digits), noise_reasons> from six signals."""
     own = F.coalesce(text, F.lit(""))
     count = lambda p: F.regexp_count(own, F.lit(p)).cast("double")
-    tokens = F.greatest(count(r"\S+"), F.lit(1.0))
-    density = {
-        "nan_density": count(NAN) / tokens,
-        "base64_like": count(BASE64_RUN),
-        "windows_or_hmi_path_density": count(NOISE_PATHS) / tokens,
-        "xml_html_tag_density": count(r"<[^>\n]{2,40}>") / tokens,
-    }
-    signals = [(name, F.when(density[name] > least, F.least(density[name] * factor, F.lit(cap)))) for name, (least, factor, cap) in NOISE.items()]
-    signals.append(("missing_locator", F.when(F.coalesce(locator, F.lit("")) == "", F.lit(1.0))))
-    alpha = count(r"(?U)\b[A-Za-z]{3,}\b") / tokens
-    signals.append(("low_natural_language_ratio", F.when((alpha < LOW_ALPHA) & (F.length(own) > LOW_ALPHA_CHARS), F.lit(1.0))))
-    score = sum((F.coalesce(s, F.lit(0.0)) for _, s in signals), F.lit(0.0))
-    reasons = F.array_compact(F.array(*[F.when(s.isNotNull(), F.lit(n)) for n, s in signals]))
-    return F.struct((score >= NOISY).alias("is_noisy"), F.round(score, 3).alias("noise_score"), reasons.alias("noise_reasons"))
+    where = lambda there, p: F.when(there, count(p)).otherwise(F.lit(0.0))
+    # paths and tags are counted only where a text has what each of them has
+    counts = {
+        "tokens": F.greatest(count(r"\S+"), F.lit(1.0)), "alpha": count(r"(?U)\b[A-Za-z]{3,}\b"), "nan": count(NAN), "base64": count(BASE64_RUN),
+        "paths": where(F.contains(own, F.lit("\\")) | F.contains(own, F.lit("PLC+HMI")), NOISE_PATHS), "tags": where(F.contains(own, F.lit("<")), r"<[^>\n]{2,40}>"),
+    }
+
+    def judged(found: Column) -> Column:
+        tokens = found["tokens"]
+        density = {
+            "nan_density": found["nan"] / tokens,
+            "base64_like": found["base64"],
+            "windows_or_hmi_path_density": found["paths"] / tokens,
+            "xml_html_tag_density": found["tags"] / tokens,
+        }
+        signals = [(name, F.when(density[name] > least, F.least(density[name] * factor, F.lit(cap)))) for name, (least, factor, cap) in NOISE.items()]
+        signals.append(("missing_locator", F.when(F.coalesce(locator, F.lit("")) == "", F.lit(1.0))))
+        signals.append(("low_natural_language_ratio", F.when((found["alpha"] / tokens < LOW_ALPHA) & (F.length(own) > LOW_ALPHA_CHARS), F.lit(1.0))))
+        score = sum((F.coalesce(s, F.lit(0.0)) for _, s in signals), F.lit(0.0))
+        reasons = F.array_compact(F.array(*[F.when(s.isNotNull(), F.lit(n)) for n, s in signals]))
+        return F.struct((score >= NOISY).alias("is_noisy"), F.round(score, 3).alias("noise_score"), reasons.alias("noise_reasons"))
+
+    return let(F.struct(*[c.alias(name) for name, c in counts.items()]), judged)
 
 
 def section_title(value: Column) -> Column:

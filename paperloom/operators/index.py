@@ -15,6 +15,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,6 +28,8 @@ from .search import INDEXED, Filters, Node, Phrase
 LETTERS = 3
 #: Rows whose postings are grouped at once, and terms whose postings a task sorts, about.
 ROWS, TASK_TERMS = 1000, 4_000_000
+#: Columns that rows get here or in search.search_rows.
+OWN = ["bucket", "length", "adjustment", "headings", *[f"terms_{c}" for c in INDEXED]]
 _FACTS = ["length", "chunk_ord", "adjustment", "document_kind", "is_noisy", "noise_score"]
 
 
@@ -36,7 +39,8 @@ def _bucket(value: Column, buckets: int) -> Column:
 
 def postings_of(rows: DataFrame) -> DataFrame:
     """term, column, chunk_id, positions (from 0, ascending) and the chunk's facts, for rows with terms and facts. A chunk's
-    postings come from its own row, so nothing is shuffled."""
+    postings come from its own row, so nothing is shuffled. Those of ROWS rows and a column are in the order of terms and chunks:
+    sorting them all is then mostly a merge."""
     own = rows.select("chunk_id", *_FACTS, *[f"terms_{c}" for c in INDEXED])
     kinds = {f.name: f for f in own.schema}
     schema = StructType([StructField("term", StringType()), StructField("column", StringType()), kinds["chunk_id"], *[kinds[c] for c in _FACTS], StructField("positions", ArrayType(IntegerType()))])
@@ -51,6 +55,7 @@ def _grouped(schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
+                batch = batch.take(pc.array_sort_indices(batch.column(0), null_placement="at_start"))
                 for column in INDEXED:
                     lists = batch.column(batch.schema.get_field_index(f"terms_{column}"))
                     terms = lists.flatten().dictionary_encode()
@@ -60,7 +65,9 @@ def _grouped(schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     row = np.repeat(np.arange(len(lengths)), lengths)
                     place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                     code = terms.indices.to_numpy(zero_copy_only=False)
-                    key = row * len(terms.dictionary) + code
+                    rank = np.empty(len(terms.dictionary), np.int64)
+                    rank[pc.array_sort_indices(terms.dictionary).to_numpy()] = np.arange(len(rank))
+                    key = rank[code] * len(lengths) + row
                     order = np.argsort(key, kind="stable")  # places of a term stay in order
                     first = np.flatnonzero(np.diff(key[order], prepend=-1))
                     ends = np.append(first, len(order)).astype(np.int32)
@@ -72,13 +79,17 @@ def _grouped(schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return grouped
 
 
-def write_index(rows: DataFrame, folder: str, buckets: int = 256) -> Index:
+def write_index(rows: DataFrame, folder: str, buckets: int = 256, dealt: bool = False) -> Index:
     """Writes rows to search (search.search_rows) and their postings into a fresh folder.
 
     Each task writes the postings of its own rows, sorted, into a file of each bucket: nothing is shuffled, and a term that very
-    many chunks hold is spread over the files of its bucket. A bucket has a file for each TASK_TERMS terms of the library, about."""
+    many chunks hold is spread over the files of its bucket. A bucket has a file for each TASK_TERMS terms of the library, about.
+    dealt: rows are shuffled to their buckets before their texts are cut into terms, so that a bucket's rows have few files, where
+    rows come in many small parts."""
     length = F.size(F.concat(*[F.col(f"terms_{c}") for c in INDEXED])).cast("double")
-    own = search.with_terms(rows).withColumns({"length": length, "adjustment": search.rank_adjustment(), "bucket": _bucket(F.col("chunk_id"), buckets)})
+    own = rows.withColumn("bucket", _bucket(F.col("chunk_id"), buckets))
+    own = own.hint("rebalance", F.col("bucket")) if dealt else own
+    own = search.with_terms(own.sortWithinPartitions("bucket")).withColumns({"length": length, "adjustment": search.rank_adjustment()})
     own.write.partitionBy("bucket").parquet(f"{folder}/index")
     spark = rows.sparkSession
     kept = spark.read.schema(own.schema).parquet(f"{folder}/index")

@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..tables import written
 from .ranks import numbered
+from .search import SHOWN
 
 #: Letters of entities that one automaton holds, about.
 MOST_LETTERS = 1_000_000
@@ -38,6 +39,8 @@ class Library:
     mentions: DataFrame
     assets: DataFrame
     relations: DataFrame
+    #: chunks with what a search shows of their documents (search.SHOWN), where these have it
+    rows: DataFrame | None = None
 
 
 def extract_entities(docs: DataFrame, rules: dict[str, str] = ENTITY_RULES, text: str = "text") -> DataFrame:
@@ -278,13 +281,29 @@ def build(documents: DataFrame, chunks: DataFrame, document_entities: DataFrame,
     ordered = written(document_entities, "document-entities").join(documents.select("doc_id", "doc_ord", "source_file"), "doc_id").withColumn("ord", F.struct("doc_ord", "position"))
     entities = written(dedupe_entities(ordered).withColumn("first_doc_ord", F.col("first_ord.doc_ord")), "entities")
     own = ordered.withColumn("normalized_text", T.normal_entity(F.col("entity_text"))).join(entities.select("entity_type", "normalized_text", "entity_id"), ["entity_type", "normalized_text"])
-    noise = T.noise(F.col("text"), F.col("locator"))
-    marked = chunks.join(documents.select("doc_id", "doc_ord"), "doc_id").withColumn("_noise", noise).select("*", "_noise.is_noisy", F.round("_noise.noise_score", 3).alias("noise_score"), "_noise.noise_reasons").drop("_noise")
-    held = written(contained(marked, entities, bounded=False), "contained")
-    marked = with_entity_text(marked, entities, held)
+    held = written(contained(chunks.withColumn("doc_ord", F.lit(None).cast("long")), entities, bounded=False), "contained")
+    places = chunks.select("chunk_id", "doc_id", "locator").join(documents.select("doc_id", "doc_ord", "source_file"), "doc_id")
     seen_before = F.col("first_doc_ord") <= F.col("doc_ord")
-    inside = held.join(entities.select("entity_id", "first_doc_ord"), "entity_id").join(marked.select("chunk_id", "doc_ord"), "chunk_id").filter(seen_before).select("chunk_id", "entity_id")
+    inside = held.join(entities.select("entity_id", "first_doc_ord"), "entity_id").join(places, "chunk_id").filter(seen_before)
     document_mentions = own.select("entity_id", "doc_id", F.lit(None).cast("string").alias("chunk_id"), "source_file", F.lit(None).cast("string").alias("locator")).distinct()
-    chunk_mentions = inside.join(marked.select("chunk_id", "doc_id", "locator"), "chunk_id").join(documents.select("doc_id", "source_file"), "doc_id").select("entity_id", "doc_id", "chunk_id", "source_file", "locator")
-    edges = relations(marked, assets, document_mentions, chunk_mentions)
-    return Library(documents, marked, entities.drop("first_ord"), document_mentions.unionByName(chunk_mentions), first_rows(assets, ["doc_id", "path"], "asset_id"), edges)
+    chunk_mentions = written(inside.select("entity_id", "doc_id", "chunk_id", "source_file", "locator"), "chunk-mentions")
+    edges = relations(chunks.join(documents.select("doc_id"), "doc_id"), assets, document_mentions, chunk_mentions)
+    shown = SHOWN if set(SHOWN.values()) <= set(documents.columns) and not set(SHOWN) & set(chunks.columns) else {}
+    rows = _with_facts(chunks, documents.select("doc_id", "doc_ord", *[F.col(c).alias(name) for name, c in shown.items()]), entities, held)
+    return Library(
+        documents, rows.drop(*shown), entities.drop("first_ord"), document_mentions.unionByName(chunk_mentions),
+        first_rows(assets, ["doc_id", "path"], "asset_id"), edges, rows if shown else None,
+    )
+
+
+def _with_facts(chunks: DataFrame, documents: DataFrame, entities: DataFrame, held: DataFrame) -> DataFrame:
+    """Chunks with their documents' columns, their noise and their entities' text. What comes from other tables is put together
+    for the keys alone, so that texts are shuffled once."""
+    keys = chunks.select("chunk_id", "doc_id").distinct().join(documents, "doc_id")
+    facts = with_entity_text(keys, entities, held).withColumnsRenamed({"chunk_id": "_chunk", "doc_id": "_doc"})
+    own = chunks.drop("entities")
+    joined = own.join(facts, (F.col("doc_id") == F.col("_doc")) & F.col("chunk_id").eqNullSafe(F.col("_chunk")))
+    first = ["chunk_id", "doc_id", *[c for c in own.columns if c not in ("chunk_id", "doc_id")], "doc_ord"]
+    noise = ["_noise.is_noisy", F.round("_noise.noise_score", 3).alias("noise_score"), "_noise.noise_reasons"]
+    marked = joined.withColumn("_noise", T.noise(F.col("text"), F.col("locator")))
+    return marked.select(*first, *noise, "entities", *[c for c in documents.columns if c not in ("doc_id", "doc_ord")])

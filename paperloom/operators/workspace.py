@@ -8,6 +8,7 @@ import subprocess
 import sys
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from datetime import UTC, datetime
 
 import pandas as pd
@@ -96,10 +97,14 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 def build_library(library: Library, folder: str) -> str:
     """Writes the library and its search index into a fresh folder below `folder` and returns it: readers of an older one aren't disturbed, and a
-    build that fails leaves nothing that is read."""
+    build that fails leaves nothing that is read. The table of chunks comes from the index's rows, which hold them whole, so
+    that chunks are made once."""
     target = f"{folder}/build-{datetime.now(UTC):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+    rows = search.search_rows(library.chunks, library.documents) if library.rows is None else search.search_rows(library.rows)
+    own = index.write_index(rows, target, dealt=True)
+    if library.rows is not None and not set(index.OWN) & set(library.chunks.columns):
+        library = replace(library, chunks=own.rows.select(library.chunks.columns))
     write_library(library, target)
-    index.write_index(search.search_rows(library.chunks, library.documents), target)
     return target
 
 

@@ -147,3 +147,42 @@ def test_postings_are_made_without_a_shuffle(tables, spark):
     assert dict(got) == expected and len(got) == len(expected)
     mentions = spark.createDataFrame([("1", "x", "x")], "chunk_id string, entity_text string, normalized_text string")
     assert "Join" not in own.any_of(["a"], search.Filters(), mentions)[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_of_a_block_are_in_the_order_of_terms(tables):
+    """A task's sort is then mostly a merge of such blocks."""
+    _, rows, _ = tables
+    terms = search.with_terms(rows).withColumns({"length": F.lit(1.0), "adjustment": F.lit(0.0)}).coalesce(1)
+    found = {}
+    for r in index.postings_of(terms).collect():
+        found.setdefault(r["column"], []).append((r["term"].encode(), r["chunk_id"]))
+    assert len(found) > 3 and all(x == sorted(x) for x in found.values())
+
+
+def test_a_built_library_has_one_file_for_a_bucket_of_rows(spark, tmp_path):
+    """Rows come out of joins in many parts; each part would have a file in each bucket. Chunks are those of the library."""
+    from paperloom.operators import workspace
+
+    texts = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("pump mail a"), F.col("id") % 7, F.lit("@b.de NaN")).alias("text"))
+    documents = texts.select("doc_id", F.col("doc_id").alias("doc_ord"), *[F.lit(c).alias(c) for c in ("title", "source_file", "source_path", "document_kind", "output_dir")])
+    chunks = texts.select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", F.lit(0).alias("chunk_ord"), F.lit("t").alias("title"), "text", F.when(F.col("doc_id") % 2 == 0, "p").alias("locator"), F.array().cast("array<string>").alias("heading_path"), F.lit("page").alias("evidence_type"))
+    chunks = chunks.union(chunks.limit(1).withColumns({"chunk_id": F.lit("lost"), "doc_id": F.lit(999).cast("long")}))  # of no document
+    assets = spark.createDataFrame([], "asset_id string, doc_id long, path string")
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        built = library.build(documents, chunks, library.extract_entities(texts, {"email": library.ENTITY_RULES["email"]}), assets)
+        folder = workspace.build_library(built, f"file://{tmp_path}")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    kept = spark.read.parquet(f"{folder}/index")
+    files = kept.select("bucket", F.col("_metadata.file_path").alias("f")).distinct().groupBy("bucket").count()
+    assert files.filter("count > 1").count() == 0 and kept.count() == 300
+    names = built.chunks.columns
+    assert sorted(map(tuple, spark.read.parquet(f"{folder}/chunks").select(names).collect()), key=str) == sorted(map(tuple, built.chunks.collect()), key=str)
+    one = kept.filter("chunk_id = '8'").first()
+    assert one["entities"] == "a1@b.de" and one["document_kind"] == "document_kind" and one["noise_reasons"] == ["nan_density"] and one["terms_entities"] == ["a1", "b", "de"]
+    assert built.mentions.filter("chunk_id is not null").count() == 300 and index.open_index(spark, folder).matching(search.parse("pump")).count() == 300

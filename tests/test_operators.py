@@ -480,3 +480,12 @@ def test_a_build_looks_for_entities_once(spark):
     for rows in (built.entities, built.mentions, built.relations):
         assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert built.entities.count() == 2 and built.mentions.count() == 6
+
+
+def test_noise_goes_through_a_text_once(spark):
+    """Each count is taken once a row, whatever is made of it."""
+    marked = rows_of(spark, "a b").withColumn("_n", T.noise(F.col("text"), F.col("locator"))).select("_n.is_noisy", F.round("_n.noise_score", 3), "_n.noise_reasons")
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count(r"\S+") == 1
+    odd = ["<ab> <a> <abc\n> < >", "C:\\x PLC+HMI \\Textfeld", "plc+hmi", "NaN;nan", "+" + "c" * 60, "1 " * 300, "", None]
+    found = spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "k int, t string").select("k", T.noise(F.col("t"), F.lit("p")).alias("n")).orderBy("k").collect()
+    assert [r["n"]["noise_reasons"] for r in found] == [["xml_html_tag_density"], ["windows_or_hmi_path_density"], [], ["nan_density"], ["base64_like"], ["low_natural_language_ratio"], [], []]
