@@ -79,8 +79,8 @@ def _where(there: Callable[[Column], Column], change: Callable[[Column], Column]
     return lambda t: F.when(there(t), change(t)).otherwise(t)
 
 
-def searchable(text: Column) -> Column:
-    """What is indexed and shown: no base64 runs, no NaN, short paths, single spaces."""
+def cleaned(text: Column) -> Column:
+    """Text without base64 runs and NaN, with short paths."""
 
     def cut_paths(t: Column) -> Column:
         paths = F.regexp_extract_all(t, F.lit(LONG_PATH), F.lit(0))
@@ -89,14 +89,19 @@ def searchable(text: Column) -> Column:
     # patterns are tried only where a text has what each of their matches has
     steps = [
         (lambda t: t.rlike("(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{60}"), lambda t: F.regexp_replace(t, BASE64_RUN, "[base64]")),
-        (lambda t: F.contains(F.lower(t), F.lit("nan")), lambda t: F.regexp_replace(F.regexp_replace(t, NAN_RUN, "[NaN omitted]"), NAN, "")),
+        (lambda t: t.rlike(NAN), lambda t: F.regexp_replace(F.regexp_replace(t, NAN_RUN, "[NaN omitted]"), NAN, "")),
         (lambda t: F.contains(t, F.lit("\\")) | F.contains(t, F.lit("_PLC+HMI")), cut_paths),
     ]
 
     clean = F.coalesce(text, F.lit(""))
     for there, change in steps:
         clean = let(clean, _where(there, change))
-    return collapse(clean)
+    return clean
+
+
+def searchable(text: Column) -> Column:
+    """What is indexed and shown: cleaned, single spaces."""
+    return collapse(cleaned(text))
 
 
 def query_tokens(query: str) -> list[str]:
@@ -194,9 +199,23 @@ def first_match(text: Column, patterns: list[str], group: int = 1) -> Column:
     return F.coalesce(*[blank_to_null(F.regexp_extract(text, p, group)) for p in patterns])
 
 
+def needed(pattern: str) -> str | None:
+    """A mark that every match of the pattern holds, where one stands in it by itself: in no class, group or choice, and not
+    optional."""
+    bare, last = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", ".", pattern, flags=re.S), None
+    while bare != last:
+        bare, last = re.sub(r"\([^()]*\)", ".", bare), bare
+    found = None if re.search(r"[()\[\]|]", bare) or re.search(r"\\Q|\(\?\w*x", pattern) else re.search(r"[@:/=<>_&%](?![?*{])", bare)
+    return found[0] if found else None
+
+
 def distinct_matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """Different matches in the order they are first seen."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.trim(x) != ""))
+    """Different matches in the order they are first seen; a text without what every match holds isn't searched."""
+    mark = needed(pattern)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if mark:
+        found = F.when(text.isNull() | F.contains(text, F.lit(mark)), found).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(found, lambda x: F.trim(x) != ""))
 
 
 def present(text: Column, names: list[str]) -> Column:

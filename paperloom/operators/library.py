@@ -22,6 +22,8 @@ from .search import SHOWN
 
 #: Letters of entities that one automaton holds, about.
 MOST_LETTERS = 1_000_000
+#: Bytes of chunks that several automata go through one after the other.
+MOST_BYTES = 1 << 27
 #: Default patterns of entities; callers with their own vocabulary pass their own.
 ENTITY_RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
@@ -121,7 +123,8 @@ def contained(chunks: DataFrame, entities: DataFrame, bounded: bool = True, leas
     T.casefold takes ß for ss, F.lower doesn't. Texts of `least` characters and
     more are looked for (the empty one stands in every chunk), all at once: an automaton over a block of them goes through each chunk once, so neither common words nor
     names of one word cost more than others. A block has about MOST_LETTERS letters, whatever the number of entities; the
-    entities are read block by block when the frame is made, chunks in as many scans as there are blocks."""
+    entities are read block by block when the frame is made. Chunks are read in one scan: where there are several blocks, a task
+    holds chunks of MOST_BYTES, about, and has one automaton after the other go through them."""
     hay = fold(F.concat_ws(" ", "title", "text", "locator", T.blank_to_null(F.array_join("heading_path", " "))))
     own = chunks.select("chunk_id", F.col("doc_ord").cast("long").alias("doc_ord"), hay.alias("_hay"))
     needles = entities.select(fold(F.col("entity_text")).alias("_needle"), "entity_id", F.col("first_doc_ord").cast("long").alias("first_doc_ord")).filter(F.length("_needle") >= least)
@@ -131,18 +134,18 @@ def contained(chunks: DataFrame, entities: DataFrame, bounded: bool = True, leas
     context, parts = chunks.sparkSession.sparkContext, []
     for k in range(blocks):
         part = needles.filter(F.pmod(F.xxhash64("_needle"), F.lit(blocks)) == k).toArrow()  # MOST_LETTERS letters, about
-        parts.append(own.mapInArrow(_finder(context.broadcast(part), bounded, schema), schema))
-    return reduce(DataFrame.unionByName, parts) if parts else chunks.sparkSession.createDataFrame([], schema)
+        parts.append(context.broadcast(part))
+    return own.mapInArrow(_finder(parts, bounded, schema, MOST_BYTES), schema) if parts else chunks.sparkSession.createDataFrame([], schema)
 
 
-def _finder(sent: Broadcast[pa.Table], bounded: bool, schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _finder(sent: list[Broadcast[pa.Table]], bounded: bool, schema: StructType, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     kinds = to_arrow_schema(schema)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def automaton_of(block: pa.Table) -> tuple[object, list]:
         import ahocorasick
 
         automaton, everywhere = ahocorasick.Automaton(), []
-        for needle, entity_id, first in zip(*(sent.value.column(k).to_pylist() for k in range(3))):
+        for needle, entity_id, first in zip(*(block.column(k).to_pylist() for k in range(3))):
             if not needle:
                 everywhere.append((entity_id, first))
             elif needle in automaton:
@@ -150,16 +153,34 @@ def _finder(sent: Broadcast[pa.Table], bounded: bool, schema: StructType) -> Cal
             else:
                 automaton.add_word(needle, [(entity_id, first)])
         automaton.make_automaton()
+        return automaton, everywhere
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        kept, size = [], 0
         for batch in batches:
-            chunk_ids, entity_ids = [], []
-            for chunk_id, doc_ord, hay in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                inside = {id(x): x for _, x in automaton.iter(hay)} if len(automaton) else {}
-                for same in (everywhere, *inside.values()):
-                    for entity_id, first in same:
-                        if not bounded or first is not None and doc_ord is not None and first <= doc_ord:
-                            chunk_ids.append(chunk_id)
-                            entity_ids.append(entity_id)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((chunk_ids, entity_ids), kinds)], schema=kinds)
+            kept.append(batch)
+            size += batch.nbytes
+            if len(sent) == 1 or size >= most:
+                yield kept
+                kept, size = [], 0
+        if kept:
+            yield kept
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = automaton_of(sent[0].value) if len(sent) == 1 else None
+        for kept in held(batches):
+            for block in sent:
+                automaton, everywhere = only or automaton_of(block.value)
+                for batch in kept:
+                    chunk_ids, entity_ids = [], []
+                    for chunk_id, doc_ord, hay in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                        inside = {id(x): x for _, x in automaton.iter(hay)} if len(automaton) else {}
+                        for same in (everywhere, *inside.values()):
+                            for entity_id, first in same:
+                                if not bounded or first is not None and doc_ord is not None and first <= doc_ord:
+                                    chunk_ids.append(chunk_id)
+                                    entity_ids.append(entity_id)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((chunk_ids, entity_ids), kinds)], schema=kinds)
 
     return find
 

@@ -186,3 +186,18 @@ def test_a_built_library_has_one_file_for_a_bucket_of_rows(spark, tmp_path):
     one = kept.filter("chunk_id = '8'").first()
     assert one["entities"] == "a1@b.de" and one["document_kind"] == "document_kind" and one["noise_reasons"] == ["nan_density"] and one["terms_entities"] == ["a1", "b", "de"]
     assert built.mentions.filter("chunk_id is not null").count() == 300 and index.open_index(spark, folder).matching(search.parse("pump")).count() == 300
+
+
+def test_containment_scans_chunks_once(spark, monkeypatch):
+    """However many blocks the entities make, and however small the parts of chunks that they go through."""
+    rng = random.Random(5)
+    words = [f"w{k}x" for k in range(40)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(60)]
+    own = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "chunk_id string, text string").withColumns({"doc_ord": F.lit(1), "title": F.lit(""), "locator": F.lit(""), "heading_path": F.array().cast("array<string>")})
+    names = spark.createDataFrame([(f"e{w}", w, 0) for w in words], "entity_id string, entity_text string, first_doc_ord int")
+    monkeypatch.setattr(library, "MOST_LETTERS", 30)
+    for most in (1 << 27, 1):
+        monkeypatch.setattr(library, "MOST_BYTES", most)
+        found = library.contained(own.repartition(3), names)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert sorted(map(tuple, found.collect())) == sorted((str(k), f"e{w}") for k, t in enumerate(texts) for w in words if w in t)

@@ -489,3 +489,20 @@ def test_noise_goes_through_a_text_once(spark):
     odd = ["<ab> <a> <abc\n> < >", "C:\\x PLC+HMI \\Textfeld", "plc+hmi", "NaN;nan", "+" + "c" * 60, "1 " * 300, "", None]
     found = spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "k int, t string").select("k", T.noise(F.col("t"), F.lit("p")).alias("n")).orderBy("k").collect()
     assert [r["n"]["noise_reasons"] for r in found] == [["xml_html_tag_density"], ["windows_or_hmi_path_density"], [], ["nan_density"], ["base64_like"], ["low_natural_language_ratio"], [], []]
+
+
+def test_texts_without_a_mark_that_matches_hold_are_not_searched(spark):
+    """The mark is one that no match can lack; what is found stays the same."""
+    email = library.ENTITY_RULES["email"]
+    marks = {email: "@", r"a@?b": None, r"a@|b": None, r"(a@)b": None, r"[@]b": None, r"x[]@]y": None, r"(?!@)a:b": ":", r"a@*:+": ":", r"\Qa@\E": None, r"(?x)a # b:\nc": None, r"[\]@]=": "=", r"[a[@]]b": None, r"\@b": None}
+    assert {p: T.needed(p) for p in marks} == marks
+    assert value(spark, T.distinct_matches(F.lit("a@b.de c@d.fr a@b.de"), email)) == ["a@b.de", "c@d.fr"] and value(spark, T.distinct_matches(F.lit("none"), email)) == []
+    assert value(spark, T.distinct_matches(F.lit(None).cast("string"), email)) is None
+    plan = library.extract_entities(spark.createDataFrame([(0, "x")], "doc_id long, text string"), {"email": email})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan or "contains(" in plan.lower()
+
+
+def test_terms_are_those_of_the_text_that_is_shown(spark):
+    odd = ["a  b\tc\n\nd", "NaN | NaN | NaN | z nan", "finance\u00a0\u2003 x", "A" * 70 + "\nB", "C:\\a\\b\\c\\" + "d" * 50 + "\\e f", "ΑΣ\n ΑΣ Β", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, t string")
+    assert df.filter(~T.search_terms(T.searchable(F.col("t"))).eqNullSafe(T.search_terms(T.cleaned(F.col("t"))))).count() == 0
