@@ -88,7 +88,7 @@ def cleaned(text: Column) -> Column:
 
     # patterns are tried only where a text has what each of their matches has
     steps = [
-        (lambda t: t.rlike("(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{60}"), lambda t: F.regexp_replace(t, BASE64_RUN, "[base64]")),
+        (lambda t: t.rlike(BASE64_RUN), lambda t: F.regexp_replace(t, BASE64_RUN, "[base64]")),
         (lambda t: t.rlike(NAN), lambda t: F.regexp_replace(F.regexp_replace(t, NAN_RUN, "[NaN omitted]"), NAN, "")),
         (lambda t: F.contains(t, F.lit("\\")) | F.contains(t, F.lit("_PLC+HMI")), cut_paths),
     ]
@@ -136,7 +136,9 @@ def fold(text: Column) -> Column:
 
 def search_terms(text: Column) -> Column:
     """The index's terms: runs of letters and digits, folded, in order."""
-    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    folded = let(lower, _where(lambda t: F.octet_length(t) > F.length(t), lambda t: F.translate(t, MARKED, PLAIN)))  # marks are no ASCII
+    return F.regexp_extract_all(folded, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def casefold(text: Column) -> Column:

@@ -90,14 +90,14 @@ def write_index(rows: DataFrame, folder: str, buckets: int = 256, dealt: bool =
     own = rows.withColumn("bucket", _bucket(F.col("chunk_id"), buckets))
     own = own.hint("rebalance", F.col("bucket")) if dealt else own
     own = search.with_terms(own.sortWithinPartitions("bucket")).withColumns({"length": length, "adjustment": search.rank_adjustment()})
-    own.write.partitionBy("bucket").parquet(f"{folder}/index")
+    own.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/index")
     spark = rows.sparkSession
     kept = spark.read.schema(own.schema).parquet(f"{folder}/index")
     kept.agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"), F.lit(buckets).alias("buckets")).write.parquet(f"{folder}/statistics")
     counted = spark.read.parquet(f"{folder}/statistics").first()
     tasks = max(spark.sparkContext.defaultParallelism, ceil(counted["n"] * (counted["mean"] or 0) / TASK_TERMS))
     found = postings_of(kept.coalesce(tasks)).withColumn("bucket", _bucket(F.substring("term", 1, LETTERS), buckets))
-    found.sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    found.sortWithinPartitions("bucket", "term", "chunk_id").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
     return open_index(spark, folder)
 
 
